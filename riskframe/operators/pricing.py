@@ -131,3 +131,87 @@ def format_total(value_inr, code: str) -> F.Column:
     return (F.when(v >= 1e9, F.concat(F.lit(sym), f2(v / 1e9), F.lit(nbsp + "Bn")))
              .when(v >= 1e6, F.concat(F.lit(sym), f2(v / 1e6), F.lit(nbsp + "M")))
              .otherwise(F.concat(F.lit(sym), F.format_number(round_even(v, 0), 0))))
+
+
+# ---- PRC6-PRC8: multiplier calibration from market quotes ----------------------------
+
+PREMIUM_COL = "estimated_annual_premium_per_employee_inr"
+
+
+def _group_multipliers(quotes: DataFrame, by: str, premium: str) -> DataFrame:
+    from ..functions.stats import median
+    overall = quotes.agg(median(premium).alias("_overall"))
+    g = quotes.groupBy(by).agg(median(premium).alias("_median"))
+    return (g.crossJoin(F.broadcast(overall))
+             .select(F.col(by).alias("key"), round_even(F.col("_median") / F.col("_overall"), 3).alias("multiplier")))
+
+
+def industry_multipliers(quotes: DataFrame, premium: str = PREMIUM_COL) -> DataFrame:
+    """PRC6: median premium per industry / overall median, 3 dp."""
+    return _group_multipliers(quotes, "industry", premium)
+
+
+def region_multipliers(quotes: DataFrame, premium: str = PREMIUM_COL) -> DataFrame:
+    """PRC7: median premium per region / overall median, 3 dp."""
+    return _group_multipliers(quotes, "region", premium)
+
+
+def market_multipliers(quotes: DataFrame, premium: str = PREMIUM_COL) -> DataFrame:
+    """PRC6 + PRC7 in one job: ``GROUPING SETS ((industry), (region), ())`` then divide by the () row."""
+    from ..functions.stats import median
+    g = quotes.groupingSets([["industry"], ["region"], []], "industry", "region").agg(
+        median(premium).alias("_median"), F.grouping_id().alias("_gid"))
+    overall = g.where(F.col("_gid") == 3).select(F.col("_median").alias("_overall"))
+    parts = g.where(F.col("_gid") != 3).crossJoin(F.broadcast(overall))
+    kind = F.when(F.col("_gid") == 1, "industry").otherwise("region")
+    key = F.when(F.col("_gid") == 1, F.col("industry")).otherwise(F.col("region"))
+    return parts.select(kind.alias("kind"), key.alias("key"),
+                        round_even(F.col("_median") / F.col("_overall"), 3).alias("multiplier"))
+
+
+def band_multipliers(quotes: DataFrame, premium: str = PREMIUM_COL) -> DataFrame:
+    """PRC8: bins (0,3], (3,7], (7,15], (15,10000]; out-of-bin rows dropped; normalised to 4-7L
+    (or to the median of the band medians if 4-7L is absent); missing bands 1.0."""
+    from ..functions.stats import median
+    sa = F.col("sum_assured_lakhs")
+    band = (F.when((sa > 0) & (sa <= 3), "1-3L").when((sa > 3) & (sa <= 7), "4-7L")
+             .when((sa > 7) & (sa <= 15), "8-15L").when((sa > 15) & (sa <= 10000), "15L+"))
+    g = quotes.select(band.alias("band"), F.col(premium)).where(F.col("band").isNotNull()) \
+        .groupBy("band").agg(median(premium).alias("_m"))
+    base = g.agg(F.coalesce(F.max(F.when(F.col("band") == "4-7L", F.col("_m"))), median("_m")).alias("_base"))
+    spark = quotes.sparkSession
+    labels = spark.createDataFrame([(b, i) for i, b in enumerate(["1-3L", "4-7L", "8-15L", "15L+"])],
+                                   "band string, position int")
+    return (labels.join(g, "band", "left").crossJoin(F.broadcast(base))
+                  .select("band", "position",
+                          F.coalesce(round_even(F.col("_m") / F.col("_base"), 3), F.lit(1.0)).alias("multiplier")))
+
+
+# Wellness playbook: driver -> (action, expected impact, mid HRS drop).
+INTERVENTIONS = {
+    "avg_daily_steps": ("Step-count challenge", "Expected HRS drop: 5–12 pts", 8.5),
+    "smoker": ("Smoking cessation program", "Expected HRS drop: 8–15 pts", 11.5),
+    "avg_sleep_hours": ("Sleep hygiene workshops", "Expected HRS drop: 3–6 pts", 4.5),
+    "hypertension": ("BP screening camps", "Expected HRS drop: 6–10 pts", 8.0),
+    "diabetic": ("Diabetes management program", "Expected HRS drop: 10–18 pts", 14.0),
+    "bmi": ("Nutrition counseling + gym", "Expected HRS drop: 4–8 pts", 6.0),
+    "visit_count": ("Preventive care incentives", "Expected HRS drop: 5–9 pts", 7.0),
+    "avg_resting_hr": ("Cardio fitness program", "Expected HRS drop: 4–7 pts", 5.5),
+    "health_composite": ("Comprehensive wellness bundle", "Expected HRS drop: 10–20 pts", 15.0),
+    "activity_score": ("Workplace activity program", "Expected HRS drop: 6–10 pts", 8.0),
+    "clinical_burden": ("Case management for high-users", "Expected HRS drop: 8–14 pts", 11.0),
+    "chronic_count": ("Chronic disease management", "Expected HRS drop: 10–18 pts", 14.0),
+}
+
+
+def recommend_interventions(importance: DataFrame, premiums: DataFrame, group: str = "company_id",
+                            premium: str = "adjusted") -> DataFrame:
+    """PRC13: of the top-4 drivers, those with a playbook entry (original rank kept);
+    savings = mid HRS drop / 100 x adjusted premium x 0.8.  The 12-row playbook is a literal."""
+    spark = importance.sparkSession
+    pb = spark.createDataFrame([(k, a, i, m) for k, (a, i, m) in INTERVENTIONS.items()],
+                               "feature string, action string, impact string, hrs_mid double")
+    top = importance.where(F.col("rank") <= 4)
+    df = top.join(F.broadcast(pb), "feature", "inner").join(premiums.select(group, premium), group, "inner")
+    return df.select(group, "rank", "feature", "action", "impact",
+                     (F.col("hrs_mid") / 100 * F.col(premium) * 0.8).alias("estimated_savings"))

@@ -157,3 +157,31 @@ def with_fixtures(fixture_names, *ctes: str) -> str:
 
 
 CORE_FIXTURES = ("fx_employees", "fx_companies", "fx_telemetry", "fx_clinical_events")
+
+
+def portfolio_cte() -> str:
+    p = premium_sql("co.base_premium", "r.mean_hrs")
+    return f"""
+or_pf AS (
+  SELECT r.company_id, co.company_name, co.industry, r.employee_count AS employees, r.mean_hrs, r.risk_band,
+         CAST(co.base_premium AS DOUBLE) AS base_premium,
+         {p['adjusted_premium']} AS adjusted, {p['adjustment_pct']} AS adjustment_pct, {p['zone']} AS zone
+  FROM or_companies r JOIN fx_companies co ON co.company_id = r.company_id)
+"""
+
+
+def importance_ctes(model=DEFAULT_SCORECARD, group: str = "company_id") -> str:
+    feats = model.features
+    means = ", ".join(f"avg(CAST({f} AS DOUBLE)) AS m_{f}" for f in feats)
+    phis = ", ".join(f"{_lit(model.weights.get(f, 0.0))} * (CAST({f} AS DOUBLE) - m_{f}) AS phi_{f}" for f in feats)
+    wide = ", ".join(f"avg(abs(phi_{f})) AS {f}" for f in feats)
+    return f"""
+or_means AS (SELECT {means} FROM or_pred),
+or_phi AS (SELECT {group}, employee_key, {phis} FROM or_pred CROSS JOIN or_means),
+or_imp_wide AS (SELECT {group}, {wide} FROM or_phi GROUP BY {group}),
+or_imp_long AS (UNPIVOT or_imp_wide ON {", ".join(feats)} INTO NAME feature VALUE importance),
+or_importance AS (
+  SELECT * FROM (SELECT {group}, feature, importance,
+                        row_number() OVER (PARTITION BY {group} ORDER BY importance DESC, feature) AS rank
+                 FROM or_imp_long) WHERE rank <= 5)
+"""
