@@ -279,6 +279,14 @@ SELECT c_custkey AS row_no,
 FROM {customer}
 """
 
+FIXTURE_SQL["fx_employees_b"] = """
+SELECT employee_key, raw_id,
+       CASE WHEN cast(employee_key AS bigint) % 97 = 0 THEN 'COMP_026' ELSE company_id END AS company_id,
+       age, gender, bmi, smoker, diabetic, hypertension, job_category
+FROM {fx_employees}
+WHERE company_id <> 'COMP_025'
+"""
+
 _REF = re.compile(r"\{(\w+)\}")
 
 
