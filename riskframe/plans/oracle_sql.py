@@ -10,6 +10,15 @@ from ..operators.model import DEFAULT_SCORECARD
 from ..sources.fixtures import oracle_ctes
 
 
+def rnd(x: str, d: int) -> str:
+    """Half-even rounding of the exact binary value (as Spark ``bround`` / Python ``round``).
+
+    DuckDB's ``round_even`` on DOUBLE scales first, which can turn 22844.61499...
+    into a tie; rounding through DECIMAL avoids that.
+    """
+    return f"CAST(round_even(CAST({x} AS DECIMAL(38,12)), {d}) AS DOUBLE)"
+
+
 def _lit(x: float) -> str:
     return f"CAST({float(x)!r} AS DOUBLE)"
 

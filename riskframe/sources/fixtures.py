@@ -232,7 +232,7 @@ FROM {fx_upload}
 
 FIXTURE_SQL["fx_wearable_payload"] = """
 SELECT event_id,
-       concat('EXT_', cast(user_id AS string)) AS external_employee_id,
+       concat('EMP_', lpad(cast(user_id + CASE WHEN event_id % 59 = 0 THEN 900000 ELSE 0 END AS string), 6, '0')) AS external_employee_id,
        CASE WHEN event_id % 29 = 0 THEN 'ACME'
             ELSE concat('COMP_', lpad(cast(user_id % 27 + 1 AS string), 3, '0')) END AS company_id,
        CASE WHEN event_id % 23 = 0 THEN 13 ELSE cast(1 + floor((day(ts) - 1) * 12 / 30e0) AS int) END AS month_no,
@@ -249,7 +249,7 @@ FROM {events}
 
 FIXTURE_SQL["fx_clinical_payload"] = """
 SELECT o_orderkey AS payload_id,
-       concat('EXT_', cast(o_custkey AS string)) AS external_employee_id,
+       concat('EMP_', lpad(cast(o_custkey + CASE WHEN o_orderkey % 59 = 0 THEN 900000 ELSE 0 END AS string), 6, '0')) AS external_employee_id,
        CASE WHEN o_orderkey % 41 = 0 THEN 'ACME'
             ELSE concat('COMP_', lpad(cast(o_custkey % 27 + 1 AS string), 3, '0')) END AS company_id,
        CASE WHEN o_orderkey % 53 = 0 THEN 0 ELSE month(o_orderdate) END AS month_no,
