@@ -11,12 +11,12 @@ from ..sources.fixtures import oracle_ctes
 
 
 def rnd(x: str, d: int) -> str:
-    """Half-even rounding of the exact binary value (as Spark ``bround`` / Python ``round``).
+    """Half-even rounding of the double's shortest decimal form, as Spark's ``bround`` does.
 
-    DuckDB's ``round_even`` on DOUBLE scales first, which can turn 22844.61499...
-    into a tie; rounding through DECIMAL avoids that.
+    DuckDB's ``round_even`` on DOUBLE scales by 10^d first, which can create or
+    break ties; rounding the exact decimal text avoids that.
     """
-    return f"CAST(round_even(CAST({x} AS DECIMAL(38,12)), {d}) AS DOUBLE)"
+    return f"CAST(round_even(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,20)), {d}) AS DOUBLE)"
 
 
 def _lit(x: float) -> str:
