@@ -194,3 +194,25 @@ or_importance AS (
                         row_number() OVER (PARTITION BY {group} ORDER BY importance DESC, feature) AS rank
                  FROM or_imp_long) WHERE rank <= 5)
 """
+
+
+# ---- keyed jitter twins (JIT1) ----------------------------------------------------------
+
+def j_uniform(key: str, name: str, seed: int = 42, copy: str = "'0'") -> str:
+    return (f"(('0x' || substr(md5(concat_ws('|', '{seed}', '{name}', CAST({copy} AS VARCHAR), "
+            f"CAST({key} AS VARCHAR))), 1, 8))::BIGINT / 4294967296e0)")
+
+
+def j_normal(key: str, name: str, sd: float, seed: int = 42, copy: str = "'0'") -> str:
+    import math
+    u1 = f"(1e0 - {j_uniform(key, name + '#u1', seed, copy)})"
+    u2 = j_uniform(key, name + "#u2", seed, copy)
+    return f"(0e0 + {float(sd)!r} * (sqrt(-2e0 * ln({u1})) * cos({2 * math.pi!r} * {u2})))"
+
+
+def j_lognormal(key: str, name: str, sigma: float, seed: int = 42, copy: str = "'0'") -> str:
+    return f"exp({j_normal(key, name, sigma, seed, copy)})"
+
+
+def clip(x: str, lo, hi) -> str:
+    return f"least(greatest({x}, {float(lo)!r}), {float(hi)!r})"

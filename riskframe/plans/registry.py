@@ -50,16 +50,25 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return finish(REGISTRY[name].fn(spark, sf_dir))
 
 
+def _round_sql(c: str) -> str:
+    """DuckDB twin of ``bround(x, 6)``: half-even on the double's shortest decimal text
+    (DuckDB's ``round_even`` on DOUBLE scales first and can create or break ties)."""
+    x = f'CAST("{c}" AS DOUBLE)'
+    exact = f"CAST(round_even(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,20)), {FLOAT_DP}) AS DOUBLE)"
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN isfinite({x}) AND abs({x}) < 1e15 AND abs({x}) >= 1e-4 "
+            f"THEN {exact} ELSE round_even({x}, {FLOAT_DP}) END")
+
+
 def oracle_text(q: Query) -> str | None:
     if q.oracle is None:
         return None
     if not q.floats:
         return q.oracle
-    rep = ", ".join(f'round_even(CAST("{c}" AS DOUBLE), {FLOAT_DP}) AS "{c}"' for c in q.floats)
+    rep = ", ".join(f'{_round_sql(c)} AS "{c}"' for c in q.floats)
     return f"SELECT * REPLACE ({rep}) FROM (\n{q.oracle}\n) AS _q"
 
 
 def load_all() -> dict[str, Query]:
     # importing the catalogue modules fills REGISTRY
-    from . import catalog_core, catalog_pricing, catalog_quality, catalog_ingest, catalog_harmonize  # noqa: F401
+    from . import catalog_core, catalog_pricing, catalog_quality, catalog_ingest, catalog_harmonize, catalog_mappers  # noqa: F401
     return REGISTRY
