@@ -137,8 +137,8 @@ def _mk_sql():
     k = "employee_id"
     n = lambda name, sd: j_normal(k, name, sd)
     return f"""
-, j AS (SELECT e.*, p.weight_based_premium_inr FROM fx_market e JOIN fx_market_premium p ON p.employee_id = e.employee_id),
-a AS (SELECT employee_id, CAST(age AS DOUBLE) AS age,
+, mk_j AS (SELECT e.*, p.weight_based_premium_inr FROM fx_market e JOIN fx_market_premium p ON p.employee_id = e.employee_id),
+mk_a AS (SELECT employee_id, CAST(age AS DOUBLE) AS age,
              coalesce(CASE trim(gender) WHEN 'Male' THEN 'M' WHEN 'Female' THEN 'F' WHEN 'male' THEN 'M' WHEN 'female' THEN 'F' END, 'M') AS gender,
              CAST(bmi AS DOUBLE) AS bmi, CAST(avg_daily_steps AS DOUBLE) AS avg_daily_steps, CAST(avg_sleep_hours AS DOUBLE) AS avg_sleep_hours,
              {clip('coalesce(CAST(chronic_conditions AS DOUBLE), 0e0)', 0, 4)} AS chronic_count,
@@ -148,8 +148,8 @@ a AS (SELECT employee_id, CAST(age AS DOUBLE) AS age,
              wellness_engagement_score / 100e0 AS w, wellness_engagement_score AS w100,
              coalesce(CASE activity_level WHEN 'High' THEN 0.85e0 WHEN 'Moderate' THEN 0.5e0 WHEN 'Low' THEN 0.2e0 END, 0.5e0) AS act,
              coalesce(CAST(historical_claims_inr AS DOUBLE), 0e0) AS claims, systolic_bp AS sbp, diastolic_bp AS dbp,
-             CASE WHEN weight_based_premium_inr = 0 THEN NULL ELSE CAST(weight_based_premium_inr AS DOUBLE) END AS prem FROM j),
-m AS (SELECT employee_id, age, gender, bmi, smoker, diabetic, hypertension, chronic_count, avg_daily_steps,
+             CASE WHEN weight_based_premium_inr = 0 THEN NULL ELSE CAST(weight_based_premium_inr AS DOUBLE) END AS prem FROM mk_j),
+mk_m AS (SELECT employee_id, age, gender, bmi, smoker, diabetic, hypertension, chronic_count, avg_daily_steps,
              {clip(f'(1e0 - w) * 1200 + 100 + {n("step_volatility", 150)}', 50, 3000)} AS step_volatility,
              {clip(f'72e0 - w * 18 + {n("avg_resting_hr", 3)}', 45, 110)} AS avg_resting_hr,
              {clip(f'(1e0 - w) * 2.2 - 0.8 + {n("hr_trend", 0.5)}', -5, 5)} AS hr_trend,
@@ -165,7 +165,7 @@ m AS (SELECT employee_id, age, gender, bmi, smoker, diabetic, hypertension, chro
              CAST(gender = 'F' AND age >= 45 AS INTEGER) AS lab_thyroid_flag, CAST(age >= 60 AS INTEGER) AS lab_bone_flag,
              CAST(avg_daily_steps < 4000 OR w100 < 40 AS INTEGER) AS lab_vitamin_flag,
              {clip(f"CASE WHEN claims / prem IS NULL OR claims / prem < 0.05 THEN {clip(f'exp({math.log(0.09)!r} + {j_normal(k, 'loss_ratio_fill', 0.6, 55)})', 0.05, 0.35)} ELSE claims / prem END", 0.05, 6)} AS loss_ratio
-      FROM a)"""
+      FROM mk_a)"""
 
 
 _MK = with_fixtures(["fx_market", "fx_market_premium"]) + _mk_sql()
@@ -176,7 +176,7 @@ def market_rows(spark, sf):
     return M.map_market(j)
 
 
-@register("map4_market", oracle=_MK + "\nSELECT employee_id, " + ", ".join(_FEATS) + " FROM m", floats=_FLOATS)
+@register("map4_market", oracle=_MK + "\nSELECT employee_id, " + ", ".join(_FEATS) + " FROM mk_m", floats=_FLOATS)
 def q_market(spark, sf):
     """MAP4 + MAP5: market employee file joined to the premium file, mapped to features with the observed LR."""
     return _sel(market_rows(spark, sf), "employee_id")
@@ -197,17 +197,220 @@ def _rep_sql(src: str, key: str, n: int):
         cols.append(f"CASE WHEN copy = 0 THEN CAST({c} AS DOUBLE) ELSE "
                     f"{clip(f'CAST({c} AS DOUBLE) + {j_normal(key, c, sd, 49, copy)}', lo, hi)} END AS {c}")
     cols.append(f"CASE WHEN copy = 0 THEN loss_ratio ELSE "
-                f"{clip(f'loss_ratio * {j_lognormal(key, chr(108) + chr(111) + chr(115) + chr(115) + chr(95) + chr(114) + chr(97) + chr(116) + chr(105) + chr(111), 0.35, 49, copy)}', 0.05, 6)} END AS loss_ratio")
+                f"{clip(f'loss_ratio * {j_lognormal(key, 'loss_ratio', 0.35, 49, copy)}', 0.05, 6)} END AS loss_ratio")
     return f", rep AS (SELECT {key}, copy, {', '.join(cols)} FROM {src} CROSS JOIN range(0, {n + 1}) AS r(copy))"
 
 
 copy = "copy"
 
 
-@register("map7_replicate_market", oracle=_MK + _rep_sql("m", "employee_id", 8)
+@register("map7_replicate_market", oracle=_MK + _rep_sql("mk_m", "employee_id", 8)
           + "\nSELECT employee_id, CAST(copy AS INTEGER) AS copy, " + ", ".join(list(M.REPLICATION_NOISE) + ["loss_ratio"]) + " FROM rep",
           floats=list(M.REPLICATION_NOISE) + ["loss_ratio"])
 def q_replicate_market(spark, sf):
     """MAP6 + MAP7: market rows x 9 with noisy copies (copy 0 unchanged)."""
     r = M.replicate_market(market_rows(spark, sf))
     return r.select("employee_id", "copy", *M.REPLICATION_NOISE, "loss_ratio")
+
+
+# ---- MAP8 lab reports -----------------------------------------------------------------------
+
+def _lab_sql():
+    k = "patient_name"
+    n = lambda name, sd: j_normal(k, name, sd, 55)
+    flags = []
+    for flag, kws in M.LAB_KEYWORDS.items():
+        hit = " OR ".join(f"contains(lower(test_name), '{kw}')" for kw in kws)
+        flags.append(f"max(CAST(coalesce(abnormal, false) AND ({hit}) AS INTEGER)) AS {flag}")
+    return f"""
+, lb_g AS (SELECT patient_name, {", ".join(flags)},
+               CAST(arg_min(age, row(report_id, line_no, age)) AS DOUBLE) AS age,
+               arg_min(sex, row(report_id, line_no, sex)) AS sex0
+        FROM fx_lab_reports GROUP BY patient_name),
+lb_h AS (SELECT *, CASE WHEN starts_with(lower(trim(sex0)), 'f') THEN 'F' ELSE 'M' END AS gender,
+             CAST(age >= 60 AS INTEGER) AS lab_bone_flag, lab_diabetes_flag AS diabetic,
+             CAST((lab_kidney_flag = 1 OR lab_heart_flag = 1) AND age > 50 AS INTEGER) AS hypertension FROM lb_g),
+lb_i AS (SELECT *, lab_heart_flag + lab_inflammation_flag + lab_diabetes_flag + lab_kidney_flag + lab_liver_flag + lab_iron_flag
+                + lab_thyroid_flag + lab_bone_flag + lab_vitamin_flag AS nf FROM lb_h),
+lb_j AS (SELECT *, greatest(0e0, 1e0 - nf * 0.12) AS hh FROM lb_i),
+lb_m AS (SELECT patient_name, age, gender, {clip(f'23.5e0 + (1e0 - hh) * 5e0 + {n("bmi", 1.5)}', 17, 42)} AS bmi,
+             CAST({j_uniform(k, 'smoker', 55)} < 0.08e0 + (1e0 - hh) * 0.12 AS INTEGER) AS smoker, diabetic, hypertension,
+             CAST(least(nf, 4) AS DOUBLE) AS chronic_count,
+             {clip(f'hh * 8000e0 + 1000e0 + {n("avg_daily_steps", 600)}', 1000, 15000)} AS avg_daily_steps,
+             {clip(f'(1e0 - hh) * 1000e0 + 150e0 + {n("step_volatility", 120)}', 50, 3000)} AS step_volatility,
+             {clip(f'(1e0 - hh) * 18e0 + 68e0 + {n("avg_resting_hr", 3)}', 45, 110)} AS avg_resting_hr,
+             {clip(f'(1e0 - hh) * 2e0 - 0.5 + {n("hr_trend", 0.4)}', -5, 5)} AS hr_trend,
+             {clip(f'hh * 55e0 + 5e0 + {n("avg_active_mins", 7)}', 0, 90)} AS avg_active_mins,
+             {clip(f'hh * 1.8 + 6e0 + {n("avg_sleep_hours", 0.4)}', 4, 9.5)} AS avg_sleep_hours,
+             {clip(f'hh * 2e0 + 96e0 + {n("avg_spo2", 0.3)}', 90, 100)} AS avg_spo2,
+             {clip(f'1e0 + nf * 1.2 + {n("visit_count", 0.5)}', 0, 10)} AS visit_count,
+             CAST(nf >= 3 OR diabetic = 1 AS INTEGER) AS hospitalized_count,
+             lab_heart_flag, lab_diabetes_flag, lab_kidney_flag, lab_liver_flag, lab_inflammation_flag, lab_iron_flag,
+             lab_thyroid_flag, lab_bone_flag, lab_vitamin_flag,
+             {clip(f"(0.12e0 + greatest(age - 25e0, 0e0) / 60e0 * 0.25 + nf * 0.09) * {j_lognormal(k, 'loss_ratio', 0.18, 55)}", 0.05, 6)} AS loss_ratio
+      FROM lb_j)"""
+
+
+_LAB = with_fixtures(["fx_lab_reports"]) + _lab_sql()
+
+
+@register("map8_lab_reports", oracle=_LAB + "\nSELECT patient_name, " + ", ".join(_FEATS) + " FROM lb_m", floats=_FLOATS)
+def q_lab_reports(spark, sf):
+    """MAP8: lab report lines -> one training row per patient (keyword flags on abnormal tests)."""
+    return _sel(M.map_lab_reports(fixture(spark, sf, "fx_lab_reports")), "patient_name")
+
+
+@register("map7_replicate_lab_reports", oracle=_LAB + _rep_sql("lb_m", "patient_name", 4)
+          + "\nSELECT patient_name, CAST(copy AS INTEGER) AS copy, " + ", ".join(list(M.REPLICATION_NOISE) + ["loss_ratio"]) + " FROM rep",
+          floats=list(M.REPLICATION_NOISE) + ["loss_ratio"])
+def q_replicate_labs(spark, sf):
+    """MAP6 + MAP7: lab-report rows x 5 with noisy copies."""
+    r = M.replicate_lab_reports(M.map_lab_reports(fixture(spark, sf, "fx_lab_reports")))
+    return r.select("patient_name", "copy", *M.REPLICATION_NOISE, "loss_ratio")
+
+
+# ---- MAP11 distribution alignment -------------------------------------------------------------
+
+@register("map11_align_distribution", oracle=with_fixtures(["fx_lab_reports", "fx_market", "fx_market_premium"])
+          + _lab_sql() + _mk_sql() + """
+, refv AS (SELECT loss_ratio AS v, row_number() OVER (ORDER BY loss_ratio) - 1 AS idx FROM mk_m),
+mm AS (SELECT count(*) AS m FROM refv), nn AS (SELECT count(*) AS n FROM lb_m),
+rk AS (SELECT patient_name, row_number() OVER (ORDER BY loss_ratio, patient_name) - 1 AS r FROM lb_m),
+p AS (SELECT patient_name, least(greatest((r + 0.5) / n, 0e0), 1e0) * (mm.m - 1) AS pos, mm.m FROM rk CROSS JOIN nn CROSS JOIN mm),
+q AS (SELECT patient_name, pos, CAST(floor(pos) AS BIGINT) AS lo, least(CAST(floor(pos) AS BIGINT) + 1, m - 1) AS hi FROM p)
+SELECT q.patient_name, a.v + (q.pos - q.lo) * (b.v - a.v) AS loss_ratio
+FROM q LEFT JOIN refv a ON a.idx = q.lo LEFT JOIN refv b ON b.idx = q.hi""", floats=["loss_ratio"])
+def q_align(spark, sf):
+    """MAP11: lab-report LRs quantile-mapped onto the market LR distribution (distributed ranks)."""
+    labs = M.map_lab_reports(fixture(spark, sf, "fx_lab_reports"))
+    ref = market_rows(spark, sf)
+    return M.align_distribution(labs, ref, "patient_name").select("patient_name", "loss_ratio")
+
+
+# ---- MAP9/MAP10 notes -------------------------------------------------------------------------
+
+def _py_to_duck(p):
+    return p.replace("'", "''")
+
+
+def _notes_sql():
+    sec = ("CASE WHEN strpos(text, '### Instruction:') > 0 THEN trim(CASE WHEN strpos(text, '### Response:') > 0 "
+           "THEN substr(text, strpos(text, '### Instruction:') + 16, greatest(strpos(text, '### Response:') - "
+           "(strpos(text, '### Instruction:') + 16), 0)) ELSE substr(text, strpos(text, '### Instruction:') + 16) END, ' ') "
+           "ELSE text END")
+    age = "NULL"
+    for pat in reversed(N.AGE_PATTERNS):
+        v = f"TRY_CAST(nullif(regexp_extract(t, '{_py_to_duck(pat)}', 1, 'i'), '') AS INTEGER)"
+        age = f"CASE WHEN {v} > 0 AND {v} < 120 THEN CAST({v} AS DOUBLE) ELSE {age} END"
+    spo2 = "NULL"
+    for pat, grp in reversed(N.SPO2_PATTERNS):
+        v = f"TRY_CAST(nullif(regexp_extract(t, '{_py_to_duck(pat)}', {grp}, 'i'), '') AS DOUBLE)"
+        spo2 = f"CASE WHEN {v} >= 70 AND {v} <= 100 THEN {v} ELSE {spo2} END"
+    bmi_v = f"TRY_CAST(nullif(regexp_extract(t, '{_py_to_duck(N.BMI_PATTERN)}', 1, 'i'), '') AS DOUBLE)"
+    conds = ", ".join(
+        f"CAST(regexp_matches(t, '{_py_to_duck('|'.join(f'(?:{p})' for p in v))}', 'i') AS INTEGER) AS {k}"
+        for k, v in N.CONDITIONS.items())
+    cnt = lambda p: f"len(regexp_extract_all(t, '{_py_to_duck(p)}', 0, 'i'))"
+    chronic = " + ".join(N.CHRONIC)
+    sev = " + ".join(f"{k} * {w}" for k, w in N.SEVERITY_WEIGHTS.items())
+    return f"""
+, s AS (SELECT note_id, {sec} AS t FROM fx_notes),
+p0 AS (SELECT note_id, coalesce({age}, 45e0) AS age,
+              CASE WHEN {cnt(N.FEMALE_PATTERN)} > {cnt(N.MALE_PATTERN)} THEN 'F' ELSE 'M' END AS gender,
+              CASE WHEN {bmi_v} > 10 AND {bmi_v} < 70 THEN {bmi_v} ELSE 26e0 END AS bmi, {conds},
+              coalesce({spo2}, 97e0) AS avg_spo2 FROM s),
+p1 AS (SELECT *, CAST({chronic} AS DOUBLE) AS chronic_count FROM p0),
+p2 AS (SELECT *, CAST(1 + icu AS DOUBLE) AS hospitalized_count, CAST(least(2 + chronic_count + icu * 2, 10e0) AS DOUBLE) AS visit_count,
+              greatest(age - 18, 0e0) / 80 * 0.4 AS age_risk, chronic_count * 0.08 AS cond_risk, (0e0 + {sev}) AS serious FROM p1),
+parsed AS (SELECT note_id, age, gender, bmi, smoker, diabetic, hypertension, chronic_count, avg_spo2, visit_count, hospitalized_count,
+                  icu, cancer, renal, sepsis,
+                  0.2e0 + age_risk + cond_risk + serious + (smoker * 0.1 + greatest(bmi - 30, 0e0) / 10 * 0.1) AS loss_ratio,
+                  age_risk + cond_risk + serious AS severity,
+                  heart_dis AS lab_heart_flag, diabetic AS lab_diabetes_flag, renal AS lab_kidney_flag, liver_dis AS lab_liver_flag,
+                  CAST(sepsis = 1 OR respiratory = 1 AS INTEGER) AS lab_inflammation_flag, anemia AS lab_iron_flag,
+                  thyroid_dis AS lab_thyroid_flag, CAST(osteo = 1 OR age > 60 AS INTEGER) AS lab_bone_flag,
+                  vitamin_def AS lab_vitamin_flag FROM p2)"""
+
+
+_NOTES = with_fixtures(["fx_notes"]) + _notes_sql()
+_PARSED_COLS = ["age", "gender", "bmi", "smoker", "diabetic", "hypertension", "chronic_count", "avg_spo2", "visit_count",
+                "hospitalized_count", "icu", "cancer", "renal", "sepsis", "loss_ratio", "lab_heart_flag",
+                "lab_diabetes_flag", "lab_kidney_flag", "lab_liver_flag", "lab_inflammation_flag", "lab_iron_flag",
+                "lab_thyroid_flag", "lab_bone_flag", "lab_vitamin_flag"]
+
+
+@register("map9_parse_notes", oracle=_NOTES + "\nSELECT note_id, " + ", ".join(_PARSED_COLS) + " FROM parsed",
+          floats=["age", "bmi", "chronic_count", "avg_spo2", "visit_count", "hospitalized_count", "loss_ratio"])
+def q_parse_notes(spark, sf):
+    """MAP9: clinical notes parsed with JVM regexes (instruction section only), every note whole."""
+    return N.parse_notes(fixture(spark, sf, "fx_notes")).select("note_id", *_PARSED_COLS)
+
+
+def _map_notes_sql():
+    k = "note_id"
+    n = lambda name, sd: j_normal(k, name, sd)
+    h = f"{clip(f'1e0 - {clip('severity', 0, 1.2)} / 1.2', 0, 1)}"
+    return f"""
+, mn AS (SELECT note_id, {h} AS hh, * EXCLUDE (note_id) FROM parsed),
+m AS (SELECT note_id, age, gender, bmi, smoker, diabetic, hypertension, chronic_count,
+             {clip(f'hh * 9000 + 1000 + {n("avg_daily_steps", 600)}', 1000, 15000)} AS avg_daily_steps,
+             {clip(f'(1e0 - hh) * 1400 + 100 + {n("step_volatility", 150)}', 50, 3000)} AS step_volatility,
+             {clip(f'(1e0 - hh) * 22 + 65 + {n("avg_resting_hr", 3)}', 45, 110)} AS avg_resting_hr,
+             ({j_uniform(k, 'hr_trend')} - 0.5) * 6 AS hr_trend,
+             {clip(f'hh * 55 + 5 + {n("avg_active_mins", 8)}', 0, 90)} AS avg_active_mins,
+             {clip(f'hh * 2e0 + 6e0 + {n("avg_sleep_hours", 0.5)}', 3, 10)} AS avg_sleep_hours,
+             {clip(f'avg_spo2 + {n("avg_spo2", 0.3)}', 90, 100)} AS avg_spo2,
+             visit_count, hospitalized_count, lab_heart_flag, lab_diabetes_flag, lab_kidney_flag, lab_liver_flag,
+             lab_inflammation_flag, lab_iron_flag, lab_thyroid_flag, lab_bone_flag, lab_vitamin_flag,
+             {clip(f"loss_ratio * {j_lognormal(k, 'loss_ratio', 0.25)}", 0.1, 6)} AS loss_ratio FROM mn)"""
+
+
+@register("map10_map_notes", oracle=_NOTES + _map_notes_sql() + "\nSELECT note_id, " + ", ".join(_FEATS) + " FROM m",
+          floats=_FLOATS)
+def q_map_notes(spark, sf):
+    """MAP10 (+MAP9): parsed notes -> training feature rows with keyed jitter."""
+    return _sel(N.map_notes(N.parse_notes(fixture(spark, sf, "fx_notes"))), "note_id")
+
+
+# ---- MAP1, MAP12-MAP15 -------------------------------------------------------------------------
+
+_SOURCES = {"underwriting": "fx_underwriting", "charges": "fx_charges", "notes": "fx_notes"}
+
+
+def training_sources(spark, sf):
+    return {
+        "underwriting": M.map_underwriting(fixture(spark, sf, "fx_underwriting")),
+        "charges": M.map_charges(fixture(spark, sf, "fx_charges")),
+        "excel": market_rows(spark, sf),
+        "clinical_lab": M.map_lab_reports(fixture(spark, sf, "fx_lab_reports")),
+        "notes": N.map_notes(N.parse_notes(fixture(spark, sf, "fx_notes"))),
+    }
+
+
+@register("map1_infer_schema_kind")
+def q_infer_kind(spark, sf):
+    """MAP1: schema kind of each external dataset, inferred from its columns."""
+    kinds = [(name, M.infer_schema_kind(fixture(spark, sf, fx))) for name, fx in _SOURCES.items()]
+    return spark.createDataFrame(kinds, "dataset string, kind string")
+
+
+@register("map12_14_source_counts", oracle=with_fixtures(["fx_underwriting", "fx_charges", "fx_market", "fx_market_premium",
+                                                          "fx_lab_reports", "fx_notes"]) + """
+, c AS (SELECT 'underwriting' AS source, count(*) AS rows FROM fx_underwriting
+        UNION ALL SELECT 'charges', count(*) FROM fx_charges
+        UNION ALL SELECT 'excel', count(*) FROM fx_market e JOIN fx_market_premium p ON p.employee_id = e.employee_id
+        UNION ALL SELECT 'clinical_lab', count(DISTINCT patient_name) FROM fx_lab_reports
+        UNION ALL SELECT 'notes', count(*) FROM fx_notes)
+SELECT source, rows FROM c UNION ALL SELECT 'combined', sum(rows) FROM c""")
+def q_source_counts(spark, sf):
+    """MAP12 + MAP14: all five mapped sources unioned by name with dataset_source; rows per source + combined."""
+    u = M.union_sources(training_sources(spark, sf))
+    return M.source_counts(u).withColumn("rows", F.col("rows").cast("decimal(38,0)"))
+
+
+@register("map15_distribution_summary", oracle=_MK + """
+SELECT avg(loss_ratio) AS mean, stddev_samp(loss_ratio) AS std, quantile_cont(loss_ratio, 0.05) AS p5,
+       quantile_cont(loss_ratio, 0.95) AS p95 FROM mk_m""", floats=["mean", "std", "p5", "p95"])
+def q_distribution(spark, sf):
+    """MAP15: loss-ratio distribution line (mean, std, p5, p95) of the market source."""
+    return M.distribution_summary(market_rows(spark, sf))
