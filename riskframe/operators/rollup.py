@@ -192,3 +192,86 @@ def snapshot_summary(df: DataFrame) -> DataFrame:
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["LAB_DOMAINS"]
+
+
+def poisson_from_uniform(lam, u, kmax: int = 15) -> F.Column:
+    """Inverse-CDF Poisson draw: the number of CDF(k), k < kmax, lying below ``u`` (capped at kmax)."""
+    term = F.exp(-lam)
+    cdf = term
+    count = (u > cdf).cast("int")
+    for k in range(1, kmax):
+        term = term * lam / k
+        cdf = cdf + term
+        count = count + (u > cdf).cast("int")
+    return count
+
+
+# Activity domain column -> lab flag.
+ACTIVITY_FLAG_COLUMNS = {
+    "bone_health": "lab_bone_flag", "diabetes": "lab_diabetes_flag", "heart_health": "lab_heart_flag",
+    "inflammation": "lab_inflammation_flag", "iron": "lab_iron_flag", "kidney_health": "lab_kidney_flag",
+    "liver_health": "lab_liver_flag", "thyroid_health": "lab_thyroid_flag", "vitamin_deficiency": "lab_vitamin_flag",
+}
+
+
+def lab_training_rows(activity: DataFrame, key: str = "user_id", order: str = "year", jitter: bool = True,
+                      seed: int = 42) -> DataFrame:
+    """AGG12: yearly activity + lab domains -> training rows (AGG9 latest per user, AGG10, AGG11, AGG13).
+
+    Demographics, wearable proxies and claims are drawn with keyed jitter from
+    the lab burden; visits are a Poisson draw (inverse CDF of one uniform).
+    """
+    from ..functions.expr import keyed_normal, keyed_uniform
+
+    latest = latest_non_null(activity, key, order)
+    d = annual_to_daily(domain_flags(latest, ACTIVITY_FLAG_COLUMNS))
+    k = F.col(key)
+    N = (lambda name, m, s: keyed_normal(k, name, m, s, seed)) if jitter else (lambda name, m, s: F.lit(float(m)))
+    U = (lambda name: keyed_uniform(k, name, seed)) if jitter else (lambda name: F.lit(0.5))
+    n = sum((F.col(f) for f in LAB_FLAGS), F.lit(0))
+    d = d.withColumn("lab_domain_count", n.cast("int"))
+    n = F.col("lab_domain_count")
+    d = (d.withColumn("age", clamp(N("age", 34, 7) + n * 1.8, 22.0, 62.0).cast("int"))
+          .withColumn("bmi", round_even(clamp(N("bmi", 23.5, 3.2) + F.col("lab_heart_flag") * 2.5
+                                              + F.col("lab_diabetes_flag") * 3.0, 16.0, 42.0), 1))
+          .withColumn("smoker", (U("smoker") < clamp(F.lit(0.08) + F.col("lab_inflammation_flag") * 0.14
+                                                     + F.col("lab_heart_flag") * 0.10 + F.col("lab_liver_flag") * 0.08,
+                                                     0.0, 0.85)).cast("int"))
+          .withColumn("diabetic", F.col("lab_diabetes_flag"))
+          .withColumn("hypertension", F.col("lab_heart_flag"))
+          .withColumn("chronic_count", (F.col("diabetic") + F.col("hypertension")).cast("int"))
+          .withColumn("avg_resting_hr", round_even(clamp(N("avg_resting_hr", 70, 7) + F.col("lab_heart_flag") * 5
+                                                         + F.col("smoker") * 3 - F.col("avg_daily_steps") / 3500,
+                                                         55.0, 102.0), 1))
+          .withColumn("hr_trend", N("hr_trend", 0, 0.15))
+          .withColumn("avg_sleep_hours", round_even(clamp(N("avg_sleep_hours", 6.8, 0.75), 4.5, 9.5), 1))
+          .withColumn("avg_spo2", round_even(clamp(N("avg_spo2", 97.5, 0.5) - F.col("smoker") * 1.2, 90.0, 100.0), 1))
+          .withColumn("visit_count", F.least(poisson_from_uniform(F.lit(1.5) + n * 0.55, U("visit_count")), F.lit(15)))
+          .withColumn("hospitalized_count", (U("hospitalized_count") < n * 0.04).cast("int")))
+    d = lab_aggregates(d)
+    activity_factor = clamp(F.lit(1.0) - F.col("avg_daily_steps") / 10000, 0.0, 1.0)
+    risk = F.col("lab_risk_score") * 3.0 + activity_factor + F.col("smoker") * 0.45 + F.col("chronic_count") * 0.35
+    noise = F.lit(0.65) + U("noise") * 0.75
+    d = d.withColumn("premium_share", round_even(F.lit(4500.0) + U("premium_share") * 7500.0, 0))
+    d = d.withColumn("total_claims", F.greatest(round_even(F.expm1(risk) * F.col("premium_share") * 0.16 * noise, 2),
+                                                F.lit(0.0)))
+    d = d.withColumn("loss_ratio", clamp(round_even(F.col("total_claims") / F.col("premium_share"), 4), 0.0, 120.0))
+    d = d.withColumn("high_risk", (F.col("loss_ratio") > 1.2).cast("int"))
+    d = (d.withColumn("employee_id", F.concat(F.lit("REAL_"), k.cast("string")))
+          .withColumn("company_id", F.lit("REAL_DATA"))
+          .withColumn("gender", F.when(U("gender") < 0.54, "M").otherwise("F"))
+          .withColumn("job_category", F.when(U("job_category") < 0.40, "desk")
+                      .when(U("job_category") < 0.75, "field").otherwise("manual")))
+    keep = ["employee_id", "company_id", "age", "gender", "bmi", "smoker", "diabetic", "hypertension", "job_category",
+            "avg_daily_steps", "step_volatility", "avg_resting_hr", "hr_trend", "avg_active_mins", "avg_sleep_hours",
+            "avg_spo2", "total_claims", "visit_count", "hospitalized_count", "premium_share", "loss_ratio", "high_risk",
+            "chronic_count", "lab_bone_flag", "lab_diabetes_flag", "lab_heart_flag", "lab_inflammation_flag",
+            "lab_iron_flag", "lab_kidney_flag", "lab_liver_flag", "lab_thyroid_flag", "lab_vitamin_flag",
+            "lab_domain_count", "lab_risk_score"]
+    return d.select(*keep)
+
+
+def extend_training(base: DataFrame, extra: DataFrame) -> DataFrame:
+    """AGG14: append another source's rows aligned to the base columns (absent -> 0)."""
+    from .harmonize import align_and_union
+    return align_and_union(base, extra)

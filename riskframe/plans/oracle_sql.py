@@ -203,11 +203,11 @@ def j_uniform(key: str, name: str, seed: int = 42, copy: str = "'0'") -> str:
             f"CAST({key} AS VARCHAR))), 1, 8))::BIGINT / 4294967296e0)")
 
 
-def j_normal(key: str, name: str, sd: float, seed: int = 42, copy: str = "'0'") -> str:
+def j_normal(key: str, name: str, sd: float, seed: int = 42, copy: str = "'0'", mean: float = 0.0) -> str:
     import math
     u1 = f"(1e0 - {j_uniform(key, name + '#u1', seed, copy)})"
     u2 = j_uniform(key, name + "#u2", seed, copy)
-    return f"(0e0 + {float(sd)!r} * (sqrt(-2e0 * ln({u1})) * cos({2 * math.pi!r} * {u2})))"
+    return f"({float(mean)!r} + {float(sd)!r} * (sqrt(-2e0 * ln({u1})) * cos({2 * math.pi!r} * {u2})))"
 
 
 def j_lognormal(key: str, name: str, sigma: float, seed: int = 42, copy: str = "'0'") -> str:
