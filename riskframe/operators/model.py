@@ -65,3 +65,179 @@ def monotone_signs(spark: SparkSession) -> DataFrame:
     """MOD5: the 31-sign monotone contract as a table."""
     return spark.createDataFrame([(f, s, i) for i, (f, s) in enumerate(zip(FEATURE_COLUMNS, MONOTONE_SIGNS))],
                                  "feature string, sign int, position int")
+
+
+# ---- MOD1-MOD2: strata and split -------------------------------------------------------------
+
+def quartile_strata(df: DataFrame, y: str = TARGET_LOG, out: str = "stratum") -> DataFrame:
+    """MOD1: target quartile strata with deduplicated edges (qcut semantics: right-closed,
+    lowest edge included).  Edges are one exact-percentile aggregate joined back as one row."""
+    from ..functions.stats import percentiles
+    e = percentiles(df, y, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
+    edges = e.select(F.array_distinct(F.array("_q1", "_q2", "_q3")).alias("_edges"))
+    d = df.crossJoin(F.broadcast(edges))
+    label = F.size(F.filter("_edges", lambda x: x < F.col(y)))
+    return d.withColumn(out, label).drop("_edges")
+
+
+def stratified_split(df: DataFrame, key: str, strata: str = "stratum", test_frac: float = 0.2, seed: int = 42,
+                     exact: bool = False, out: str = "is_test") -> DataFrame:
+    """MOD2: seeded 80/20 split, stratified.
+
+    Default: a row is in the test set when its keyed uniform draw is below
+    ``test_frac``; the draw is independent of the target, so every stratum gets
+    the same share (exact in expectation, partition-independent, no shuffle).
+    ``exact=True`` takes exactly ceil(test_frac * n) rows per stratum by ranking
+    the draws inside each stratum (a window per stratum: small data only).
+    """
+    from ..functions.expr import keyed_uniform
+    u = keyed_uniform(key, "split", seed)
+    if not exact:
+        return df.withColumn(out, u < test_frac)
+    from pyspark.sql import Window
+    w = Window.partitionBy(strata).orderBy(u, F.col(key))
+    n = F.count(F.lit(1)).over(Window.partitionBy(strata))
+    return df.withColumn(out, F.row_number().over(w) <= F.ceil(n * test_frac))
+
+
+# ---- MOD3-MOD5: fitting -----------------------------------------------------------------------
+
+def _assembled(df: DataFrame, features=FEATURE_COLUMNS, label: str = TARGET_LOG) -> DataFrame:
+    from .features import feature_matrix
+    return feature_matrix(df, features).withColumn("label", F.col(label).cast("double"))
+
+
+def random_param_maps(estimator, n_trials: int, seed: int = 42) -> list:
+    """Random search space (seeded): trees, depth, step size, subsampling, feature subset, min instances."""
+    import random
+    rnd = random.Random(seed)
+    maps = []
+    for _ in range(n_trials):
+        maps.append({
+            estimator.maxIter: rnd.randint(20, 120),
+            estimator.maxDepth: rnd.randint(3, 8),
+            estimator.stepSize: 10 ** rnd.uniform(-2, -0.46),
+            estimator.subsamplingRate: rnd.uniform(0.6, 1.0),
+            estimator.featureSubsetStrategy: rnd.choice(["all", "onethird", "0.5", "0.75"]),
+            estimator.minInstancesPerNode: rnd.randint(1, 15),
+        })
+    return maps
+
+
+def tune(train: DataFrame, n_trials: int = 50, folds: int = 5, seed: int = 42, parallelism: int = 4):
+    """MOD3: random-search hyper-parameters for GBT with k-fold CV minimising MAE.
+
+    Returns (best CrossValidatorModel, DataFrame of (trial, mae)).  Folds and
+    trials run as Spark jobs; ``parallelism`` fits run concurrently.
+    """
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import GBTRegressor
+    from pyspark.ml.tuning import CrossValidator
+
+    gbt = GBTRegressor(featuresCol="features", labelCol="label", seed=seed)
+    maps = random_param_maps(gbt, n_trials, seed)
+    cv = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=RegressionEvaluator(metricName="mae"),
+                        numFolds=folds, seed=seed, parallelism=parallelism)
+    model = cv.fit(_assembled(train))
+    spark = train.sparkSession
+    trials = spark.createDataFrame([(i, float(m)) for i, m in enumerate(model.avgMetrics)], "trial int, mae double")
+    return model, trials
+
+
+def fit_gbt(train: DataFrame, params: dict | None = None, key: str | None = None, seed: int = 42):
+    """MOD4: final GBT fit with the last 10% of training rows (by keyed draw) as early-stopping validation."""
+    from pyspark.ml.regression import GBTRegressor
+    from ..functions.expr import keyed_uniform
+    d = _assembled(train)
+    d = d.withColumn("is_val", keyed_uniform(key, "validation", seed) >= 0.9 if key else F.rand(seed) >= 0.9)
+    kw = {"maxIter": 200, "validationTol": 0.01, **(params or {})}
+    gbt = GBTRegressor(featuresCol="features", labelCol="label", seed=seed, validationIndicatorCol="is_val", **kw)
+    return gbt.fit(d)
+
+
+def fit_scorecard(train: DataFrame, features=FEATURE_COLUMNS, label: str = TARGET_LOG, reg: float = 0.0) -> Scorecard:
+    """Sign-constrained linear scorecard (MOD5 default model).
+
+    Ordinary least squares on the 31 features; any feature whose weight has the
+    wrong sign for the monotone contract (or is unconstrained-but-noisy) is
+    dropped and the model refitted, until every weight agrees with its sign.
+    The fit itself is a distributed normal-equation solve in MLlib.
+    """
+    from pyspark.ml.regression import LinearRegression
+    signs = dict(zip(FEATURE_COLUMNS, MONOTONE_SIGNS))
+    active = list(features)
+    d = _assembled(train, features, label)
+    while True:
+        from pyspark.ml.feature import VectorAssembler
+        va = VectorAssembler(inputCols=active, outputCol="_x", handleInvalid="keep")
+        lr = LinearRegression(featuresCol="_x", labelCol="label", regParam=reg, solver="normal")
+        m = lr.fit(va.transform(d.drop("features")))
+        w = dict(zip(active, m.coefficients.toArray().tolist()))
+        bad = [f for f, v in w.items() if signs.get(f, 0) != 0 and v * signs[f] < 0]
+        if not bad:
+            return Scorecard({f: float(v) for f, v in w.items()}, float(m.intercept), list(features))
+        active = [f for f in active if f not in bad]
+
+
+def scorecard_audit(model: Scorecard, spark: SparkSession) -> DataFrame:
+    """MOD5 (scorecard): per feature weight, expected sign and whether it violates the contract."""
+    rows = []
+    for f, s in zip(FEATURE_COLUMNS, MONOTONE_SIGNS):
+        w = float(model.weights.get(f, 0.0))
+        rows.append((f, s, w, bool(s != 0 and w * s < 0)))
+    return spark.createDataFrame(rows, "feature string, sign int, weight double, violation boolean")
+
+
+def monotone_audit(model, df: DataFrame, key: str, delta: float = 1.0, features=FEATURE_COLUMNS) -> DataFrame:
+    """MOD5 (GBT): perturb each constrained feature by +delta per row and count rows whose
+    prediction moves against the feature's sign.  One unpivoted batch, one predict pass."""
+    signs = dict(zip(FEATURE_COLUMNS, MONOTONE_SIGNS))
+    cons = [f for f in features if signs.get(f, 0) != 0]
+    base = _assembled(df, features)
+    base_pred = model.transform(base).select(key, F.col("prediction").alias("_p0"))
+    pert = df.withColumn("_feat", F.explode(F.array(*[F.lit(f) for f in cons])))
+    for f in cons:
+        pert = pert.withColumn(f, F.when(F.col("_feat") == f, F.col(f).cast("double") + delta).otherwise(F.col(f).cast("double")))
+    p = model.transform(_assembled(pert, features)).select(key, "_feat", F.col("prediction").alias("_p1"))
+    sign = F.create_map(*[x for f in cons for x in (F.lit(f), F.lit(signs[f]))])
+    j = p.join(base_pred, key).withColumn("_s", F.element_at(sign, F.col("_feat")))
+    viol = ((F.col("_p1") - F.col("_p0")) * F.col("_s")) < -1e-12
+    return j.groupBy(F.col("_feat").alias("feature")).agg(F.first("_s").alias("sign"),
+                                                          F.count_if(viol).alias("violations"),
+                                                          F.count(F.lit(1)).alias("rows"))
+
+
+# ---- MOD6-MOD8: evaluation ----------------------------------------------------------------------
+
+def regression_metrics(df: DataFrame, y: str = TARGET_LOG, pred: str = "log_pred", split: str | None = "is_test") -> DataFrame:
+    """MOD6: MAE, RMSE and R^2 (1 - SSE/SST) per split, in one aggregate pass (plus one for the mean)."""
+    keys = [split] if split else []
+    means = df.groupBy(*keys).agg(F.avg(y).alias("_ybar"))
+    d = df.join(F.broadcast(means), keys) if keys else df.crossJoin(F.broadcast(means))
+    e = F.col(y) - F.col(pred)
+    a = d.groupBy(*keys).agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
+                             (F.lit(1.0) - F.sum(e * e) / F.sum((F.col(y) - F.col("_ybar")) ** 2)).alias("r2"),
+                             F.count(F.lit(1)).alias("rows"))
+    if split:
+        a = a.withColumn("split", F.when(F.col(split), "test").otherwise("train")).drop(split)
+    return a
+
+
+def sanity_sample(scored: DataFrame, key: str, n: int = 5, split: str = "is_test") -> DataFrame:
+    """MOD7: first n test rows (by key) with predicted vs actual LR, HRS and band."""
+    from .scoring import risk_band
+    d = scored.where(F.col(split)) if split in scored.columns else scored
+    return d.orderBy(key).limit(n).select(
+        key, F.expm1("log_pred").alias("predicted_lr"), F.col("loss_ratio").alias("actual_lr"), "hrs",
+        risk_band("hrs").alias("risk_band"))
+
+
+def run_record(spark: SparkSession, mode: str, metrics: DataFrame, scorer: DataFrame, source_rows: DataFrame,
+               n_features: int = len(FEATURE_COLUMNS)) -> DataFrame:
+    """MOD8: one run row: feature count, data mode, rows per source, metrics, calibration bounds."""
+    m = metrics.groupBy().pivot("split", ["train", "test"]).agg(F.first("mae").alias("mae"), F.first("rmse").alias("rmse"),
+                                                                F.first("r2").alias("r2"))
+    src = source_rows.agg(F.map_from_entries(F.collect_list(F.struct("source", "rows"))).alias("rows_per_source"))
+    return (m.crossJoin(scorer.select("p05", "p95")).crossJoin(src)
+             .select(F.lit(n_features).alias("n_features"), F.lit(mode).alias("dataset_mode"), "*",
+                     F.current_timestamp().alias("recorded_at")))
