@@ -70,5 +70,5 @@ def oracle_text(q: Query) -> str | None:
 
 def load_all() -> dict[str, Query]:
     # importing the catalogue modules fills REGISTRY
-    from . import catalog_core, catalog_pricing, catalog_quality, catalog_ingest, catalog_harmonize, catalog_mappers, catalog_rollup, catalog_model  # noqa: F401
+    from . import catalog_core, catalog_pricing, catalog_quality, catalog_ingest, catalog_harmonize, catalog_mappers, catalog_rollup, catalog_model, catalog_io  # noqa: F401
     return REGISTRY

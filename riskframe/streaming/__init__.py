@@ -1,0 +1 @@
+"""Structured Streaming ingest jobs (STR1-STR3)."""
