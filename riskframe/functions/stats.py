@@ -26,3 +26,101 @@ def percentiles(df: DataFrame, col: str, probs: dict, group=None, approx: bool =
 def median(c) -> F.Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.percentile(c.cast("double"), F.lit(0.5))
+
+
+def exact_percentiles(df: DataFrame, col: str, probs: dict, buckets: int = 4096, leaf_rows: int = 50000,
+                      max_passes: int = 12) -> DataFrame:
+    """Exact linear-interpolated percentiles with bounded memory, by distributed selection.
+
+    ``percentile`` merges a value -> count map of the whole column into one task,
+    which does not survive a continuous column with billions of distinct values.
+    Here each target rank (floor and ceil of p * (n - 1)) is found by histogram
+    refinement: count rows per equal-width bucket inside the current value range
+    (a partial+final aggregate whose result has at most ``buckets`` rows), keep
+    the bucket holding the rank, repeat; once a bucket holds at most
+    ``leaf_rows`` rows (or a single value) its values are sorted and the rank is
+    read off.  Memory per task and on the driver is O(buckets + leaf_rows), and
+    a column with one value repeated a third of the time resolves at once
+    (that bucket's min equals its max).  The input column is checkpointed once
+    because every pass rescans it.
+
+    Returns a one-row DataFrame with one column per entry of ``probs`` (null for
+    an empty input), equal to NumPy / DuckDB ``quantile_cont``.
+    """
+    spark = df.sparkSession
+    x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x")).checkpoint()
+    head = x.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    n, lo0, hi0 = head["n"], head["lo"], head["hi"]
+    names = list(probs)
+    if n == 0:
+        return spark.createDataFrame([tuple(None for _ in names)], ", ".join(f"`{k}` double" for k in names))
+
+    ranks = set()
+    for k in names:
+        pos = float(probs[k]) * (n - 1)
+        ranks.update({int(pos // 1), min(int(pos // 1) + 1, n - 1)})
+    result = _select_ranks(x, sorted(ranks), lo0, hi0, buckets, leaf_rows, max_passes)
+    out = []
+    for k in names:
+        pos = float(probs[k]) * (n - 1)
+        r0 = int(pos // 1)
+        r1 = min(r0 + 1, n - 1)
+        v0, v1 = result[r0], result[r1]
+        out.append(v0 + (pos - r0) * (v1 - v0))
+    return spark.createDataFrame([tuple(out)], ", ".join(f"`{k}` double" for k in names))
+
+
+def _select_ranks(x: DataFrame, ranks, lo0: float, hi0: float, buckets: int, leaf_rows: int,
+                  max_passes: int) -> dict:
+    """Values at the given 0-based ranks of column ``x``; every pass serves all pending ranks that
+    share a value range with one bucket-count aggregate, and all small buckets are read in one job."""
+    from collections import defaultdict
+    pending = {r: (lo0, hi0, 0) for r in ranks}
+    result: dict = {}
+    for _ in range(max_passes):
+        if not pending:
+            return result
+        groups = defaultdict(list)
+        for r, st in pending.items():
+            groups[st].append(r)
+        nxt, leaves = {}, defaultdict(list)
+        for (lo, hi, below), rs in groups.items():
+            if lo == hi:
+                result.update({r: lo for r in rs})
+                continue
+            width = (hi - lo) / buckets
+            b = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
+            part = x.where((F.col("x") >= lo) & (F.col("x") <= hi))
+            counts = sorted((r["b"], r["c"], r["mn"], r["mx"]) for r in part.groupBy(b.alias("b")).agg(
+                F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx")).collect())
+            for r in rs:
+                acc = below
+                for _, c, mn, mx in counts:
+                    if r < acc + c:
+                        if mn == mx:
+                            result[r] = mn
+                        elif c <= leaf_rows:
+                            leaves[(mn, mx)].append((r, acc))
+                        else:
+                            nxt[r] = (mn, mx, acc)
+                        break
+                    acc += c
+        if leaves:
+            cond = None
+            for (mn, mx) in leaves:
+                c = (F.col("x") >= mn) & (F.col("x") <= mx)
+                cond = c if cond is None else cond | c
+            vals = sorted(r[0] for r in x.where(cond).collect())
+            for (mn, mx), reqs in leaves.items():
+                lo_i = _bisect_left(vals, mn)
+                for r, acc in reqs:
+                    result[r] = vals[lo_i + (r - acc)]
+        pending = nxt
+    if pending:
+        raise RuntimeError("exact_percentiles did not converge")
+    return result
+
+
+def _bisect_left(vals, v):
+    import bisect
+    return bisect.bisect_left(vals, v)

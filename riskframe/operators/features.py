@@ -80,16 +80,47 @@ def log_target(df: DataFrame) -> DataFrame:
     return df
 
 
+def _base_columns(df: DataFrame) -> dict:
+    """FEA1-FEA4 as one batch of independent column expressions."""
+    cols = {}
+    if "chronic_count" in df.columns:
+        cols["chronic_count"] = F.least(F.greatest(F.coalesce(F.col("chronic_count").cast("double"), F.lit(0.0)),
+                                                   F.lit(0.0)), F.lit(4.0)).cast("int")
+    if "bmi" in df.columns:
+        cols["bmi"] = clamp(F.col("bmi").cast("double"), 15.0, 50.0)
+    cols["gender_male"] = (F.coalesce((F.col("gender") == "M").cast("int"), F.lit(0))
+                           if "gender" in df.columns else F.lit(0))
+    for c in ("smoker", "diabetic", "hypertension"):
+        if c in df.columns:
+            cols[c] = F.col(c).cast("int")
+    for c, v in CORE_FILLS.items():
+        if c in df.columns:
+            cols[c] = F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType))
+    for c in LAB_FLAGS:
+        cols[c] = F.coalesce(F.col(c).cast("int"), F.lit(0)) if c in df.columns else F.lit(0)
+    return cols
+
+
 def engineer_features(df: DataFrame) -> DataFrame:
-    """FEA9: FEA1-FEA8 plus the lab aggregates (AGG13), in the reference order."""
-    df = clamp_inputs(df)
-    df = encode_categoricals(df)
-    df = fill_core(df)
-    df = fill_labs(df)
-    df = activity_score(df)
-    df = health_composite(df)
-    df = interactions(df)
-    df = lab_aggregates(df)
+    """FEA9: FEA1-FEA8 plus the lab aggregates (AGG13), in the reference order.
+
+    Three projections (base fixes, derived features, target), each one batch of
+    column expressions, so the plan stays shallow and is analysed once per level.
+    """
+    from ..functions.constants import LAB_WEIGHTS
+    df = df.withColumns(_base_columns(df))
+    health = (F.col("smoker") * 15 + F.col("diabetic") * 20 + F.col("hypertension") * 15
+              + clamp(F.col("bmi") - 25.0, 0.0, 20.0) * 1.5 + (F.col("age") / 60.0) * 10)
+    lab_score = sum((F.lit(LAB_WEIGHTS[f]) * F.col(f) for f in LAB_FLAGS), F.lit(0.0))
+    df = df.withColumns({
+        "activity_score": activity_score_expr(),
+        "health_composite": round_even(health, 2),
+        "smoker_diabetic": (F.col("smoker") * F.col("diabetic")).cast("int"),
+        "bmi_age_risk": (F.col("bmi") / 25.0) * (F.col("age") / 40.0),
+        "clinical_burden": F.col("visit_count") * (F.lit(1) + F.col("hospitalized_count")),
+        "lab_domain_count": sum((F.col(f) for f in LAB_FLAGS), F.lit(0)).cast("int"),
+        "lab_risk_score": round_even(lab_score, 4),
+    })
     return log_target(df)
 
 

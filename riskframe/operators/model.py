@@ -72,8 +72,8 @@ def monotone_signs(spark: SparkSession) -> DataFrame:
 def quartile_strata(df: DataFrame, y: str = TARGET_LOG, out: str = "stratum") -> DataFrame:
     """MOD1: target quartile strata with deduplicated edges (qcut semantics: right-closed,
     lowest edge included).  Edges are one exact-percentile aggregate joined back as one row."""
-    from ..functions.stats import percentiles
-    e = percentiles(df, y, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
+    from ..functions.stats import exact_percentiles
+    e = exact_percentiles(df, y, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
     edges = e.select(F.array_distinct(F.array("_q1", "_q2", "_q3")).alias("_edges"))
     d = df.crossJoin(F.broadcast(edges))
     label = F.size(F.filter("_edges", lambda x: x < F.col(y)))

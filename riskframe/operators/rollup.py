@@ -73,11 +73,13 @@ def join_rollups(employees: DataFrame, tele: DataFrame, claims: DataFrame,
     other telemetry means stay null (filled later by the feature step).
     """
     df = employees.join(tele, key, "left").join(claims, key, "left")
-    return (df.withColumn("total_claims", F.coalesce("total_claims", F.lit(0.0)))
-              .withColumn("visit_count", F.coalesce("visit_count", F.lit(0)))
-              .withColumn("hospitalized_count", F.coalesce("hospitalized_count", F.lit(0)))
-              .withColumn("step_volatility", F.coalesce("step_volatility", F.lit(0.0)))
-              .withColumn("hr_trend", F.coalesce("hr_trend", F.lit(0.0))))
+    return df.withColumns({
+        "total_claims": F.coalesce("total_claims", F.lit(0.0)),
+        "visit_count": F.coalesce("visit_count", F.lit(0)),
+        "hospitalized_count": F.coalesce("hospitalized_count", F.lit(0)),
+        "step_volatility": F.coalesce("step_volatility", F.lit(0.0)),
+        "hr_trend": F.coalesce("hr_trend", F.lit(0.0)),
+    })
 
 
 def premium_share(df: DataFrame, employees: DataFrame, companies: DataFrame) -> DataFrame:
@@ -100,9 +102,11 @@ def premium_share(df: DataFrame, employees: DataFrame, companies: DataFrame) ->
 def loss_ratio(df: DataFrame, high_risk_threshold: float = 1.2) -> DataFrame:
     """AGG6: loss ratio (4 dp), high-risk flag (> 1.2) and chronic count."""
     lr = round_even(F.try_divide(F.col("total_claims"), F.col("premium_share")), 4)
-    return (df.withColumn("loss_ratio", lr)
-              .withColumn("high_risk", (F.col("loss_ratio") > high_risk_threshold).cast("int"))
-              .withColumn("chronic_count", (F.col("diabetic") + F.col("hypertension")).cast("int")))
+    return df.withColumns({
+        "loss_ratio": lr,
+        "high_risk": (lr > high_risk_threshold).cast("int"),
+        "chronic_count": (F.col("diabetic") + F.col("hypertension")).cast("int"),
+    })
 
 
 SNAPSHOT_COLUMNS = [

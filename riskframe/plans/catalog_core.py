@@ -103,3 +103,12 @@ def q_portfolio(spark, sf):
     """Flagship: price every employer by its workforce risk (AGG7 -> FEA9 -> SCO1-7 -> PRC3 -> PRT3)."""
     emp, comp, tele, clin = core_inputs(spark, sf)
     return price_employers(emp, tele, clin, comp)
+
+
+@register("fea10_feature_matrix")
+def q_feature_matrix(spark, sf):
+    """FEA10: the ordered 31-feature vector (contract-checked) with the log target, as arrays."""
+    from pyspark.ml.functions import vector_to_array
+    from ..operators.features import feature_matrix
+    m = feature_matrix(engineer_features(snapshot(spark, sf)))
+    return m.select("employee_key", vector_to_array("features").alias("features"), "loss_ratio_log")

@@ -245,3 +245,26 @@ def q_overlap(spark, sf):
     """HRM11: ids present both in the roster and in the lab upload."""
     return H.overlap_count(fixture(spark, sf, "fx_employees"), fixture(spark, sf, "fx_lab_results"),
                            "employee_key", "unique_id")
+
+
+@register("hrm4_derive_loss_ratio", oracle=with_fixtures(CORE_FIXTURES, SNAPSHOT_CTES) + f"""
+SELECT employee_key AS "Member ID", {rnd(
+    "least(greatest(coalesce(total_claims / CASE WHEN premium_share = 0 THEN NULL ELSE premium_share END, 0e0), 0e0), 50e0)", 4)}
+    AS loss_ratio FROM or_snapshot""", floats=["loss_ratio"])
+def q_derive_lr(spark, sf):
+    """HRM4 (+HRM2): an upload with claims and premium but no loss ratio gets one derived."""
+    s = snapshot(spark, sf).select(F.col("employee_key").alias("Member ID"),
+                                   F.col("total_claims").cast("string").alias("Claim Amount"),
+                                   F.col("premium_share").cast("string").alias("Annual Premium"))
+    mapped, _, _ = H.map_columns(s)
+    return H.derive_loss_ratio(mapped).select(F.col("employee_id").alias("Member ID"), "loss_ratio")
+
+
+@register("hrm12_detect_format")
+def q_detect_format(spark, sf):
+    """HRM12: upload format of each landed upload table (lab / activity / roster / unknown), from its columns."""
+    cands = {"fx_lab_results": fixture(spark, sf, "fx_lab_results").withColumnRenamed("line_no", "value"),
+             "fx_activity": fixture(spark, sf, "fx_activity"),
+             "fx_roster": fixture(spark, sf, "fx_roster_payload").withColumnRenamed("external_employee_id", "employee_id"),
+             "fx_upload": upload(spark, sf)}
+    return spark.createDataFrame([(k, H.detect_format(v)) for k, v in cands.items()], "upload string, format string")

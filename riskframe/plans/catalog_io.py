@@ -209,3 +209,19 @@ def q_stream_roster(spark, sf):
     out, dl, ck = _scratch(spark, "roster"), _scratch(spark, "roster-dl"), _scratch(spark, "roster-ck")
     STR.stream_roster(spark, src, schema, _employees_pseudo(spark, sf), out, dl, ck)
     return STR.latest_roster(spark, out)
+
+
+@register("ing16_append_events", oracle=with_fixtures(["fx_wearable_payload", "fx_employees", "fx_companies"]) + """
+SELECT count(*) AS rows FROM fx_wearable_payload
+WHERE NOT (company_id IS NULL OR external_employee_id IS NULL OR month_no IS NULL
+           OR NOT regexp_matches(company_id, '^COMP_\\d{3}$') OR month_no < 1 OR month_no > 12
+           OR coalesce(steps < 0 OR steps > 100000, false) OR coalesce(restingHR < 30 OR restingHR > 220, false))""")
+def q_append_events(spark, sf):
+    """ING16 (+ING3, ING7): normalised telemetry appended in two batches, then counted from storage."""
+    from .catalog_ingest import wearable_normalized
+    from ..operators import ingest as I
+    path = _scratch(spark, "telemetry-append")
+    wn = wearable_normalized(spark, sf)
+    I.append_events(wn.where(F.col("month_no") <= 6), path)
+    I.append_events(wn.where(F.col("month_no") > 6), path)
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))

@@ -304,8 +304,15 @@ def fixture_deps(name: str) -> list[str]:
     return out
 
 
+_FIXTURES: dict = {}
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str, _cache: dict | None = None) -> DataFrame:
-    """Build fixture ``name`` as a lazy Spark DataFrame over the Parquet tables."""
+    """Build fixture ``name`` as a lazy Spark DataFrame over the Parquet tables (handle reused per session)."""
+    gkey = (id(spark), sf_dir, name)
+    hit = _FIXTURES.get(gkey)
+    if hit is not None and hit.sparkSession is spark:
+        return hit
     cache = {} if _cache is None else _cache
     if name in cache:
         return cache[name]
@@ -318,6 +325,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str, _cache: dict | None = N
             args[ref] = fixture(spark, sf_dir, ref, cache)
     df = spark.sql(FIXTURE_SQL[name], **args)
     cache[name] = df
+    _FIXTURES[gkey] = df
     return df
 
 

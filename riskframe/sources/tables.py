@@ -17,9 +17,21 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+_SCANS: dict = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Plain Parquet scan; column pruning and filter pushdown are left to Catalyst."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    """Plain Parquet scan; column pruning and filter pushdown are left to Catalyst.
+
+    The (lazy) DataFrame handle is reused per session and path, so the file
+    listing and footer read happen once on the driver rather than per query.
+    """
+    key = (id(spark), table_path(sf_dir, name))
+    df = _SCANS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(table_path(sf_dir, name))
+        _SCANS[key] = df
+    return df
 
 
 def read_tables(spark: SparkSession, sf_dir: str, names) -> dict[str, DataFrame]:
