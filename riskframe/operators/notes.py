@@ -8,6 +8,8 @@ one pattern so every pattern is evaluated once per note.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,11 +56,41 @@ SPO2_PATTERNS = [(r"(?:oxygen saturation|SpO2|O2 sat)[^0-9]*(\d{2,3})%", 1), (r"
 SEVERITY_WEIGHTS = {"cancer": 0.30, "icu": 0.20, "renal": 0.18, "heart_dis": 0.15, "sepsis": 0.15,
                     "ventilated": 0.15, "stroke": 0.12, "liver_dis": 0.10, "respiratory": 0.08}
 
-FLAGS = "(?id)"  # case-insensitive; '.' matches anything but '\n' (Python semantics)
+# Keywords at least one of which must occur (lower-cased) for a condition's patterns to match.
+# A cheap substring test on them skips the regex for notes that cannot match.
+CONDITION_KEYWORDS = {
+    "smoker": ["smok", "tobacco"],
+    "diabetic": ["diabet", "dm", "insulin"],
+    "hypertension": ["hypertension", "high blood pressure", "htn"],
+    "cancer": ["cancer", "malignant", "carcinoma", "lymphoma", "leukemia", "neoplasm", "tumo"],
+    "heart_dis": ["cardiac", "heart failure", "myocardial infarction", "coronary", "atrial fibr", "angina"],
+    "renal": ["renal failure", "kidney failure", "ckd", "dialysis", "nephrop", "creatinine elevated"],
+    "liver_dis": ["liver failure", "hepat", "cirrhosis", "elevated", "bilirubin"],
+    "respiratory": ["copd", "asthma", "ards", "pneumonia", "respiratory failure", "mechanical ventilation"],
+    "sepsis": ["sepsis", "septic shock", "bacteremia"],
+    "stroke": ["stroke", "cerebral infarct", "tia", "ischemic"],
+    "mental": ["depression", "anxiety disorder", "schizophrenia", "bipolar", "psychiat"],
+    "osteo": ["osteoporosis", "osteopenia", "one fracture", "fragility fracture"],
+    "anemia": ["anemia", "anaemia", "iron deficiency", "hemoglobin"],
+    "thyroid_dis": ["thyroid"],
+    "vitamin_def": ["vitamin"],
+    "icu": ["icu", "intensive care unit", "critical care"],
+    "ventilated": ["mechanical ventilation", "intubat", "ventilat"],
+}
+
+# The section is lower-cased once and matched case-sensitively against lower-cased
+# patterns (the same matches as case-insensitive search, at a fraction of the cost);
+# (?d): '.' matches anything but '\n', as in Python.
+FLAGS = "(?d)"
+
+
+def _lower_pattern(p: str) -> str:
+    assert not re.search(r"\\[A-Z]", p), p  # no upper-case escapes to break
+    return p.lower()
 
 
 def _any(patterns):
-    return FLAGS + "|".join(f"(?:{p})" for p in patterns)
+    return FLAGS + "|".join(f"(?:{_lower_pattern(p)})" for p in patterns)
 
 
 def parse_notes(df: DataFrame, text: str = "text") -> DataFrame:
@@ -76,26 +108,32 @@ def parse_notes(df: DataFrame, text: str = "text") -> DataFrame:
                  F.trim(F.when(F.col("_e") > 0,
                                F.expr(f"substr(`{text}`, _bs, greatest(_e - _bs, 0))"))
                         .otherwise(F.expr(f"substr(`{text}`, _bs)")))).otherwise(F.col(text))
-    d = d.withColumn("_t", sec)
+    d = d.withColumn("_t", F.lower(sec))
     t = F.col("_t")
     age = F.lit(None).cast("double")
     for pat in reversed(AGE_PATTERNS):
-        v = F.regexp_extract(t, FLAGS + pat, 1)
+        v = F.regexp_extract(t, FLAGS + _lower_pattern(pat), 1)
         vi = F.when(v != "", v.cast("int"))
         age = F.when((vi > 0) & (vi < 120), vi.cast("double")).otherwise(age)
     age = F.coalesce(age, F.lit(45.0))
-    fem = F.regexp_count(t, F.lit(FLAGS + FEMALE_PATTERN))
-    mal = F.regexp_count(t, F.lit(FLAGS + MALE_PATTERN))
-    bmi_s = F.regexp_extract(t, FLAGS + BMI_PATTERN, 1)
+    fem = F.regexp_count(t, F.lit(FLAGS + _lower_pattern(FEMALE_PATTERN)))
+    mal = F.regexp_count(t, F.lit(FLAGS + _lower_pattern(MALE_PATTERN)))
+    bmi_s = F.regexp_extract(t, FLAGS + _lower_pattern(BMI_PATTERN), 1)
     bmi_v = F.when(bmi_s != "", bmi_s.cast("double"))
     bmi = F.when((bmi_v > 10) & (bmi_v < 70), bmi_v).otherwise(F.lit(26.0))
     spo2 = F.lit(None).cast("double")
     for pat, grp in reversed(SPO2_PATTERNS):
-        v = F.regexp_extract(t, FLAGS + pat, grp)
+        v = F.regexp_extract(t, FLAGS + _lower_pattern(pat), grp)
         vd = F.when(v != "", v.cast("double"))
         spo2 = F.when((vd >= 70) & (vd <= 100), vd).otherwise(spo2)
     spo2 = F.coalesce(spo2, F.lit(97.0))
-    cols = {k: t.rlike(_any(v)).cast("int") for k, v in CONDITIONS.items()}
+    def cond(k, pats):
+        pre = F.lit(False)
+        for kw in CONDITION_KEYWORDS[k]:
+            pre = pre | t.contains(kw)
+        return F.when(pre, t.rlike(_any(pats))).otherwise(F.lit(False)).cast("int")
+
+    cols = {k: cond(k, v) for k, v in CONDITIONS.items()}
     d = d.select(*[c for c in df.columns if c != text], age.alias("age"),
                  F.when(fem > mal, "F").otherwise("M").alias("gender"), bmi.alias("bmi"),
                  *[e.alias(k) for k, e in cols.items()], spo2.alias("avg_spo2"))
@@ -109,12 +147,14 @@ def parse_notes(df: DataFrame, text: str = "text") -> DataFrame:
     life = F.col("smoker") * 0.10 + (F.greatest(F.col("bmi") - 30, F.lit(0.0)) / 10) * 0.10
     d = (d.withColumn("loss_ratio", F.lit(0.20) + age_risk + cond_risk + serious + life)
           .withColumn("_severity", age_risk + cond_risk + serious))
-    return (d.withColumn("lab_heart_flag", F.col("heart_dis")).withColumn("lab_diabetes_flag", F.col("diabetic"))
-             .withColumn("lab_kidney_flag", F.col("renal")).withColumn("lab_liver_flag", F.col("liver_dis"))
-             .withColumn("lab_inflammation_flag", ((F.col("sepsis") == 1) | (F.col("respiratory") == 1)).cast("int"))
-             .withColumn("lab_iron_flag", F.col("anemia")).withColumn("lab_thyroid_flag", F.col("thyroid_dis"))
-             .withColumn("lab_bone_flag", ((F.col("osteo") == 1) | (F.col("age") > 60)).cast("int"))
-             .withColumn("lab_vitamin_flag", F.col("vitamin_def")))
+    return d.withColumns({
+        "lab_heart_flag": F.col("heart_dis"), "lab_diabetes_flag": F.col("diabetic"),
+        "lab_kidney_flag": F.col("renal"), "lab_liver_flag": F.col("liver_dis"),
+        "lab_inflammation_flag": ((F.col("sepsis") == 1) | (F.col("respiratory") == 1)).cast("int"),
+        "lab_iron_flag": F.col("anemia"), "lab_thyroid_flag": F.col("thyroid_dis"),
+        "lab_bone_flag": ((F.col("osteo") == 1) | (F.col("age") > 60)).cast("int"),
+        "lab_vitamin_flag": F.col("vitamin_def"),
+    })
 
 
 def map_notes(parsed: DataFrame, key: str = "note_id", jitter: bool = True) -> DataFrame:
@@ -123,13 +163,13 @@ def map_notes(parsed: DataFrame, key: str = "note_id", jitter: bool = True) -> D
     sev = clamp(F.col("_severity"), 0.0, 1.2)
     h = clamp(F.lit(1.0) - sev / 1.2, 0.0, 1.0)
     u = F.lit(1.0) - h
-    return (parsed
-            .withColumn("avg_daily_steps", clamp(h * 9000 + 1000 + n.normal("avg_daily_steps", 600), 1000.0, 15000.0))
-            .withColumn("step_volatility", clamp(u * 1400 + 100 + n.normal("step_volatility", 150), 50.0, 3000.0))
-            .withColumn("avg_resting_hr", clamp(u * 22 + 65 + n.normal("avg_resting_hr", 3), 45.0, 110.0))
-            .withColumn("hr_trend", (n.uniform("hr_trend", 0.5) - 0.5) * 6)
-            .withColumn("avg_active_mins", clamp(h * 55 + 5 + n.normal("avg_active_mins", 8), 0.0, 90.0))
-            .withColumn("avg_sleep_hours", clamp(h * 2.0 + 6.0 + n.normal("avg_sleep_hours", 0.5), 3.0, 10.0))
-            .withColumn("avg_spo2", clamp(F.col("avg_spo2") + n.normal("avg_spo2", 0.3), 90.0, 100.0))
-            .withColumn("loss_ratio", clamp(F.col("loss_ratio") * n.lognormal("loss_ratio", 0.25), 0.10, 6.0))
-            .drop("_severity"))
+    return parsed.withColumns({
+        "avg_daily_steps": clamp(h * 9000 + 1000 + n.normal("avg_daily_steps", 600), 1000.0, 15000.0),
+        "step_volatility": clamp(u * 1400 + 100 + n.normal("step_volatility", 150), 50.0, 3000.0),
+        "avg_resting_hr": clamp(u * 22 + 65 + n.normal("avg_resting_hr", 3), 45.0, 110.0),
+        "hr_trend": (n.uniform("hr_trend", 0.5) - 0.5) * 6,
+        "avg_active_mins": clamp(h * 55 + 5 + n.normal("avg_active_mins", 8), 0.0, 90.0),
+        "avg_sleep_hours": clamp(h * 2.0 + 6.0 + n.normal("avg_sleep_hours", 0.5), 3.0, 10.0),
+        "avg_spo2": clamp(F.col("avg_spo2") + n.normal("avg_spo2", 0.3), 90.0, 100.0),
+        "loss_ratio": clamp(F.col("loss_ratio") * n.lognormal("loss_ratio", 0.25), 0.10, 6.0),
+    }).drop("_severity")
