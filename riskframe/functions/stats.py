@@ -29,7 +29,7 @@ def median(c) -> F.Column:
 
 
 def exact_percentiles(df: DataFrame, col: str, probs: dict, buckets: int = 4096, leaf_rows: int = 50000,
-                      max_passes: int = 12) -> DataFrame:
+                      max_passes: int = 12, materialize_input: bool = True) -> DataFrame:
     """Exact linear-interpolated percentiles with bounded memory, by distributed selection.
 
     ``percentile`` merges a value -> count map of the whole column into one task,
@@ -41,14 +41,17 @@ def exact_percentiles(df: DataFrame, col: str, probs: dict, buckets: int = 4096,
     ``leaf_rows`` rows (or a single value) its values are sorted and the rank is
     read off.  Memory per task and on the driver is O(buckets + leaf_rows), and
     a column with one value repeated a third of the time resolves at once
-    (that bucket's min equals its max).  The input column is checkpointed once
-    because every pass rescans it.
+    (that bucket's min equals its max).  The input column is materialised once
+    in the shared checkpoint folder because every pass rescans it.
 
     Returns a one-row DataFrame with one column per entry of ``probs`` (null for
     an empty input), equal to NumPy / DuckDB ``quantile_cont``.
     """
     spark = df.sparkSession
-    x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x")).checkpoint()
+    from ..session import materialize
+    x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    if materialize_input:  # callers pass False when ``df`` already is a materialised table
+        x = materialize(x, "selection")
     head = x.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
     n, lo0, hi0 = head["n"], head["lo"], head["hi"]
     names = list(probs)
@@ -59,7 +62,11 @@ def exact_percentiles(df: DataFrame, col: str, probs: dict, buckets: int = 4096,
     for k in names:
         pos = float(probs[k]) * (n - 1)
         ranks.update({int(pos // 1), min(int(pos // 1) + 1, n - 1)})
-    result = _select_ranks(x, sorted(ranks), lo0, hi0, buckets, leaf_rows, max_passes)
+    if n <= leaf_rows:  # the whole column is one leaf: read it once
+        vals = sorted(r[0] for r in x.collect())
+        result = {r: vals[r] for r in ranks}
+    else:
+        result = _select_ranks(x, sorted(ranks), lo0, hi0, buckets, leaf_rows, max_passes)
     out = []
     for k in names:
         pos = float(probs[k]) * (n - 1)

@@ -18,13 +18,13 @@ from ..functions.stats import exact_percentiles
 
 # ---- SCO1-SCO4: calibration and bands -------------------------------------------
 
-def fit_scorer(df: DataFrame, col: str = "log_pred") -> DataFrame:
+def fit_scorer(df: DataFrame, col: str = "log_pred", materialized: bool = False) -> DataFrame:
     """SCO1: 5th and 95th percentile (linear interpolation) of log predictions -> 1-row (p05, p95).
 
     Exact, by distributed selection (``functions.stats.exact_percentiles``): a
     few bucket-count passes instead of one task holding every distinct value.
     """
-    return exact_percentiles(df, col, {"p05": 0.05, "p95": 0.95})
+    return exact_percentiles(df, col, {"p05": 0.05, "p95": 0.95}, materialize_input=not materialized)
 
 
 def hrs_expr(x, p05="p05", p95="p95") -> F.Column:

@@ -28,9 +28,10 @@ def _split(spark, sf):
 
 
 def _training_table(spark, sf):
-    """The split feature table, materialised once (reliable checkpoint in the shared folder):
+    """The split feature table, materialised once in the shared checkpoint folder:
     cross-validation and fitting rescan it many times, and it cuts a long lineage."""
-    return _split(spark, sf).checkpoint()
+    from ..session import materialize
+    return materialize(_split(spark, sf), "training")
 
 
 _STRATA = _BASE + f"""

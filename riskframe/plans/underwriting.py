@@ -3,7 +3,7 @@
 ``price_employers`` is the flagship: raw roster + telemetry + claims ->
 snapshot -> features -> scorecard -> calibrated HRS -> company risk -> premium.
 The per-employee rollups are partial+final aggregates on ``employee_key``;
-the per-employee feature table is checkpointed once; calibration is an exact
+the per-employee feature table is materialised once (shared checkpoint folder); calibration is an exact
 distributed selection over it (one row of bounds, broadcast); the company step
 is one more partial+final aggregate on ``company_id``.
 """
@@ -22,12 +22,13 @@ def score_employees(snapshot: DataFrame, model: Scorecard = DEFAULT_SCORECARD,
                     scorer: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Features -> log prediction -> HRS (1 dp) and band, per employee.  Returns (scored, scorer).
 
-    The per-employee feature table is checkpointed (reliably, to the shared
-    checkpoint folder) because calibration and scoring both read it: the
+    The per-employee feature table is materialised once in the shared
+    checkpoint folder because calibration and scoring both read it: the
     telemetry/claims rollups run once.
     """
-    feats = apply_scorecard(engineer_features(snapshot), model).checkpoint()
-    scorer = fit_scorer(feats) if scorer is None else scorer
+    from ..session import materialize
+    feats = materialize(apply_scorecard(engineer_features(snapshot), model), "features")
+    scorer = fit_scorer(feats, materialized=True) if scorer is None else scorer
     scored = score_hrs(feats, scorer)
     return scored.withColumn("risk_band", risk_band("hrs")), scorer
 

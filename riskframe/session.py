@@ -52,3 +52,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for materialised intermediate tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` as a Parquet table in the shared checkpoint folder and reading it back.
+
+    Unlike an eager reliable ``checkpoint()`` of an unpersisted plan, the plan is
+    computed once; readers get column pruning and predicate pushdown; the files
+    live on the shared storage named by ``spark.checkpoint.dir`` and survive the
+    loss of any executor.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
