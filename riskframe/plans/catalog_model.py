@@ -19,7 +19,9 @@ _BASE = with_fixtures(CORE_FIXTURES, SNAPSHOT_CTES, FEATURES_CTES, scored_ctes()
 
 
 def _features(spark, sf):
-    return MD.apply_scorecard(engineer_features(snapshot(spark, sf)))
+    """Scored per-employee features, materialised once (means, ranks and rows all read it)."""
+    from ..session import materialize
+    return materialize(MD.apply_scorecard(engineer_features(snapshot(spark, sf))), "features")
 
 
 def _split(spark, sf):
@@ -136,7 +138,7 @@ FROM h""", floats=["predicted_loss_ratio", "health_risk_score"])
 def q_predict_employees(spark, sf):
     """SCO5: per-employee predicted LR (4 dp), HRS (1 dp) and band from the unrounded HRS."""
     f = _features(spark, sf)
-    return S.predict_employees(f, S.fit_scorer(f)).select("employee_key", "company_id", "predicted_loss_ratio",
+    return S.predict_employees(f, S.fit_scorer(f, materialized=True)).select("employee_key", "company_id", "predicted_loss_ratio",
                                                            "health_risk_score", "risk_band")
 
 
