@@ -139,9 +139,12 @@ PREMIUM_COL = "estimated_annual_premium_per_employee_inr"
 
 
 def _group_multipliers(quotes: DataFrame, by: str, premium: str) -> DataFrame:
-    from ..functions.stats import median
-    overall = quotes.agg(median(premium).alias("_overall"))
-    g = quotes.groupBy(by).agg(median(premium).alias("_median"))
+    """Group median / overall median, both exact by distributed selection (few, possibly huge groups)."""
+    from ..functions.stats import exact_group_percentiles, exact_percentiles
+    from ..session import materialize
+    q = materialize(quotes.select(by, premium), "quotes")
+    overall = exact_percentiles(q, premium, {"_overall": 0.5}, materialize_input=False)
+    g = exact_group_percentiles(q, by, premium, {"_median": 0.5})
     return (g.crossJoin(F.broadcast(overall))
              .select(F.col(by).alias("key"), round_even(F.col("_median") / F.col("_overall"), 3).alias("multiplier")))
 
