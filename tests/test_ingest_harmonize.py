@@ -99,3 +99,34 @@ def test_harmonize_rejects_bad_loss_ratio(spark, sf):
     rows, report, _ = H.harmonize(upload(spark, sf), snapshot(spark, sf))
     assert rows.count() == 0
     assert report.first().non_numeric > 0
+
+
+def test_fill_defaults_only_absent_columns(spark, sf):
+    from riskframe.plans.catalog_core import snapshot
+    up = spark.createDataFrame([("x1", None, "2.0"), ("x2", "F", "0.5")], "`Emp ID` string, SEX string, LR string")
+    rows, report, info = H.harmonize(up, snapshot(spark, sf))
+    r = {x.employee_id: x for x in rows.collect()}
+    assert r["x1"].gender == "O" and r["x2"].gender == "F"          # null cell normalised, not defaulted
+    assert r["x1"].company_id == "UPLOAD" and r["x1"].high_risk == 1 and r["x2"].high_risk == 0
+    assert "age" in info["filled_with_defaults"] and "gender" not in info["filled_with_defaults"]
+    assert r["x1"].age == r["x2"].age  # the reference median
+
+
+def test_activity_active_minutes_fallback(spark):
+    df = spark.createDataFrame([(1, 3650.0, 0.0, 730.0, "outofrange"), (2, None, None, 365.0, "inrange")],
+                               "user_id long, step_count double, total_active_minutes double, "
+                               "steps_active_minutes double, diabetes string")
+    r = {x.employee_id: x for x in H.map_activity(df).collect()}
+    assert r["1"].avg_daily_steps == 3650.0 and r["1"].avg_active_mins == 2.0 and r["1"].lab_diabetes_flag == 1
+    assert r["2"].avg_active_mins is None and r["2"].diabetic_inferred == 0
+
+
+def test_fill_report_lists_defaulted_fields(spark, sf):
+    from riskframe.plans.catalog_core import snapshot
+    labs = spark.createDataFrame([(1, 1, "u1", "HbA1c", "high", "low", None)],
+                                 "report_id long, line_no int, unique_id string, marker_code string, status string, "
+                                 "risk_level string, gender string")
+    rows = H.to_feature_rows(H.pivot_labs(labs), H.population_defaults(snapshot(spark, sf)))
+    rep = H.fill_report(rows, "lab").first()
+    assert rep.rows == 1 and set(rep.filled_with_defaults) >= {"age", "bmi", "gender", "job_category", "smoker"}
+    assert rows.first().diabetic == 1
