@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import CORE_FILLS, FEATURE_COLUMNS, LAB_FLAGS, TARGET, TARGET_LOG
 from ..functions.expr import clamp, round_even
-from .rollup import lab_aggregates
 
 
 def clamp_inputs(df: DataFrame) -> DataFrame:

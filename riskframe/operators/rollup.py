@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import LAB_FLAGS, LAB_WEIGHTS, LAB_DOMAINS
+from ..functions.constants import LAB_FLAGS, LAB_WEIGHTS
 from ..functions.expr import clamp, round_even
 
 
@@ -195,7 +195,6 @@ def snapshot_summary(df: DataFrame) -> DataFrame:
     return df.agg(*aggs)
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["LAB_DOMAINS"]
 
 
 def poisson_from_uniform(lam, u, kmax: int = 15) -> F.Column:

@@ -1,8 +1,6 @@
 """Registered queries: rollups, features, scoring, pricing and the flagship portfolio."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.constants import FEATURE_COLUMNS
 from ..operators.features import engineer_features
 from ..operators.model import DEFAULT_SCORECARD, apply_scorecard

@@ -5,7 +5,6 @@ directory (``spark.checkpoint.dir``), never a machine-local temp folder.
 """
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F

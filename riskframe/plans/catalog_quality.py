@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.constants import DEFAULT_HASH_SALT, FEATURE_COLUMNS
 from ..functions.expr import pseudonymize
 from ..operators import quality as Q
-from ..operators.features import engineer_features, engineer_features_audit
+from ..operators.features import engineer_features_audit
 from ..operators.model import DEFAULT_SCORECARD, apply_scorecard
 from ..operators.rollup import SNAPSHOT_COLUMNS, build_snapshot
-from ..operators.scoring import fit_scorer, predict_companies
+from ..operators.scoring import predict_companies
 from ..sources.fixtures import fixture, fixtures
 from .catalog_core import core_inputs, snapshot
 from .oracle_sql import (CORE_FIXTURES, FEATURES_CTES, SNAPSHOT_CTES, scorecard_sql, scored_ctes,

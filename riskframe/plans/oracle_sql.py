@@ -5,7 +5,6 @@ Written directly in SQL from the operator semantics; only model parameters
 """
 from __future__ import annotations
 
-from ..functions.constants import FEATURE_COLUMNS
 from ..operators.model import DEFAULT_SCORECARD
 from ..sources.fixtures import oracle_ctes
 

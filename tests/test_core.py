@@ -1,7 +1,6 @@
 """Golden and invariant tests for rollups, features, scoring and pricing."""
 import math
 
-from pyspark.sql import functions as F
 
 from riskframe.functions.expr import clamp
 from riskframe.operators.features import engineer_features

@@ -1,7 +1,6 @@
 """Goldens for ingestion and upload harmonisation."""
 import hashlib
 
-from pyspark.sql import functions as F
 
 from riskframe.functions.constants import DEFAULT_HASH_SALT
 from riskframe.functions.expr import coerce_boolean, coerce_flag, pseudonymize

@@ -1,7 +1,6 @@
 """Exact distributed percentiles, quality reports, receipts and alerts."""
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from riskframe.functions.stats import exact_group_percentiles, exact_percentiles
 from riskframe.operators import ingest as I

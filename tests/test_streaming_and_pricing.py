@@ -1,7 +1,6 @@
 """Stream = batch parity, replay idempotence, pricing calibration and histogram invariants."""
 import uuid
 
-from pyspark.sql import functions as F
 
 from riskframe.operators import portfolio as P
 from riskframe.operators import pricing as R
