@@ -26,25 +26,27 @@ def rollup_telemetry(telemetry: DataFrame, key: str = "employee_key") -> DataFra
 
 
 def hr_trend(telemetry: DataFrame, key: str = "employee_key",
-             order=("month_no", "ts", "event_id")) -> DataFrame:
+             order=("month_no", "ts", "event_id"), hot_rows: int = 5_000_000) -> DataFrame:
     """AGG2: least-squares slope of resting HR against the row index 0..n-1.
 
     The index is the position in ``order`` within the person (explicit
-    tie-breakers, so the result does not depend on file order).  A single
-    reading has no slope; the reference never supports it and we return 0.
+    tie-breakers, so the result does not depend on file order), computed by
+    :func:`functions.ranks.rank_within`, which splits any person with more than
+    ``hot_rows`` readings across tasks.  A single reading has no slope; the
+    reference never supports it and we return 0.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    idx = telemetry.select(key, "resting_hr", (F.row_number().over(w) - 1).alias("_i"))
+    from ..functions.ranks import rank_within
+    idx = rank_within(telemetry.select(key, "resting_hr", *order), key, list(order), hot_rows)
     return idx.groupBy(key).agg(
-        F.coalesce(F.regr_slope(F.col("resting_hr").cast("double"), F.col("_i").cast("double")),
+        F.coalesce(F.regr_slope(F.col("resting_hr").cast("double"), F.col("_rank").cast("double")),
                    F.lit(0.0)).alias("hr_trend"))
 
 
 def rollup_telemetry_with_trend(telemetry: DataFrame, key: str = "employee_key",
-                                order=("month_no", "ts", "event_id")) -> DataFrame:
-    """AGG1 + AGG2 fused: one shuffle on ``key`` feeds both the window and the aggregate."""
-    w = Window.partitionBy(key).orderBy(*order)
-    t = telemetry.withColumn("_i", (F.row_number().over(w) - 1).cast("double"))
+                                order=("month_no", "ts", "event_id"), hot_rows: int = 5_000_000) -> DataFrame:
+    """AGG1 + AGG2 fused: positions (skew-safe, see ``hr_trend``) then one partial+final aggregate."""
+    from ..functions.ranks import rank_within
+    t = rank_within(telemetry, key, list(order), hot_rows).withColumn("_i", F.col("_rank").cast("double"))
     return t.groupBy(key).agg(
         F.avg("avg_daily_steps").alias("avg_daily_steps"),
         F.stddev_samp("avg_daily_steps").alias("step_volatility"),

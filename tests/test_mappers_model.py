@@ -1,6 +1,7 @@
 """Mappers, notes, alignment, partition invariance and model helpers."""
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
 from riskframe.operators import mappers as M
 from riskframe.operators import model as MD
@@ -92,3 +93,22 @@ def test_split_share(spark, sf):
     d = _split(spark, sf)
     share = d.agg(F.avg(F.col("is_test").cast("double"))).first()[0]
     assert 0.1 < share < 0.3
+
+
+def test_rank_within_hot_keys_equals_window(spark):
+    from pyspark.sql import Window
+    from riskframe.functions.ranks import rank_within
+    rows = [("hot", i % 97, i) for i in range(3000)] + [(f"k{i % 7}", i % 5, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "key string, m int, id long")
+    w = Window.partitionBy("key").orderBy("m", "id")
+    expected = {(r.key, r.id): r.rk for r in df.withColumn("rk", F.row_number().over(w) - 1).collect()}
+    got = {(r.key, r.id): r._rank for r in rank_within(df, "key", ["m", "id"], hot_rows=100, partitions=6).collect()}
+    assert got == expected
+
+
+def test_hr_trend_hot_path_matches(spark, sf):
+    from riskframe.operators.rollup import hr_trend
+    tele = fixture(spark, sf, "fx_telemetry")
+    a = {r.employee_key: r.hr_trend for r in hr_trend(tele).collect()}
+    b = {r.employee_key: r.hr_trend for r in hr_trend(tele, hot_rows=3).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
