@@ -225,7 +225,8 @@ POPULATION_DEFAULTS = dict(age=38, gender="M", bmi=25.0, smoker=0, diabetic=0, h
 # Ingestion rules.
 EVENT_TYPES = ["general_visit", "hypertension", "diabetes", "respiratory", "injury", "cardiac"]
 COMPANY_ID_PATTERN = r"^COMP_\d{3}$"
-DEFAULT_HASH_SALT = "aegis_dev_salt_2024"
+# Development salt for pseudonymisation; deployments pass their own secret salt.
+DEFAULT_HASH_SALT = "riskframe_dev_salt"
 
 # Wearable defaults (used when a value is missing or zero) and clamps.
 WEARABLE_RULES = [

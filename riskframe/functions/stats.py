@@ -150,7 +150,8 @@ def exact_group_percentiles(df: DataFrame, group: str, col: str, probs: dict, bu
     spark = df.sparkSession
     x = materialize(df.select(F.col(group).alias("g"), F.col(col).cast("double").alias("x"))
                     .where(F.col("x").isNotNull() & ~F.isnan("x")), "group-selection")
-    heads = x.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+    heads = (x.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+             .limit(max_groups + 1).collect())
     if len(heads) > max_groups:
         raise ValueError(f"{len(heads)} groups: use percentiles() for many small groups")
     names = list(probs)

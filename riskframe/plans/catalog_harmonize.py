@@ -211,7 +211,8 @@ SELECT {", ".join(CANONICAL_COLS)} FROM g""")
 
 
 @register("hrm9_harmonize", oracle=with_fixtures(["fx_upload_clean"] + list(CORE_FIXTURES), SNAPSHOT_CTES) + _harm_sql(),
-          floats=[c for c in CANONICAL_COLS if c in _REF_NUM or c in ("lab_risk_score",)])
+          floats=[c for c in CANONICAL_COLS if (c in _REF_NUM or c == "lab_risk_score")
+                  and c not in ("smoker", "high_risk", "chronic_count")])
 def q_harmonize(spark, sf):
     """HRM9 (+HRM2-HRM8): a clean upload harmonised to the 34 canonical columns against the snapshot."""
     rows, _, _ = H.harmonize(upload(spark, sf, "fx_upload_clean"), snapshot(spark, sf))

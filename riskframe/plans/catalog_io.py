@@ -20,7 +20,7 @@ from ..sources.tables import BASE_TABLES, read_table
 from ..streaming import ingest_streams as STR
 from .catalog_core import snapshot
 from .catalog_harmonize import UPLOAD_HEADERS, upload
-from .catalog_mappers import _FEATS, _FLOATS, _uw_sql
+from .catalog_mappers import _FEATS, _FLOATS_INT_COUNTS, _uw_sql
 from .oracle_sql import CORE_FIXTURES, SNAPSHOT_CTES, with_fixtures
 from .registry import register
 
@@ -66,7 +66,7 @@ def q_read_market(spark, sf):
 
 
 @register("src4_read_snapshot", oracle=with_fixtures(["fx_underwriting"]) + _uw_sql()
-          + "\nSELECT row_key, " + ", ".join(_FEATS) + " FROM m", floats=_FLOATS)
+          + "\nSELECT row_key, " + ", ".join(_FEATS) + " FROM m", floats=_FLOATS_INT_COUNTS)
 def q_read_snapshot(spark, sf):
     """SRC4 (+MAP1, MAP2): a published snapshot read, its schema kind inferred and its mapper applied."""
     path = _scratch(spark, "snapshot")

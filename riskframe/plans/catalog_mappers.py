@@ -19,6 +19,9 @@ _FEATS = ["age", "gender", "bmi", "smoker", "diabetic", "hypertension", "chronic
           "lab_vitamin_flag", "loss_ratio"]
 _FLOATS = ["age", "bmi", "chronic_count", "avg_daily_steps", "step_volatility", "avg_resting_hr", "hr_trend",
            "avg_active_mins", "avg_sleep_hours", "avg_spo2", "visit_count", "hospitalized_count", "loss_ratio"]
+# integer-valued in some mappers (counts and clamped int sums)
+_FLOATS_INT_COUNTS = [c for c in _FLOATS if c not in ("chronic_count", "hospitalized_count")]
+_FLOATS_INT_HOSP = [c for c in _FLOATS if c != "hospitalized_count"]
 
 
 def _sel(df, key):
@@ -78,7 +81,7 @@ m AS (SELECT row_key, age, gender, bmi, smoker, diabetic, hypertension,
 
 
 @register("map2_underwriting", oracle=with_fixtures(["fx_underwriting"]) + _uw_sql()
-          + "\nSELECT row_key, " + ", ".join(_FEATS) + " FROM m", floats=_FLOATS)
+          + "\nSELECT row_key, " + ", ".join(_FEATS) + " FROM m", floats=_FLOATS_INT_COUNTS)
 def q_underwriting(spark, sf):
     """MAP2: underwriting applicants mapped to the training feature schema (keyed jitter)."""
     return _sel(M.map_underwriting(fixture(spark, sf, "fx_underwriting")), "row_key")
@@ -125,7 +128,7 @@ m AS (SELECT row_key, age, gender, bmi, smoker, diabetic, hypertension, chronic_
 
 
 @register("map3_charges", oracle=with_fixtures(["fx_charges"]) + _ch_sql()
-          + "\nSELECT row_key, " + ", ".join(_FEATS) + " FROM m", floats=_FLOATS)
+          + "\nSELECT row_key, " + ", ".join(_FEATS) + " FROM m", floats=_FLOATS_INT_COUNTS)
 def q_charges(spark, sf):
     """MAP3: insurance-charge rows mapped to the training feature schema (keyed jitter)."""
     return _sel(M.map_charges(fixture(spark, sf, "fx_charges")), "row_key")
@@ -176,7 +179,8 @@ def market_rows(spark, sf):
     return M.map_market(j)
 
 
-@register("map4_market", oracle=_MK + "\nSELECT employee_id, " + ", ".join(_FEATS) + " FROM mk_m", floats=_FLOATS)
+@register("map4_market", oracle=_MK + "\nSELECT employee_id, " + ", ".join(_FEATS) + " FROM mk_m",
+          floats=_FLOATS_INT_HOSP)
 def q_market(spark, sf):
     """MAP4 + MAP5: market employee file joined to the premium file, mapped to features with the observed LR."""
     return _sel(market_rows(spark, sf), "employee_id")
@@ -254,7 +258,8 @@ lb_m AS (SELECT patient_name, age, gender, {clip(f'23.5e0 + (1e0 - hh) * 5e0 + {
 _LAB = with_fixtures(["fx_lab_reports"]) + _lab_sql()
 
 
-@register("map8_lab_reports", oracle=_LAB + "\nSELECT patient_name, " + ", ".join(_FEATS) + " FROM lb_m", floats=_FLOATS)
+@register("map8_lab_reports", oracle=_LAB + "\nSELECT patient_name, " + ", ".join(_FEATS) + " FROM lb_m",
+          floats=_FLOATS_INT_HOSP)
 def q_lab_reports(spark, sf):
     """MAP8: lab report lines -> one training row per patient (keyword flags on abnormal tests)."""
     return _sel(M.map_lab_reports(fixture(spark, sf, "fx_lab_reports")), "patient_name")
@@ -401,11 +406,11 @@ def q_infer_kind(spark, sf):
         UNION ALL SELECT 'excel', count(*) FROM fx_market e JOIN fx_market_premium p ON p.employee_id = e.employee_id
         UNION ALL SELECT 'clinical_lab', count(DISTINCT patient_name) FROM fx_lab_reports
         UNION ALL SELECT 'notes', count(*) FROM fx_notes)
-SELECT source, rows FROM c UNION ALL SELECT 'combined', sum(rows) FROM c""")
+SELECT source, rows FROM c UNION ALL SELECT 'combined', CAST(sum(rows) AS BIGINT) FROM c""")
 def q_source_counts(spark, sf):
     """MAP12 + MAP14: all five mapped sources unioned by name with dataset_source; rows per source + combined."""
     u = M.union_sources(training_sources(spark, sf))
-    return M.source_counts(u).withColumn("rows", F.col("rows").cast("decimal(38,0)"))
+    return M.source_counts(u)
 
 
 @register("map15_distribution_summary", oracle=_MK + """

@@ -245,13 +245,13 @@ def q_company_employees(spark, sf):
 
 @register("prt4_portfolio_kpis", oracle=_BASE + """
 SELECT count(*) AS companies, count(*) FILTER (WHERE risk_band IN ('High', 'Critical')) AS need_review,
-       sum(employees) AS total_employees, avg(mean_hrs) AS avg_hrs, avg(mean_hrs) - 50e0 AS hrs_vs_benchmark,
+       CAST(sum(employees) AS BIGINT) AS total_employees, avg(mean_hrs) AS avg_hrs, avg(mean_hrs) - 50e0 AS hrs_vs_benchmark,
        sum(adjusted) AS adjusted_total, sum(adjusted) - sum(base_premium) AS premium_delta
 FROM or_pf""", floats=["avg_hrs", "hrs_vs_benchmark", "adjusted_total", "premium_delta"])
 def q_kpis(spark, sf):
     """PRT4: portfolio KPIs."""
     pf, _, _ = _pf(spark, sf)
-    return P.portfolio_kpis(pf).withColumn("total_employees", F.col("total_employees").cast("decimal(38,0)"))
+    return P.portfolio_kpis(pf)
 
 
 @register("prt5_portfolio_alerts", oracle=_BASE + """
@@ -315,12 +315,12 @@ def q_histogram(spark, sf):
 
 
 @register("prt9_industry_profile", oracle=_BASE + """
-SELECT industry, avg(mean_hrs) AS mean_hrs, sum(employees) AS employees, count(*) AS companies FROM or_pf GROUP BY industry""",
+SELECT industry, avg(mean_hrs) AS mean_hrs, CAST(sum(employees) AS BIGINT) AS employees, count(*) AS companies FROM or_pf GROUP BY industry""",
           floats=["mean_hrs"])
 def q_industry_profile(spark, sf):
     """PRT9: industry rollup of the portfolio."""
     pf, _, _ = _pf(spark, sf)
-    return P.industry_profile(pf).withColumn("employees", F.col("employees").cast("decimal(38,0)"))
+    return P.industry_profile(pf)
 
 
 @register("prt10_workstyle", oracle=with_fixtures(CORE_FIXTURES, SNAPSHOT_CTES) + """

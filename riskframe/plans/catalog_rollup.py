@@ -156,7 +156,7 @@ _BODY = _LAB_ROWS[len(with_fixtures(["fx_activity"])):]
 
 @register("agg14_extend_training", oracle=with_fixtures(list(CORE_FIXTURES) + ["fx_activity"], SNAPSHOT_CTES) + _BODY
           + """
-SELECT company_id, count(*) AS n, sum(loss_ratio) AS lr_sum, sum(CAST(high_risk AS BIGINT)) AS high_risk_rows FROM (
+SELECT company_id, count(*) AS n, sum(loss_ratio) AS lr_sum, CAST(sum(high_risk) AS BIGINT) AS high_risk_rows FROM (
   SELECT company_id, loss_ratio, high_risk FROM or_snapshot UNION ALL SELECT company_id, loss_ratio, high_risk FROM lab_rows)
 GROUP BY company_id""", floats=["lr_sum"])
 def q_extend(spark, sf):

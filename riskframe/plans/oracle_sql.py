@@ -190,7 +190,7 @@ or_imp_wide AS (SELECT {group}, {wide} FROM or_phi GROUP BY {group}),
 or_imp_long AS (UNPIVOT or_imp_wide ON {", ".join(feats)} INTO NAME feature VALUE importance),
 or_importance AS (
   SELECT * FROM (SELECT {group}, feature, importance,
-                        row_number() OVER (PARTITION BY {group} ORDER BY importance DESC, feature) AS rank
+                        CAST(row_number() OVER (PARTITION BY {group} ORDER BY importance DESC, feature) AS INTEGER) AS rank
                  FROM or_imp_long) WHERE rank <= 5)
 """
 

@@ -34,6 +34,23 @@ def _norm(v):
     return v
 
 
+def _coarse(t: str) -> str:
+    t = t.lower()
+    if t in ("int", "integer", "int32", "smallint", "short", "tinyint", "byte", "int16", "int8"):
+        return "int"
+    if t in ("bigint", "long", "int64"):
+        return "bigint"
+    if t.startswith("decimal") or t in ("hugeint", "number"):
+        return "decimal"
+    if t in ("double", "float", "float64", "real", "float32"):
+        return "double"
+    if t in ("string", "varchar", "str"):
+        return "string"
+    if t in ("boolean", "bool"):
+        return "boolean"
+    return t
+
+
 def _key(row):
     return tuple((x is None, str(type(x)), str(x)) for x in row)
 
@@ -48,6 +65,11 @@ def compare(name, sdf, con, sql):
     if sorted(s_cols) != sorted(d_cols):
         problems.append(f"columns spark={s_cols} duck={d_cols}")
         return problems, len(s_rows), len(d_rows)
+    s_types = {f.name: _coarse(f.dataType.simpleString()) for f in sdf.schema.fields}
+    d_types = {d[0]: _coarse(str(d[1])) for d in rel.description}
+    tdiff = [f"{c}:{s_types[c]}/{d_types[c]}" for c in s_cols if s_types[c] != d_types[c]]
+    if tdiff:
+        problems.append("types " + ", ".join(tdiff))
     order = [d_cols.index(c) for c in s_cols]
     d_rows = [tuple(r[i] for i in order) for r in d_rows]
     if len(s_rows) != len(d_rows):
