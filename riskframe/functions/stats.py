@@ -225,3 +225,22 @@ def exact_group_percentiles(df: DataFrame, group: str, col: str, probs: dict, bu
         rows.append((h["g"], *vals))
     return spark.createDataFrame(rows, f"`{group}` {x.schema['g'].dataType.simpleString()}, "
                                  + ", ".join(f"`{k}` double" for k in names))
+
+
+def exact_column_percentiles(df: DataFrame, cols, probs: dict, group_name: str = "column") -> DataFrame:
+    """Exact percentiles of several columns at once: the columns are stacked into (column, value)
+    pairs (a narrow ``explode``) and resolved by one grouped selection, one group per column.
+    Returns one row per column that has at least one non-null value."""
+    cols = list(cols)
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias(group_name), F.col(c).cast("double").alias("value"))
+                                          for c in cols])).alias("_kv")).select(f"_kv.{group_name}", "_kv.value")
+    return exact_group_percentiles(long, group_name, "value", probs)
+
+
+def exact_medians_row(df: DataFrame, cols, prefix: str = "") -> DataFrame:
+    """One row with the exact median of each column (null when a column has no values)."""
+    spark = df.sparkSession
+    long = exact_column_percentiles(df, cols, {"m": 0.5})
+    names = spark.createDataFrame([(c,) for c in cols], "column string")
+    wide = names.join(long, "column", "left").groupBy().pivot("column", list(cols)).agg(F.first("m"))
+    return wide.select(*[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in cols])

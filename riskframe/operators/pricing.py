@@ -160,30 +160,35 @@ def region_multipliers(quotes: DataFrame, premium: str = PREMIUM_COL) -> DataFra
 
 
 def market_multipliers(quotes: DataFrame, premium: str = PREMIUM_COL) -> DataFrame:
-    """PRC6 + PRC7 in one job: ``GROUPING SETS ((industry), (region), ())`` then divide by the () row."""
-    from ..functions.stats import median
-    g = quotes.groupingSets([["industry"], ["region"], []], "industry", "region").agg(
-        median(premium).alias("_median"), F.grouping_id().alias("_gid"))
-    overall = g.where(F.col("_gid") == 3).select(F.col("_median").alias("_overall"))
-    parts = g.where(F.col("_gid") != 3).crossJoin(F.broadcast(overall))
-    kind = F.when(F.col("_gid") == 1, "industry").otherwise("region")
-    key = F.when(F.col("_gid") == 1, F.col("industry")).otherwise(F.col("region"))
-    return parts.select(kind.alias("kind"), key.alias("key"),
+    """PRC6 + PRC7 in one selection: every quote is stacked three times (its industry, its region and
+    the overall group, a narrow ``explode``) and one grouped exact selection finds all medians;
+    each group's median is then divided by the overall one."""
+    from ..functions.stats import exact_group_percentiles
+    keys = F.array(F.struct(F.lit("industry").alias("kind"), F.col("industry").alias("key")),
+                   F.struct(F.lit("region").alias("kind"), F.col("region").alias("key")),
+                   F.struct(F.lit("overall").alias("kind"), F.lit("").alias("key")))
+    long = quotes.select(F.explode(keys).alias("_k"), F.col(premium).alias("_p")).select(
+        F.concat_ws("|", "_k.kind", F.coalesce("_k.key", F.lit(""))).alias("_g"), "_p")
+    med = exact_group_percentiles(long, "_g", "_p", {"_median": 0.5})
+    overall = med.where(F.col("_g") == "overall|").select(F.col("_median").alias("_overall"))
+    parts = med.where(F.col("_g") != "overall|").crossJoin(F.broadcast(overall))
+    return parts.select(F.split("_g", r"\|")[0].alias("kind"), F.split("_g", r"\|")[1].alias("key"),
                         round_even(F.col("_median") / F.col("_overall"), 3).alias("multiplier"))
 
 
 def band_multipliers(quotes: DataFrame, premium: str = PREMIUM_COL) -> DataFrame:
     """PRC8: bins (0,3], (3,7], (7,15], (15,10000]; out-of-bin rows dropped; normalised to 4-7L
-    (or to the median of the band medians if 4-7L is absent); missing bands 1.0."""
-    from ..functions.stats import median
+    (or to the median of the band medians if 4-7L is absent); missing bands 1.0.
+    Band medians by grouped exact selection; the median of at most four band medians is a tiny aggregate."""
+    from ..functions.stats import exact_group_percentiles, median
     sa = F.col("sum_assured_lakhs")
     band = (F.when((sa > 0) & (sa <= 3), "1-3L").when((sa > 3) & (sa <= 7), "4-7L")
              .when((sa > 7) & (sa <= 15), "8-15L").when((sa > 15) & (sa <= 10000), "15L+"))
-    g = quotes.select(band.alias("band"), F.col(premium)).where(F.col("band").isNotNull()) \
-        .groupBy("band").agg(median(premium).alias("_m"))
+    b = quotes.select(band.alias("band"), F.col(premium)).where(F.col("band").isNotNull())
+    g = exact_group_percentiles(b, "band", premium, {"_m": 0.5})
     base = g.agg(F.coalesce(F.max(F.when(F.col("band") == "4-7L", F.col("_m"))), median("_m")).alias("_base"))
     spark = quotes.sparkSession
-    labels = spark.createDataFrame([(b, i) for i, b in enumerate(["1-3L", "4-7L", "8-15L", "15L+"])],
+    labels = spark.createDataFrame([(b_, i) for i, b_ in enumerate(["1-3L", "4-7L", "8-15L", "15L+"])],
                                    "band string, position int")
     return (labels.join(g, "band", "left").crossJoin(F.broadcast(base))
                   .select("band", "position",

@@ -11,7 +11,6 @@ from pyspark.sql.types import NumericType, StringType
 
 from ..functions.constants import FEATURE_COLUMNS
 from ..functions.expr import round_even
-from ..functions.stats import median
 
 
 def _numeric(df: DataFrame):
@@ -34,29 +33,35 @@ def profile_columns(df: DataFrame) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, columns=None) -> DataFrame:
-    """DQ2: count, mean, std, min, 25%, 50%, 75%, max per numeric column (long form)."""
+    """DQ2: count, mean, std, min, 25%, 50%, 75%, max per numeric column (long form).
+
+    Moments are one aggregate over all columns; quartiles are one grouped exact
+    selection over the stacked columns.
+    """
+    from ..functions.stats import exact_column_percentiles
     cols = columns or _numeric(df)
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         aggs += [F.count(x).cast("double").alias(f"{i}|count"), F.avg(x).alias(f"{i}|mean"),
-                 F.stddev_samp(x).alias(f"{i}|std"), F.min(x).alias(f"{i}|min"),
-                 q[0].alias(f"{i}|25%"), q[1].alias(f"{i}|50%"), q[2].alias(f"{i}|75%"), F.max(x).alias(f"{i}|max")]
+                 F.stddev_samp(x).alias(f"{i}|std"), F.min(x).alias(f"{i}|min"), F.max(x).alias(f"{i}|max")]
     wide = df.agg(*aggs)
-    names = wide.columns
-    long = wide.unpivot([], [f"`{n}`" for n in names], "_k", "value")
+    long = wide.unpivot([], [f"`{n}`" for n in wide.columns], "_k", "value")
     idx = F.split("_k", r"\|")
     lookup = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(str(i)), F.lit(c))])
-    return long.select(F.element_at(lookup, idx[0]).alias("column"), idx[1].alias("stat"), "value")
+    moments = long.select(F.element_at(lookup, idx[0]).alias("column"), idx[1].alias("stat"), "value")
+    q = exact_column_percentiles(df, cols, {"25%": 0.25, "50%": 0.5, "75%": 0.75})
+    quart = q.unpivot(["column"], ["`25%`", "`50%`", "`75%`"], "stat", "value")
+    return moments.unionByName(quart)
 
 
 def target_summary(df: DataFrame, target: str = "loss_ratio") -> DataFrame:
-    """DQ3: min, Q1, mean, Q3, max of the target."""
+    """DQ3: min, Q1, mean, Q3, max of the target (quartiles by exact selection)."""
+    from ..functions.stats import exact_percentiles
     x = F.col(target).cast("double")
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
-    return df.agg(F.min(x).alias("min"), q[0].alias("q1"), F.avg(x).alias("mean"), q[1].alias("q3"),
-                  F.max(x).alias("max"))
+    q = exact_percentiles(df, target, {"q1": 0.25, "q3": 0.75})
+    return df.agg(F.min(x).alias("min"), F.avg(x).alias("mean"), F.max(x).alias("max")).crossJoin(q) \
+        .select("min", "q1", "mean", "q3", "max")
 
 
 def feature_coverage(df: DataFrame, features=FEATURE_COLUMNS) -> DataFrame:
@@ -102,11 +107,12 @@ def assertions(snapshot: DataFrame, employees: DataFrame, key_cols=("employee_id
         F.count(F.lit(1)).alias("n_emp"),
         sum((F.count_if(F.col(c).isNull()) for c in key_cols if c in employees.columns), F.lit(0)).alias("key_nulls"),
         F.count_if(F.col(id_col).startswith(raw_prefix)).alias("raw_ids"))
+    from ..functions.stats import exact_percentiles
     s = snapshot.agg(
         F.min("loss_ratio").alias("lr_min"), F.count_if(F.col("loss_ratio").isNull()).alias("lr_nulls"),
-        median("loss_ratio").alias("lr_median"),
         F.avg(F.when(F.col("loss_ratio") < 50, 1.0).otherwise(0.0)).alias("pct_normal"),
-        F.corr(F.col("avg_daily_steps").cast("double"), F.col("loss_ratio")).alias("corr_steps_lr"))
+        F.corr(F.col("avg_daily_steps").cast("double"), F.col("loss_ratio")).alias("corr_steps_lr")) \
+        .crossJoin(exact_percentiles(snapshot, "loss_ratio", {"lr_median": 0.5}))
     r = e.crossJoin(s)
     def chk(name, passed, value):
         return F.struct(F.lit(name).alias("check"), passed.alias("passed"), value.cast("double").alias("value"))
