@@ -134,7 +134,8 @@ def _bisect_left(vals, v):
 
 
 def exact_group_percentiles(df: DataFrame, group: str, col: str, probs: dict, buckets: int = 1024,
-                            leaf_rows: int = 50000, max_passes: int = 16, max_groups: int = 10000) -> DataFrame:
+                            leaf_rows: int = 50000, max_passes: int = 16, max_groups: int = 10000,
+                            materialize_input: bool = True) -> DataFrame:
     """Exact per-group linear-interpolated percentiles for a moderate number of (possibly huge) groups.
 
     The grouped form of :func:`exact_percentiles`: every pass joins the rows to a
@@ -148,14 +149,31 @@ def exact_group_percentiles(df: DataFrame, group: str, col: str, probs: dict, bu
     from collections import defaultdict
     from ..session import materialize
     spark = df.sparkSession
-    x = materialize(df.select(F.col(group).alias("g"), F.col(col).cast("double").alias("x"))
-                    .where(F.col("x").isNotNull() & ~F.isnan("x")), "group-selection")
+    x = (df.select(F.col(group).alias("g"), F.col(col).cast("double").alias("x"))
+           .where(F.col("x").isNotNull() & ~F.isnan("x")))
+    if materialize_input:  # callers pass False when ``df`` already is a materialised table
+        x = materialize(x, "group-selection")
     heads = (x.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
              .limit(max_groups + 1).collect())
     if len(heads) > max_groups:
         raise ValueError(f"{len(heads)} groups: use percentiles() for many small groups")
     names = list(probs)
     pending, result = {}, {}
+    if sum(h["n"] for h in heads) <= leaf_rows:  # everything fits one leaf: read it once
+        by_group = defaultdict(list)
+        for row in x.collect():
+            by_group[row["g"]].append(row["x"])
+        for g in by_group:
+            by_group[g].sort()
+        heads_small = heads
+        heads = []
+        for h in heads_small:
+            vals = by_group[h["g"]]
+            for k in names:
+                pos = float(probs[k]) * (h["n"] - 1)
+                for r in {int(pos // 1), min(int(pos // 1) + 1, h["n"] - 1)}:
+                    result[(h["g"], r)] = vals[r]
+            heads.append(h)
     for h in heads:
         for k in names:
             pos = float(probs[k]) * (h["n"] - 1)

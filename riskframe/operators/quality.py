@@ -171,7 +171,7 @@ def fairness_report(df: DataFrame, group: str = "gender", hrs: str = "hrs") -> D
         F.stddev_samp(h).alias("std_hrs"), share(h < 40).alias("pct_low"),
         share((h >= 40) & (h < 60)).alias("pct_moderate"), share((h >= 60) & (h < 80)).alias("pct_high"),
         share(h >= 80).alias("pct_critical"))
-    med = exact_group_percentiles(src, group, hrs, {"median_hrs": 0.5})
+    med = exact_group_percentiles(src, group, hrs, {"median_hrs": 0.5}, materialize_input=False)
     return a.join(med, group, "left").select(group, "n", "mean_hrs", "median_hrs", "std_hrs", "pct_low",
                                             "pct_moderate", "pct_high", "pct_critical")
 
