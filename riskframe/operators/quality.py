@@ -39,7 +39,9 @@ def describe_numeric(df: DataFrame, columns=None) -> DataFrame:
     selection over the stacked columns.
     """
     from ..functions.stats import exact_column_percentiles
+    from ..session import materialize
     cols = columns or _numeric(df)
+    df = materialize(df.select(*cols), "describe")  # read by the moments and the quartiles
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")

@@ -150,8 +150,9 @@ _AUDIT = with_fixtures(CORE_FIXTURES, SNAPSHOT_CTES, FEATURES_CTES, scored_ctes(
 
 def audit_scores(spark, sf):
     """FAI6 -> FEA11 -> FAI5 -> scorecard -> FAI1 (calibrated by the production scorer, SCO1)."""
+    from ..session import materialize
     emp, comp, tele, clin = core_inputs(spark, sf)
-    snap = build_snapshot(emp, tele, clin, comp)
+    snap = materialize(build_snapshot(emp, tele, clin, comp), "snapshot")  # read by scorer and audit paths
     _, scorer = score_employees(snap)
     df = Q.join_gender(snap, emp)
     aligned = Q.align_features(engineer_features_audit(df).withColumnRenamed("age", "age_years")
