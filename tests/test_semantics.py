@@ -53,3 +53,19 @@ def test_marker_code_normalisation(spark):
     df = spark.createDataFrame([("Vit-B12",), ("hs-CRP",), ("HDL ",), ("Uric Acid",), ("XYZ",)], "marker_code string")
     got = [x.domain for x in H.marker_domain(df).collect()]
     assert sorted(got, key=str) == sorted(["vitamin", "inflammation", "heart", "kidney", None], key=str)
+
+
+def test_flagship_partition_invariance(spark, sf):
+    from riskframe.plans.registry import load_all, run
+    load_all()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    results = []
+    try:
+        for n in ("1", "4", "17"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results.append(sorted(run("prt3_portfolio", spark, sf).collect()))
+            results.append(sorted(run("map11_align_distribution", spark, sf).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert results[0] == results[2] == results[4]
+    assert results[1] == results[3] == results[5]
