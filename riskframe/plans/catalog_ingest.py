@@ -80,7 +80,7 @@ def q_validate_wearable(spark, sf):
 @register("ing3_normalize_wearable", oracle=_WEAR + _WEAR_NORM + "\nSELECT * FROM wn",
           floats=["sleep_hours", "spo2"])
 def q_normalize_wearable(spark, sf):
-    """ING3/ING6 (+ING1, ING7, ING13): valid wearable payloads normalised (missing or zero -> default, clamps)."""
+    """ING3/ING6 (+ING1, ING2, ING7, ING13): valid wearable payloads normalised (missing or zero -> default, null-safe clamps)."""
     return wearable_normalized(spark, sf)
 
 
