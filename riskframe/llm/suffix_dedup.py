@@ -7,8 +7,9 @@ each bucket is sorted by a multikey sort that refines only tied rows, and neighb
 Row position is the last sort key, so the suffixes of a very common string spread over many buckets;
 the first and last suffix of each bucket go to a small table in which buckets are compared across
 their boundaries.  A factor that occurs twice is a repeat as a whole.  Where factors share their
-leading token but not their rest, all ``length``-byte suffixes of one representative of each are
-sorted the same way.  The result is exact up to 128-bit names.
+leading token but not their rest, one representative of each is cut again with a longer leading
+token, and where even those agree only in part, all its ``length``-byte suffixes are sorted the same
+way.  The result is exact up to 128-bit names.
 """
 from __future__ import annotations
 
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, doc_key, drop, keep, partitions, text_buffers
-from .factors import expand, factorise, flat_lists
-from .rolling import Roller, covered
+from .factors import Factors, expand, factorise, flat_lists
+from .rolling import Roller, covered, sliding_min
 
 _ROW = "k1 long, k2 long, did long, th long, start int, run int"
 #: Suffixes in one bucket of the sort.
@@ -27,8 +28,8 @@ BUCKET_ROWS = 300_000
 
 
 class _Cutter:
-    def __init__(self, length: int):
-        self.length, self.gram = length, max(1, length // 2)
+    def __init__(self, length: int, gram: int):
+        self.length, self.gram = length, max(1, gram)
         self.bytes = Roller(21)
 
     def __call__(self, data, offsets):
@@ -52,7 +53,7 @@ class _Cutter:
 def _sampled(length: int):
     """(leading token, rest, row key, start, run) of each factor; the run is negative if its anchor repeats."""
     def run(batches):
-        cut = _Cutter(length)
+        cut = _Cutter(length, length // 2)
         for b in batches:
             data, offsets = text_buffers(b.column("text"))
             did, th = b.column("did").to_numpy(), b.column("th").to_numpy()
@@ -73,6 +74,33 @@ def _record(k1, k2, did, th, start, run):
         names=["k1", "k2", "did", "th", "start", "run"])
 
 
+def _cut_again(length: int, gram: int):
+    """Factors with a longer leading token inside the factors in ``parts``."""
+    def run(batches):
+        cut = _Cutter(length, gram)
+        for b in batches:
+            data, offsets = text_buffers(b.column("text"))
+            did, th = b.column("did").to_numpy(), b.column("th").to_numpy()
+            parts, of = flat_lists(b.column("parts"))
+            start, size = (parts.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+            for i, j in chunks(offsets):
+                lo = offsets[i]
+                p, q = np.searchsorted(of, [i, j])
+                part = np.repeat(np.arange(p, q), size[p:q])
+                at = expand(start[p:q], size[p:q]) + (offsets[of[part]] - lo)
+                prefix = cut.bytes.prefix(data[lo:offsets[j]])
+                low = sliding_min(cut.bytes.windows(prefix, gram), length - gram + 1)[at]
+                new = np.ones(len(at), bool)
+                new[1:] = (low[1:] != low[:-1]) | (part[1:] != part[:-1])
+                first = np.flatnonzero(new)
+                f = Factors(at[first], np.diff(np.append(first, len(at))), low[first], np.zeros(0, np.uint64))
+                f.name = cut.bytes.slices(prefix, f.start, f.start + f.run + length - 1)
+                row = of[part[first]]
+                run_size = np.where(cut.repeats_anchor(prefix, f), -f.run, f.run)
+                yield _record(f.anchor, f.name, did[row], th[row], f.start - (offsets[row] - lo), run_size)
+    return run
+
+
 def _suffixes(length: int):
     """All ``length``-byte suffixes of the factors in ``parts``; the leading token is their first 8 bytes."""
     weight = np.uint64(256) ** np.arange(7, -1, -1, dtype=np.uint64)
@@ -209,15 +237,17 @@ def remove_repeated_strings(docs: DataFrame, length: int = 200) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
             .withColumn("did", doc_key()).withColumn("th", F.xxhash64("text"))
     sampled = keep(d.select("did", "th", "text").mapInArrow(_sampled(length), _ROW), "suffixes")
-    whole = _sorted_repeats(sampled)
+    levels = [_sorted_repeats(sampled)]
     drop(sampled)
-    parts = whole.where("kind > 0").groupBy("did", "th").agg(F.collect_set(F.struct("start", "run")).alias("parts"))
-    inner = keep(d.join(parts.hint("shuffle_hash"), ["did", "th"]).select("did", "th", "text", "parts")
-                 .mapInArrow(_suffixes(length), _ROW), "suffixes-inner")
-    single = _sorted_repeats(inner)
-    drop(inner)
-    spans = keep(_repeated(whole).unionByName(_repeated(single)).groupBy("did", "th")
-                 .agg(F.collect_list(F.struct("start", "run")).alias("spans")), "spans")
-    drop(whole, single)
+    for cut in (_cut_again(length, max(1, 9 * length // 10)), _suffixes(length)):
+        parts = levels[-1].where("kind > 0").groupBy("did", "th").agg(
+            F.collect_set(F.struct("start", "run")).alias("parts"))
+        inner = keep(d.join(parts.hint("shuffle_hash"), ["did", "th"]).select("did", "th", "text", "parts")
+                     .mapInArrow(cut, _ROW), "suffixes-inner")
+        levels.append(_sorted_repeats(inner))
+        drop(inner)
+    found = _repeated(levels[0]).unionByName(_repeated(levels[1])).unionByName(_repeated(levels[2]))
+    spans = keep(found.groupBy("did", "th").agg(F.collect_list(F.struct("start", "run")).alias("spans")), "spans")
+    drop(*levels)
     return d.join(spans.hint("shuffle_hash"), ["did", "th"], "left").select("doc_id", "text", "spans") \
             .mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
