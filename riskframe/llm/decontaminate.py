@@ -22,6 +22,8 @@ from .rolling import Roller, mix, words
 
 #: Bytes of benchmark text that one broadcast block may hold.
 BLOCK_BYTES = 16 << 20
+#: Document bytes matched at once: walks cost a fixed number of array steps however many windows there are.
+MATCH_BYTES = 4 << 20
 _SPLIT = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _PAD = np.uint64(0)
 
@@ -181,7 +183,7 @@ def _blocks(benchmark: DataFrame):
 
 def _found(matcher: Matcher, batch, text):
     data, offsets = text_buffers(_lowered(batch.column(text)))
-    for i, j in chunks(offsets):
+    for i, j in chunks(offsets, MATCH_BYTES):
         lo = offsets[i]
         for r, it, s, d in matcher.find(data[lo:offsets[j]], offsets[i:j + 1] - lo):
             yield i + r, it, s, d
