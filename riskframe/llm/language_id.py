@@ -179,7 +179,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
     """The rows of ``docs`` whose language is recognised with at least the score ``least``; columns unchanged."""
-    own = docs.columns
-    found = identify(docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"),
-                                 F.col("doc_id"), F.col("text").cast("string").alias("text")), model)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    at = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for b in batches:
+            got = [scorer.predict(t.as_py()) for t in b.column(at)]
+            yield b.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
