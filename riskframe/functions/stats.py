@@ -1,7 +1,7 @@
 """Distributed statistics helpers."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,231 +28,118 @@ def median(c) -> F.Column:
     return F.percentile(c.cast("double"), F.lit(0.5))
 
 
-def exact_percentiles(df: DataFrame, col: str, probs: dict, buckets: int = 4096, leaf_rows: int = 50000,
-                      max_passes: int = 12, materialize_input: bool = True) -> DataFrame:
-    """Exact linear-interpolated percentiles with bounded memory, by distributed selection.
-
-    ``percentile`` merges a value -> count map of the whole column into one task,
-    which does not survive a continuous column with billions of distinct values.
-    Here each target rank (floor and ceil of p * (n - 1)) is found by histogram
-    refinement: count rows per equal-width bucket inside the current value range
-    (a partial+final aggregate whose result has at most ``buckets`` rows), keep
-    the bucket holding the rank, repeat; once a bucket holds at most
-    ``leaf_rows`` rows (or a single value) its values are sorted and the rank is
-    read off.  Memory per task and on the driver is O(buckets + leaf_rows), and
-    a column with one value repeated a third of the time resolves at once
-    (that bucket's min equals its max).  The input column is materialised once
-    in the shared checkpoint folder because every pass rescans it.
-
-    Returns a one-row DataFrame with one column per entry of ``probs`` (null for
-    an empty input), equal to NumPy / DuckDB ``quantile_cont``.
+#: Buckets per octave of the first pass, and per range of the later ones.
+OCTAVE, RANGE = 256, 1 << 16
+
+
+def _coarse(x):
+    """Bucket of the first pass: sign and logarithm; zero and the infinities have their own."""
+    inf = F.lit(float("inf"))
+    return (F.when(x == 0, 0).when(F.abs(x) == inf, F.signum(x) * 600000)
+            .otherwise(F.signum(x) * (F.floor(F.log2(F.abs(x)) * OCTAVE) + 300000))).cast("int")
+
+
+def _ranks(n, probs):
+    """The 0-based ranks around each probability's position."""
+    low = [F.floor(F.lit(float(p)) * (n - 1)).cast("long") for p in probs]
+    return F.array_distinct(F.array(*low, *[F.least(r + 1, n - 1) for r in low]))
+
+
+def _holding(hist: DataFrame, keys, order) -> DataFrame:
+    """Buckets that hold a wanted rank, with the rows before them and the ranks they hold."""
+    running = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = hist.withColumn("below", F.col("below") + F.coalesce(F.sum("c").over(running), F.lit(0)))
+    held = F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("c")))
+    return placed.withColumn("ranks", held).where(F.size("ranks") > 0)
+
+
+def _quantiles(x: DataFrame, probs: dict, few_groups: bool) -> DataFrame:
+    """Exact linear-interpolated quantiles of ``x(g, x)`` per group, in four passes at any size.
+
+    Every pass counts rows per group and bucket (a partial + final aggregate) and keeps the buckets
+    that hold a wanted rank: buckets of the logarithm, then twice equal-width buckets between the
+    least and the greatest value of the bucket kept.  After that a bucket spans fewer than 2**13
+    neighbouring doubles, whose distinct values are counted and put in order.  No row reaches the
+    driver; ``few_groups`` says that the number of groups is fixed, so that the kept ranges
+    (two per probability and group at most) may be broadcast.
     """
-    spark = df.sparkSession
-    from ..session import materialize
-    x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    if materialize_input:  # callers pass False when ``df`` already is a materialised table
-        x = materialize(x, "selection")
-    head = x.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-    n, lo0, hi0 = head["n"], head["lo"], head["hi"]
-    names = list(probs)
-    if n == 0:
-        return spark.createDataFrame([tuple(None for _ in names)], ", ".join(f"`{k}` double" for k in names))
-
-    ranks = set()
-    for k in names:
-        pos = float(probs[k]) * (n - 1)
-        ranks.update({int(pos // 1), min(int(pos // 1) + 1, n - 1)})
-    if n <= leaf_rows:  # the whole column is one leaf: read it once
-        vals = sorted(r[0] for r in x.collect())
-        result = {r: vals[r] for r in ranks}
-    else:
-        result = _select_ranks(x, sorted(ranks), lo0, hi0, buckets, leaf_rows, max_passes)
-    out = []
-    for k in names:
-        pos = float(probs[k]) * (n - 1)
-        r0 = int(pos // 1)
-        r1 = min(r0 + 1, n - 1)
-        v0, v1 = result[r0], result[r1]
-        out.append(v0 + (pos - r0) * (v1 - v0))
-    return spark.createDataFrame([tuple(out)], ", ".join(f"`{k}` double" for k in names))
-
-
-def _select_ranks(x: DataFrame, ranks, lo0: float, hi0: float, buckets: int, leaf_rows: int,
-                  max_passes: int) -> dict:
-    """Values at the given 0-based ranks of column ``x``; every pass serves all pending ranks that
-    share a value range with one bucket-count aggregate, and all small buckets are read in one job."""
-    from collections import defaultdict
-    pending = {r: (lo0, hi0, 0) for r in ranks}
-    result: dict = {}
-    for _ in range(max_passes):
-        if not pending:
-            return result
-        groups = defaultdict(list)
-        for r, st in pending.items():
-            groups[st].append(r)
-        nxt, leaves = {}, defaultdict(list)
-        for (lo, hi, below), rs in groups.items():
-            if lo == hi:
-                result.update({r: lo for r in rs})
-                continue
-            width = (hi - lo) / buckets
-            b = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
-            part = x.where((F.col("x") >= lo) & (F.col("x") <= hi))
-            counts = sorted((r["b"], r["c"], r["mn"], r["mx"]) for r in part.groupBy(b.alias("b")).agg(
-                F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx")).collect())
-            for r in rs:
-                acc = below
-                for _, c, mn, mx in counts:
-                    if r < acc + c:
-                        if mn == mx:
-                            result[r] = mn
-                        elif c <= leaf_rows:
-                            leaves[(mn, mx)].append((r, acc))
-                        else:
-                            nxt[r] = (mn, mx, acc)
-                        break
-                    acc += c
-        if leaves:
-            cond = None
-            for (mn, mx) in leaves:
-                c = (F.col("x") >= mn) & (F.col("x") <= mx)
-                cond = c if cond is None else cond | c
-            vals = sorted(r[0] for r in x.where(cond).collect())
-            for (mn, mx), reqs in leaves.items():
-                lo_i = _bisect_left(vals, mn)
-                for r, acc in reqs:
-                    result[r] = vals[lo_i + (r - acc)]
-        pending = nxt
-    if pending:
-        raise RuntimeError("exact_percentiles did not converge")
-    return result
-
-
-def _bisect_left(vals, v):
-    import bisect
-    return bisect.bisect_left(vals, v)
-
-
-def exact_group_percentiles(df: DataFrame, group: str, col: str, probs: dict, buckets: int = 1024,
-                            leaf_rows: int = 50000, max_passes: int = 16, max_groups: int = 10000,
-                            materialize_input: bool = True) -> DataFrame:
-    """Exact per-group linear-interpolated percentiles for a moderate number of (possibly huge) groups.
-
-    The grouped form of :func:`exact_percentiles`: every pass joins the rows to a
-    small table of (group, range id, lo, hi) ranges still being refined
-    (broadcast; one row per pending range) and counts rows per (range, bucket),
-    so the driver sees at most ``pending ranges x buckets`` rows per pass however
-    large a group is.  Groups with few rows resolve in the first leaf read.
-    Beyond ``max_groups`` groups, per-group buffers are small and Spark's
-    ``percentile`` is the better tool; we raise instead of silently degrading.
+    count = [F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")]
+    hist = x.groupBy("g", _coarse(F.col("x")).alias("b")).agg(*count)
+    n = F.sum("c").over(Window.partitionBy("g"))
+    hist = hist.withColumn("n", n).withColumn("below", F.lit(0).cast("long")) \
+               .withColumn("ranks", _ranks(F.col("n"), probs.values()))
+    kept = _holding(hist, ["g"], "b")
+    keys = ["g", "n", "rlo", "rhi", "below", "ranks"]
+
+    def rows():
+        ranges = kept.select("g", "n", F.col("lo").alias("rlo"), F.col("hi").alias("rhi"), "below", "ranks")
+        return x.join(F.broadcast(ranges) if few_groups else ranges, "g").where("x >= rlo and x <= rhi")
+
+    for _ in range(2):
+        width = F.when(F.col("rhi") == F.col("rlo"), 0).otherwise(
+            F.least(F.floor((F.col("x") - F.col("rlo")) / (F.col("rhi") - F.col("rlo")) * RANGE), F.lit(RANGE - 1)))
+        kept = _holding(rows().groupBy(*keys, width.cast("int").alias("b")).agg(*count), ["g", "rlo"], "b")
+    last = _holding(rows().groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c")), ["g", "rlo"], "x")
+    at = last.select("g", "n", F.explode("ranks").alias("r"), "x").groupBy("g").agg(
+        F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("r", "x"))).alias("v"))
+
+    def value(p):
+        pos = F.lit(float(p)) * (F.col("n") - 1)
+        low = F.floor(pos).cast("long")
+        a, b = F.col("v")[low], F.col("v")[F.least(low + 1, F.col("n") - 1)]
+        return F.when((a == b) | (pos == low), a).otherwise(a + (pos - low) * (b - a))
+
+    return at.select("g", *[value(p).alias(k) for k, p in probs.items()])
+
+
+def _valued(df: DataFrame, group, col) -> DataFrame:
+    return df.select(group.alias("g"), F.col(col).cast("double").alias("x")).where(
+        F.col("g").isNotNull() & F.col("x").isNotNull() & ~F.isnan("x"))
+
+
+def exact_percentiles(df: DataFrame, col: str, probs: dict, materialize_input: bool = True) -> DataFrame:
+    """Exact linear-interpolated percentiles of a column: one row, one column per entry of ``probs``.
+
+    Nulls and NaN are left out; an infinite value counts as the least or greatest.  An empty input
+    gives nulls.  Equal to NumPy / DuckDB ``quantile_cont``.  The column is written once because
+    every pass reads it; callers whose ``df`` is a stored table pass ``materialize_input=False``.
+    """
+    x = _valued(df, F.lit(0), col)
+    if materialize_input:
+        x = _stored(x, "selection")
+    out = _quantiles(x, probs, True)
+    return df.sparkSession.range(1).select(F.lit(0).alias("g")).join(out, "g", "left").drop("g")
+
+
+def exact_group_percentiles(df: DataFrame, group: str, col: str, probs: dict, materialize_input: bool = True,
+                            few_groups: bool = False) -> DataFrame:
+    """Exact linear-interpolated percentiles per group, for any number and size of groups.
+
+    Null groups, nulls and NaN are left out, as a group-by in pandas does.  One row per group left.
     """
-    from collections import defaultdict
+    x = _valued(df, F.col(group), col)
+    if materialize_input:
+        x = _stored(x, "group-selection")
+    out = _quantiles(x, probs, few_groups)
+    return out.select(F.col("g").alias(group), *probs)
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
     from ..session import materialize
-    spark = df.sparkSession
-    x = (df.select(F.col(group).alias("g"), F.col(col).cast("double").alias("x"))
-           .where(F.col("x").isNotNull() & ~F.isnan("x")))
-    if materialize_input:  # callers pass False when ``df`` already is a materialised table
-        x = materialize(x, "group-selection")
-    heads = (x.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-             .limit(max_groups + 1).collect())
-    if len(heads) > max_groups:
-        raise ValueError(f"{len(heads)} groups: use percentiles() for many small groups")
-    names = list(probs)
-    pending, result = {}, {}
-    if sum(h["n"] for h in heads) <= leaf_rows:  # everything fits one leaf: read it once
-        by_group = defaultdict(list)
-        for row in x.collect():
-            by_group[row["g"]].append(row["x"])
-        for g in by_group:
-            by_group[g].sort()
-        heads_small = heads
-        heads = []
-        for h in heads_small:
-            vals = by_group[h["g"]]
-            for k in names:
-                pos = float(probs[k]) * (h["n"] - 1)
-                for r in {int(pos // 1), min(int(pos // 1) + 1, h["n"] - 1)}:
-                    result[(h["g"], r)] = vals[r]
-            heads.append(h)
-    for h in heads:
-        for k in names:
-            pos = float(probs[k]) * (h["n"] - 1)
-            for r in {int(pos // 1), min(int(pos // 1) + 1, h["n"] - 1)}:
-                pending[(h["g"], r)] = (h["lo"], h["hi"], 0)
-    for _ in range(max_passes):
-        if not pending:
-            break
-        ranges = {}
-        for (g, r), (lo, hi, below) in pending.items():
-            ranges.setdefault((g, lo, hi, below), []).append(r)
-        rid = {key: i for i, key in enumerate(ranges)}
-        nxt, leaves = {}, defaultdict(list)
-        live = [(i, g, lo, hi) for (g, lo, hi, below), i in rid.items() if lo != hi]
-        for (g, lo, hi, below), rs in ranges.items():
-            if lo == hi:
-                result.update({(g, r): lo for r in rs})
-        if live:
-            rt = spark.createDataFrame([(i, g, float(lo), float(hi)) for i, g, lo, hi in live],
-                                       f"rid int, g {x.schema['g'].dataType.simpleString()}, lo double, hi double")
-            j = x.join(F.broadcast(rt), "g").where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
-            width = (F.col("hi") - F.col("lo")) / buckets
-            b = F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(buckets - 1)).cast("int")
-            counts = defaultdict(list)
-            for row in j.groupBy("rid", b.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"),
-                                                          F.max("x").alias("mx")).collect():
-                counts[row["rid"]].append((row["b"], row["c"], row["mn"], row["mx"]))
-            for (g, lo, hi, below), rs in ranges.items():
-                if lo == hi:
-                    continue
-                cs = sorted(counts[rid[(g, lo, hi, below)]])
-                for r in rs:
-                    acc = below
-                    for _, c, mn, mx in cs:
-                        if r < acc + c:
-                            if mn == mx:
-                                result[(g, r)] = mn
-                            elif c <= leaf_rows:
-                                leaves[(g, mn, mx)].append((r, acc))
-                            else:
-                                nxt[(g, r)] = (mn, mx, acc)
-                            break
-                        acc += c
-        if leaves:
-            lt = spark.createDataFrame([(g, float(mn), float(mx)) for (g, mn, mx) in leaves],
-                                       f"g {x.schema['g'].dataType.simpleString()}, mn double, mx double")
-            got = defaultdict(list)
-            for row in x.join(F.broadcast(lt), "g").where((F.col("x") >= F.col("mn")) & (F.col("x") <= F.col("mx"))) \
-                    .select("g", "mn", "mx", "x").collect():
-                got[(row["g"], row["mn"], row["mx"])].append(row["x"])
-            for key, reqs in leaves.items():
-                vals = sorted(got[key])
-                for r, acc in reqs:
-                    result[(key[0], r)] = vals[r - acc]
-        pending = nxt
-    if pending:
-        raise RuntimeError("exact_group_percentiles did not converge")
-    rows = []
-    for h in heads:
-        vals = []
-        for k in names:
-            pos = float(probs[k]) * (h["n"] - 1)
-            r0 = int(pos // 1)
-            r1 = min(r0 + 1, h["n"] - 1)
-            v0, v1 = result[(h["g"], r0)], result[(h["g"], r1)]
-            vals.append(v0 + (pos - r0) * (v1 - v0))
-        rows.append((h["g"], *vals))
-    return spark.createDataFrame(rows, f"`{group}` {x.schema['g'].dataType.simpleString()}, "
-                                 + ", ".join(f"`{k}` double" for k in names))
+    return materialize(df, name)
 
 
 def exact_column_percentiles(df: DataFrame, cols, probs: dict, group_name: str = "column") -> DataFrame:
-    """Exact percentiles of several columns at once: the columns are stacked into (column, value)
-    pairs (a narrow ``explode``) and resolved by one grouped selection, one group per column.
-    Returns one row per column that has at least one non-null value."""
+    """Exact percentiles of several columns at once; one row per column that has a value.
+
+    The table is stored wide, once; each pass unpivots it on the fly in front of its aggregate.
+    """
     cols = list(cols)
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias(group_name), F.col(c).cast("double").alias("value"))
-                                          for c in cols])).alias("_kv")).select(f"_kv.{group_name}", "_kv.value")
-    return exact_group_percentiles(long, group_name, "value", probs)
+    wide = _stored(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]), "columns")
+    long = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("g"), F.col(f"c{i}").alias("x"))
+                                           for i, c in enumerate(cols)])).alias("_kv")).select("_kv.g", "_kv.x") \
+               .where(F.col("x").isNotNull() & ~F.isnan("x"))
+    return _quantiles(long, probs, True).select(F.col("g").alias(group_name), *probs)
 
 
 def exact_medians_row(df: DataFrame, cols, prefix: str = "") -> DataFrame:

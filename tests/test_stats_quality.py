@@ -10,26 +10,35 @@ from riskframe.sources import io as IO
 from riskframe.sources.fixtures import fixture
 
 
-@pytest.mark.parametrize("leaf", [5, 50000])
-def test_exact_percentiles_match_numpy(spark, leaf):
+def test_exact_percentiles_match_numpy(spark):
     rng = np.random.default_rng(7)
-    vals = np.concatenate([rng.lognormal(0, 1, 3000), np.full(2000, 1.5), [np.nan]])
-    df = spark.createDataFrame([(float(v),) for v in vals], "v double").repartition(5)
+    vals = np.concatenate([rng.lognormal(0, 1, 3000), -rng.lognormal(0, 9, 500), np.full(2000, 1.5), [np.nan, 0.0, -0.0]])
+    df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "v double").repartition(5)
     probs = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.95, "e": 1.0, "f": 0.3333}
-    got = exact_percentiles(df, "v", probs, buckets=16, leaf_rows=leaf).first()
+    got = exact_percentiles(df, "v", probs).first()
     clean = vals[~np.isnan(vals)]
     for k, p in probs.items():
-        assert abs(got[k] - np.quantile(clean, p)) < 1e-12
+        assert np.isclose(got[k], np.quantile(clean, p), rtol=1e-12, atol=1e-12)
 
 
-def test_exact_group_percentiles_skewed_groups(spark):
+def test_neighbouring_doubles_and_infinities(spark):
+    step = np.spacing(1.0)
+    vals = [float(1.0 + k * step) for k in range(40)] + [float("inf"), float("-inf")]
+    got = exact_percentiles(spark.createDataFrame([(v,) for v in vals], "v double"), "v", {"lo": 0.0, "m": 0.5, "hi": 1.0}).first()
+    assert got.lo == float("-inf") and got.hi == float("inf") and got.m == np.quantile(sorted(vals)[1:-1], 0.5)
+
+
+@pytest.mark.parametrize("copies", [1, 200])
+def test_group_percentiles_same_at_every_size(spark, copies):
     rng = np.random.default_rng(11)
-    rows = ([("big", float(v)) for v in rng.normal(0, 1, 4000)] + [("big", 2.0)] * 3000
-            + [("one", 9.0)] + [("small", float(v)) for v in rng.normal(5, 2, 11)])
-    df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: r for r in exact_group_percentiles(df, "g", "v", {"m": 0.5, "q": 0.9}, buckets=8, leaf_rows=20).collect()}
+    rows = ([("big", float(v)) for v in rng.normal(0, 1, 700)] + [("big", 2.0)] * 280
+            + [("one", 9.0), (None, 3.0), ("nan", float("nan")), ("null", None), ("inf", float("inf"))]
+            + [("small", float(v)) for v in rng.normal(5, 2, 11)])
+    df = spark.createDataFrame(rows, "g string, v double").crossJoin(spark.range(copies))
+    got = {r.g: r for r in exact_group_percentiles(df, "g", "v", {"m": 0.5, "q": 0.9}).collect()}
+    assert set(got) == {"big", "one", "small", "inf"}  # as many rows reach the driver at either size
     for g in ("big", "one", "small"):
-        vs = np.array([v for gg, v in rows if gg == g])
+        vs = np.repeat(np.array([v for gg, v in rows if gg == g]), copies)
         assert abs(got[g].m - np.quantile(vs, 0.5)) < 1e-12 and abs(got[g].q - np.quantile(vs, 0.9)) < 1e-12
 
 
