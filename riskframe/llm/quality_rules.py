@@ -113,11 +113,12 @@ def oracle_sql(rules=RULES) -> str:
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS x,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
-    list_filter(string_split(coalesce(text, ''), chr(10)), s -> regexp_matches(s, '[^\x20\x09-\x0D]')) AS ls
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS ls
   FROM documents),
 win AS (
-  SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
-  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM t WHERE len(ws) >= 3)),
+  SELECT doc_id, i, a || ' ' || b || ' ' || c AS g
+  FROM (SELECT doc_id, unnest(ws[1:len(ws) - 2]) AS a, unnest(ws[2:len(ws) - 1]) AS b, unnest(ws[3:len(ws)]) AS c,
+          unnest(range(1, len(ws) - 1)) AS i FROM t WHERE len(ws) >= 3)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
 m AS (
@@ -126,9 +127,9 @@ m AS (
     CAST(length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
-    CAST(len(list_filter(ws, w -> lower(w) IN ({stop}))) AS BIGINT) AS n_stop_words,
+    CAST(len(list_filter(ws, lambda w: lower(w) IN ({stop}))) AS BIGINT) AS n_stop_words,
     CAST(len(ls) AS BIGINT) AS n_lines,
-    CAST(len(list_filter(ls, s -> regexp_matches(s, '[.!?:;"''»”)][\x20\x09-\x0D]*$'))) AS BIGINT) AS n_closed_lines
+    CAST(len(list_filter(ls, lambda s: regexp_matches(s, '[.!?:;"''»”)][\x20\x09-\x0D]*$'))) AS BIGINT) AS n_closed_lines
   FROM t LEFT JOIN cov ON t.doc_id = cov.doc_id),
 b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m)
 SELECT *, (NOT base_failed AND {' AND '.join(tests)}) AS kept FROM b"""
