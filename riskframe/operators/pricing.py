@@ -168,7 +168,7 @@ def market_multipliers(quotes: DataFrame, premium: str = PREMIUM_COL) -> DataFra
                    F.struct(F.lit("region").alias("kind"), F.col("region").alias("key")),
                    F.struct(F.lit("overall").alias("kind"), F.lit("").alias("key")))
     long = quotes.select(F.explode(keys).alias("_k"), F.col(premium).alias("_p")).select(
-        F.concat_ws("|", "_k.kind", F.coalesce("_k.key", F.lit(""))).alias("_g"), "_p")
+        F.concat("_k.kind", F.lit("|"), "_k.key").alias("_g"), "_p")  # a null key is no group
     med = exact_group_percentiles(long, "_g", "_p", {"_median": 0.5})
     overall = med.where(F.col("_g") == "overall|").select(F.col("_median").alias("_overall"))
     parts = med.where(F.col("_g") != "overall|").crossJoin(F.broadcast(overall))

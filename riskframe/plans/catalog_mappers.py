@@ -421,18 +421,16 @@ def q_distribution(spark, sf):
     return M.distribution_summary(market_rows(spark, sf))
 
 
-@register("map13_tolerant_union", oracle=with_fixtures(["fx_underwriting", "fx_charges"]) + """
-, c AS (SELECT 'underwriting' AS source, count(*) AS rows FROM fx_underwriting
-        UNION ALL SELECT 'charges', count(*) FROM fx_charges)
+@register("map13_tolerant_union", oracle=with_fixtures(["fx_underwriting"]) + """
+, c AS (SELECT 'excel' AS source, count(*) AS rows FROM fx_underwriting)
 SELECT source, rows FROM c UNION ALL SELECT 'combined', CAST(sum(rows) AS BIGINT) FROM c""")
 def q_tolerant_union(spark, sf):
     """MAP13 (+MAP12, MAP14): in a tolerant mode a source that fails to load (here a missing landed
     snapshot) is skipped; the others are unioned and counted."""
     from ..session import scratch_path
     missing = scratch_path(spark, "missing-snapshot-never-written")
-    u, _errors = M.union_sources_tolerant({
-        "underwriting": lambda: M.map_underwriting(fixture(spark, sf, "fx_underwriting")),
-        "charges": lambda: M.map_charges(fixture(spark, sf, "fx_charges")),
+    u, _skipped = M.training_data("excel-hf", {
+        "excel": lambda: M.map_underwriting(fixture(spark, sf, "fx_underwriting")),
         "hub": lambda: M.map_underwriting(spark.read.parquet(missing)),
-    }, tolerant=True)
+    })
     return M.source_counts(u)

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -21,6 +22,10 @@ _LOCAL_CONF = {
 }
 
 
+#: Intermediate tables that still exist.
+_TABLES: list[str] = []
+
+
 def get_spark(master: str | None = None, app: str = "riskframe", **conf) -> SparkSession:
     """Return (or create) a session; local defaults only apply to a new local session."""
     builder = SparkSession.builder.appName(app)
@@ -37,12 +42,15 @@ def get_spark(master: str | None = None, app: str = "riskframe", **conf) -> Spar
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is configured by the submitter and must be on shared
-    storage; we only read it.  When it is unset (local tests) a scratch folder is
-    created and registered so ``DataFrame.checkpoint()`` works.
+    On a cluster the folder is configured by the submitter and must be on shared storage; an unset
+    one is an error there, since executors could not read each other's files.  On a local master,
+    as in tests, a scratch folder is created and registered.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on master {master!r}")
         d = tempfile.mkdtemp(prefix="riskframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -66,4 +74,14 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _TABLES.append(path)
     return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables that :func:`materialize` wrote; call it when a job's results are stored."""
+    n = len(_TABLES)
+    while _TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

@@ -74,7 +74,6 @@ SELECT concat('EVT_', lpad(cast(o_orderkey AS string), 9, '0')) AS event_id,
        o_totalprice / 20e0 AS claim_amount,
        CASE WHEN o_totalprice / 20e0 > 15000 THEN 1 ELSE 0 END AS hospitalized
 FROM {orders}
-WHERE o_orderstatus <> 'P'
 """
 
 FIXTURE_SQL["fx_lab_results"] = """

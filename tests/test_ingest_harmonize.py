@@ -1,6 +1,8 @@
 """Goldens for ingestion and upload harmonisation."""
 import hashlib
 
+import pytest
+
 
 from riskframe.functions.constants import DEFAULT_HASH_SALT
 from riskframe.functions.expr import coerce_boolean, coerce_flag, pseudonymize
@@ -129,3 +131,50 @@ def test_fill_report_lists_defaulted_fields(spark, sf):
     rep = H.fill_report(rows, "lab").first()
     assert rep.rows == 1 and set(rep.filled_with_defaults) >= {"age", "bmi", "gender", "job_category", "smoker"}
     assert rows.first().diabetic == 1
+
+
+def test_generated_ids_are_unique_for_equal_rows(spark):
+    df = spark.createDataFrame([(30.0, "M")] * 40 + [(41.0, "F")], "age double, gender string")
+    ref = spark.createDataFrame([(30.0, "M", "Manual", 20.0)], "age double, gender string, job_category string, bmi double")
+    ids = [r.employee_id for r in H.fill_defaults(df.repartition(5), ref).select("employee_id").collect()]
+    assert len(set(ids)) == 41
+    again = [r.employee_id for r in H.fill_defaults(df.coalesce(1), ref).select("employee_id").collect()]
+    assert sorted(ids) == sorted(again)
+
+
+def test_checkpoint_folder_is_required_off_local_masters():
+    from riskframe.session import ensure_checkpoint_dir
+
+    class Conf(dict):
+        pass
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
+
+
+def test_release_deletes_intermediate_tables(spark):
+    import os
+
+    from riskframe import session
+    session.materialize(spark.range(3), "probe")
+    path = session._TABLES[-1]
+    assert os.path.isdir(path) and session.release(spark) >= 1
+    assert not os.path.exists(path) and session.release(spark) == 0
+
+
+def test_training_modes(spark):
+    from riskframe.operators import mappers as M
+    one, two = (spark.createDataFrame(rows, "employee_id string, loss_ratio double")
+                for rows in ([("a", 1.0)], [("b", 5.0), ("c", 9.0)]))
+    fail = lambda: spark.read.parquet("/nowhere/at/all")
+    out, skipped = M.training_data("both", {"local": lambda: one, "hub": fail})
+    assert out.count() == 1 and list(skipped) == ["huggingface"]
+    with pytest.raises(ValueError):
+        M.training_data("other", {})
+    with pytest.raises(Exception):
+        M.training_data("hf", {"hub": fail})
+    out, _ = M.training_data("excel-aug-lab", {"excel_augmented": lambda: two, "lab_augmented": lambda: one})
+    got = {(r.dataset_source, r.loss_ratio) for r in out.collect()}
+    assert got == {("excel", 5.0), ("excel", 9.0), ("clinical_lab", 7.0)}
