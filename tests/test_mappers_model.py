@@ -1,4 +1,5 @@
 """Mappers, notes, alignment, partition invariance and model helpers."""
+import pytest
 import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
@@ -76,10 +77,13 @@ def test_infer_schema_kind_and_refusal(spark, sf):
 def test_tolerant_union_skips_failing_source(spark, sf):
     def bad():
         return spark.read.parquet("/nonexistent/path/for/test")
-    u, errors = M.union_sources_tolerant({"charges": lambda: M.map_charges(fixture(spark, sf, "fx_charges")),
-                                          "broken": bad}, tolerant=True)
-    assert [e[0] for e in errors] == ["broken"]
-    assert {r.source for r in M.source_counts(u).collect()} == {"charges", "combined"}
+    u, skipped = M.training_data("both", {"local": lambda: M.map_charges(fixture(spark, sf, "fx_charges")), "hub": bad})
+    assert list(skipped) == ["huggingface"]
+    assert [r[0] for r in u.select("dataset_source").distinct().collect()] == ["local"]
+    with pytest.raises(Exception):
+        M.training_data("hf", {"hub": bad})
+    with pytest.raises(Exception):
+        M.training_data("both", {"local": bad, "hub": bad})
 
 
 def test_quartile_strata_dedupes_edges(spark):
