@@ -71,33 +71,48 @@ def monotone_signs(spark: SparkSession) -> DataFrame:
 
 def quartile_strata(df: DataFrame, y: str = TARGET_LOG, out: str = "stratum") -> DataFrame:
     """MOD1: target quartile strata with deduplicated edges (qcut semantics: right-closed,
-    lowest edge included).  Edges are one exact-percentile aggregate joined back as one row."""
+    lowest edge included).  Quartiles equal to the minimum merge with it, so a target with many
+    equal smallest values has fewer strata.  Edges are one exact selection joined back as one row."""
     from ..functions.stats import exact_percentiles
-    e = exact_percentiles(df, y, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
-    edges = e.select(F.array_distinct(F.array("_q1", "_q2", "_q3")).alias("_edges"))
+    e = exact_percentiles(df, y, {"_q0": 0.0, "_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
+    edges = e.select(F.array_except(F.array("_q1", "_q2", "_q3"), F.array("_q0")).alias("_edges"))
     d = df.crossJoin(F.broadcast(edges))
     label = F.size(F.filter("_edges", lambda x: x < F.col(y)))
     return d.withColumn(out, label).drop("_edges")
 
 
 def stratified_split(df: DataFrame, key: str, strata: str = "stratum", test_frac: float = 0.2, seed: int = 42,
-                     exact: bool = False, out: str = "is_test") -> DataFrame:
-    """MOD2: seeded 80/20 split, stratified.
-
-    Default: a row is in the test set when its keyed uniform draw is below
-    ``test_frac``; the draw is independent of the target, so every stratum gets
-    the same share (exact in expectation, partition-independent, no shuffle).
-    ``exact=True`` takes exactly ceil(test_frac * n) rows per stratum by ranking
-    the draws inside each stratum (a window per stratum: small data only).
+                     out: str = "is_test") -> DataFrame:
+    """MOD2: seeded split with an exact share of every stratum in the test set.
+
+    ceil(test_frac * n) test rows are shared out over the strata in proportion to their sizes, the
+    rows left by rounding down going to the largest remainders.  Inside a stratum the rows with the
+    smallest keyed draws are taken: only (stratum, draw, key) is ranked, across range partitions, to
+    find one cut per stratum, and every row is compared with its cut.  ``key`` identifies a row; rows
+    with equal keys fall on the same side.  ``df`` is read three times, so it should be a stored table.
     """
-    from ..functions.expr import keyed_uniform
-    u = keyed_uniform(key, "split", seed)
-    if not exact:
-        return df.withColumn(out, u < test_frac)
     from pyspark.sql import Window
-    w = Window.partitionBy(strata).orderBy(u, F.col(key))
-    n = F.count(F.lit(1)).over(Window.partitionBy(strata))
-    return df.withColumn(out, F.row_number().over(w) <= F.ceil(n * test_frac))
+    from ..functions.expr import keyed_uniform
+    from ..functions.ranks import _segment_ranks
+    d = df.withColumn("_u", keyed_uniform(key, "split", seed))
+    sizes = d.groupBy(strata).agg(F.count(F.lit(1)).alias("_n"))
+    every = Window.partitionBy()  # one row per stratum
+    total = F.sum("_n").over(every)
+    test = F.ceil(total * F.lit(test_frac))
+    share = F.col("_n").cast("decimal(18,0)") * F.col("_test").cast("decimal(18,0)")
+    quota = (sizes.withColumn("_total", total).withColumn("_test", test)
+                  .withColumn("_left", share % F.col("_total"))
+                  .withColumn("_base", ((share - F.col("_left")) / F.col("_total")).cast("long"))
+                  .withColumn("_more", F.row_number().over(Window.orderBy(F.desc("_left"), F.asc(strata)))
+                              <= F.col("_test") - F.sum("_base").over(every))
+                  .select(strata, (F.col("_base") + F.col("_more").cast("long")).alias("_quota")))
+    ranked = _segment_ranks(d.select(strata, "_u", F.col(key).alias("_k")), strata, [F.col("_u"), F.col("_k")],
+                            int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = ranked.join(F.broadcast(quota), strata).where("_rank = _quota - 1") \
+                 .select(strata, F.col("_u").alias("_cut"), F.col("_k").alias("_cut_key"))
+    inside = (F.col("_u") < F.col("_cut")) | ((F.col("_u") == F.col("_cut")) & (F.col(key) <= F.col("_cut_key")))
+    return (d.join(F.broadcast(cuts), strata, "left").withColumn(out, F.coalesce(inside, F.lit(False)))
+             .select(*df.columns, out))
 
 
 # ---- MOD3-MOD5: fitting -----------------------------------------------------------------------

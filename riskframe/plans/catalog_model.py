@@ -37,15 +37,22 @@ def _training_table(spark, sf):
 
 
 _STRATA = _BASE + f"""
-, qe AS (SELECT list_distinct([quantile_cont(loss_ratio_log, 0.25), quantile_cont(loss_ratio_log, 0.5),
-                               quantile_cont(loss_ratio_log, 0.75)]) AS edges FROM or_pred),
-sp AS (SELECT p.*, len(list_filter(edges, lambda x: x < p.loss_ratio_log)) AS stratum,
-              {j_uniform('p.employee_key', 'split')} < 0.2 AS is_test FROM or_pred p CROSS JOIN qe)"""
+, qe AS (SELECT list_filter(list_distinct([quantile_cont(loss_ratio_log, 0.25), quantile_cont(loss_ratio_log, 0.5),
+                               quantile_cont(loss_ratio_log, 0.75)]), lambda x: x > min(loss_ratio_log)) AS edges FROM or_pred),
+s0 AS (SELECT p.*, len(list_filter(edges, lambda x: x < p.loss_ratio_log)) AS stratum,
+              {j_uniform('p.employee_key', 'split')} AS draw FROM or_pred p CROSS JOIN qe),
+sz AS (SELECT stratum, count(*)::HUGEINT AS n, (SELECT count(*)::HUGEINT FROM s0) AS total,
+              (SELECT CAST(ceil(count(*) * 0.2e0) AS HUGEINT) FROM s0) AS test FROM s0 GROUP BY stratum),
+sh AS (SELECT stratum, n * test // total AS base, n * test % total AS rest, test FROM sz),
+sq AS (SELECT stratum, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, stratum) <= test - sum(base) OVER ()
+                                   THEN 1 ELSE 0 END AS quota FROM sh),
+sp AS (SELECT s0.* EXCLUDE (draw), row_number() OVER (PARTITION BY s0.stratum ORDER BY draw, employee_key) <= quota AS is_test
+       FROM s0 JOIN sq ON sq.stratum = s0.stratum)"""
 
 
 @register("mod1_2_strata_split", oracle=_STRATA + "\nSELECT employee_key, CAST(stratum AS INTEGER) AS stratum, is_test FROM sp")
 def q_strata(spark, sf):
-    """MOD1 + MOD2: target quartile strata (deduplicated edges) and the seeded, stratified 80/20 split."""
+    """MOD1 + MOD2: target quartile strata (deduplicated edges) and the seeded 80/20 split, exact in every stratum."""
     return _split(spark, sf).select("employee_key", "stratum", "is_test")
 
 

@@ -92,11 +92,26 @@ def test_quartile_strata_dedupes_edges(spark):
     assert s[0] == 0 and max(s) <= 3 and s == sorted(s)
 
 
-def test_split_share(spark, sf):
-    from riskframe.plans.catalog_model import _split
-    d = _split(spark, sf)
-    share = d.agg(F.avg(F.col("is_test").cast("double"))).first()[0]
-    assert 0.1 < share < 0.3
+@pytest.mark.parametrize("values", [[0.0] * 60 + [i / 7 for i in range(40)], [0.0] * 30 + [1.0] * 70,
+                                    [float(i % 13) for i in range(101)]])
+def test_quartile_strata_equal_qcut(spark, values):
+    import pandas as pd
+    df = spark.createDataFrame(list(enumerate(values)), "i int, loss_ratio_log double")
+    got = [r.stratum for r in MD.quartile_strata(df).orderBy("i").collect()]
+    assert got == list(pd.qcut(values, 4, labels=False, duplicates="drop"))
+
+
+def test_split_takes_an_exact_share_of_every_stratum(spark):
+    rows = [(f"e{i}", 0 if i < 137 else 1 + i % 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "employee_key string, stratum int")
+    got = {r.stratum: (r.n, r.t) for r in MD.stratified_split(df, "employee_key").groupBy("stratum").agg(
+        F.count("*").alias("n"), F.count_if("is_test").alias("t")).collect()}
+    assert sum(t for _, t in got.values()) == 80
+    assert all(abs(t - n * 0.2) < 1 for n, t in got.values())
+    again = MD.stratified_split(df.repartition(7), "employee_key").where("is_test").select("employee_key").collect()
+    first = MD.stratified_split(df.coalesce(1), "employee_key").where("is_test").select("employee_key").collect()
+    assert sorted(again) == sorted(first)
+    assert MD.stratified_split(df.limit(0), "employee_key").count() == 0
 
 
 def test_rank_within_hot_keys_equals_window(spark):
