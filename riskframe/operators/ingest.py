@@ -6,7 +6,7 @@ of a stream) into valid rows and rejected rows with all their reasons.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import (COMPANY_ID_PATTERN, DEFAULT_HASH_SALT, EVENT_TYPES, VALID_GENDER,
@@ -201,11 +201,12 @@ def upsert_roster(target: DataFrame, batch: DataFrame, key: str = "employee_id",
     """ING17: insert new people; for existing keys update age, bmi, the three conditions and job.
 
     ``gender`` and ``company_id`` are never updated.  Within a batch the last row
-    per key (by ``order``) wins.  Implemented as a full outer join on the key
+    per key (by ``order``, ties by the row's values) wins: one partial + final ``max`` per key, so a
+    key with very many rows needs no sort.  Implemented as a full outer join on the key
     with per-column coalesce (MERGE is not available on Parquet tables).
     """
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    last = batch.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", order)
+    rest = [c for c in batch.columns if c not in (key, order)]
+    last = batch.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("_last")).select(key, *[f"_last.{c}" for c in rest])
     t, b = target.alias("t"), last.alias("b")
     j = t.join(b, F.col(f"t.{key}") == F.col(f"b.{key}"), "full_outer")
     cols = [F.coalesce(F.col(f"t.{key}"), F.col(f"b.{key}")).alias(key)]
@@ -219,22 +220,20 @@ def upsert_roster(target: DataFrame, batch: DataFrame, key: str = "employee_id",
     return j.select(*cols)
 
 
-def ingest_receipt(valid: DataFrame, rejected: DataFrame, batch: str = "company_id",
-                   row: str = "row_no") -> DataFrame:
-    """ING18: per batch: received, stored, error strings, status success/partial.
+def ingest_receipt(valid: DataFrame, rejected: DataFrame, batch: str = "company_id") -> DataFrame:
+    """ING18: per batch: rows received, stored and rejected, status success/partial.
 
-    A batch holds at most 1000 members (ING10 rejects larger ones), which bounds
-    the error list of one receipt.
+    The error lines are rows of their own (:func:`receipt_errors`), so no task holds a batch's list.
     """
     v = valid.groupBy(batch).agg(F.count(F.lit(1)).alias("records_stored"))
-    r = (rejected.groupBy(batch).agg(F.count(F.lit(1)).alias("_rejected"),
-                                     F.sort_array(F.collect_list(F.struct(
-                                         F.col(row).alias("row"),
-                                         F.concat(F.lit("row_"), F.col(row).cast("string"), F.lit(": "),
-                                                  F.array_join("errors", "; ")).alias("msg")))).alias("_errs")))
-    j = v.join(r, batch, "full_outer")
-    stored = F.coalesce("records_stored", F.lit(0))
-    received = stored + F.coalesce("_rejected", F.lit(0))
-    return j.select(batch, received.alias("records_received"), stored.alias("records_stored"),
-                    F.coalesce(F.transform("_errs", lambda e: e["msg"]), F.array().cast("array<string>")).alias("errors"),
-                    F.when(stored == received, "success").otherwise("partial").alias("status"))
+    r = rejected.groupBy(batch).agg(F.count(F.lit(1)).alias("_rejected"))
+    stored, errors = F.coalesce("records_stored", F.lit(0)), F.coalesce("_rejected", F.lit(0))
+    return v.join(r, batch, "full_outer").select(
+        batch, (stored + errors).alias("records_received"), stored.alias("records_stored"), errors.alias("n_errors"),
+        F.when(errors == 0, "success").otherwise("partial").alias("status"))
+
+
+def receipt_errors(rejected: DataFrame, batch: str = "company_id", row: str = "row_no") -> DataFrame:
+    """ING18: the receipt's error lines, one row per rejected row: ``row_<n>: <reason>; <reason>``."""
+    return rejected.select(batch, row, F.concat(F.lit("row_"), F.col(row).cast("string"), F.lit(": "),
+                                                F.array_join("errors", "; ")).alias("error"))

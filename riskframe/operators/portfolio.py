@@ -86,7 +86,7 @@ def portfolio_alerts(pf: DataFrame, max_alerts: int = 4) -> DataFrame:
 
     Any Critical (first two names by name, "+n more"); more than one High;
     premium adjustment > 10%; mean HRS > 50; any Low.  Two one-row aggregates
-    (the second finds the second-smallest critical name), no list collection.
+    (the second finds the second critical name, which may equal the first), no list collection.
     """
     crit = F.col("risk_band") == "Critical"
     a = pf.agg(
@@ -97,8 +97,10 @@ def portfolio_alerts(pf: DataFrame, max_alerts: int = 4) -> DataFrame:
         F.avg("mean_hrs").alias("avg_hrs"),
         F.count_if(F.col("risk_band") == "Low").alias("n_low"),
     )
+    first = crit & (F.col("company_name") == F.col("name1"))
     b = pf.crossJoin(F.broadcast(a.select("name1"))).agg(
-        F.min(F.when(crit & (F.col("company_name") > F.col("name1")), F.col("company_name"))).alias("name2"))
+        F.when(F.count_if(first) > 1, F.min(F.when(first, F.col("company_name"))))
+         .otherwise(F.min(F.when(crit & (F.col("company_name") > F.col("name1")), F.col("company_name")))).alias("name2"))
     s = a.crossJoin(F.broadcast(b))
     names = F.when(F.col("name2").isNull(), F.col("name1")).otherwise(F.concat_ws(", ", "name1", "name2"))
     suffix = F.when(F.col("n_crit") > 2, F.concat(F.lit(" +"), (F.col("n_crit") - 2).cast("string"), F.lit(" more"))) \

@@ -97,6 +97,10 @@ def q_require_company(spark, sf):
         bad.select("event_id", "company_id", F.lit(False).alias("company_known")))
 
 
+STREAMED_WEARABLES_SQL = _WEAR + _WEAR_NORM + f"""
+SELECT * FROM wn WHERE company_id IN (SELECT company_id FROM fx_companies) AND employee_id IN {_EMP_IDS}"""
+
+
 @register("ing15_require_employee", oracle=_WEAR + _WEAR_NORM + f"""
 SELECT event_id, employee_id FROM wn WHERE company_id IN (SELECT company_id FROM fx_companies)
   AND employee_id IN {_EMP_IDS}""")
@@ -136,14 +140,22 @@ def q_validate_clinical(spark, sf):
     return rej.select("payload_id", F.array_join("errors", "; ").alias("reasons"))
 
 
-@register("ing4_normalize_clinical", oracle=_CLIN + f"""
-SELECT payload_id,
-       'EVT_' || upper(substr(sha256(concat_ws('|', external_employee_id, company_id, CAST(month_no AS VARCHAR), event_type,
-              icd10_code, CAST(claim_amount AS VARCHAR))), 1, 16)) AS event_id,
-       {_pseudo_sql('external_employee_id')} AS employee_id, company_id, CAST(month_no AS INTEGER) AS month_no, event_type,
-       upper(trim(icd10_code)) AS icd10_code, {rnd('claim_amount', 2)} AS claim_amount,
-       coalesce(CAST(hospitalized AS INTEGER), 0) AS hospitalized
-FROM v WHERE len(errors) = 0""", floats=["claim_amount"])
+_CLIN_NORM = f"""
+, cn AS (
+  SELECT payload_id,
+         'EVT_' || upper(substr(sha256(concat_ws('|', external_employee_id, company_id, CAST(month_no AS VARCHAR), event_type,
+                icd10_code, CAST(claim_amount AS VARCHAR))), 1, 16)) AS event_id,
+         {_pseudo_sql('external_employee_id')} AS employee_id, company_id, CAST(month_no AS INTEGER) AS month_no, event_type,
+         upper(trim(icd10_code)) AS icd10_code, {rnd('claim_amount', 2)} AS claim_amount,
+         coalesce(CAST(hospitalized AS INTEGER), 0) AS hospitalized
+  FROM v WHERE len(errors) = 0)"""
+STREAMED_CLINICAL_SQL = _CLIN.replace(with_fixtures(["fx_clinical_payload"]),
+                                      with_fixtures(["fx_clinical_payload", "fx_employees", "fx_companies"])) + _CLIN_NORM + f"""
+SELECT * FROM (SELECT * FROM cn QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY payload_id) = 1)
+WHERE company_id IN (SELECT company_id FROM fx_companies) AND employee_id IN {_EMP_IDS}"""
+
+
+@register("ing4_normalize_clinical", oracle=_CLIN + _CLIN_NORM + "\nSELECT * FROM cn", floats=["claim_amount"])
 def q_normalize_clinical(spark, sf):
     """ING4 (+ING8): valid clinical payloads normalised, with an idempotent event id."""
     valid, _ = I.split_valid(I.validate_clinical(fixture(spark, sf, "fx_clinical_payload")))
@@ -202,7 +214,7 @@ def _target_roster(spark, sf):
                     "smoker", "diabetic", "hypertension", "job_category")
 
 
-@register("ing17_upsert_roster", oracle=_ROSTER + f"""
+UPSERTED_SQL = _ROSTER + f"""
 , b AS (SELECT * FROM bn QUALIFY row_number() OVER (PARTITION BY employee_id ORDER BY row_no DESC) = 1),
 t AS (SELECT {_pseudo_sql('raw_id')} AS employee_id, company_id, age, gender, bmi, smoker, diabetic, hypertension,
              job_category FROM fx_employees)
@@ -214,7 +226,10 @@ SELECT coalesce(t.employee_id, b.employee_id) AS employee_id, coalesce(t.company
        CASE WHEN b.employee_id IS NOT NULL THEN b.diabetic ELSE t.diabetic END AS diabetic,
        CASE WHEN b.employee_id IS NOT NULL THEN b.hypertension ELSE t.hypertension END AS hypertension,
        CASE WHEN b.employee_id IS NOT NULL THEN b.job_category ELSE t.job_category END AS job_category
-FROM t FULL OUTER JOIN b ON t.employee_id = b.employee_id""", floats=["bmi"])
+FROM t FULL OUTER JOIN b ON t.employee_id = b.employee_id"""
+
+
+@register("ing17_upsert_roster", oracle=UPSERTED_SQL, floats=["bmi"])
 def q_upsert(spark, sf):
     """ING17 (+ING5, ING9): roster upsert: last batch row per person wins; gender and company never change."""
     valid, _ = I.split_valid(roster_checked(spark, sf))
@@ -222,11 +237,13 @@ def q_upsert(spark, sf):
     return I.upsert_roster(_target_roster(spark, sf), batch, "employee_id", "row_no")
 
 
-@register("ing18_ingest_receipt")
+@register("ing18_ingest_receipt", oracle=_ROSTER + """
+SELECT company_id, row_no, 'row_' || CAST(row_no AS VARCHAR) || ': ' || array_to_string(errors, '; ') AS error
+FROM v WHERE len(errors) > 0""")
 def q_receipt(spark, sf):
-    """ING18: per-company roster receipt: received, stored, error strings, success/partial."""
-    valid, rej = I.split_valid(roster_checked(spark, sf))
-    return I.ingest_receipt(valid, rej, "company_id", "row_no")
+    """ING18: the error lines of every company's roster receipt, one row each."""
+    _, rej = I.split_valid(roster_checked(spark, sf))
+    return I.receipt_errors(rej, "company_id", "row_no")
 
 
 @register("ing18_receipt_counts", oracle=_ROSTER + """
@@ -237,9 +254,7 @@ FROM v GROUP BY company_id""")
 def q_receipt_counts(spark, sf):
     """ING18: receipt counts and status per company batch."""
     valid, rej = I.split_valid(roster_checked(spark, sf))
-    r = I.ingest_receipt(valid, rej, "company_id", "row_no")
-    return r.select("company_id", "records_received", "records_stored", F.size("errors").cast("bigint").alias("n_errors"),
-                    "status")
+    return I.ingest_receipt(valid, rej, "company_id")
 
 
 # ---- scoring / pricing requests --------------------------------------------------------------

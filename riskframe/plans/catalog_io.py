@@ -19,6 +19,7 @@ from ..sources.fixtures import fixture
 from ..sources.tables import BASE_TABLES, read_table
 from ..streaming import ingest_streams as STR
 from .catalog_core import snapshot
+from .catalog_ingest import STREAMED_CLINICAL_SQL, STREAMED_WEARABLES_SQL, UPSERTED_SQL
 from .catalog_harmonize import UPLOAD_HEADERS, upload
 from .catalog_mappers import _FEATS, _FLOATS_INT_COUNTS, _uw_sql
 from .oracle_sql import CORE_FIXTURES, SNAPSHOT_CTES, with_fixtures
@@ -183,7 +184,7 @@ def _employees_pseudo(spark, sf):
                                                      "hypertension", "job_category")
 
 
-@register("str1_stream_wearables")
+@register("str1_stream_wearables", oracle=STREAMED_WEARABLES_SQL, floats=["sleep_hours", "spo2"])
 def q_stream_wearables(spark, sf):
     """STR1: wearable payloads streamed (availableNow) through validate -> normalise -> checks -> sink."""
     src, schema = _land(spark, fixture(spark, sf, "fx_wearable_payload"), "wearable-src")
@@ -192,7 +193,7 @@ def q_stream_wearables(spark, sf):
     return spark.read.parquet(out).drop("batch_id")
 
 
-@register("str2_stream_clinical")
+@register("str2_stream_clinical", oracle=STREAMED_CLINICAL_SQL, floats=["claim_amount"])
 def q_stream_clinical(spark, sf):
     """STR2: clinical payloads streamed with idempotent event ids (dedupe + anti join to the sink)."""
     src, schema = _land(spark, fixture(spark, sf, "fx_clinical_payload"), "clinical-src")
@@ -201,7 +202,7 @@ def q_stream_clinical(spark, sf):
     return spark.read.parquet(out).drop("batch_id")
 
 
-@register("str3_stream_roster")
+@register("str3_stream_roster", oracle=UPSERTED_SQL, floats=["bmi"])
 def q_stream_roster(spark, sf):
     """STR3: roster payloads streamed as upserts; the latest roster version."""
     src, schema = _land(spark, fixture(spark, sf, "fx_roster_payload"), "roster-src")

@@ -261,8 +261,8 @@ def q_kpis(spark, sf):
          count(*) FILTER (WHERE risk_band = 'High') AS n_high,
          count(*) FILTER (WHERE adjustment_pct > 10) AS n_adj, avg(mean_hrs) AS avg_hrs,
          count(*) FILTER (WHERE risk_band = 'Low') AS n_low FROM or_pf),
-b AS (SELECT min(company_name) FILTER (WHERE risk_band = 'Critical' AND company_name > a.name1) AS name2
-      FROM or_pf CROSS JOIN a),
+b AS (SELECT max(company_name) FILTER (WHERE place = 2) AS name2
+      FROM (SELECT company_name, row_number() OVER (ORDER BY company_name) AS place FROM or_pf WHERE risk_band = 'Critical')),
 al AS (
   SELECT 1 AS ord, n_crit > 0 AS "on", 'high' AS severity,
          concat(CASE WHEN name2 IS NULL THEN name1 ELSE name1 || ', ' || name2 END,

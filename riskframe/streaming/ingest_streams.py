@@ -70,14 +70,18 @@ def stream_clinical(spark: SparkSession, source: str, schema: StructType, compan
                     salt: str = DEFAULT_HASH_SALT, key: str = "payload_id"):
     """STR2: as STR1 for claims events, exactly-once by the idempotent ``event_id``.
 
-    Inside each micro-batch: dedupe on ``event_id``, then ``left_anti`` against
-    the events already stored, so a replayed event is never stored twice.
+    Inside each micro-batch the copy of an ``event_id`` with the smallest ``key`` is kept (a partial +
+    final aggregate), then ``left_anti`` against the events already stored, so a replayed event is
+    never stored twice.
     """
     stream = spark.readStream.schema(schema).parquet(source)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         valid, rejected = I.split_valid(I.validate_clinical(batch))
-        norm = I.normalize_clinical(valid, salt, keep=[key]).dropDuplicates(["event_id"])
+        norm = I.normalize_clinical(valid, salt, keep=[key])
+        rest = [c for c in norm.columns if c not in ("event_id", key)]
+        norm = norm.groupBy("event_id").agg(F.min(F.struct(key, *rest)).alias("_first")) \
+                   .select("event_id", *[f"_first.{c}" for c in norm.columns if c != "event_id"])
         ok, unknown_co = I.require_company(norm, companies)
         good, unknown_emp = I.require_employee(ok, employees.select("employee_id"))
         if _exists(spark, out):
@@ -100,7 +104,8 @@ def stream_clinical(spark: SparkSession, source: str, schema: StructType, compan
 def stream_roster(spark: SparkSession, source: str, schema: StructType, initial: DataFrame, out: str,
                   dead_letter: str, checkpoint: str, salt: str = DEFAULT_HASH_SALT, order: str = "row_no"):
     """STR3: roster upserts by key.  Batch n reads roster version n-1 (or ``initial``) and writes
-    version n, so replaying batch n rebuilds the same version."""
+    version n, so replaying batch n rebuilds the same version.  A missing version n-1 is an error:
+    starting anew from ``initial`` would lose the upserts of all earlier batches."""
     stream = spark.readStream.schema(schema).parquet(source)
     cols = initial.columns
 
@@ -108,7 +113,9 @@ def stream_roster(spark: SparkSession, source: str, schema: StructType, initial:
         valid, rejected = I.split_valid(I.validate_employee(batch))
         norm = I.normalize_employee(valid, salt, keep=[order])
         prev = os.path.join(out, f"version={batch_id - 1}")
-        target = spark.read.parquet(prev) if batch_id > 0 and _exists(spark, prev) else initial
+        if batch_id > 0 and not _exists(spark, prev):
+            raise RuntimeError(f"roster version {batch_id - 1} is missing in {out}")
+        target = spark.read.parquet(prev) if batch_id > 0 else initial
         new = I.upsert_roster(target.select(*cols), norm, "employee_id", order)
         new.write.mode("overwrite").parquet(os.path.join(out, f"version={batch_id}"))
         _write_batch(_dead_letter(rejected.select(order, "errors")), dead_letter, batch_id)

@@ -65,8 +65,10 @@ def test_receipt_status_and_errors(spark):
     valid, rej = I.split_valid(I.validate_employee(df))
     r = {x.company_id: x for x in I.ingest_receipt(valid, rej).collect()}
     assert (r["C1"].records_received, r["C1"].records_stored, r["C1"].status) == (2, 1, "partial")
-    assert r["C1"].errors[0].startswith("row_2: age") and "gender" in r["C1"].errors[0]
-    assert (r["C2"].status, r["C2"].errors) == ("success", [])
+    assert (r["C2"].status, r["C2"].n_errors) == ("success", 0)
+    errors = I.receipt_errors(rej).collect()
+    assert [(e.company_id, e.row_no) for e in errors] == [("C1", 2)]
+    assert errors[0].error.startswith("row_2: age") and "gender" in errors[0].error
 
 
 def test_alerts_order_and_cap(spark):
@@ -81,6 +83,13 @@ def test_alerts_order_and_cap(spark):
     assert [a.band for a in al] == ["Critical", "High", "Moderate", "Moderate"]
 
 
+def test_alerts_name_both_of_two_critical_companies_with_one_name(spark):
+    pf = spark.createDataFrame([("c1", "Twin", "Critical", 90.0, 0.0), ("c2", "Twin", "Critical", 90.0, 0.0),
+                                ("c3", "Zed", "Critical", 90.0, 0.0)],
+                               "company_id string, company_name string, risk_band string, mean_hrs double, adjustment_pct double")
+    assert P.portfolio_alerts(pf).orderBy("position").first().message.startswith("Twin, Twin +1 more")
+
+
 def test_constraint_report_finds_orphans(spark, sf):
     comp = fixture(spark, sf, "fx_companies").where("company_id <> 'COMP_001'")
     emp = fixture(spark, sf, "fx_employees").withColumnRenamed("employee_key", "employee_id")

@@ -75,3 +75,17 @@ def test_clinical_stream_replay_stores_each_event_once(spark, sf):
     STR.stream_clinical(spark, src, payload.schema, comp, emp, out, dl, scratch_path(spark, f"t-cck2-{uuid.uuid4().hex}"))
     ev = spark.read.parquet(out)
     assert ev.count() == first and ev.select("event_id").distinct().count() == first
+
+
+def test_roster_stream_fails_when_an_earlier_version_is_missing(spark, sf):
+    import pytest
+    from riskframe.plans.catalog_io import _employees_pseudo
+    payload = fixture(spark, sf, "fx_roster_payload")
+    src, out, dl, ck = (scratch_path(spark, f"t-m{n}-{uuid.uuid4().hex}") for n in ("src", "out", "dl", "ck"))
+    other = scratch_path(spark, f"t-mother-{uuid.uuid4().hex}")
+    payload.limit(5).write.mode("append").parquet(src)
+    args = (spark, src, payload.schema, _employees_pseudo(spark, sf))
+    STR.stream_roster(*args, out, dl, ck)
+    payload.limit(7).write.mode("append").parquet(src)
+    with pytest.raises(Exception, match="roster version 0 is missing"):
+        STR.stream_roster(*args, other, dl, ck)
