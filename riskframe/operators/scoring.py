@@ -59,16 +59,25 @@ def scorer_state(scorer: DataFrame) -> DataFrame:
 
 # ---- SCO5-SCO7: employee and company results -----------------------------------------
 
-def predict_employees(scored: DataFrame, scorer: DataFrame, col: str = "log_pred") -> DataFrame:
-    """SCO5: per employee: expm1 loss ratio (4 dp), HRS (1 dp; band from the unrounded value)."""
+def predict_employees(scored: DataFrame, scorer: DataFrame, col: str = "log_pred", weights: dict | None = None,
+                      means: DataFrame | None = None, n: int = 5) -> DataFrame:
+    """SCO5: per employee: expm1 loss ratio (4 dp), HRS (1 dp; band from the unrounded value).
+
+    With ``weights`` and ``means`` also ``top_drivers``: the n drivers of :func:`top_drivers` as an
+    array, ranked inside the row.
+    """
     s = scorer.select("p05", "p95")
     h = hrs_expr(col)
-    return (scored.crossJoin(F.broadcast(s))
-                  .withColumn("_hrs", h)
-                  .withColumn("predicted_loss_ratio", round_even(F.expm1(F.col(col)), 4))
-                  .withColumn("health_risk_score", round_even(F.col("_hrs"), 1))
-                  .withColumn("risk_band", risk_band("_hrs"))
-                  .drop("p05", "p95", "_hrs"))
+    out = (scored.crossJoin(F.broadcast(s))
+                 .withColumn("_hrs", h)
+                 .withColumn("predicted_loss_ratio", round_even(F.expm1(F.col(col)), 4))
+                 .withColumn("health_risk_score", round_even(F.col("_hrs"), 1))
+                 .withColumn("risk_band", risk_band("_hrs"))
+                 .drop("p05", "p95", "_hrs"))
+    if weights is None:
+        return out
+    out = with_contributions(out, weights, means)
+    return out.withColumn("top_drivers", _ranked_drivers(n)).drop(*[f"_phi_{f}" for f in FEATURE_COLUMNS])
 
 
 def predict_companies(scored: DataFrame, group: str = "company_id", hrs: str = "hrs",
@@ -76,9 +85,9 @@ def predict_companies(scored: DataFrame, group: str = "company_id", hrs: str = "
     """SCO6 + SCO7: company aggregate and band mix in one partial+final aggregate.
 
     employee_count, mean expm1 loss ratio (4 dp), mean of the 1-dp HRS (1 dp; band
-    from the unrounded mean), and the four band percentages (1 dp).  The HRS
-    distribution is summarised by the band mix and the histogram operator
-    (PRT8) rather than a per-company list, which would grow with the company.
+    from the unrounded mean), and the four band percentages (1 dp).  The list of
+    all scores is a table of its own (:func:`hrs_distribution`), as it grows with the company;
+    :func:`company_result` adds the drivers.
     """
     h = F.col(hrs)
     pct = lambda cond: round_even(F.avg(F.when(cond, 1.0).otherwise(0.0)) * 100.0, 1)
@@ -106,13 +115,24 @@ def band_mix(scored: DataFrame, group: str = "company_id", hrs: str = "hrs") ->
         group, "low_risk_pct", "moderate_risk_pct", "high_risk_pct", "critical_risk_pct")
 
 
-def hrs_distribution(scored: DataFrame, group: str = "company_id", hrs: str = "hrs") -> DataFrame:
-    """SCO6 (optional column): the sorted HRS list per group.
+def company_result(companies: DataFrame, importance: DataFrame, group: str = "company_id", n: int = 5) -> DataFrame:
+    """SCO6: the company rows with ``top_risk_drivers``: its n features of largest mean |contribution|
+    (SCO9) in order, at most n entries per company."""
+    drivers = importance.where(F.col("rank") <= n).groupBy(group).agg(F.sort_array(F.collect_list(
+        F.struct("rank", "feature", "importance"))).alias("top_risk_drivers"))
+    return companies.join(drivers, group, "left")
+
+
+def hrs_distribution(scored: DataFrame, group: str = "company_id", hrs: str = "hrs", chunk: int = 10_000) -> DataFrame:
+    """SCO6: all scores of every group in ascending order, ``chunk`` scores a row.
 
-    Kept for API parity with the reference response; the list grows with the
-    group, so portfolio jobs use the band mix / histogram instead.
+    Scores are ranked by :func:`functions.ranks.rank_within`, which spreads a large group over many
+    tasks, and collected by (group, rank // chunk): no task holds more than ``chunk`` scores of a row.
     """
-    return scored.groupBy(group).agg(F.sort_array(F.collect_list(hrs)).alias("hrs_distribution"))
+    from ..functions.ranks import rank_within
+    r = rank_within(scored.select(group, F.col(hrs).alias("_hrs")), group, ["_hrs"])
+    part = F.floor(F.col("_rank") / chunk).cast("long")
+    return r.groupBy(group, part.alias("chunk")).agg(F.sort_array(F.collect_list("_hrs")).alias("hrs_distribution"))
 
 
 # ---- SCO8-SCO10: explanations --------------------------------------------------------
@@ -139,17 +159,25 @@ def top_drivers(df: DataFrame, key: str, weights: dict, means: DataFrame, n: int
     so there is no shuffle and no window.  Ties on |contribution| keep feature order.
     """
     c = with_contributions(df, weights, means, features)
+    return driver_rows(c.select(key, _ranked_drivers(n, features).alias("top_drivers")), key)
+
+
+def _ranked_drivers(n: int, features=FEATURE_COLUMNS) -> F.Column:
+    """The n largest contributions of a row as an array of (feature, value, shap_value, direction)."""
     structs = [F.struct(F.abs(F.col(f"_phi_{f}")).alias("a"), F.lit(i).alias("i"), F.lit(f).alias("feature"),
                         F.col(f).cast("double").alias("value"), F.col(f"_phi_{f}").alias("shap_value"))
                for i, f in enumerate(features)]
-    arr = F.array(*structs)
-    ranked = F.slice(F.array_sort(arr, lambda x, y: F.when(x["a"] > y["a"], -1).when(x["a"] < y["a"], 1)
+    ranked = F.slice(F.array_sort(F.array(*structs), lambda x, y: F.when(x["a"] > y["a"], -1).when(x["a"] < y["a"], 1)
                                   .otherwise(x["i"] - y["i"])), 1, n)
-    ex = c.select(key, F.posexplode(ranked).alias("pos", "d"))
-    return ex.select(
-        key, (F.col("pos") + 1).alias("rank"), F.col("d.feature").alias("feature"),
-        F.col("d.value").alias("value"), F.col("d.shap_value").alias("shap_value"),
-        F.when(F.col("d.shap_value") > 0, "increases risk").otherwise("reduces risk").alias("direction"))
+    return F.transform(ranked, lambda d: F.struct(
+        d["feature"].alias("feature"), d["value"].alias("value"), d["shap_value"].alias("shap_value"),
+        F.when(d["shap_value"] > 0, "increases risk").otherwise("reduces risk").alias("direction")))
+
+
+def driver_rows(df: DataFrame, *keep: str, drivers: str = "top_drivers") -> DataFrame:
+    """A driver array as rows: the columns to keep, rank from 1, feature, value, shap_value, direction."""
+    return df.select(*keep, F.posexplode(drivers).alias("_pos", "_d")).select(
+        *keep, (F.col("_pos") + 1).alias("rank"), "_d.*")
 
 
 def global_importance(df: DataFrame, weights: dict, means: DataFrame, group: str | None = "company_id",
@@ -171,6 +199,37 @@ def global_importance(df: DataFrame, weights: dict, means: DataFrame, group: str
     return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+# ---- SCO11: scoring an upload ---------------------------------------------------------
+
+def score_upload(requests: DataFrame, model, scorer: DataFrame, key: str = "employee_id") -> DataFrame:
+    """SCO11: one row per upload row: HRS (1 dp), loss ratio (4 dp) and the band of the unrounded HRS.
+
+    Rows that break a scoring rule (ING11) keep their reasons in ``errors`` and get no score.
+    """
+    from .features import engineer_features
+    from .ingest import validate_scoring_input
+    from .model import apply_scorecard
+    checked = validate_scoring_input(requests)
+    scored = predict_employees(apply_scorecard(engineer_features(checked), model), scorer)
+    result = {"hrs": "health_risk_score", "loss_ratio": "predicted_loss_ratio", "risk_band": "risk_band"}
+    return scored.select(key, "age", "gender", "bmi", "smoker", "diabetic", "hypertension", "job_category",
+                         *[F.when(F.size("errors") == 0, F.col(c)).alias(n) for n, c in result.items()], "errors")
+
+
+def upload_summary(rows: DataFrame, base_premium: float) -> DataFrame:
+    """SCO11: one row for the scored rows of an upload: mean HRS (1 dp) and loss ratio (4 dp), shares of
+    the rows' bands, and the band and premium that the unrounded mean HRS gives; nulls if none is scored."""
+    from .pricing import adjust_premium
+    def pct(band):
+        return round_even(F.avg((F.col("risk_band") == band).cast("double")) * 100.0, 1).alias(f"{band.lower()}_risk_pct")
+    a = rows.where(F.size("errors") == 0).agg(
+        F.count(F.lit(1)).alias("employee_count"), F.avg("hrs").alias("_mean"),
+        round_even(F.avg("loss_ratio"), 4).alias("mean_loss_ratio"), *map(pct, ("Low", "Moderate", "High", "Critical")))
+    a = adjust_premium(a.withColumn("base_premium", F.lit(float(base_premium))), "base_premium", "_mean")
+    return a.withColumn("mean_hrs", round_even(F.col("_mean"), 1)).withColumn(
+        "risk_band", F.when(F.col("_mean").isNotNull(), risk_band("_mean"))).drop("_mean")
+
+
 # Plain-language driver labels, as (feature, format, decimals);
 # format None means the text has no number.
 DRIVER_TEXT = [

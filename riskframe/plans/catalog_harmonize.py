@@ -96,16 +96,20 @@ def q_population_defaults(spark, sf):
     return H.population_defaults(snapshot(spark, sf))
 
 
-@register("hrm18_feature_rows_lab", oracle=_PIVOT.replace(with_fixtures(["fx_lab_results"]),
-                                                          with_fixtures(["fx_lab_results"] + list(CORE_FIXTURES)) + ",\n"
-                                                          + SNAPSHOT_CTES.strip()) + _POP.split("\n, pop AS", 1)[1].join([",\npop AS", ""]) + """
+LAB_ROWS_SQL = _PIVOT.replace(with_fixtures(["fx_lab_results"]), with_fixtures(["fx_lab_results"] + list(CORE_FIXTURES))
+                             + ",\n" + SNAPSHOT_CTES.strip()) + _POP.split("\n, pop AS", 1)[1].join([",\npop AS", ""]) + """,
+lab_rows AS (
 SELECT employee_id, d.age, coalesce(p.gender, d.gender) AS gender, d.bmi, d.smoker,
        coalesce(p.diabetic_inferred, d.diabetic) AS diabetic, coalesce(p.hypertension_inferred, d.hypertension) AS hypertension,
        d.job_category, coalesce(p.diabetic_inferred, d.diabetic) + coalesce(p.hypertension_inferred, d.hypertension) AS chronic_count,
        6000e0 AS avg_daily_steps, 500e0 AS step_volatility, 72e0 AS avg_resting_hr, 0e0 AS hr_trend, 30e0 AS avg_active_mins,
        7e0 AS avg_sleep_hours, 97e0 AS avg_spo2, 0 AS visit_count, 0 AS hospitalized_count
-FROM lab_pivot p CROSS JOIN pop d""", floats=["bmi", "avg_daily_steps", "step_volatility", "avg_resting_hr", "hr_trend",
-                                         "avg_active_mins", "avg_sleep_hours", "avg_spo2"])
+FROM lab_pivot p CROSS JOIN pop d)"""
+
+
+@register("hrm18_feature_rows_lab", oracle=LAB_ROWS_SQL + "\nSELECT * FROM lab_rows",
+          floats=["bmi", "avg_daily_steps", "step_volatility", "avg_resting_hr", "hr_trend", "avg_active_mins",
+                  "avg_sleep_hours", "avg_spo2"])
 def q_feature_rows_lab(spark, sf):
     """HRM18 (+HRM15, HRM16, HRM19): lab upload -> scoring feature rows with population defaults."""
     rows = H.to_feature_rows(H.pivot_labs(fixture(spark, sf, "fx_lab_results")), H.population_defaults(snapshot(spark, sf)))

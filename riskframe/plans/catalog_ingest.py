@@ -18,7 +18,7 @@ def _pseudo_sql(c):
     return f"substr(sha256('{SALT}' || {c}), 1, 16)"
 
 
-def _reasons_sql(rules):
+def reasons_sql(rules):
     items = ", ".join(f"CASE WHEN coalesce({cond}, false) THEN '{reason}' END" for cond, reason in rules)
     return f"list_filter([{items}], lambda x: x IS NOT NULL)"
 
@@ -39,7 +39,7 @@ _WEAR_RULES = [
     ("(restingHR < 30 OR restingHR > 220)", "heart_rate_rest: heart rate out of physiological range"),
 ]
 _WEAR = with_fixtures(["fx_wearable_payload", "fx_employees", "fx_companies"]) + f"""
-, v AS (SELECT *, {_reasons_sql(_WEAR_RULES)} AS errors FROM fx_wearable_payload)"""
+, v AS (SELECT *, {reasons_sql(_WEAR_RULES)} AS errors FROM fx_wearable_payload)"""
 
 
 def _wear_sql(src, default, lo, hi, dec):
@@ -129,7 +129,7 @@ _CLIN_RULES = [
     ("(month_no < 1 OR month_no > 12)", "month: must be between 1 and 12"),
 ]
 _CLIN = with_fixtures(["fx_clinical_payload"]) + f"""
-, v AS (SELECT *, {_reasons_sql(_CLIN_RULES)} AS errors FROM fx_clinical_payload)"""
+, v AS (SELECT *, {reasons_sql(_CLIN_RULES)} AS errors FROM fx_clinical_payload)"""
 
 
 @register("ing8_validate_clinical", oracle=_CLIN + """
@@ -174,7 +174,7 @@ _EMP_RULES = [
     ("NOT job_category IN ('desk', 'field', 'manual')", "job_category: must be one of desk, field, manual"),
 ]
 _ROSTER = with_fixtures(["fx_roster_payload", "fx_employees"]) + f"""
-, v AS (SELECT *, {_reasons_sql(_EMP_RULES)} AS errors FROM fx_roster_payload),
+, v AS (SELECT *, {reasons_sql(_EMP_RULES)} AS errors FROM fx_roster_payload),
 bn AS (SELECT row_no, {_pseudo_sql('external_employee_id')} AS employee_id, company_id,
               CAST(greatest(18, least(70, age)) AS INTEGER) AS age, gender,
               round_even(greatest(10e0, least(60e0, bmi)), 1) AS bmi, CAST(smoker AS INTEGER) AS smoker,
@@ -259,7 +259,7 @@ def q_receipt_counts(spark, sf):
 
 # ---- scoring / pricing requests --------------------------------------------------------------
 
-_SC_RULES = [
+SCORING_RULES = [
     ("age IS NULL", "age: field required"), ("gender IS NULL", "gender: field required"),
     ("bmi IS NULL", "bmi: field required"), ("avg_daily_steps IS NULL", "avg_daily_steps: field required"),
     ("avg_resting_hr IS NULL", "avg_resting_hr: field required"),
@@ -275,7 +275,7 @@ _SC_RULES = [
                coalesce(avg_sleep_hours, 7e0) AS avg_sleep_hours, coalesce(avg_spo2, 97e0) AS avg_spo2,
                coalesce(visit_count, 0) AS visit_count, coalesce(hospitalized_count, 0) AS hospitalized_count
         FROM or_snapshot)
-SELECT employee_key, array_to_string({_reasons_sql(_SC_RULES)}, '; ') AS reasons FROM r""")
+SELECT employee_key, array_to_string({reasons_sql(SCORING_RULES)}, '; ') AS reasons FROM r""")
 def q_validate_scoring(spark, sf):
     """ING11: snapshot rows as scoring requests: optional defaults, then the 16-field range rules."""
     s = snapshot(spark, sf).drop("chronic_count")

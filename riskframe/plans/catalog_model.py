@@ -8,11 +8,12 @@ from ..operators import model as MD
 from ..operators import scoring as S
 from ..operators.features import engineer_features
 from ..operators.harmonize import pivot_labs, population_defaults, to_feature_rows
-from ..operators.pricing import adjust_premium
 from ..sources.fixtures import fixture
 from .catalog_core import scored, snapshot
-from .oracle_sql import (CORE_FIXTURES, FEATURES_CTES, SNAPSHOT_CTES, importance_ctes, j_uniform, scored_ctes,
-                         with_fixtures)
+from .catalog_harmonize import LAB_ROWS_SQL
+from .catalog_ingest import SCORING_RULES, reasons_sql
+from .oracle_sql import (CORE_FIXTURES, FEATURES_CTES, SNAPSHOT_CTES, band_sql, importance_ctes, j_uniform, premium_sql, rnd,
+                         scored_ctes, scorecard_sql, with_fixtures)
 from .registry import register
 
 _BASE = with_fixtures(CORE_FIXTURES, SNAPSHOT_CTES, FEATURES_CTES, scored_ctes())
@@ -133,22 +134,6 @@ def q_scorer_state(spark, sf):
     return S.scorer_state(scorer)
 
 
-@register("sco5_predict_employees", oracle=_BASE + """
-, h AS (SELECT p.employee_key, p.company_id, p.log_pred,
-               CASE WHEN s.p95 - s.p05 IS NULL OR isnan(s.p95 - s.p05) OR abs(s.p95 - s.p05) < 1e-12 THEN 50e0
-                    ELSE least(greatest((p.log_pred - s.p05) / (s.p95 - s.p05) * 100e0, 0e0), 100e0) END AS h
-        FROM or_pred p CROSS JOIN or_scorer s)
-SELECT employee_key, company_id, CAST(round_even(CAST(CAST(exp(log_pred) - 1 AS VARCHAR) AS DECIMAL(38,20)), 4) AS DOUBLE) AS predicted_loss_ratio,
-       CAST(round_even(CAST(CAST(h AS VARCHAR) AS DECIMAL(38,20)), 1) AS DOUBLE) AS health_risk_score,
-       CASE WHEN h < 30 THEN 'Low' WHEN h < 60 THEN 'Moderate' WHEN h < 80 THEN 'High' ELSE 'Critical' END AS risk_band
-FROM h""", floats=["predicted_loss_ratio", "health_risk_score"])
-def q_predict_employees(spark, sf):
-    """SCO5: per-employee predicted LR (4 dp), HRS (1 dp) and band from the unrounded HRS."""
-    f = _features(spark, sf)
-    return S.predict_employees(f, S.fit_scorer(f, materialized=True)).select("employee_key", "company_id", "predicted_loss_ratio",
-                                                           "health_risk_score", "risk_band")
-
-
 def _drivers_sql():
     from ..operators.model import DEFAULT_SCORECARD as M
     feats = FEATURE_COLUMNS
@@ -166,6 +151,56 @@ dr AS (SELECT *, row_number() OVER (PARTITION BY employee_key ORDER BY abs(shap_
 _DRIVERS = _BASE + _drivers_sql()
 
 
+@register("sco5_predict_employees", oracle=_DRIVERS + """
+, h AS (SELECT p.employee_key, p.company_id, p.log_pred,
+               CASE WHEN s.p95 - s.p05 IS NULL OR isnan(s.p95 - s.p05) OR abs(s.p95 - s.p05) < 1e-12 THEN 50e0
+                    ELSE least(greatest((p.log_pred - s.p05) / (s.p95 - s.p05) * 100e0, 0e0), 100e0) END AS h
+        FROM or_pred p CROSS JOIN or_scorer s)
+SELECT h.employee_key, company_id, CAST(round_even(CAST(CAST(exp(log_pred) - 1 AS VARCHAR) AS DECIMAL(38,20)), 4) AS DOUBLE) AS predicted_loss_ratio,
+       CAST(round_even(CAST(CAST(h AS VARCHAR) AS DECIMAL(38,20)), 1) AS DOUBLE) AS health_risk_score,
+       CASE WHEN h < 30 THEN 'Low' WHEN h < 60 THEN 'Moderate' WHEN h < 80 THEN 'High' ELSE 'Critical' END AS risk_band,
+       CAST(rank AS INTEGER) AS rank, feature, value, shap_value,
+       CASE WHEN shap_value > 0 THEN 'increases risk' ELSE 'reduces risk' END AS direction
+FROM h JOIN dr ON dr.employee_key = h.employee_key WHERE rank <= 5""",
+          floats=["predicted_loss_ratio", "health_risk_score", "value", "shap_value"])
+def q_predict_employees(spark, sf):
+    """SCO5: per-employee predicted LR (4 dp), HRS (1 dp), band from the unrounded HRS and top-5 drivers, a row per driver."""
+    from ..operators.model import DEFAULT_SCORECARD
+    f = _features(spark, sf)
+    p = S.predict_employees(f, S.fit_scorer(f, materialized=True), weights=DEFAULT_SCORECARD.weights, means=S.feature_means(f))
+    return S.driver_rows(p, "employee_key", "company_id", "predicted_loss_ratio", "health_risk_score", "risk_band")
+
+
+_IMPORTANCE = with_fixtures(CORE_FIXTURES, SNAPSHOT_CTES, FEATURES_CTES, scored_ctes(), importance_ctes())
+
+
+@register("sco6_company_result", oracle=_IMPORTANCE + """
+SELECT c.*, CAST(i.rank AS INTEGER) AS rank, i.feature, i.importance
+FROM or_companies c JOIN or_importance i ON i.company_id = c.company_id""",
+          floats=["mean_loss_ratio", "mean_hrs", "low_risk_pct", "moderate_risk_pct", "high_risk_pct", "critical_risk_pct",
+                  "importance"])
+def q_company_result(spark, sf):
+    """SCO6 + SCO7 + SCO9: per-company result with its top-5 drivers, a row per driver."""
+    from ..operators.model import DEFAULT_SCORECARD
+    f = _features(spark, sf)
+    companies = S.predict_companies(S.score_hrs(f, S.fit_scorer(f, materialized=True)))
+    r = S.company_result(companies, S.global_importance(f, DEFAULT_SCORECARD.weights, S.feature_means(f), "company_id"))
+    return r.select(*companies.columns, F.explode("top_risk_drivers").alias("_d")).select(
+        *companies.columns, F.col("_d.rank").cast("int").alias("rank"), "_d.feature", "_d.importance")
+
+
+@register("sco6_hrs_distribution", oracle=_BASE + """
+, k AS (SELECT company_id, hrs, row_number() OVER (PARTITION BY company_id ORDER BY hrs) - 1 AS r FROM or_scored)
+SELECT company_id, r // 10000 AS chunk, count(*) AS scores, string_agg(printf('%.1f', hrs), ',' ORDER BY hrs) AS hrs_distribution
+FROM k GROUP BY company_id, r // 10000""")
+def q_hrs_distribution(spark, sf):
+    """SCO6: all scores of every company in ascending order, 10,000 a row, as text."""
+    f = _features(spark, sf)
+    d = S.hrs_distribution(S.score_hrs(f, S.fit_scorer(f, materialized=True)))
+    return d.select("company_id", "chunk", F.size("hrs_distribution").cast("long").alias("scores"),
+                    F.array_join(F.transform("hrs_distribution", lambda h: F.format_string("%.1f", h)), ",").alias("hrs_distribution"))
+
+
 @register("sco8_top_drivers", oracle=_DRIVERS + """
 SELECT employee_key, CAST(rank AS INTEGER) AS rank, feature, value, shap_value,
        CASE WHEN shap_value > 0 THEN 'increases risk' ELSE 'reduces risk' END AS direction FROM dr WHERE rank <= 5""",
@@ -212,17 +247,54 @@ def q_driver_text(spark, sf):
     return S.driver_text(d).select("employee_key", "rank", "feature", "explanation")
 
 
-@register("sco11_score_upload")
-def q_score_upload(spark, sf):
-    """SCO11: a lab upload scored as one job: feature rows -> scorecard -> HRS with the production
-    scorer -> mean HRS / LR, band mix, upload band and premium for a 5,000,000 base."""
-    return score_upload(spark, sf)
+def _up(sql):
+    """The feature CTEs read from the upload's rows instead of the snapshot."""
+    for name in ("or_snapshot", "or_f1", "or_features"):
+        sql = sql.replace(name, "up_" + name[3:])
+    return sql.strip()
+
+
+_UPLOAD_SQL = LAB_ROWS_SQL + ", " + FEATURES_CTES.strip() + ", " + scored_ctes().strip() + f"""
+, up_snapshot AS (
+  SELECT *, employee_id AS employee_key, CAST(NULL AS VARCHAR) AS company_id, CAST(NULL AS DOUBLE) AS total_claims,
+         CAST(NULL AS DOUBLE) AS premium_share, CAST(NULL AS DOUBLE) AS loss_ratio, 0 AS high_risk FROM lab_rows),
+""" + _up(FEATURES_CTES) + f""",
+up_why AS (SELECT employee_id, {reasons_sql(SCORING_RULES)} AS errors FROM lab_rows),
+up_pred AS (SELECT employee_key AS employee_id, {scorecard_sql()} AS log_pred FROM up_features),
+up_hrs AS (SELECT p.*, CASE WHEN s.p95 - s.p05 IS NULL OR isnan(s.p95 - s.p05) OR abs(s.p95 - s.p05) < 1e-12 THEN 50e0
+                            ELSE least(greatest((p.log_pred - s.p05) / (s.p95 - s.p05) * 100e0, 0e0), 100e0) END AS h
+           FROM up_pred p CROSS JOIN or_scorer s),
+up_rows AS (
+  SELECT r.employee_id, r.age, r.gender, greatest(15e0, least(50e0, r.bmi)) AS bmi, r.smoker, r.diabetic, r.hypertension, r.job_category,
+         CASE WHEN len(errors) = 0 THEN {rnd('h', 1)} END AS hrs,
+         CASE WHEN len(errors) = 0 THEN {rnd('exp(log_pred) - 1e0', 4)} END AS loss_ratio,
+         CASE WHEN len(errors) = 0 THEN {band_sql('h')} END AS risk_band, array_to_string(errors, '; ') AS reasons
+  FROM lab_rows r JOIN up_why w ON w.employee_id = r.employee_id JOIN up_hrs u ON u.employee_id = r.employee_id)"""
+_UP_PREMIUM = premium_sql("5000000e0", "m")
+
+
+def _upload_rows(spark, sf):
+    requests = to_feature_rows(pivot_labs(fixture(spark, sf, "fx_lab_results")), population_defaults(snapshot(spark, sf)))
+    _, scorer = scored(spark, sf)
+    return S.score_upload(requests, MD.DEFAULT_SCORECARD, scorer)
 
 
-def score_upload(spark, sf, base_premium: float = 5_000_000.0):
-    rows = to_feature_rows(pivot_labs(fixture(spark, sf, "fx_lab_results")), population_defaults(snapshot(spark, sf)))
-    feats = MD.apply_scorecard(engineer_features(rows.select(*[c for c in rows.columns if not c.startswith("_filled_")])))
-    _, scorer = scored(spark, sf)
-    per = S.score_hrs(feats, scorer).withColumn("upload", F.lit("lab_upload"))
-    summary = S.predict_companies(per, "upload")
-    return adjust_premium(summary.withColumn("base_premium", F.lit(base_premium)), "base_premium", "mean_hrs")
+@register("sco11_upload_rows", oracle=_UPLOAD_SQL + "\nSELECT * FROM up_rows", floats=["bmi", "hrs", "loss_ratio"])
+def q_upload_rows(spark, sf):
+    """SCO11 (+HRM18, ING11): every row of a lab upload with its HRS, loss ratio and band, or the reasons it is rejected."""
+    return _upload_rows(spark, sf).withColumn("reasons", F.array_join("errors", "; ")).drop("errors")
+
+
+@register("sco11_score_upload", oracle=_UPLOAD_SQL + f"""
+, up_sum AS (SELECT count(*) AS employee_count, avg(hrs) AS m, avg(loss_ratio) AS lr,
+                    {", ".join(f"avg(CASE WHEN risk_band = '{b}' THEN 1e0 ELSE 0e0 END) * 100e0 AS {b.lower()}" for b in ("Low", "Moderate", "High", "Critical"))}
+             FROM up_rows WHERE reasons = '')
+SELECT employee_count, {rnd('m', 1)} AS mean_hrs, {rnd('lr', 4)} AS mean_loss_ratio, {band_sql('m')} AS risk_band,
+       {rnd('low', 1)} AS low_risk_pct, {rnd('moderate', 1)} AS moderate_risk_pct, {rnd('high', 1)} AS high_risk_pct,
+       {rnd('critical', 1)} AS critical_risk_pct, 5000000e0 AS base_premium, {_UP_PREMIUM['adjusted_premium']} AS adjusted_premium,
+       {_UP_PREMIUM['adjustment_pct']} AS adjustment_pct, {_UP_PREMIUM['zone']} AS zone FROM up_sum""",
+          floats=["mean_hrs", "mean_loss_ratio", "low_risk_pct", "moderate_risk_pct", "high_risk_pct", "critical_risk_pct",
+                  "base_premium", "adjusted_premium", "adjustment_pct"])
+def q_score_upload(spark, sf):
+    """SCO11: summary of a scored lab upload: mean HRS and loss ratio, band mix, band and premium for a 5,000,000 base."""
+    return S.upload_summary(_upload_rows(spark, sf), 5_000_000.0).drop("recommendation")
