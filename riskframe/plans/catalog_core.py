@@ -103,10 +103,13 @@ def q_portfolio(spark, sf):
     return price_employers(emp, tele, clin, comp)
 
 
-@register("fea10_feature_matrix")
+@register("fea10_feature_matrix", oracle=with_fixtures(CORE_FIXTURES, SNAPSHOT_CTES, FEATURES_CTES) + "\nSELECT employee_key, "
+          + ", ".join(f"coalesce(CAST({f} AS DOUBLE), CAST('nan' AS DOUBLE)) AS {f}" for f in FEATURE_COLUMNS)
+          + ", loss_ratio_log FROM or_features", floats=[*FEATURE_COLUMNS, "loss_ratio_log"])
 def q_feature_matrix(spark, sf):
-    """FEA10: the ordered 31-feature vector (contract-checked) with the log target, as arrays."""
+    """FEA10: the ordered 31-feature vector (contract-checked), an element per column, with the log target."""
     from pyspark.ml.functions import vector_to_array
     from ..operators.features import feature_matrix
     m = feature_matrix(engineer_features(snapshot(spark, sf)))
-    return m.select("employee_key", vector_to_array("features").alias("features"), "loss_ratio_log")
+    m = m.select("employee_key", vector_to_array("features").alias("v"), "loss_ratio_log")
+    return m.select("employee_key", *[m.v[i].alias(f) for i, f in enumerate(FEATURE_COLUMNS)], "loss_ratio_log")

@@ -1,6 +1,8 @@
 """Registered queries: upload harmonisation and the scoring-tab normaliser (HRM*)."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.constants import (ACTIVITY_DOMAIN_COLUMNS, CANONICAL_COLS, LAB_DOMAINS, MARKER_TO_DOMAIN,
@@ -116,11 +118,14 @@ def q_feature_rows_lab(spark, sf):
     return rows.select(*[c for c in rows.columns if not c.startswith("_filled_")])
 
 
-@register("hrm20_fill_report")
+@register("hrm20_fill_report", oracle=_PIVOT + """
+SELECT 'lab' AS source, count(*) AS rows,
+       'age,bmi,diabetic,' || CASE WHEN count(*) FILTER (WHERE gender IS NULL) > 0 THEN 'gender,' ELSE '' END
+       || 'hypertension,job_category,smoker' AS filled_with_defaults FROM lab_pivot""")
 def q_fill_report(spark, sf):
-    """HRM20: which fields were defaulted for the lab upload, and the row count."""
+    """HRM20: which fields were defaulted in any row of the lab upload, and the row count."""
     rows = H.to_feature_rows(H.pivot_labs(fixture(spark, sf, "fx_lab_results")), H.population_defaults(snapshot(spark, sf)))
-    return H.fill_report(rows, "lab")
+    return H.fill_report(rows, "lab").withColumn("filled_with_defaults", F.array_join("filled_with_defaults", ","))
 
 
 @register("hrm21_preview", oracle=_PIVOT + "\nSELECT * FROM lab_pivot ORDER BY employee_id LIMIT 5")
@@ -131,9 +136,14 @@ def q_preview(spark, sf):
 
 # ---- training-set upload path --------------------------------------------------------------
 
-@register("hrm2_map_columns")
+_UPLOAD_CANON = {"emp_id": "employee_id", "sex": "gender", "body_mass_index": "bmi", "tobacco_use": "smoker", "lr": "loss_ratio"}
+
+
+@register("hrm2_map_columns", oracle=with_fixtures(["fx_upload"]) + "\n" + "\nUNION ALL\n".join(
+    f"SELECT {i + 1} AS position, '{h}' AS source, CAST({repr(_UPLOAD_CANON[c]) if c in _UPLOAD_CANON else 'NULL'} AS VARCHAR) "
+    f"AS canonical, count({c}) AS filled FROM fx_upload" for i, (c, h) in enumerate(UPLOAD_HEADERS.items())))
 def q_map_columns(spark, sf):
-    """HRM1 + HRM2: how each upload header maps to a canonical column (unknown headers -> null)."""
+    """HRM1 + HRM2: how each upload header maps to a canonical column (unknown headers -> null), and its filled rows."""
     return H.mapping_frame(upload(spark, sf))
 
 
@@ -265,11 +275,17 @@ def q_derive_lr(spark, sf):
     return H.derive_loss_ratio(mapped).select(F.col("employee_id").alias("Member ID"), "loss_ratio")
 
 
-@register("hrm12_detect_format")
+@register("hrm12_detect_format", oracle=with_fixtures(["fx_lab_results", "fx_activity", "fx_roster_payload", "fx_upload"]) + """
+SELECT 'fx_lab_results' AS upload, 'lab' AS format, count(*) AS rows FROM fx_lab_results
+UNION ALL SELECT 'fx_activity', 'activity', count(*) FROM fx_activity
+UNION ALL SELECT 'fx_roster', 'roster', count(*) FROM fx_roster_payload
+UNION ALL SELECT 'fx_upload', 'unknown', count(*) FROM fx_upload""")
 def q_detect_format(spark, sf):
-    """HRM12: upload format of each landed upload table (lab / activity / roster / unknown), from its columns."""
+    """HRM12: upload format of each landed upload table (lab / activity / roster / unknown), from its columns, and its rows."""
     cands = {"fx_lab_results": fixture(spark, sf, "fx_lab_results").withColumnRenamed("line_no", "value"),
              "fx_activity": fixture(spark, sf, "fx_activity"),
              "fx_roster": fixture(spark, sf, "fx_roster_payload").withColumnRenamed("external_employee_id", "employee_id"),
              "fx_upload": upload(spark, sf)}
-    return spark.createDataFrame([(k, H.detect_format(v)) for k, v in cands.items()], "upload string, format string")
+    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(k).alias("upload"), F.lit(H.detect_format(df)).alias("format"), "rows")
+             for k, df in cands.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)

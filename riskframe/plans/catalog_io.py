@@ -99,13 +99,16 @@ def q_coerce(spark, sf):
     return IO.coerce_numeric(fixture(spark, sf, "fx_upload_clean"))
 
 
-@register("snk1_append_tables", oracle="SELECT 'customer' AS \"table\", count(*) AS rows FROM customer "
-          "UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'events', count(*) FROM events")
+_LANDED = ("fx_companies", "fx_employees", "fx_telemetry", "fx_clinical_events")
+
+
+@register("snk1_append_tables", oracle=with_fixtures(CORE_FIXTURES, SNAPSHOT_CTES) + "\n" + " UNION ALL ".join(
+    f"SELECT '{n[3:]}' AS \"table\", count(*) AS rows FROM {n}" for n in _LANDED)
+    + " UNION ALL SELECT 'training_snapshots', count(*) FROM or_snapshot")
 def q_append_tables(spark, sf):
-    """SNK1: tables appended to a landing folder (absent ones skipped), then counted from storage."""
+    """SNK1: the five domain tables appended to a landing folder (an absent one skipped), then counted from storage."""
     root = _scratch(spark, "landing")
-    tabs = {"customer": read_table(spark, sf, "customer"), "orders": read_table(spark, sf, "orders"),
-            "events": read_table(spark, sf, "events"), "labels_missing": None}
+    tabs = {n[3:]: fixture(spark, sf, n) for n in _LANDED} | {"training_snapshots": snapshot(spark, sf), "missing": None}
     written = IO.append_tables(tabs, root)
     return IO.table_counts({n: spark.read.parquet(p) for n, p in written.items()})
 
@@ -120,23 +123,58 @@ def q_append_dataset(spark, sf):
     return IO.append_dataset(rows, snap, _scratch(spark, "training"), "1")
 
 
-@register("snk3_table_schema")
+def _plain(df):
+    """Decimals as doubles and shorts as integers, so that both engines compare the same types."""
+    return df.select(*[F.col(f.name).cast("double" if isinstance(f.dataType, T.DecimalType) else
+                                          "int" if isinstance(f.dataType, T.ShortType) else f.dataType).alias(f.name)
+                       for f in df.schema.fields])
+
+
+_SNAP_SCHEMA = IO.TABLE_SCHEMAS["training_snapshots"]
+_SNAP_DEFAULTS = IO.TABLE_DEFAULTS["training_snapshots"]
+
+
+def _snap_col(f):
+    """DuckDB twin of a landed snapshot column: half-up to the column's scale."""
+    if f.name in _SNAP_DEFAULTS:
+        return f"{0 if isinstance(f.dataType, T.ShortType) else '0e0'} AS {f.name}"
+    if isinstance(f.dataType, T.DecimalType):
+        p, s = f.dataType.precision, f.dataType.scale
+        return f"CAST(CAST(CAST(CAST({f.name} AS VARCHAR) AS DECIMAL(38,20)) AS DECIMAL({p},{s})) AS DOUBLE) AS {f.name}"
+    return f"{'employee_key' if f.name == 'employee_id' else f.name} AS {f.name}"
+
+
+@register("snk3_training_snapshots", oracle=with_fixtures(CORE_FIXTURES, SNAPSHOT_CTES) + "\nSELECT " + ", ".join(
+    _snap_col(f) for f in _SNAP_SCHEMA.fields[1:-1]) + " FROM or_snapshot",
+          floats=[f.name for f in _SNAP_SCHEMA.fields if isinstance(f.dataType, T.DecimalType)])
+def q_training_snapshots(spark, sf):
+    """SNK3: the training snapshot cast to its landed schema, lab columns at their defaults (row number and load time dropped)."""
+    s = snapshot(spark, sf).withColumnRenamed("employee_key", "employee_id")
+    return _plain(IO.apply_table_schema(s, "training_snapshots").drop("snapshot_id", "computed_at"))
+
+
+@register("snk3_table_schema", oracle=with_fixtures(["fx_employees"]) + f"""
+SELECT substr(sha256('{DEFAULT_HASH_SALT}' || raw_id), 1, 16) AS employee_id, company_id, age, gender,
+       CAST(CAST(CAST(CAST(bmi AS VARCHAR) AS DECIMAL(38,20)) AS DECIMAL(4,1)) AS DOUBLE) AS bmi,
+       CASE WHEN smoker = 1 THEN 1 ELSE 0 END AS smoker, 0 AS diabetic, 0 AS hypertension, job_category FROM fx_employees""",
+          floats=["bmi"])
 def q_table_schema(spark, sf):
     """SNK3: the roster cast to the landed employees schema with column defaults (load time dropped)."""
     e = fixture(spark, sf, "fx_employees").select(pseudonymize("raw_id", DEFAULT_HASH_SALT).alias("employee_id"),
                                                   "company_id", "age", "gender", "bmi", "job_category",
                                                   F.when(F.col("smoker") == 1, 1).alias("smoker"))
-    return IO.apply_table_schema(e, "employees").drop("created_at")
+    return _plain(IO.apply_table_schema(e, "employees").drop("created_at"))
 
 
 def _constraint_tables(spark, sf):
     comp = fixture(spark, sf, "fx_companies")
     emp = fixture(spark, sf, "fx_employees").withColumnRenamed("employee_key", "employee_id")
     clin = fixture(spark, sf, "fx_clinical_events").withColumnRenamed("employee_key", "employee_id")
-    return {"companies": comp, "employees": emp, "clinical_events": clin}
+    tele = fixture(spark, sf, "fx_telemetry").withColumnRenamed("employee_key", "employee_id")
+    return {"companies": comp, "employees": emp, "telemetry": tele, "clinical_events": clin}
 
 
-@register("snk4_constraint_report", oracle=with_fixtures(["fx_companies", "fx_employees", "fx_clinical_events"]) + """
+@register("snk4_constraint_report", oracle=with_fixtures(["fx_companies", "fx_employees", "fx_telemetry", "fx_clinical_events"]) + """
 SELECT 'companies' AS "table", 'primary_key' AS "check", 'company_id' AS "column",
        CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS violations FROM (SELECT company_id, count(*) AS n FROM fx_companies GROUP BY 1 HAVING count(*) > 1)
 UNION ALL SELECT 'employees', 'primary_key', 'employee_id', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT employee_key, count(*) AS n FROM fx_employees GROUP BY 1 HAVING count(*) > 1)
@@ -146,6 +184,7 @@ UNION ALL SELECT 'companies', 'not_null', 'company_name', count(*) FILTER (WHERE
 UNION ALL SELECT 'employees', 'not_null', 'employee_id', count(*) FILTER (WHERE employee_key IS NULL) FROM fx_employees
 UNION ALL SELECT 'clinical_events', 'not_null', 'event_id', count(*) FILTER (WHERE event_id IS NULL) FROM fx_clinical_events
 UNION ALL SELECT 'employees', 'foreign_key', 'company_id->companies.company_id', count(*) FROM fx_employees e WHERE company_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM fx_companies c WHERE c.company_id = e.company_id)
+UNION ALL SELECT 'telemetry', 'foreign_key', 'employee_id->employees.employee_id', count(*) FROM fx_telemetry x WHERE employee_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM fx_employees e WHERE e.employee_key = x.employee_key)
 UNION ALL SELECT 'clinical_events', 'foreign_key', 'employee_id->employees.employee_id', count(*) FROM fx_clinical_events x WHERE employee_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM fx_employees e WHERE e.employee_key = x.employee_key)
 UNION ALL SELECT 'companies', 'varchar_length', 'company_id', count(*) FILTER (WHERE length(company_id) > 20) FROM fx_companies
 UNION ALL SELECT 'companies', 'varchar_length', 'company_name', count(*) FILTER (WHERE length(company_name) > 100) FROM fx_companies

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -392,11 +393,16 @@ def training_sources(spark, sf):
     }
 
 
-@register("map1_infer_schema_kind")
+@register("map1_infer_schema_kind", oracle=with_fixtures(list(_SOURCES.values())) + """
+SELECT 'underwriting' AS dataset, 'underwriting_tabular' AS kind, count(*) AS rows FROM fx_underwriting
+UNION ALL SELECT 'charges', 'insurance_charges', count(*) FROM fx_charges
+UNION ALL SELECT 'notes', 'clinical_notes', count(*) FROM fx_notes""")
 def q_infer_kind(spark, sf):
-    """MAP1: schema kind of each external dataset, inferred from its columns."""
-    kinds = [(name, M.infer_schema_kind(fixture(spark, sf, fx))) for name, fx in _SOURCES.items()]
-    return spark.createDataFrame(kinds, "dataset string, kind string")
+    """MAP1: schema kind of each external dataset, inferred from its columns, and its rows."""
+    tables = {name: fixture(spark, sf, fx) for name, fx in _SOURCES.items()}
+    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("dataset"), F.lit(M.infer_schema_kind(df)).alias("kind"), "rows")
+             for n, df in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @register("map12_14_source_counts", oracle=with_fixtures(["fx_underwriting", "fx_charges", "fx_market", "fx_market_premium",

@@ -11,7 +11,7 @@ from ..operators.scoring import feature_means, global_importance, predict_compan
 from ..sources.fixtures import fixture
 from .catalog_core import scored, snapshot
 from .oracle_sql import (CORE_FIXTURES, FEATURES_CTES, SNAPSHOT_CTES, importance_ctes, portfolio_cte,
-                         premium_sql, scored_ctes, with_fixtures)
+                         premium_sql, rnd, scored_ctes, with_fixtures)
 from .registry import register
 
 _BASE = with_fixtures(CORE_FIXTURES, SNAPSHOT_CTES, FEATURES_CTES, scored_ctes(), portfolio_cte())
@@ -175,7 +175,27 @@ def q_currency(spark, sf):
                      (F.col("adjusted") * F.col("rate")).alias("adjusted_fx"))
 
 
-@register("prc10_11_money_format")
+def _money_sql(x, code):
+    sym, _, rate = CURRENCIES[code]
+    v = f"({x} * CAST({float(rate)!r} AS DOUBLE))" if code != "INR" else x
+    whole = f"format('{{:,.0f}}', {rnd(v, 0)})"
+    body = whole if code == "JPY" else f"CASE WHEN {v} < 1000 THEN format('{{:,.2f}}', {rnd(v, 2)}) ELSE {whole} END"
+    return f"'{sym}' || {body}"
+
+
+def _total_sql(x, code):
+    sym, _, rate = CURRENCIES[code]
+    v = f"({x} * CAST({float(rate)!r} AS DOUBLE))"
+    part = lambda by, unit: f"'{sym}' || printf('%.2f', {rnd(f'{v} / {by}', 2)}) || '\u00a0{unit}'"
+    if code in ("INR", "JPY"):
+        return part("1e7", "Cr") if code == "INR" else part("1e8", "Bn")
+    return (f"CASE WHEN {v} >= 1e9 THEN {part('1e9', 'Bn')} WHEN {v} >= 1e6 THEN {part('1e6', 'M')} "
+            f"ELSE '{sym}' || format('{{:,.0f}}', {rnd(v, 0)}) END")
+
+
+@register("prc10_11_money_format", oracle=_BASE + "\nSELECT company_id, " + ", ".join(
+    f"{_money_sql('adjusted', c)} AS {c.lower()}" for c in ("USD", "JPY", "INR")) + " FROM or_pf\nUNION ALL SELECT '__TOTAL__', " + ", ".join(
+    _total_sql("t", c) for c in ("USD", "JPY", "INR")) + " FROM (SELECT sum(adjusted) AS t FROM or_pf)")
 def q_money_format(spark, sf):
     """PRC10 + PRC11: formatted premium per company in USD, JPY and INR, and formatted totals."""
     pf, _, _ = _pf(spark, sf)
@@ -396,8 +416,20 @@ def q_scored_roster(spark, sf):
     return P.scored_roster(s, "High").select("employee_key", "company_id", "hrs")
 
 
-@register("prt17_report_rows")
+_USD = f"CAST({float(CURRENCIES['USD'][2])!r} AS DOUBLE)"
+
+
+@register("prt17_report_rows", oracle=_BASE_IMP + f"""
+, dv AS (SELECT company_id, string_agg(CAST(rank AS VARCHAR) || ':' || feature, ',' ORDER BY rank) AS drivers FROM or_importance GROUP BY company_id)
+SELECT p.company_id, p.company_name, p.industry, p.employees, p.mean_hrs, p.risk_band, c.mean_loss_ratio, c.low_risk_pct,
+       c.moderate_risk_pct, c.high_risk_pct, c.critical_risk_pct, 'USD' AS currency, p.base_premium * {_USD} AS base,
+       p.adjusted * {_USD} AS adjusted, p.adjustment_pct, p.zone, dv.drivers
+FROM or_pf p JOIN or_companies c ON c.company_id = p.company_id LEFT JOIN dv ON dv.company_id = p.company_id""",
+          floats=["mean_hrs", "mean_loss_ratio", "low_risk_pct", "moderate_risk_pct", "high_risk_pct", "critical_risk_pct",
+                  "base", "adjusted", "adjustment_pct"])
 def q_report_rows(spark, sf):
-    """PRT17: one underwriting-report record per company (profile, risk, premium in USD, drivers)."""
+    """PRT17: one underwriting-report record per company (profile, risk, premium in USD, drivers), flattened."""
     pf, risk, s = _pf(spark, sf)
-    return P.report_rows(pf, risk, _importance(s), "USD")
+    r = P.report_rows(pf, risk, _importance(s), "USD")
+    drivers = F.array_join(F.transform("drivers", lambda d: F.concat(d["rank"].cast("string"), F.lit(":"), d["feature"])), ",")
+    return r.select("company_id", "profile.*", "risk.*", "premium.*", drivers.alias("drivers"))

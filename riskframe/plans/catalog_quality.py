@@ -55,9 +55,12 @@ def q_target(spark, sf):
     return Q.target_summary(snapshot(spark, sf))
 
 
-@register("dq4_feature_coverage")
+@register("dq4_feature_coverage", oracle=_SNAP + "\n" + "\nUNION ALL\n".join(
+    f"SELECT {i + 1} AS position, '{c}' AS feature, {str(c in SNAPSHOT_COLUMNS).lower()} AS available, "
+    f"count({c if c in SNAPSHOT_COLUMNS else 'NULL'}) AS filled FROM or_snapshot"
+    for i, c in enumerate(FEATURE_COLUMNS)))
 def q_coverage(spark, sf):
-    """DQ4: which of the 31 model features the raw snapshot provides (schema-level)."""
+    """DQ4: which of the 31 model features the raw snapshot provides, and in how many rows."""
     return Q.feature_coverage(snapshot(spark, sf))
 
 
@@ -78,10 +81,14 @@ def q_duplicates(spark, sf):
     return Q.duplicate_count(fixture(spark, sf, "fx_lab_results"), ["report_id", "line_no"]) 
 
 
-@register("dq7_type_and_range")
+@register("dq7_type_and_range", oracle=_SNAP + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", CAST(min({c}) AS DOUBLE) AS \"min\", CAST(max({c}) AS DOUBLE) AS \"max\", "
+    f"{len(_NUMERIC)} AS n_numeric, {len(SNAPSHOT_COLUMNS) - len(_NUMERIC)} AS n_object, 0 AS n_other FROM or_snapshot"
+    for c in _NUMERIC[:5]), floats=["min", "max"])
 def q_types(spark, sf):
     """DQ7: column kind counts and ranges of the first five numeric snapshot columns."""
-    return Q.type_and_range(snapshot(spark, sf))
+    return Q.type_and_range(snapshot(spark, sf)).select(
+        "column", "min", "max", *[F.col(f"column_kinds.{k}").alias(f"n_{k}") for k in ("numeric", "object", "other")])
 
 
 @register("dq8_assertions", oracle=_SNAP + f"""

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.constants import LAB_FLAGS
+
 # ---- SRC -------------------------------------------------------------------------------------
 
 
@@ -133,15 +135,29 @@ TABLE_SCHEMAS = {
         T.StructField("claim_amount", T.DecimalType(12, 2)), T.StructField("hospitalized", T.ShortType()),
         T.StructField("created_at", T.TimestampType())]),
 }
-TABLE_DEFAULTS = {"employees": {"smoker": 0, "diabetic": 0, "hypertension": 0},
+TABLE_SCHEMAS["training_snapshots"] = T.StructType(
+    [T.StructField("snapshot_id", T.LongType())] + [T.StructField(n, t) for n, t in (
+        ("employee_id", T.StringType()), ("company_id", T.StringType()), ("age", T.ShortType()), ("gender", T.StringType()),
+        ("bmi", T.DecimalType(4, 1)), ("smoker", T.ShortType()), ("diabetic", T.ShortType()), ("hypertension", T.ShortType()),
+        ("job_category", T.StringType()), ("avg_daily_steps", T.DecimalType(10, 2)), ("step_volatility", T.DecimalType(10, 2)),
+        ("avg_resting_hr", T.DecimalType(5, 1)), ("hr_trend", T.DecimalType(10, 4)), ("avg_active_mins", T.DecimalType(5, 1)),
+        ("avg_sleep_hours", T.DecimalType(4, 1)), ("avg_spo2", T.DecimalType(4, 1)), ("total_claims", T.DecimalType(12, 2)),
+        ("visit_count", T.DecimalType(8, 1)), ("hospitalized_count", T.DecimalType(8, 1)), ("premium_share", T.DecimalType(12, 2)),
+        ("loss_ratio", T.DecimalType(8, 4)), ("high_risk", T.ShortType()), ("chronic_count", T.ShortType()))]
+    + [T.StructField(f, T.ShortType()) for f in (*LAB_FLAGS, "lab_domain_count")]
+    + [T.StructField("lab_risk_score", T.DecimalType(5, 3)), T.StructField("computed_at", T.TimestampType())])
+TABLE_DEFAULTS = {"training_snapshots": dict.fromkeys((*LAB_FLAGS, "lab_domain_count", "lab_risk_score"), 0),
+                  "employees": {"smoker": 0, "diabetic": 0, "hypertension": 0},
                   "clinical_events": {"hospitalized": 0}}
+# Keys of the tables whose rows bring their own; the store numbers telemetry and snapshot rows.
 PRIMARY_KEYS = {"companies": ["company_id"], "employees": ["employee_id"], "clinical_events": ["event_id"]}
 FOREIGN_KEYS = [("employees", "company_id", "companies", "company_id"),
                 ("telemetry", "employee_id", "employees", "employee_id"),
                 ("clinical_events", "employee_id", "employees", "employee_id")]
 VARCHAR_LIMITS = {"companies": {"company_id": 20, "company_name": 100, "industry": 50, "city": 50},
                   "employees": {"employee_id": 64, "company_id": 20, "gender": 1, "job_category": 20},
-                  "clinical_events": {"event_id": 64, "event_type": 50, "icd10_code": 10}}
+                  "clinical_events": {"event_id": 64, "event_type": 50, "icd10_code": 10},
+                  "training_snapshots": {"employee_id": 16, "company_id": 20, "gender": 1, "job_category": 20}}
 
 
 def apply_table_schema(df: DataFrame, table: str) -> DataFrame:
@@ -153,7 +169,7 @@ def apply_table_schema(df: DataFrame, table: str) -> DataFrame:
         src = F.col(f.name) if f.name in df.columns else F.lit(None)
         if f.name in defaults:
             src = F.coalesce(src, F.lit(defaults[f.name]))
-        if f.name == "created_at":
+        if f.name in ("created_at", "computed_at"):
             src = F.coalesce(src, F.current_timestamp())
         cols.append(src.cast(f.dataType).alias(f.name))
     return df.select(*cols)
