@@ -96,3 +96,37 @@ def test_constraint_report_finds_orphans(spark, sf):
     rep = {(r.table, r.check): r.violations for r in IO.constraint_report({"companies": comp, "employees": emp}).collect()}
     orphans = emp.where("company_id = 'COMP_001'").count()
     assert rep[("employees", "foreign_key")] == orphans and rep[("companies", "primary_key")] == 0
+
+
+def test_upload_rows_that_break_a_rule_get_reasons_and_no_score(spark):
+    from riskframe.operators import scoring as S
+    from riskframe.operators.model import DEFAULT_SCORECARD
+    rows = [("a", 40, "F", 24.0, 0, 0, 0, "desk", 6000.0, 72.0), ("b", 40, "F", 24.0, 0, 0, 0, "desk", 99000.0, 72.0),
+            ("c", 60, "M", 33.0, 1, 1, 1, "field", 2000.0, 90.0)]
+    up = spark.createDataFrame(rows, "employee_id string, age int, gender string, bmi double, smoker int, diabetic int, "
+                                     "hypertension int, job_category string, avg_daily_steps double, avg_resting_hr double")
+    scorer = spark.createDataFrame([(-1.0, 2.0)], "p05 double, p95 double")
+    got = {r.employee_id: r for r in S.score_upload(up, DEFAULT_SCORECARD, scorer).collect()}
+    assert got["b"].hrs is None and got["b"].risk_band is None and "avg_daily_steps" in got["b"].errors[0]
+    assert got["a"].errors == [] and got["a"].hrs < got["c"].hrs
+    s = S.upload_summary(S.score_upload(up, DEFAULT_SCORECARD, scorer), 1000.0).first()
+    assert s.employee_count == 2 and s.mean_hrs is not None
+    none = S.upload_summary(S.score_upload(up.limit(0), DEFAULT_SCORECARD, scorer), 1000.0).first()
+    assert none.employee_count == 0 and none.mean_hrs is None and none.risk_band is None
+
+
+def test_hrs_distribution_in_chunks_holds_every_score(spark):
+    from riskframe.operators import scoring as S
+    df = spark.createDataFrame([("hot", float(i * 37 % 101)) for i in range(95)] + [("one", 5.0)], "company_id string, hrs double")
+    got = S.hrs_distribution(df, chunk=10).collect()
+    assert max(len(r.hrs_distribution) for r in got) == 10
+    hot = [h for r in sorted(got, key=lambda r: r.chunk) if r.company_id == "hot" for h in r.hrs_distribution]
+    assert hot == sorted(float(i * 37 % 101) for i in range(95))
+
+
+def test_snapshot_schema_as_landed(spark):
+    df = spark.createDataFrame([("e1", 40, 24.04)], "employee_id string, age int, bmi double")
+    got = IO.apply_table_schema(df, "training_snapshots")
+    assert got.schema.names == IO.TABLE_SCHEMAS["training_snapshots"].names
+    r = got.first()
+    assert str(r.bmi) == "24.0" and r.lab_heart_flag == 0 and r.computed_at is not None and r.premium_share is None
