@@ -5,43 +5,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _segment_ranks(df: DataFrame, key: str, order: list, partitions: int) -> DataFrame:
-    """Ranks via range partitioning on (key, order): a key may span many partitions.
-
-    Rows are range-partitioned and sorted by the full sort key, so a huge key is
-    spread over many tasks.  Each (partition, key) segment is contiguous; its
-    first ``monotonically_increasing_id`` and row count give the in-segment
-    position, and a prefix sum of the segment counts per key (one row per
-    segment) gives the segment's offset.  The partitioned rows are materialised
-    once so both reads see the same partition ids.
-    """
-    from ..session import materialize
-    r = (df.repartitionByRange(partitions, F.col(key), *order).sortWithinPartitions(F.col(key), *order)
-           .withColumn("_pid", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id()))
-    r = materialize(r, "segments")
-    seg = r.groupBy("_pid", key).agg(F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    return (r.join(F.broadcast(seg.select("_pid", key, "_first", "_off")), ["_pid", key])
-             .withColumn("_rank", F.col("_off") + F.col("_mono") - F.col("_first"))
-             .drop("_pid", "_mono", "_first", "_off"))
-
-
-def rank_within(df: DataFrame, key: str, order, hot_rows: int = 5_000_000, partitions: int | None = None) -> DataFrame:
+def rank_within(df: DataFrame, key: str, order, partitions: int | None = None) -> DataFrame:
     """Adds ``_rank``: the 0-based position of each row by ``order`` within its ``key``.
 
-    Keys with more than ``hot_rows`` rows (found by a partial+final count; at most
-    total_rows / hot_rows of them, so the list is broadcast) are ranked by
-    :func:`_segment_ranks` across many tasks; all other keys use an ordinary
-    ``row_number`` window, whose per-key sort is then bounded by ``hot_rows``.
-    The segment table broadcast back holds one row per (partition, hot key).
+    One plan at every size.  Rows are range-partitioned by (key, order), so a huge key spans many
+    tasks; the result is stored once, so that both reads see the same partition ids.  A window over
+    (partition, key) gives the position inside a partition.  Only the first key of a partition can
+    have rows in earlier ones, so the offsets that are broadcast are at most one row per partition.
+    Null keys form a group; rows with equal (key, order) take positions in any order.
     """
+    from ..session import materialize
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    spark = df.sparkSession
-    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(key)
-    w = Window.partitionBy(key).orderBy(*order)
-    cold = df.join(F.broadcast(hot), key, "left_anti").withColumn("_rank", F.row_number().over(w) - 1)
-    if hot.limit(1).count() == 0:
-        return cold
-    return cold.unionByName(_segment_ranks(df.join(F.broadcast(hot), key, "left_semi"), key, order, p))
+    p = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = materialize(df.repartitionByRange(p, F.col(key), *order).withColumn("_pid", F.spark_partition_id()), "segments")
+    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (r.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_cnt")).withColumn("_off", F.sum("_cnt").over(before))
+                .where(F.col("_off").isNotNull()).select(F.col("_pid").alias("_p"), F.col(key).alias("_k"), "_off"))
+    inside = F.row_number().over(Window.partitionBy("_pid", key).orderBy(*order)) - 1
+    return (r.withColumn("_in", inside)
+             .join(F.broadcast(offsets), (F.col("_pid") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k")), "left")
+             .withColumn("_rank", F.col("_in") + F.coalesce(F.col("_off"), F.lit(0)))
+             .select(*df.columns, "_rank"))

@@ -93,7 +93,7 @@ def stratified_split(df: DataFrame, key: str, strata: str = "stratum", test_frac
     """
     from pyspark.sql import Window
     from ..functions.expr import keyed_uniform
-    from ..functions.ranks import _segment_ranks
+    from ..functions.ranks import rank_within
     d = df.withColumn("_u", keyed_uniform(key, "split", seed))
     sizes = d.groupBy(strata).agg(F.count(F.lit(1)).alias("_n"))
     every = Window.partitionBy()  # one row per stratum
@@ -106,10 +106,9 @@ def stratified_split(df: DataFrame, key: str, strata: str = "stratum", test_frac
                   .withColumn("_more", F.row_number().over(Window.orderBy(F.desc("_left"), F.asc(strata)))
                               <= F.col("_test") - F.sum("_base").over(every))
                   .select(strata, (F.col("_base") + F.col("_more").cast("long")).alias("_quota")))
-    ranked = _segment_ranks(d.select(strata, "_u", F.col(key).alias("_k")), strata, [F.col("_u"), F.col("_k")],
-                            int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranked = rank_within(d.select(strata, "_u", F.col(key).alias("_row_key")), strata, ["_u", "_row_key"])
     cuts = ranked.join(F.broadcast(quota), strata).where("_rank = _quota - 1") \
-                 .select(strata, F.col("_u").alias("_cut"), F.col("_k").alias("_cut_key"))
+                 .select(strata, F.col("_u").alias("_cut"), F.col("_row_key").alias("_cut_key"))
     inside = (F.col("_u") < F.col("_cut")) | ((F.col("_u") == F.col("_cut")) & (F.col(key) <= F.col("_cut_key")))
     return (d.join(F.broadcast(cuts), strata, "left").withColumn(out, F.coalesce(inside, F.lit(False)))
              .select(*df.columns, out))
@@ -203,19 +202,19 @@ def scorecard_audit(model: Scorecard, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, sign int, weight double, violation boolean")
 
 
-def monotone_audit(model, df: DataFrame, key: str, delta: float = 1.0, features=FEATURE_COLUMNS) -> DataFrame:
+def monotone_audit(model, df: DataFrame, delta: float = 1.0, features=FEATURE_COLUMNS) -> DataFrame:
     """MOD5 (GBT): perturb each constrained feature by +delta per row and count rows whose
-    prediction moves against the feature's sign.  One unpivoted batch, one predict pass."""
+    prediction moves against the feature's sign.  Rows are predicted once as they are and carry that
+    prediction through the unpivot, so nothing is joined back."""
     signs = dict(zip(FEATURE_COLUMNS, MONOTONE_SIGNS))
     cons = [f for f in features if signs.get(f, 0) != 0]
-    base = _assembled(df, features)
-    base_pred = model.transform(base).select(key, F.col("prediction").alias("_p0"))
-    pert = df.withColumn("_feat", F.explode(F.array(*[F.lit(f) for f in cons])))
+    base = model.transform(_assembled(df, features)).select(*df.columns, F.col("prediction").alias("_p0"))
+    pert = base.withColumn("_feat", F.explode(F.array(*[F.lit(f) for f in cons])))
     for f in cons:
         pert = pert.withColumn(f, F.when(F.col("_feat") == f, F.col(f).cast("double") + delta).otherwise(F.col(f).cast("double")))
-    p = model.transform(_assembled(pert, features)).select(key, "_feat", F.col("prediction").alias("_p1"))
+    p = model.transform(_assembled(pert, features)).select("_p0", "_feat", F.col("prediction").alias("_p1"))
     sign = F.create_map(*[x for f in cons for x in (F.lit(f), F.lit(signs[f]))])
-    j = p.join(base_pred, key).withColumn("_s", F.element_at(sign, F.col("_feat")))
+    j = p.withColumn("_s", F.element_at(sign, F.col("_feat")))
     viol = ((F.col("_p1") - F.col("_p0")) * F.col("_s")) < -1e-12
     return j.groupBy(F.col("_feat").alias("feature")).agg(F.first("_s").alias("sign"),
                                                           F.count_if(viol).alias("violations"),

@@ -25,37 +25,71 @@ def rollup_telemetry(telemetry: DataFrame, key: str = "employee_key") -> DataFra
     )
 
 
+def _segments(telemetry: DataFrame, key: str, order, extra=(), partitions: int | None = None) -> DataFrame:
+    """Telemetry summed per (range partition, person): one row per person, more only where a person
+    spans partitions.  ``_n, _mx, _my, _c, _v`` are the count, the mean position, the mean heart rate
+    and their centred sums over the readings that have a heart rate; ``_mx`` counts positions from the
+    person's first row."""
+    p = partitions or int(telemetry.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    y = F.col("resting_hr").cast("double")
+    t = (telemetry.repartitionByRange(p, key, *order).sortWithinPartitions(key, *order)
+                  .withColumn("_pid", F.spark_partition_id())
+                  .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).cast("double")))
+    x = F.when(y.isNotNull(), F.col("_pos"))
+    n = F.count(y)
+    seg = t.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_rows"), F.min("_pos").alias("_first"), n.alias("_n"),
+                                     F.avg(x).alias("_mx"), F.avg(y).alias("_my"), (F.covar_pop(y, x) * n).alias("_c"),
+                                     (F.var_pop(x) * n).alias("_v"), *extra)
+    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("_rows").over(before), F.lit(0))
+    return seg.withColumn("_mx", F.col("_mx") - F.col("_first") + start)
+
+
+def _centred(seg: DataFrame, key: str, n: str, *means: str) -> DataFrame:
+    """The means of the segments less their person's mean."""
+    w = Window.partitionBy(key)
+    return seg.withColumns({m: F.col(m) - F.sum(F.col(n) * F.col(m)).over(w) / F.sum(n).over(w) for m in means})
+
+
+def _slope() -> F.Column:
+    c = F.sum(F.col("_c") + F.col("_n") * F.col("_mx") * F.col("_my"))
+    v = F.sum(F.col("_v") + F.col("_n") * F.col("_mx") * F.col("_mx"))
+    return F.coalesce(F.when(v > 0, c / v), F.lit(0.0)).alias("hr_trend")
+
+
 def hr_trend(telemetry: DataFrame, key: str = "employee_key",
-             order=("month_no", "ts", "event_id"), hot_rows: int = 5_000_000) -> DataFrame:
+             order=("month_no", "ts", "event_id"), partitions: int | None = None) -> DataFrame:
     """AGG2: least-squares slope of resting HR against the row index 0..n-1.
 
     The index is the position in ``order`` within the person (explicit
-    tie-breakers, so the result does not depend on file order), computed by
-    :func:`functions.ranks.rank_within`, which splits any person with more than
-    ``hot_rows`` readings across tasks.  A single reading has no slope; the
-    reference never supports it and we return 0.
+    tie-breakers, so the result does not depend on file order).  Telemetry is
+    range-partitioned by (person, order), so a person with any number of readings
+    spans as many tasks as needed; every partition reduces its part of a person to
+    counts, means and centred sums, and these few rows are merged per person.
+    A single reading has no slope; the reference never supports it and we return 0.
     """
-    from ..functions.ranks import rank_within
-    idx = rank_within(telemetry.select(key, "resting_hr", *order), key, list(order), hot_rows)
-    return idx.groupBy(key).agg(
-        F.coalesce(F.regr_slope(F.col("resting_hr").cast("double"), F.col("_rank").cast("double")),
-                   F.lit(0.0)).alias("hr_trend"))
+    seg = _segments(telemetry.select(key, "resting_hr", *order), key, order, partitions=partitions)
+    return _centred(seg, key, "_n", "_mx", "_my").groupBy(key).agg(_slope())
 
 
 def rollup_telemetry_with_trend(telemetry: DataFrame, key: str = "employee_key",
-                                order=("month_no", "ts", "event_id"), hot_rows: int = 5_000_000) -> DataFrame:
-    """AGG1 + AGG2 fused: positions (skew-safe, see ``hr_trend``) then one partial+final aggregate."""
-    from ..functions.ranks import rank_within
-    t = rank_within(telemetry, key, list(order), hot_rows).withColumn("_i", F.col("_rank").cast("double"))
-    return t.groupBy(key).agg(
-        F.avg("avg_daily_steps").alias("avg_daily_steps"),
-        F.stddev_samp("avg_daily_steps").alias("step_volatility"),
-        F.avg("resting_hr").alias("avg_resting_hr"),
-        F.coalesce(F.regr_slope(F.col("resting_hr").cast("double"), F.col("_i")), F.lit(0.0)).alias("hr_trend"),
-        F.avg("active_minutes").alias("avg_active_mins"),
-        F.avg("sleep_hours").alias("avg_sleep_hours"),
-        F.avg("spo2").alias("avg_spo2"),
-    )
+                                order=("month_no", "ts", "event_id"), partitions: int | None = None) -> DataFrame:
+    """AGG1 + AGG2 fused: the segments of ``hr_trend`` also carry the sums of the other columns."""
+    means = {"avg_daily_steps": "avg_daily_steps", "avg_resting_hr": "resting_hr", "avg_active_mins": "active_minutes",
+             "avg_sleep_hours": "sleep_hours", "avg_spo2": "spo2"}
+    steps = F.col("avg_daily_steps").cast("double")
+    extra = [e for out, c in means.items() for e in (F.sum(F.col(c).cast("double")).alias(f"_s_{out}"),
+                                                     F.count(c).alias(f"_n_{out}"))]
+    extra += [F.avg(steps).alias("_ms"), (F.var_pop(steps) * F.count(steps)).alias("_vs")]
+    columns = dict.fromkeys([key, *order, *means.values()])
+    seg = _segments(telemetry.select(*columns), key, order, extra, partitions)
+    seg = _centred(_centred(seg, key, "_n", "_mx", "_my"), key, "_n_avg_daily_steps", "_ms")
+    n = F.sum("_n_avg_daily_steps")
+    spread = F.sum(F.col("_vs") + F.col("_n_avg_daily_steps") * F.col("_ms") * F.col("_ms"))
+    avg = {out: (F.sum(f"_s_{out}") / F.nullif(F.sum(f"_n_{out}"), F.lit(0))).alias(out) for out in means}
+    return seg.groupBy(key).agg(
+        avg["avg_daily_steps"], F.when(n > 1, F.sqrt(spread / (n - 1))).alias("step_volatility"),
+        avg["avg_resting_hr"], _slope(), avg["avg_active_mins"], avg["avg_sleep_hours"], avg["avg_spo2"])
 
 
 def rollup_claims(clinical: DataFrame, key: str = "employee_key") -> DataFrame:
@@ -198,17 +232,19 @@ def snapshot_summary(df: DataFrame) -> DataFrame:
 
 
 
-
 def poisson_from_uniform(lam, u, kmax: int = 15) -> F.Column:
-    """Inverse-CDF Poisson draw: the number of CDF(k), k < kmax, lying below ``u`` (capped at kmax)."""
+    """Inverse-CDF Poisson draw: the number of CDF(k), k < kmax, lying below ``u`` (capped at kmax).
+
+    The terms are folded over k; ``lam`` and ``u`` should be columns, as every step reads them."""
     term = F.exp(-lam)
-    cdf = term
-    count = (u > cdf).cast("int")
-    for k in range(1, kmax):
-        term = term * lam / k
-        cdf = cdf + term
-        count = count + (u > cdf).cast("int")
-    return count
+    start = F.struct(term.alias("term"), term.alias("cdf"), (u > term).cast("int").alias("n"))
+
+    def step(acc, k):
+        nxt = acc["term"] * lam / k
+        cdf = acc["cdf"] + nxt
+        return F.struct(nxt.alias("term"), cdf.alias("cdf"), (acc["n"] + (u > cdf).cast("int")).alias("n"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(kmax - 1)), start, step, lambda acc: acc["n"])
 
 
 # Activity domain column -> lab flag.
@@ -251,7 +287,8 @@ def lab_training_rows(activity: DataFrame, key: str = "user_id", order: str = "y
           .withColumn("hr_trend", N("hr_trend", 0, 0.15))
           .withColumn("avg_sleep_hours", round_even(clamp(N("avg_sleep_hours", 6.8, 0.75), 4.5, 9.5), 1))
           .withColumn("avg_spo2", round_even(clamp(N("avg_spo2", 97.5, 0.5) - F.col("smoker") * 1.2, 90.0, 100.0), 1))
-          .withColumn("visit_count", F.least(poisson_from_uniform(F.lit(1.5) + n * 0.55, U("visit_count")), F.lit(15)))
+          .withColumns({"_lam": F.lit(1.5) + n * 0.55, "_draw": U("visit_count")})
+          .withColumn("visit_count", F.least(poisson_from_uniform(F.col("_lam"), F.col("_draw")), F.lit(15)))
           .withColumn("hospitalized_count", (U("hospitalized_count") < n * 0.04).cast("int")))
     d = lab_aggregates(d)
     activity_factor = clamp(F.lit(1.0) - F.col("avg_daily_steps") / 10000, 0.0, 1.0)

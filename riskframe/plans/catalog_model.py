@@ -112,7 +112,7 @@ def q_monotone(spark, sf):
     """MOD5: monotone audit of the GBT challenger (+1 perturbation per constrained feature)."""
     d = _training_table(spark, sf)
     m = MD.fit_gbt(d.where(~F.col("is_test")), {"maxDepth": 3, "maxIter": 20}, key="employee_key")
-    return MD.monotone_audit(m, d.where(F.col("is_test")), "employee_key")
+    return MD.monotone_audit(m, d.where(F.col("is_test")))
 
 
 @register("mod8_run_record")

@@ -2,7 +2,6 @@
 import pytest
 import numpy as np
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from riskframe.operators import mappers as M
 from riskframe.operators import model as MD
@@ -121,13 +120,64 @@ def test_rank_within_hot_keys_equals_window(spark):
     df = spark.createDataFrame(rows, "key string, m int, id long")
     w = Window.partitionBy("key").orderBy("m", "id")
     expected = {(r.key, r.id): r.rk for r in df.withColumn("rk", F.row_number().over(w) - 1).collect()}
-    got = {(r.key, r.id): r._rank for r in rank_within(df, "key", ["m", "id"], hot_rows=100, partitions=6).collect()}
+    got = {(r.key, r.id): r._rank for r in rank_within(df, "key", ["m", "id"], partitions=6).collect()}
     assert got == expected
 
 
-def test_hr_trend_hot_path_matches(spark, sf):
+def test_hr_trend_of_split_persons_matches(spark, sf):
     from riskframe.operators.rollup import hr_trend
     tele = fixture(spark, sf, "fx_telemetry")
-    a = {r.employee_key: r.hr_trend for r in hr_trend(tele).collect()}
-    b = {r.employee_key: r.hr_trend for r in hr_trend(tele, hot_rows=3).collect()}
+    a = {r.employee_key: r.hr_trend for r in hr_trend(tele, partitions=1).collect()}
+    b = {r.employee_key: r.hr_trend for r in hr_trend(tele, partitions=37).collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_rank_within_null_keys_and_ties(spark):
+    from riskframe.functions.ranks import rank_within
+    rows = [(None, i % 3) for i in range(40)] + [("a", 1)] * 5
+    df = spark.createDataFrame(rows, "key string, m int")
+    for p in (1, 9):
+        got = rank_within(df, "key", ["m"], partitions=p).collect()
+        for key, n in ((None, 40), ("a", 5)):
+            ranked = sorted((r._rank, r.m) for r in got if r.key == key)
+            assert [x for x, _ in ranked] == list(range(n))
+            assert [m for _, m in ranked] == sorted(m for _, m in ranked)
+    assert rank_within(df.limit(0), "key", ["m"]).count() == 0
+
+
+def test_rollup_with_missing_heart_rates(spark):
+    import numpy as np
+    from riskframe.operators.rollup import rollup_telemetry, rollup_telemetry_with_trend
+    cols = ["avg_daily_steps", "active_minutes", "sleep_hours", "spo2"]
+    rng = np.random.default_rng(3)
+    rows = [(k, 1, i, f"e{k}{i}", None if i % 5 == 0 else float(60 + rng.integers(30)),
+             *[float(x) for x in rng.random(4) * 9000]) for k, n in (("hot", 700), ("two", 2), ("one", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "employee_key string, month_no int, ts int, event_id string, resting_hr double, "
+                                     + ", ".join(f"{c} double" for c in cols))
+    ys = [(i, r[4]) for i, r in enumerate(rows[:700]) if r[4] is not None]
+    slope = np.polyfit(*zip(*ys), 1)[0]
+    plain = {r.employee_key: r.asDict() for r in rollup_telemetry(df).collect()}
+    for p in (1, 16):
+        got = {r.employee_key: r.asDict() for r in rollup_telemetry_with_trend(df, partitions=p).collect()}
+        assert abs(got["hot"].pop("hr_trend") - slope) < 1e-9
+        assert got["two"].pop("hr_trend") == got["one"].pop("hr_trend") == 0.0
+        for k, want in plain.items():
+            assert got[k].keys() == want.keys()
+            for c, v in want.items():
+                assert got[k][c] == v if v is None or c == "employee_key" else abs(got[k][c] - v) < 1e-7
+
+
+def test_poisson_draw_equals_inverse_cdf(spark):
+    import math
+    from riskframe.operators.rollup import poisson_from_uniform
+    rows = [(lam / 2, u / 20) for lam in range(1, 13) for u in range(20)] + [(None, 0.5)]
+    df = spark.createDataFrame(rows, "lam double, u double")
+    for r in df.select("lam", "u", poisson_from_uniform(F.col("lam"), F.col("u")).alias("n")).collect():
+        if r.lam is None:
+            assert r.n is None
+            continue
+        cdf, want = 0.0, 0
+        for k in range(15):
+            cdf += math.exp(-r.lam) * r.lam ** k / math.factorial(k)
+            want += r.u > cdf
+        assert r.n == want
