@@ -110,20 +110,24 @@ def parse_notes(df: DataFrame, text: str = "text") -> DataFrame:
                         .otherwise(F.expr(f"substr(`{text}`, _bs)")))).otherwise(F.col(text))
     d = d.withColumn("_t", F.lower(sec))
     t = F.col("_t")
+    # every pattern runs once here; the choices below read its result
+    found = {f"_age{i}": (pat, 1) for i, pat in enumerate(AGE_PATTERNS)}
+    found |= {f"_ox{i}": pg for i, pg in enumerate(SPO2_PATTERNS)} | {"_bmi": (BMI_PATTERN, 1)}
+    d = d.withColumns({c: F.regexp_extract(t, FLAGS + _lower_pattern(pat), grp) for c, (pat, grp) in found.items()}
+                      | {c: F.regexp_count(t, F.lit(FLAGS + _lower_pattern(pat)))
+                         for c, pat in (("_fem", FEMALE_PATTERN), ("_mal", MALE_PATTERN))})
     age = F.lit(None).cast("double")
-    for pat in reversed(AGE_PATTERNS):
-        v = F.regexp_extract(t, FLAGS + _lower_pattern(pat), 1)
+    for i in reversed(range(len(AGE_PATTERNS))):
+        v = F.col(f"_age{i}")
         vi = F.when(v != "", v.cast("int"))
         age = F.when((vi > 0) & (vi < 120), vi.cast("double")).otherwise(age)
     age = F.coalesce(age, F.lit(45.0))
-    fem = F.regexp_count(t, F.lit(FLAGS + _lower_pattern(FEMALE_PATTERN)))
-    mal = F.regexp_count(t, F.lit(FLAGS + _lower_pattern(MALE_PATTERN)))
-    bmi_s = F.regexp_extract(t, FLAGS + _lower_pattern(BMI_PATTERN), 1)
+    bmi_s = F.col("_bmi")
     bmi_v = F.when(bmi_s != "", bmi_s.cast("double"))
     bmi = F.when((bmi_v > 10) & (bmi_v < 70), bmi_v).otherwise(F.lit(26.0))
     spo2 = F.lit(None).cast("double")
-    for pat, grp in reversed(SPO2_PATTERNS):
-        v = F.regexp_extract(t, FLAGS + _lower_pattern(pat), grp)
+    for i in reversed(range(len(SPO2_PATTERNS))):
+        v = F.col(f"_ox{i}")
         vd = F.when(v != "", v.cast("double"))
         spo2 = F.when((vd >= 70) & (vd <= 100), vd).otherwise(spo2)
     spo2 = F.coalesce(spo2, F.lit(97.0))
@@ -135,7 +139,7 @@ def parse_notes(df: DataFrame, text: str = "text") -> DataFrame:
 
     cols = {k: cond(k, v) for k, v in CONDITIONS.items()}
     d = d.select(*[c for c in df.columns if c != text], age.alias("age"),
-                 F.when(fem > mal, "F").otherwise("M").alias("gender"), bmi.alias("bmi"),
+                 F.when(F.col("_fem") > F.col("_mal"), "F").otherwise("M").alias("gender"), bmi.alias("bmi"),
                  *[e.alias(k) for k, e in cols.items()], spo2.alias("avg_spo2"))
     chronic = sum((F.col(c) for c in CHRONIC), F.lit(0))
     d = d.withColumn("chronic_count", chronic.cast("double"))

@@ -176,34 +176,34 @@ def apply_table_schema(df: DataFrame, table: str) -> DataFrame:
 
 
 def constraint_report(tables: dict) -> DataFrame:
-    """SNK4: PK duplicates, NOT NULL violations, FK orphans (anti joins) and VARCHAR overflows, as rows."""
+    """SNK4: PK duplicates, NOT NULL violations, FK orphans (anti joins) and VARCHAR overflows, as rows.
+
+    The row-wise checks of a table are one aggregate, so one scan; each key takes a scan of its column."""
     parts = []
+
+    def report(t: str, counts: DataFrame, checks: list) -> None:
+        rows = [F.struct(F.lit(t).alias("table"), F.lit(check).alias("check"), F.lit(column).alias("column"),
+                         F.coalesce(F.col(f"_v{i}"), F.lit(0)).cast("long").alias("violations"))
+                for i, (check, column) in enumerate(checks)]
+        parts.append(counts.select(F.inline(F.array(*rows))))
+
     for t, keys in PRIMARY_KEYS.items():
         if t in tables:
             d = tables[t].groupBy(*keys).count().where("count > 1")
-            parts.append(d.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("violations"))
-                         .select(F.lit(t).alias("table"), F.lit("primary_key").alias("check"),
-                                 F.lit(",".join(keys)).alias("column"), "violations"))
+            report(t, d.agg(F.sum(F.col("count") - 1).alias("_v0")), [("primary_key", ",".join(keys))])
     for t, schema in TABLE_SCHEMAS.items():
         if t in tables:
-            for f in schema.fields:
-                if not f.nullable and f.name in tables[t].columns:
-                    parts.append(tables[t].agg(F.count_if(F.col(f.name).isNull()).cast("long").alias("violations"))
-                                 .select(F.lit(t).alias("table"), F.lit("not_null").alias("check"),
-                                         F.lit(f.name).alias("column"), "violations"))
+            has = set(tables[t].columns)
+            checks = {("not_null", f.name): F.col(f.name).isNull() for f in schema.fields
+                      if not f.nullable and f.name in has}
+            checks |= {("varchar_length", c): F.length(c) > n for c, n in VARCHAR_LIMITS.get(t, {}).items() if c in has}
+            if checks:
+                report(t, tables[t].agg(*[F.count_if(e).alias(f"_v{i}") for i, e in enumerate(checks.values())]),
+                       list(checks))
     for t, c, rt, rc in FOREIGN_KEYS:
         if t in tables and rt in tables:
             o = tables[t].where(F.col(c).isNotNull()).join(tables[rt].select(F.col(rc).alias(c)), c, "left_anti")
-            parts.append(o.agg(F.count(F.lit(1)).cast("long").alias("violations"))
-                         .select(F.lit(t).alias("table"), F.lit("foreign_key").alias("check"),
-                                 F.lit(f"{c}->{rt}.{rc}").alias("column"), "violations"))
-    for t, lim in VARCHAR_LIMITS.items():
-        if t in tables:
-            for c, n in lim.items():
-                if c in tables[t].columns:
-                    parts.append(tables[t].agg(F.count_if(F.length(c) > n).cast("long").alias("violations"))
-                                 .select(F.lit(t).alias("table"), F.lit("varchar_length").alias("check"),
-                                         F.lit(c).alias("column"), "violations"))
+            report(t, o.agg(F.count(F.lit(1)).alias("_v0")), [("foreign_key", f"{c}->{rt}.{rc}")])
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -72,7 +72,8 @@ def stream_clinical(spark: SparkSession, source: str, schema: StructType, compan
 
     Inside each micro-batch the copy of an ``event_id`` with the smallest ``key`` is kept (a partial +
     final aggregate), then ``left_anti`` against the events already stored, so a replayed event is
-    never stored twice.
+    never stored twice.  An ``event_id`` fixes its month, so only stored months between the first and
+    the last of the batch are read; batches are stored sorted by month, so that the scan can skip row groups.
     """
     stream = spark.readStream.schema(schema).parquet(source)
 
@@ -85,9 +86,12 @@ def stream_clinical(spark: SparkSession, source: str, schema: StructType, compan
         ok, unknown_co = I.require_company(norm, companies)
         good, unknown_emp = I.require_employee(ok, employees.select("employee_id"))
         if _exists(spark, out):
-            stored = spark.read.parquet(out).where(F.col("batch_id") != batch_id).select("event_id")
+            month = F.col("month_no").cast("int")
+            first, last = batch.agg(F.min(month), F.max(month)).first()
+            stored = spark.read.parquet(out).where((F.col("batch_id") != batch_id) &
+                                                   F.col("month_no").between(first, last)).select("event_id")
             good = good.join(stored, "event_id", "left_anti")
-        _write_batch(good, out, batch_id)
+        _write_batch(good.sortWithinPartitions("month_no"), out, batch_id)
         dl = _dead_letter(rejected.select(key, "errors")).unionByName(
             unknown_co.select(key, F.lit("company_id: unknown company").alias("reasons"),
                               F.current_timestamp().alias("rejected_at"))).unionByName(
