@@ -186,12 +186,13 @@ def _rebuild(min_chars: int, at: int, kept_at: int, names: list[str]):
     return run
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 16) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, plus ``n_lines`` and ``n_removed``.
 
     A line (text between ``\\n``, judged without the white space around it) goes if an earlier line of
-    the input, by doc_id and then by line number, is equal to it or one edit away.  Lines of fewer
-    than ``min_chars`` code points are neither judged nor matched and stay.  Kept lines are unchanged.
+    the input, by doc_id and then by line number, is equal to it or one edit away.  By default that
+    holds for every line with a word, however short; lines of fewer than ``min_chars`` code points
+    (by default those without a word) are neither judged nor matched and stay.  Kept lines are unchanged.
     A null text becomes empty (one empty line, none removed); a null doc_id counts as larger than
     every other.  Rows of equal doc_id are one document: repeated rows lose the same lines.  All other
     columns stay; existing columns named like the two counts are replaced.

@@ -59,3 +59,11 @@ def test_lines(make_docs, least):
 
 def test_no_rows(make_docs):
     assert dedup_lines(make_docs([])).collect() == []
+
+
+def test_short_lines_are_judged_by_default(make_docs):
+    rows = [(1, "Les.\nHome\n\n一章"), (2, "Les.\nShare this\n\n二章"), (3, "Less.\nHome\nOf, edti oner."), (4, "Of, edti oner.")]
+    got = dedup_lines(make_docs(rows))
+    have = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()), key=str)
+    assert have == brute(rows, 1)
+    assert [x[3] for x in have] == [0, 2, 2, 1]
