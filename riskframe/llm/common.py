@@ -61,6 +61,11 @@ def doc_key(col: str = "doc_id"):
     return F.coalesce(F.col(col).cast("long"), F.lit(NO_ID))
 
 
+def text_key(col: str = "text"):
+    """Name of a text (null as empty): with doc_key it tells rows apart that share a doc_id or have none."""
+    return F.xxhash64(F.coalesce(F.col(col).cast("string"), F.lit("")))
+
+
 def text_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array as one uint8 array, and the offset of each row (nulls are empty)."""
     if isinstance(arr, pa.ChunkedArray):

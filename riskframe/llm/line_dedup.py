@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, doc_key, drop, keep, text_buffers
+from .common import chunks, doc_key, drop, keep, text_buffers, text_key
 from .factors import flat_lists
 from .rolling import Roller, mix, words
 
@@ -85,7 +85,7 @@ def _line_rows(min_chars: int):
         roller = Roller(41)
         for b in batches:
             data, offsets = text_buffers(b.column("text"))
-            ids = b.column("did").to_numpy()
+            ids, th = b.column("did").to_numpy(), b.column("th").to_numpy()
             for i, j in chunks(offsets):
                 lo = offsets[i]
                 x = _Lines(data[lo:offsets[j]], offsets[i:j + 1] - lo, roller)
@@ -96,8 +96,8 @@ def _line_rows(min_chars: int):
                 m = n - 1
                 keys += [_tag(x.without(at, _segment(m, q), _segment(m, q + 1) + 1), m, q) for q in range(SEGMENTS)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i:j][x.row[at]]), pa.array(x.nth[at].astype(np.int32)), _signed(x.name(at)),
-                     *map(_signed, keys)], names=["did", "nth", "name", *_KEYS])
+                    [pa.array(ids[i:j][x.row[at]]), pa.array(th[i:j][x.row[at]]), pa.array(x.nth[at].astype(np.int32)),
+                     _signed(x.name(at)), *map(_signed, keys)], names=["did", "th", "nth", "name", *_KEYS])
     return run
 
 
@@ -111,7 +111,7 @@ def _variant_rows(min_chars: int):
         roller, second = Roller(41), Roller(42)
         for b in batches:
             data, offsets = text_buffers(b.column("text"))
-            ids = b.column("did").to_numpy()
+            ids, th = b.column("did").to_numpy(), b.column("th").to_numpy()
             want, of = flat_lists(b.column("wanted"))
             nth, name, key = (want.field(k).to_numpy() for k in range(3))
             for i, j in chunks(offsets):
@@ -121,7 +121,7 @@ def _variant_rows(min_chars: int):
                 p, q = np.searchsorted(of, [i, j])
                 heads = np.searchsorted(x.row, np.arange(j - i))
                 count = np.bincount(x.row, minlength=j - i)
-                in_row = nth[p:q] < count[of[p:q] - i]  # rows of one doc_id may differ
+                in_row = nth[p:q] < count[of[p:q] - i]
                 line = heads[of[p:q] - i] + np.where(in_row, nth[p:q], 0)
                 ok = in_row & (x.size[line] >= min_chars)
                 ok[ok] = x.name(line[ok]).view(np.int64) == name[p:q][ok]
@@ -143,7 +143,8 @@ def _variant_rows(min_chars: int):
                 role = np.concatenate([np.where(sub, 0, 1), np.full(len(alone), 2)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [_signed(v1), _signed(v2), pa.array(role), pa.array(ids[i:j][x.row[at]]),
-                     pa.array(x.nth[at].astype(np.int32))], names=["v1", "v2", "part", "did", "nth"])
+                     pa.array(th[i:j][x.row[at]]), pa.array(x.nth[at].astype(np.int32))],
+                    names=["v1", "v2", "part", "did", "th", "nth"])
     return run
 
 
@@ -194,38 +195,41 @@ def dedup_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     holds for every line with a word, however short; lines of fewer than ``min_chars`` code points
     (by default those without a word) are neither judged nor matched and stay.  Kept lines are unchanged.
     A null text becomes empty (one empty line, none removed); a null doc_id counts as larger than
-    every other.  Rows of equal doc_id are one document: repeated rows lose the same lines.  All other
-    columns stay; existing columns named like the two counts are replaced.
+    every other.  Rows that share a doc_id, or have none, but differ in text are documents of their own,
+    one after the other by a hash of their text; rows equal in both are one document and lose the same
+    lines.  All other columns stay; existing columns named like the two counts are replaced.
     """
     from pyspark.sql.types import LongType, StructField, StructType
     docs = docs.drop("n_lines", "n_removed")
     own = docs.columns
-    d = docs.select(doc_key().alias("did"), F.col("text").cast("string").alias("text"))
-    schema = "did long, nth int, name long, " + ", ".join(f"{k} long" for k in _KEYS)
+    row_key = [doc_key().alias("did"), text_key().alias("th")]
+    d = docs.select(*row_key, F.col("text").cast("string").alias("text"))
+    schema = "did long, th long, nth int, name long, " + ", ".join(f"{k} long" for k in _KEYS)
     lines = keep(d.mapInArrow(_line_rows(min_chars), schema).groupBy("name", *_KEYS)
-                 .agg(F.min(F.struct("did", "nth")).alias("first"))
-                 .select("name", *_KEYS, "first.did", "first.nth"), "lines")
-    keyed = lines.select("did", "nth", "name", F.posexplode(F.array(*_KEYS)).alias("key_no", "key"))
+                 .agg(F.min(F.struct("did", "th", "nth")).alias("first"))
+                 .select("name", *_KEYS, "first.did", "first.th", "first.nth"), "lines")
+    keyed = lines.select("did", "th", "nth", "name", F.posexplode(F.array(*_KEYS)).alias("key_no", "key"))
     shared = keep(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "line-keys")
-    wanted = keyed.join(shared, "key", "left_semi").groupBy("did").agg(
+    wanted = keyed.join(shared, "key", "left_semi").groupBy("did", "th").agg(
         F.collect_list(F.struct("nth", "name", "key_no")).alias("wanted"))
-    variants = keep(d.join(wanted.hint("shuffle_hash"), "did").select("did", "text", "wanted")
-                    .mapInArrow(_variant_rows(min_chars), "v1 long, v2 long, part int, did long, nth int"), "variants")
+    variants = keep(d.join(wanted.hint("shuffle_hash"), ["did", "th"]).select("did", "th", "text", "wanted")
+                    .mapInArrow(_variant_rows(min_chars), "v1 long, v2 long, part int, did long, th long, nth int"),
+                    "variants")
     kind = F.when(F.col("part") == 0, 0).otherwise(1).alias("kind")
-    place = F.struct("did", "nth")
+    place = F.struct("did", "th", "nth")
     buckets = keep(variants.groupBy("v1", "v2", kind).agg(
         F.min(place).alias("low"), F.min(F.when(F.col("part") == 2, place)).alias("short"), F.count(F.lit(1)).alias("n"))
         .where((F.col("n") > 1) & ((F.col("kind") == 0) | F.col("short").isNotNull())), "buckets")
     earlier = F.when(F.col("part") == 1, F.col("short") < place).otherwise(F.col("low") < place)
-    gone = variants.select("v1", "v2", kind, "part", "did", "nth").join(buckets, ["v1", "v2", "kind"]) \
-                   .where(earlier).select("did", "nth").distinct()
-    held = keep(lines.select("did", "nth", "name").join(gone, ["did", "nth"], "left_anti").groupBy("did")
+    gone = variants.select("v1", "v2", kind, "part", "did", "th", "nth").join(buckets, ["v1", "v2", "kind"]) \
+                   .where(earlier).select("did", "th", "nth").distinct()
+    held = keep(lines.select("did", "th", "nth", "name").join(gone, ["did", "th", "nth"], "left_anti").groupBy("did", "th")
                 .agg(F.collect_list(F.struct("nth", "name")).alias("held")), "lines-held")
     drop(lines, shared, variants, buckets)
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in own if c != "text"]).alias("row"), doc_key().alias("did"),
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in own if c != "text"]).alias("row"), *row_key,
                       F.col("text").cast("string").alias("text"))
     out = StructType([StructField("row", row.schema["row"].dataType), row.schema["text"],
                       StructField("n_lines", LongType()), StructField("n_removed", LongType())])
-    built = row.join(held.hint("shuffle_hash"), "did", "left").select("row", "text", "held") \
+    built = row.join(held.hint("shuffle_hash"), ["did", "th"], "left").select("row", "text", "held") \
                .mapInArrow(_rebuild(min_chars, 1, 2, out.names), out)
     return built.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in own], "n_lines", "n_removed")

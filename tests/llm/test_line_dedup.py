@@ -67,3 +67,13 @@ def test_short_lines_are_judged_by_default(make_docs):
     have = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()), key=str)
     assert have == brute(rows, 1)
     assert [x[3] for x in have] == [0, 2, 2, 1]
+
+
+def test_rows_without_id_are_documents_of_their_own(make_docs):
+    long = "a line that three documents share"
+    rows = [(1, long), (None, long + "!\nonly here, in the first"), (None, "wholly unlike the others\nonly there, in a second"),
+            (None, "again something else\nequal at one place of two"), (None, "and something new\nequal at one place of two"),
+            (7, long + "?\nfirst text of seven"), (7, "7: other text\nits second line, unlike")]
+    out = [r.text for r in dedup_lines(make_docs(rows)).collect()]
+    lines = sorted(x for t in out for x in t.split("\n") if x)
+    assert lines == sorted({x for _, t in rows for x in t.split("\n")} - {long + "!", long + "?"})
