@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, keep, partitions
+from .common import doc_key, drop, keep, partitions, text_key
 from .components import connected_components
 
 _POP8 = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -214,10 +214,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, text:
     return _components(prints, max_bits)
 
 
+def _roots(first: DataFrame, max_bits: int) -> DataFrame:
+    """``fp``, ``root`` of the distinct fingerprints that have a link."""
+    links = hamming_links(first.select("fp"), max_bits)
+    return keep(connected_components(links).select(F.col("node").alias("fp"), "root"), "simhash-roots")
+
+
 def _components(prints: DataFrame, max_bits: int) -> DataFrame:
     first = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
-    links = hamming_links(first.select("fp"), max_bits)
-    roots = keep(connected_components(links).select(F.col("node").alias("fp"), "root"), "simhash-roots")
+    roots = _roots(first, max_bits)
     linked = first.join(roots, "fp")
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     group = keep(roots.join(lows, "root").select("fp", "component_id"), "simhash-groups")
@@ -228,20 +233,28 @@ def _components(prints: DataFrame, max_bits: int) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group.
+    """One row of ``docs`` for each group: the row with the smallest doc_id, then by a hash of its text.
 
-    Of repeated rows of that id one stays, the first by text.  Rows with a null doc_id stay if
-    their whole group has none.
+    A null doc_id counts as larger than every other, so such a row stays if its whole group has no
+    doc_id and it is the first by text.  Rows that share a doc_id or have none are judged one by one;
+    of rows equal in doc_id and text one stays.
     """
-    from pyspark.sql import Window
-    groups = near_duplicates(docs, shingle, max_bits)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    many = keep(groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1"),
-                "simhash-repeated")
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    d = docs.select(doc_key().alias("did"), text_key().alias("th"), F.col("text").cast("string").alias("text"))
+    prints = keep(simhash(d, shingle), "simhash")
+    first = keep(prints.groupBy("fp").agg(F.min(F.struct("did", "th")).alias("low")), "simhash-distinct")
+    roots = _roots(first, max_bits)
+    stay = first.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")) \
+                .agg(F.min("low").alias("low")).select("low.did", "low.th")
+    rows = prints.groupBy("did", "th").agg(F.count(F.lit(1)).alias("n")) \
+                 .join(stay.withColumn("stays", F.lit(True)), ["did", "th"], "left")
+    judged = keep(rows.where(F.col("stays").isNull() | (F.col("n") > 1)).select(
+        F.col("did").alias("_did"), F.col("th").alias("_th"), "stays"), "simhash-judged")
+    drop(prints, first, roots)
+    key = ["_did", "_th"]
+    named = docs.withColumn("_did", doc_key()).withColumn("_th", text_key())
+    left = named.join(judged.where("stays is null"), key, "left_anti")
+    many = judged.where("stays")
     if many.isEmpty():
-        return left
-    rep = left.join(many, "doc_id", "left_semi")
-    w = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    one = rep.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
-    return left.join(many, "doc_id", "left_anti").unionByName(one)
+        return left.select(*docs.columns)
+    one = left.join(many, key, "left_semi").dropDuplicates(key)
+    return left.join(many, key, "left_anti").unionByName(one).select(*docs.columns)

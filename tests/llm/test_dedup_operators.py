@@ -96,6 +96,16 @@ def test_one_of_each_group_keeps_columns_and_one_row(make_docs, corpus):
     assert sorted(r.doc_id for r in out.collect()) == keep
 
 
+def test_one_of_each_group_judges_rows_without_or_with_equal_ids(make_docs):
+    say = lambda k: " ".join(f"{w}{k}" for w in ("alpha", "bravo", "charlie", "delta", "echo", "golf"))
+    rows = [(1, say(1)), (None, say(1)),                                # a copy of an id goes, alone
+            (None, say(2)), (None, say(3)), (None, say(3) + " "), (None, say(3)),  # one of each group without id
+            (5, say(1)), (5, say(4)), (5, say(5)), (6, say(5)),         # a repeated id in three groups
+            (8, say(6)), (8, say(6))]
+    got = sorted(((r.doc_id, r.text.strip()) for r in one_of_each_group(make_docs(rows)).collect()), key=str)
+    assert got == sorted([(1, say(1)), (None, say(2)), (None, say(3)), (5, say(4)), (5, say(5)), (8, say(6))], key=str)
+
+
 def brute_passages(rows, W=50):
     first = {}
     ws = [(d, WORD.findall(t or "")) for d, t in rows]
