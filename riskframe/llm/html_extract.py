@@ -2,11 +2,13 @@
 
 A page is read into blocks; scripts, styles, forms and marked-up menus, headers, footers, sidebars,
 notices, adverts and comments are left out.  If the page marks its article (``article`` or ``main``)
-its blocks are the text: the article is kept whole, also where other pages copy it.  Otherwise the
-blocks of all such pages of a host form its token stream: runs of ``run_tokens`` tokens (suffixes
-cut to that length) are range-partitioned by host and leading tokens, sorted within buckets and
-compared with their neighbours, across bucket boundaries too; blocks covered by runs that occur on
-two or more distinct pages of the host are boilerplate, and the unique rest is the text.
+only the blocks in it are read.  The blocks of all pages of a host form its token stream: runs of
+``run_tokens`` tokens (suffixes cut to that length) are range-partitioned by host and leading tokens,
+sorted within buckets and compared with their neighbours, across bucket boundaries too.  Blocks
+covered by runs that occur on a large share of the host's distinct pages are boilerplate, and the
+rest is the text; inside a marked article the share is larger.  Two pages with the same text can be
+copies of an article, so a run has to occur on three at least, and a page that would lose all its
+blocks is a copy and keeps them.
 """
 from __future__ import annotations
 
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, keep, partitions
+from .common import keep, partitions
 from .factors import flat_lists
 from .rolling import Roller
 from .suffix_dedup import BUCKET_ROWS, _multikey_order
@@ -38,6 +40,9 @@ _FURNITURE = set(
     "sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 _ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
+#: Boilerplate is on so many distinct pages of a host at least, and on this share of them.
+LEAST_PAGES, SHARE, MARKED_SHARE = 3, 0.3, 0.5
+
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"""|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[/!?a-zA-Z][^<>]*(?:>|\Z)""", re.S | re.I)
@@ -159,7 +164,8 @@ def _suffixes(run_tokens: int):
 
 
 def _neighbours(batches):
-    """Sorted bucket -> suffixes on two or more pages (kind 0) and its first and last run (kind 1)."""
+    """Sorted bucket -> suffixes whose run is on enough pages (kind 0), its first and last run (kind 1)
+    and the suffixes of these (kind 2); ``n`` counts the distinct pages of a run in the bucket."""
     got = [[np.zeros(0, np.int64)] for _ in range(4)]
     for b in batches:
         for part, c in zip(got, b.columns):
@@ -167,39 +173,47 @@ def _neighbours(batches):
     k1, k2, page, pos = (np.concatenate(x) for x in got)
     if not len(k1):
         return
-    order = _multikey_order([k1, k2])
+    order = _multikey_order([k1, k2, page])
     k1, k2, page, pos = (x[order] for x in (k1, k2, page, pos))
-    first = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
-    count = np.diff(np.append(first, len(k1)))
-    low, high = np.minimum.reduceat(page, first), np.maximum.reduceat(page, first)
-    shared = np.flatnonzero(np.repeat(low != high, count))
+    new = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
+    first = np.flatnonzero(new)
+    pages = np.add.reduceat((new | np.concatenate([[True], page[1:] != page[:-1]])).astype(np.int64), first)
+    run = np.cumsum(new) - 1
+    last = np.append(first[1:], len(k1)) - 1
     edge = np.unique([0, len(first) - 1])
-    lone = np.flatnonzero(np.isin(np.repeat(np.arange(len(first)), count), edge[low[edge] == high[edge]]))
+    at_edge = np.isin(run, edge)
+    shared = np.flatnonzero(~at_edge & (pages[run] >= LEAST_PAGES))
+    lone = np.flatnonzero(at_edge)
 
     def rows(at, kind, lo, hi):
         return pa.RecordBatch.from_arrays(
             [pa.array(x) for x in (k1[at], k2[at], page[at], pos[at].astype(np.int32),
-                                   np.full(len(at), kind, np.int32), lo, hi)],
-            names=["k1", "k2", "page_key", "pos", "kind", "low", "high"])
+                                   np.full(len(at), kind, np.int32), lo, hi, pages[run[at]])],
+            names=["k1", "k2", "page_key", "pos", "kind", "low", "high", "n"])
 
     yield rows(shared, 0, page[shared], page[shared])
-    yield rows(first[edge], 1, low[edge], high[edge])
+    yield rows(first[edge], 1, page[first[edge]], page[last[edge]])
     yield rows(lone, 2, page[lone], page[lone])
 
 
 def _repeated_runs(streams: DataFrame, run_tokens: int) -> DataFrame:
-    """``page_key``, ``pos`` of runs that occur on two or more distinct pages of a host."""
+    """``page_key``, ``pos``, ``n`` of runs that occur on ``LEAST_PAGES`` or more distinct pages of a host, n of them."""
+    from pyspark.sql import Window
     spark = streams.sparkSession
-    suffixes = keep(streams.select("host", "blocks", "page_key").mapInArrow(
-        _suffixes(run_tokens), "k1 long, k2 long, page_key long, pos int"), "host-suffixes")
-    n = max(partitions(spark), -(-suffixes.count() // BUCKET_ROWS))
+    suffixes = streams.select("host", "blocks", "page_key").mapInArrow(
+        _suffixes(run_tokens), "k1 long, k2 long, page_key long, pos int")
+    tokens = streams.agg(F.sum(F.size(F.split(F.array_join("blocks", " "), " ")))).first()[0] or 0
+    n = max(partitions(spark), -(-tokens // BUCKET_ROWS))
     found = keep(suffixes.repartitionByRange(n, "k1", "k2", "page_key", "pos").mapInArrow(
-        _neighbours, "k1 long, k2 long, page_key long, pos int, kind int, low long, high long"), "host-runs")
-    drop(suffixes)
-    across = found.where("kind = 1").groupBy("k1", "k2").agg(F.min("low").alias("lo"), F.max("high").alias("hi")) \
-                  .where("lo <> hi").select("k1", "k2")
-    lone = found.where("kind = 2").join(across, ["k1", "k2"], "left_semi")
-    return found.where("kind = 0").unionByName(lone).select("page_key", "pos")
+        _neighbours, "k1 long, k2 long, page_key long, pos int, kind int, low long, high long, n long"), "host-runs")
+    # a page whose suffixes of one run lie on both sides of a bucket boundary was counted on both
+    again = F.coalesce((F.lag("high").over(Window.partitionBy("k1", "k2").orderBy("low", "high")) == F.col("low")).cast("long"),
+                       F.lit(0))
+    across = found.where("kind = 1").select("k1", "k2", (F.col("n") - again).alias("n")).groupBy("k1", "k2") \
+                  .agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    lone = found.where("kind = 2").drop("n").join(across, ["k1", "k2"])
+    own = ["page_key", "pos", "n"]
+    return found.where("kind = 0").select(*own).unionByName(lone.select(*own))
 
 
 def _unique_text(run_tokens: int):
@@ -217,7 +231,7 @@ def _unique_text(run_tokens: int):
                     np.add.at(gone, pos[p:q], 1)
                     np.add.at(gone, pos[p:q] + run_tokens, -1)
                     free = np.bincount(block[np.cumsum(gone)[:-1] == 0], minlength=len(found))
-                    found = [x for x, n in zip(found, free) if n]
+                    found = [x for x, n in zip(found, free) if n] or found
                 texts.append(" ".join(found))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())],
                                              names=["page_id", "url", "text"])
@@ -235,10 +249,13 @@ def extract(pages: DataFrame, run_tokens: int = 8) -> DataFrame:
     own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     parsed = keep(own.mapInArrow(_parsed, f"page_id {own.schema['page_id'].dataType.simpleString()}, url string, "
                                  "marked boolean, blocks array<string>, host string, page_key long"), "pages")
-    free = parsed.where(~F.col("marked"))
-    runs = keep(_repeated_runs(free, run_tokens).distinct().groupBy("page_key")
-                .agg(F.collect_list("pos").alias("runs")), "page-runs")
-    unique = free.join(runs.hint("shuffle_hash"), "page_key", "left").select("page_id", "url", "blocks", "runs") \
+    pages_of = parsed.select("host", "page_key", "marked").distinct()
+    hosts = pages_of.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    share = F.when(F.col("marked"), MARKED_SHARE).otherwise(SHARE)
+    least = pages_of.join(hosts, "host").where(F.col("pages") >= LEAST_PAGES) \
+                    .select("page_key", (F.col("pages") * share).alias("least"))
+    runs = keep(_repeated_runs(parsed, run_tokens).join(least, "page_key").where("n >= least").select("page_key", "pos")
+                .distinct().groupBy("page_key").agg(F.collect_list("pos").alias("runs")), "page-runs")
+    return parsed.join(runs.hint("shuffle_hash"), "page_key", "left").select("page_id", "url", "blocks", "runs") \
                  .mapInArrow(_unique_text(run_tokens), f"page_id {own.schema['page_id'].dataType.simpleString()}, "
                              "url string, text string")
-    return parsed.where("marked").select("page_id", "url", F.array_join("blocks", " ").alias("text")).unionByName(unique)

@@ -108,6 +108,28 @@ def test_html_host_boilerplate(spark, n):
     assert sorted((r.page_id, r.text) for r in out) == sorted(want)
 
 
+def test_html_host_boilerplate_in_marked_articles_and_copies(spark):
+    ask = "<p>subscribe now to our weekly letter and never miss a story again</p>"
+    say = lambda i: " ".join(f"word{i}x{k}" for k in range(20))
+    rows, want = [], []
+    for i in range(12):
+        body = say(0 if i == 1 else i)  # pages 0 and 1 hold the same article
+        rows.append((i, f"https://marked.example/{i}", f"<nav>menu</nav><article><p>{body}</p>{ask}</article>"))
+        rows.append((100 + i, f"https://plain.example/{i}", f"<div>{body}</div>{ask}"))
+        want += [(i, body), (100 + i, body)]
+    for i in range(4):  # the same page under several addresses is no boilerplate
+        rows.append((200 + i, f"https://same.example/{i}", f"<main><p>{say(50)}</p></main>"))
+        want.append((200 + i, say(50)))
+    for n in ("4", "50"):
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+        assert sorted((r.page_id, r.text) for r in out) == sorted(want)
+
+
 def brute_quality(text):
     x = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", x)
