@@ -93,7 +93,7 @@ def q_tune(spark, sf):
 def q_fit_gbt(spark, sf):
     """MOD4: GBT challenger fitted with early stopping on a keyed 10% validation slice; test predictions."""
     d = _training_table(spark, sf)
-    m = MD.fit_gbt(d.where(~F.col("is_test")), {"maxDepth": 4, "maxIter": 40}, key="employee_key")
+    m = MD.fit_gbt(d.where(~F.col("is_test")), {"maxDepth": 4}, key="employee_key")
     from ..operators.features import feature_matrix
     t = feature_matrix(d.where(F.col("is_test")))
     return m.transform(t).select("employee_key", F.col("prediction").alias("log_pred_gbt"), "loss_ratio_log")
@@ -111,7 +111,7 @@ def q_fit_scorecard(spark, sf):
 def q_monotone(spark, sf):
     """MOD5: monotone audit of the GBT challenger (+1 perturbation per constrained feature)."""
     d = _training_table(spark, sf)
-    m = MD.fit_gbt(d.where(~F.col("is_test")), {"maxDepth": 3, "maxIter": 20}, key="employee_key")
+    m = MD.fit_gbt(d.where(~F.col("is_test")), {"maxDepth": 3}, key="employee_key")
     return MD.monotone_audit(m, d.where(F.col("is_test")))
 
 

@@ -181,3 +181,17 @@ def test_poisson_draw_equals_inverse_cdf(spark):
             cdf += math.exp(-r.lam) * r.lam ** k / math.factorial(k)
             want += r.u > cdf
         assert r.n == want
+
+
+def test_registered_gbt_fits_run_the_default_rounds(spark, monkeypatch):
+    from riskframe.plans import catalog_model
+    got, fit = [], MD.fit_gbt
+
+    def seen(*args, **kw):
+        m = fit(*args, **kw)
+        got.append(m.getOrDefault("maxIter"))
+        return m
+    monkeypatch.setattr(MD, "fit_gbt", seen)
+    catalog_model.q_fit_gbt(spark, "/root/testdata/sf0.001")
+    catalog_model.q_monotone(spark, "/root/testdata/sf0.001")
+    assert got == [200, 200]
