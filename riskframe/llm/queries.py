@@ -1,11 +1,15 @@
 """Registered queries of the text operators: one per operator, over its whole table."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from ..sources.tables import table_path
-from . import bpe, decontaminate, html_extract, language_id, line_dedup, pii, quality_rules, simhash, substring_dedup, suffix_dedup
+from . import (bpe, decontaminate, exact_dedup, filter_audit, html_extract, language_id, line_dedup, pii, quality_rules, simhash,
+               substring_dedup, suffix_dedup, tokenizer_alignment)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +82,28 @@ def op10_benchmark(spark, sf_dir):
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_filters(spark, sf_dir):
+    """Steps of all orders of five filters, per source."""
+    return filter_audit.audit(filter_audit.failures(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
+def op12_exact(spark, sf_dir):
+    """Rows of all documents with the row that stays of each group of equal texts."""
+    index = exact_dedup.Index(spark, table_path(sf_dir, "documents"), scratch_path(spark, f"exact-{uuid.uuid4().hex}"))
+    index.update()
+    return index.result().select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op13_alignment(spark, sf_dir):
+    """Links between the tokens of two public tokenizers in all documents."""
+    import public_tokenizers
+    return tokenizer_alignment.alignment(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii, op3_substring, op4_bpe, op5_quality, op6_lines, op7_html,
-                                   op8_language, op9_suffix, op10_benchmark)}
-ORACLES = {"op5_quality": quality_rules.oracle_sql()}
+                                   op8_language, op9_suffix, op10_benchmark, op11_filters, op12_exact,
+                                   op13_alignment)}
+ORACLES = {"op5_quality": quality_rules.oracle_sql(), "op11_filters": filter_audit.oracle_sql(),
+           "op12_exact": exact_dedup.oracle_sql()}
