@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
-#: Buckets of 32,768 bits in the broadcast filter of hits: 4 KB each, so 16 MB at most.
-FILTER_BUCKETS = 4096
+#: Buckets of 32,768 bits in the broadcast filter of hits: 4 KB each, so 8 MB at most.
+FILTER_BUCKETS = 2048
 _BUCKET_BITS = 1 << 15
 _STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else megabytes per partition, however few its keys
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
 }
