@@ -1,9 +1,10 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH and exact edit verification.
 
-Words are lower-cased runs of ASCII letters and digits or non-ASCII bytes.  An item of n words leaks
-into a document if some stretch of the document is within ``max_ratio`` * n word edits of it.  By the
+Words are lower-cased runs of ASCII letters and digits or non-ASCII bytes; characters of scripts written
+without spaces are words of their own.  An item of n words leaks into a document if some stretch of the
+document is within ``max_ratio`` * n word edits of it, so items of few words match exactly.  By the
 pigeonhole principle such a stretch shares a run of r words with the item (r follows from n and the
-ratio), so item-sized windows are laid only where a run of r words matches.  The CGK random walk maps
+ratio), so item-sized windows are laid only where a run of r words matches; items are indexed by their r.  The CGK random walk maps
 each window and item to a string whose Hamming distance follows the edit distance; a window is a
 candidate if it agrees with the item on all sampled positions of at least one of ``repeats`` walks,
 and candidates are verified by the exact edit distance.
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,12 @@ from .rolling import Roller, mix, words
 #: Bytes of benchmark text that one broadcast block may hold.
 BLOCK_BYTES = 16 << 20
 #: Document bytes matched at once: walks cost a fixed number of array steps however many windows there are.
-MATCH_BYTES = 4 << 20
+MATCH_BYTES = 1 << 20
+#: Matching runs that are expanded at once.
+SEEDS = 1 << 18
+# Fixed value: code points of scripts written without spaces (Thai, Lao, Myanmar, Khmer, kana, Han).
+_UNSPACED = regex.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+                          "\U00020000-\U0003ffff]")
 _SPLIT = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _PAD = np.uint64(0)
 
@@ -33,12 +40,18 @@ class Rules:
     max_ratio: float = 0.2
     repeats: int = 24
     bits: int = 2
-    min_words: int = 5
+    min_words: int = 1
     seed: int = 5
 
 
+def _prepared(text: str | None) -> str:
+    """``text`` in lower case, with spaces round characters that are words of their own."""
+    text = (text or "").lower()
+    return text if text.isascii() or not _UNSPACED.search(text) else _UNSPACED.sub(r" \g<0> ", text)
+
+
 def _lowered(col) -> pa.Array:
-    return pa.array([x.lower() if x else "" for x in col.to_pylist()], pa.large_string())
+    return pa.array([_prepared(x) for x in col.to_pylist()], pa.large_string())
 
 
 class _Words:
@@ -90,7 +103,7 @@ class Matcher:
         self.rules, self.words = rules, _Words()
         self.ids, self.items = [], []
         for item_id, text in items:
-            raw = np.frombuffer((text or "").lower().encode(), np.uint8)
+            raw = np.frombuffer(_prepared(text).encode(), np.uint8)
             w, _ = self.words(raw, np.array([0, len(raw)]))
             if len(w) >= rules.min_words:
                 self.ids.append(item_id)
@@ -99,15 +112,8 @@ class Matcher:
             return
         self.size = np.array([len(w) for w in self.items])
         self.edits = np.floor(self.size * rules.max_ratio + 1e-9).astype(np.int64)
-        self.run = int(np.min(-(-(self.size - self.edits) // (self.edits + 1))))
-        grams = [self.words.seq.windows(self.words.seq.prefix(w), self.run) for w in self.items]
-        of = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        pos = np.concatenate([np.arange(len(g)) for g in grams])
-        grams = np.concatenate(grams)
-        order = np.argsort(grams, kind="stable")
-        self.grams, self.of, self.pos = grams[order], of[order], pos[order]
-        self.bitmap = np.zeros(1 << 22, bool)
-        self.bitmap[(self.grams & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        run = -(-(self.size - self.edits) // (self.edits + 1))
+        self.index = {int(r): self._grams(np.flatnonzero(run == r), int(r)) for r in np.unique(run)}
         self.padded = np.zeros((len(self.items), int(self.size.max())), np.uint64)
         for i, w in enumerate(self.items):
             self.padded[i, :len(w)] = w
@@ -116,32 +122,49 @@ class Matcher:
         self.picks = [np.floor(d * (3 * self.size[:, None])).astype(np.int64) for d in draws]
         self.embedded = [cgk(self.padded, self.size, p, k) for k, p in enumerate(self.picks)]
 
-    def seeds(self, grams: np.ndarray):
-        """(position, entry) of each document gram that an item has."""
-        at = np.flatnonzero(self.bitmap[(grams & np.uint64((1 << 22) - 1)).astype(np.int64)])
-        lo, hi = (np.searchsorted(self.grams, grams[at], side=s) for s in ("left", "right"))
-        n = hi - lo
-        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        return np.repeat(at, n), entry
+    def _grams(self, items: np.ndarray, run: int):
+        """Sorted names of all runs of ``run`` words of ``items``, the item and place of each, and a bitmap of names."""
+        grams = [self.words.seq.windows(self.words.seq.prefix(self.items[i]), run) for i in items]
+        of = np.repeat(items, [len(g) for g in grams])
+        pos = np.concatenate([np.arange(len(g)) for g in grams])
+        grams = np.concatenate(grams)
+        order = np.argsort(grams, kind="stable")
+        bitmap = np.zeros(1 << 22, bool)
+        bitmap[(grams & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        return grams[order], of[order], pos[order], bitmap
+
+    def seeds(self, prefix: np.ndarray):
+        """Run length and (position, item, place) of the document runs that an item has, some ``SEEDS`` at once."""
+        for run, (known, of, pos, bitmap) in self.index.items():
+            grams = self.words.seq.windows(prefix, run)
+            at = np.flatnonzero(bitmap[(grams & np.uint64((1 << 22) - 1)).astype(np.int64)])
+            lo, hi = (np.searchsorted(known, grams[at], side=s) for s in ("left", "right"))
+            at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            total, i = np.concatenate([[0], np.cumsum(n)]), 0
+            while i < len(at):
+                j = max(i + 1, int(np.searchsorted(total, total[i] + SEEDS, side="right")) - 1)
+                m = n[i:j]
+                entry = np.arange(m.sum()) - np.repeat(total[i:j] - total[i], m) + np.repeat(lo[i:j], m)
+                yield run, np.repeat(at[i:j], m), of[entry], pos[entry]
+                i = j
 
     def find(self, data, offsets):
         """Verified (row, item index, first word, edits) of one chunk; the best stretch of each pair."""
         if not self.items:
             return []
         tokens, row = self.words(data, offsets)
-        if len(tokens) < self.run:
-            return []
         first = np.searchsorted(row, np.arange(len(offsets) - 1))
         last = np.searchsorted(row, np.arange(len(offsets) - 1), side="right")
-        at, entry = self.seeds(self.words.seq.windows(self.words.seq.prefix(tokens), self.run))
-        inside = row[at] == row[at + self.run - 1] if len(at) else np.zeros(0, bool)
-        at, entry = at[inside], entry[inside]
-        if not len(at):
-            return []
-        item = self.of[entry]
-        start = np.maximum(at - self.pos[entry], first[row[at]])
-        key = np.unique(np.stack([row[at], item, start]), axis=1)
-        best = {}
+        best: dict = {}
+        for run, at, item, pos in self.seeds(self.words.seq.prefix(tokens)):
+            inside = row[at] == row[at + run - 1]
+            at, item, pos = at[inside], item[inside], pos[inside]
+            start = np.maximum(at - pos, first[row[at]])
+            self._verify(tokens, first, last, np.unique(np.stack([row[at], item, start]), axis=1), best)
+        return [(r, it, s, d) for (r, it), (d, s) in best.items()]
+
+    def _verify(self, tokens, first, last, key, best):
+        """Walk and verify windows ``key`` (row, item, start); ``best`` keeps (edits, first word) per pair."""
         for i in range(0, key.shape[1], 8192):
             r, it, s = key[:, i:i + 8192]
             size = np.minimum(self.size[it], last[r] - s)
@@ -167,7 +190,6 @@ class Matcher:
                     d = edit_distance(w, tokens[max(s[j] - e, first[r[j]]):min(s[j] + n + e, last[r[j]])])
                 if d <= e:
                     best[pair] = min(best.get(pair, (1 << 30, 0)), (d, int(s[j] - first[r[j]])))
-        return [(r, it, s, d) for (r, it), (d, s) in best.items()]
 
 
 def _blocks(benchmark: DataFrame):
@@ -182,18 +204,18 @@ def _blocks(benchmark: DataFrame):
 
 
 def _found(matcher: Matcher, batch, text):
-    data, offsets = text_buffers(_lowered(batch.column(text)))
-    for i, j in chunks(offsets, MATCH_BYTES):
-        lo = offsets[i]
-        for r, it, s, d in matcher.find(data[lo:offsets[j]], offsets[i:j + 1] - lo):
+    texts = batch.column(text)
+    for i, j in chunks(text_buffers(texts)[1], MATCH_BYTES):
+        for r, it, s, d in matcher.find(*text_buffers(_lowered(texts.slice(i, j - i)))):
             yield i + r, it, s, d
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row per row of ``docs`` and item that leaks into it: doc_id, item_id, first_word, edits.
 
-    first_word counts the document's words before the best window.  Null or empty texts never match;
-    items that are null or have fewer than ``min_words`` words are no evidence and are left out.
+    first_word counts the document's words before the best window, the first of equally good ones.  Null or
+    empty texts never match; items that are null or have fewer than ``min_words`` words are no evidence and are
+    left out (by default only items without a word).  Texts of any length are matched whole.
     Repeated rows give equal rows; a null doc_id is returned as null; other columns are ignored.
     """
     spark = docs.sparkSession

@@ -237,7 +237,8 @@ def one_of_each_group(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> D
 
     A null doc_id counts as larger than every other, so such a row stays if its whole group has no
     doc_id and it is the first by text.  Rows that share a doc_id or have none are judged one by one;
-    of rows equal in doc_id and text one stays.
+    of rows equal in doc_id and text one stays.  Texts without a word (null and empty ones too) form one
+    group, so one of them stays.  Texts of any length are judged whole.
     """
     d = docs.select(doc_key().alias("did"), text_key().alias("th"), F.col("text").cast("string").alias("text"))
     prints = keep(simhash(d, shingle), "simhash")
@@ -247,14 +248,14 @@ def one_of_each_group(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> D
                 .agg(F.min("low").alias("low")).select("low.did", "low.th")
     rows = prints.groupBy("did", "th").agg(F.count(F.lit(1)).alias("n")) \
                  .join(stay.withColumn("stays", F.lit(True)), ["did", "th"], "left")
-    judged = keep(rows.where(F.col("stays").isNull() | (F.col("n") > 1)).select(
-        F.col("did").alias("_did"), F.col("th").alias("_th"), "stays"), "simhash-judged")
+    judged = keep(rows.where(F.col("stays").isNull() | (F.col("n") > 1)).select("did", "th", "stays"), "simhash-judged")
     drop(prints, first, roots)
-    key = ["_did", "_th"]
-    named = docs.withColumn("_did", doc_key()).withColumn("_th", text_key())
+    key = ["did", "th"]  # beside the row as one struct, so that no name of ``docs`` clashes
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_key().alias("did"),
+                        text_key().alias("th"))
     left = named.join(judged.where("stays is null"), key, "left_anti")
     many = judged.where("stays")
-    if many.isEmpty():
-        return left.select(*docs.columns)
-    one = left.join(many, key, "left_semi").dropDuplicates(key)
-    return left.join(many, key, "left_anti").unionByName(one).select(*docs.columns)
+    if not many.isEmpty():
+        one = left.join(many, key, "left_semi").dropDuplicates(key)
+        left = left.join(many, key, "left_anti").unionByName(one)
+    return left.select(*[F.col(f"row.`{c}`") for c in docs.columns])

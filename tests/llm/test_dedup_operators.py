@@ -106,6 +106,12 @@ def test_one_of_each_group_judges_rows_without_or_with_equal_ids(make_docs):
     assert got == sorted([(1, say(1)), (None, say(2)), (None, say(3)), (5, say(4)), (5, say(5)), (8, say(6))], key=str)
 
 
+def test_one_of_each_group_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 7, 8, "x", 1), (2, "a b c d", 9, 1, "y", 2)],
+                                 "doc_id long, text string, _did int, _th int, row string, did int")
+    assert [tuple(r) for r in one_of_each_group(docs).collect()] == [(1, "a b c d", 7, 8, "x", 1)]
+
+
 def brute_passages(rows, W=50):
     first = {}
     ws = [(d, WORD.findall(t or "")) for d, t in rows]

@@ -241,6 +241,27 @@ def test_decontamination_recall_and_precision(spark, make_docs):
     assert decontaminate.leaks(make_docs([]), bench).collect() == [] == decontaminate.leaks(docs, bench.limit(0)).collect()
 
 
+def test_decontamination_of_short_and_unspaced_items(spark, make_docs):
+    items = ["four short plain words", "用户可以在这里找到问题的答案", "six words are one more thing", "สวัสดี", "gone"]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    rows = [(0, "x Four short, plain WORDS y"), (1, "four short plain other words"), (2, "说明：用户可以在这里找到问题的答案。完"),
+            (3, "用户不可以那里"), (4, "well six words are one thing"), (5, "กสวัสดีก"), (6, "it is gone"), (7, "bygone"),
+            (8, "用户可以在这里找到的答案吗")]
+    got = {(r.doc_id, r.item_id, r.edits) for r in decontaminate.leaks(make_docs(rows), bench).collect()}
+    assert got == {(0, 0, 0), (2, 1, 0), (4, 2, 1), (5, 3, 0), (6, 4, 0), (8, 1, 2)}
+    left = decontaminate.without_leaks(make_docs(rows), bench)
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3, 7]
+
+
+def test_decontamination_expands_common_runs_in_pieces(spark, make_docs, monkeypatch):
+    bench = spark.createDataFrame([(i, " ".join(["same old words again"] * 3 + [f"w{i}"])) for i in range(30)], "item_id long, text string")
+    docs = make_docs(["same old words again " * 40, "other " * 30])
+    want = sorted(tuple(r) for r in decontaminate.leaks(docs, bench).collect())
+    assert {d for d, *_ in want} == {0} and len(want) == 30
+    monkeypatch.setattr(decontaminate, "SEEDS", 50)
+    assert sorted(tuple(r) for r in decontaminate.leaks(docs, bench).collect()) == want
+
+
 def test_cgk_distance_follows_edits():
     import numpy as np
     rng = np.random.default_rng(2)
