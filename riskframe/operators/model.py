@@ -1,10 +1,10 @@
 """Model fitting and evaluation (MOD1-MOD8) and the linear scorecard.
 
-The reference fits gradient-boosted trees with monotone constraints.  MLlib
-trees have no monotone constraint, so the default model is a sign-constrained
-linear scorecard on the 31 ordered features: scoring stays a single codegen'd
-projection and explanations are exact.  ``GBTRegressor`` is available as the
-challenger (``fit_gbt``) with a monotone audit.
+The reference fits gradient-boosted trees with monotone constraints.  The
+default model here is a sign-constrained linear scorecard on the 31 ordered
+features.  The challenger (``fit_gbt``) is an ensemble of MLlib trees that
+``operators.trees`` grows with patience and makes monotone; both score as
+column expressions and have exact explanations.
 """
 from __future__ import annotations
 
@@ -121,52 +121,24 @@ def _assembled(df: DataFrame, features=FEATURE_COLUMNS, label: str = TARGET_LOG)
     return feature_matrix(df, features).withColumn("label", F.col(label).cast("double"))
 
 
-def random_param_maps(estimator, n_trials: int, seed: int = 42) -> list:
-    """Random search space (seeded): trees, depth, step size, subsampling, feature subset, min instances."""
-    import random
-    rnd = random.Random(seed)
-    maps = []
-    for _ in range(n_trials):
-        maps.append({
-            estimator.maxIter: rnd.randint(20, 120),
-            estimator.maxDepth: rnd.randint(3, 8),
-            estimator.stepSize: 10 ** rnd.uniform(-2, -0.46),
-            estimator.subsamplingRate: rnd.uniform(0.6, 1.0),
-            estimator.featureSubsetStrategy: rnd.choice(["all", "onethird", "0.5", "0.75"]),
-            estimator.minInstancesPerNode: rnd.randint(1, 15),
-        })
-    return maps
-
-
-def tune(train: DataFrame, n_trials: int = 50, folds: int = 5, seed: int = 42, parallelism: int = 4):
-    """MOD3: random-search hyper-parameters for GBT with k-fold CV minimising MAE.
-
-    Returns (best CrossValidatorModel, DataFrame of (trial, mae)).  Folds and
-    trials run as Spark jobs; ``parallelism`` fits run concurrently.
+def tune(train: DataFrame, key: str, n_trials: int = 50, folds: int = 5, seed: int = 42, **limits):
+    """MOD3: hyper-parameters of the boosted trees by Parzen search with rungs, minimising k-fold MAE.
+
+    Returns (best parameters, DataFrame of trials); see :func:`operators.search.search`.
     """
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.regression import GBTRegressor
-    from pyspark.ml.tuning import CrossValidator
-
-    gbt = GBTRegressor(featuresCol="features", labelCol="label", seed=seed)
-    maps = random_param_maps(gbt, n_trials, seed)
-    cv = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=RegressionEvaluator(metricName="mae"),
-                        numFolds=folds, seed=seed, parallelism=parallelism)
-    model = cv.fit(_assembled(train))
-    spark = train.sparkSession
-    trials = spark.createDataFrame([(i, float(m)) for i, m in enumerate(model.avgMetrics)], "trial int, mae double")
-    return model, trials
-
-
-def fit_gbt(train: DataFrame, params: dict | None = None, key: str | None = None, seed: int = 42):
-    """MOD4: final GBT fit with the last 10% of training rows (by keyed draw) as early-stopping validation."""
-    from pyspark.ml.regression import GBTRegressor
-    from ..functions.expr import keyed_uniform
-    d = _assembled(train)
-    d = d.withColumn("is_val", keyed_uniform(key, "validation", seed) >= 0.9 if key else F.rand(seed) >= 0.9)
-    kw = {"maxIter": 200, "validationTol": 0.01, **(params or {})}
-    gbt = GBTRegressor(featuresCol="features", labelCol="label", seed=seed, validationIndicatorCol="is_val", **kw)
-    return gbt.fit(d)
+    from .search import search
+    return search(_assembled(train), key, n_trials, folds, seed=seed, **limits)
+
+
+def fit_gbt(train: DataFrame, key: str, params: dict | None = None, rounds: int = 2000, patience: int = 50,
+            monotone: bool = True, seed: int = 42):
+    """MOD4 + MOD5: the boosted challenger, grown until ``patience`` trees bring no better error on the 10 % of
+    rows with the largest keyed draws, every batch of trees obeying the monotone contract.
+
+    Returns an :class:`operators.trees.Ensemble` and the validation error of every prefix.
+    """
+    from .trees import boost
+    return boost(train, key, params, rounds, patience, MONOTONE_SIGNS if monotone else None, seed=seed)
 
 
 def fit_scorecard(train: DataFrame, features=FEATURE_COLUMNS, label: str = TARGET_LOG, reg: float = 0.0) -> Scorecard:
@@ -204,15 +176,17 @@ def scorecard_audit(model: Scorecard, spark: SparkSession) -> DataFrame:
 
 def monotone_audit(model, df: DataFrame, delta: float = 1.0, features=FEATURE_COLUMNS) -> DataFrame:
     """MOD5 (GBT): perturb each constrained feature by +delta per row and count rows whose
-    prediction moves against the feature's sign.  Rows are predicted once as they are and carry that
-    prediction through the unpivot, so nothing is joined back."""
+    prediction moves against the feature's sign.  ``model`` is an ``operators.trees.Ensemble`` or an MLlib
+    model.  Rows are predicted once as they are and carry that prediction through the unpivot, so nothing
+    is joined back."""
+    predict = model.score if hasattr(model, "score") else lambda d: model.transform(_assembled(d, features))
     signs = dict(zip(FEATURE_COLUMNS, MONOTONE_SIGNS))
     cons = [f for f in features if signs.get(f, 0) != 0]
-    base = model.transform(_assembled(df, features)).select(*df.columns, F.col("prediction").alias("_p0"))
+    base = predict(df).select(*df.columns, F.col("prediction").alias("_p0"))
     pert = base.withColumn("_feat", F.explode(F.array(*[F.lit(f) for f in cons])))
     for f in cons:
         pert = pert.withColumn(f, F.when(F.col("_feat") == f, F.col(f).cast("double") + delta).otherwise(F.col(f).cast("double")))
-    p = model.transform(_assembled(pert, features)).select("_p0", "_feat", F.col("prediction").alias("_p1"))
+    p = predict(pert).select("_p0", "_feat", F.col("prediction").alias("_p1"))
     sign = F.create_map(*[x for f in cons for x in (F.lit(f), F.lit(signs[f]))])
     j = p.withColumn("_s", F.element_at(sign, F.col("_feat")))
     viol = ((F.col("_p1") - F.col("_p0")) * F.col("_s")) < -1e-12
@@ -248,10 +222,20 @@ def sanity_sample(scored: DataFrame, key: str, n: int = 5, split: str = "is_test
 
 def run_record(spark: SparkSession, mode: str, metrics: DataFrame, scorer: DataFrame, source_rows: DataFrame,
                n_features: int = len(FEATURE_COLUMNS)) -> DataFrame:
-    """MOD8: one run row: feature count, data mode, rows per source, metrics, calibration bounds."""
+    """MOD8: one run row: feature count, data mode, rows per source (as JSON, sources in order), metrics,
+    calibration bounds."""
     m = metrics.groupBy().pivot("split", ["train", "test"]).agg(F.first("mae").alias("mae"), F.first("rmse").alias("rmse"),
                                                                 F.first("r2").alias("r2"))
-    src = source_rows.agg(F.map_from_entries(F.collect_list(F.struct("source", "rows"))).alias("rows_per_source"))
+    src = source_rows.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "rows")))))
+                           .alias("rows_per_source"))
     return (m.crossJoin(scorer.select("p05", "p95")).crossJoin(src)
              .select(F.lit(n_features).alias("n_features"), F.lit(mode).alias("dataset_mode"), "*",
                      F.current_timestamp().alias("recorded_at")))
+
+
+def append_run(record: DataFrame, path: str) -> DataFrame:
+    """MOD8: append one run to the runs table at ``path`` and return the table; a run's number is its place in time."""
+    from pyspark.sql import Window
+    record.write.mode("append").parquet(path)
+    runs = record.sparkSession.read.parquet(path)
+    return runs.withColumn("run", F.row_number().over(Window.orderBy("recorded_at")).cast("int"))

@@ -162,6 +162,13 @@ def top_drivers(df: DataFrame, key: str, weights: dict, means: DataFrame, n: int
     return driver_rows(c.select(key, _ranked_drivers(n, features).alias("top_drivers")), key)
 
 
+def tree_drivers(df: DataFrame, key: str, model, n: int = 5) -> DataFrame:
+    """SCO8 for boosted trees: top-n drivers per row by |Shapley value| of an ``operators.trees.Ensemble``."""
+    from .trees import with_shapley
+    c = with_shapley(df, model)
+    return driver_rows(c.select(key, _ranked_drivers(n, model.features).alias("top_drivers")), key)
+
+
 def _ranked_drivers(n: int, features=FEATURE_COLUMNS) -> F.Column:
     """The n largest contributions of a row as an array of (feature, value, shap_value, direction)."""
     structs = [F.struct(F.abs(F.col(f"_phi_{f}")).alias("a"), F.lit(i).alias("i"), F.lit(f).alias("feature"),
@@ -188,7 +195,17 @@ def global_importance(df: DataFrame, weights: dict, means: DataFrame, group: str
     the small per-group result and ranks it: the 31x row blow-up never happens
     on the employee-level data.
     """
-    c = with_contributions(df, weights, means, features)
+    return mean_contributions(with_contributions(df, weights, means, features), group, n, features)
+
+
+def tree_importance(df: DataFrame, model, group: str | None = "company_id", n: int = 5) -> DataFrame:
+    """SCO9 for boosted trees: mean |Shapley value| of an ``operators.trees.Ensemble`` per feature, top n."""
+    from .trees import with_shapley
+    return mean_contributions(with_shapley(df, model), group, n, model.features)
+
+
+def mean_contributions(c: DataFrame, group: str | None, n: int, features) -> DataFrame:
+    """Mean |contribution| per feature of the ``_phi_`` columns of ``c``: feature, importance and rank, top n."""
     keys = [group] if group else []
     wide = c.groupBy(*keys).agg(*[F.avg(F.abs(F.col(f"_phi_{f}"))).alias(f) for f in features])
     long = wide.unpivot(keys or None, list(features), "feature", "importance") if keys else \

@@ -19,6 +19,10 @@ from .registry import register
 _BASE = with_fixtures(CORE_FIXTURES, SNAPSHOT_CTES, FEATURES_CTES, scored_ctes())
 
 
+#: Trees per trial on the last rung of the registered search; with 50 trials on the first rung.
+TUNE_ROUNDS = 36
+
+
 def _features(spark, sf):
     """Scored per-employee features, materialised once (means, ranks and rows all read it)."""
     from ..session import materialize
@@ -83,20 +87,39 @@ def q_sanity(spark, sf):
 
 @register("mod3_tune")
 def q_tune(spark, sf):
-    """MOD3: random-search CV of GBT on the training split (2 trials x 2 folds in this registered run)."""
+    """MOD3: Parzen search with rungs over the training split, 50 trials and 5 folds."""
     train = _training_table(spark, sf).where(~F.col("is_test"))
-    _, trials = MD.tune(train, n_trials=2, folds=2, parallelism=2)
+    _, trials = MD.tune(train, "employee_key", rounds=TUNE_ROUNDS)
     return trials
 
 
+#: Fitted challengers of this process, as plain data: a model is an artifact that several queries use.
+_CHALLENGERS: dict = {}
+
+
+def _challenger(spark, sf, monotone=True):
+    """The split table, the boosted challenger fitted on its training rows, and its validation errors."""
+    d = _training_table(spark, sf)
+    name = spark.sparkContext.applicationId, sf, monotone
+    if name not in _CHALLENGERS:
+        _CHALLENGERS[name] = MD.fit_gbt(d.where(~F.col("is_test")), "employee_key", {"maxDepth": 3, "stepSize": 0.2},
+                                        monotone=monotone)
+    return d, *_CHALLENGERS[name]
+
+
 @register("mod4_fit_gbt")
 def q_fit_gbt(spark, sf):
-    """MOD4: GBT challenger fitted with early stopping on a keyed 10% validation slice; test predictions."""
-    d = _training_table(spark, sf)
-    m = MD.fit_gbt(d.where(~F.col("is_test")), {"maxDepth": 4}, key="employee_key")
-    from ..operators.features import feature_matrix
-    t = feature_matrix(d.where(F.col("is_test")))
-    return m.transform(t).select("employee_key", F.col("prediction").alias("log_pred_gbt"), "loss_ratio_log")
+    """MOD4: boosted challenger grown with patience 50 on a keyed 10% validation slice; test predictions."""
+    d, model, _ = _challenger(spark, sf)
+    return model.score(d.where(F.col("is_test")), "log_pred_gbt").select("employee_key", "log_pred_gbt", "loss_ratio_log")
+
+
+@register("mod4_validation_curve")
+def q_validation_curve(spark, sf):
+    """MOD4: validation error of every prefix of the challenger, and which one was kept."""
+    _, model, errors = _challenger(spark, sf)
+    return spark.createDataFrame([(n, float(e), n == len(model.trees)) for n, e in enumerate(errors)],
+                                 "trees int, mae double, kept boolean")
 
 
 @register("mod5_fit_scorecard")
@@ -109,20 +132,56 @@ def q_fit_scorecard(spark, sf):
 
 @register("mod5_monotone_audit_gbt")
 def q_monotone(spark, sf):
-    """MOD5: monotone audit of the GBT challenger (+1 perturbation per constrained feature)."""
-    d = _training_table(spark, sf)
-    m = MD.fit_gbt(d.where(~F.col("is_test")), {"maxDepth": 3}, key="employee_key")
-    return MD.monotone_audit(m, d.where(F.col("is_test")))
-
-
-@register("mod8_run_record")
+    """MOD5: monotone audit (+1 perturbation per constrained feature) of the challenger and of the same trees
+    without projection, with the test error of both."""
+    from ..operators.trees import project_monotone
+    d, free, _ = _challenger(spark, sf, monotone=False)
+    test = d.where(F.col("is_test"))
+    out = None
+    for name, model in (("free", free), ("monotone", project_monotone(free))):
+        mae = model.score(test).agg(F.avg(F.abs(F.col("loss_ratio_log") - F.col("prediction"))).alias("test_mae"))
+        rows = MD.monotone_audit(model, test).crossJoin(F.broadcast(mae)).select(F.lit(name).alias("model"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register("sco8_tree_drivers")
+def q_tree_drivers(spark, sf):
+    """SCO8: top-5 drivers per test employee by the Shapley values of the boosted challenger."""
+    d, model, _ = _challenger(spark, sf)
+    return S.tree_drivers(d.where(F.col("is_test")), "employee_key", model)
+
+
+@register("sco9_tree_importance")
+def q_tree_importance(spark, sf):
+    """SCO9: top-5 features per company by mean |Shapley value| of the boosted challenger."""
+    d, model, _ = _challenger(spark, sf)
+    return S.tree_importance(d, model)
+
+
+@register("mod8_run_record", oracle=_STRATA + """
+, ym AS (SELECT is_test, avg(loss_ratio_log) AS ybar FROM sp GROUP BY is_test),
+mt AS (SELECT sp.is_test, avg(abs(loss_ratio_log - log_pred)) AS mae,
+              sqrt(avg((loss_ratio_log - log_pred) * (loss_ratio_log - log_pred))) AS rmse,
+              1e0 - sum((loss_ratio_log - log_pred) * (loss_ratio_log - log_pred)) / sum((loss_ratio_log - ybar) * (loss_ratio_log - ybar)) AS r2
+       FROM sp JOIN ym ON ym.is_test = sp.is_test GROUP BY sp.is_test)
+SELECT 31 AS n_features, 'local' AS dataset_mode, a.mae AS train_mae, a.rmse AS train_rmse, a.r2 AS train_r2,
+       b.mae AS test_mae, b.rmse AS test_rmse, b.r2 AS test_r2, p05, p95,
+       '{"local":' || (SELECT count(*) FROM sp) || '}' AS rows_per_source, 1 AS run
+FROM (SELECT * FROM mt WHERE NOT is_test) a, (SELECT * FROM mt WHERE is_test) b,
+     (SELECT quantile_cont(log_pred, 0.05) AS p05, quantile_cont(log_pred, 0.95) AS p95 FROM sp WHERE NOT is_test)""",
+          floats=["train_mae", "train_rmse", "train_r2", "test_mae", "test_rmse", "test_r2", "p05", "p95"])
 def q_run_record(spark, sf):
-    """MOD8: the run record: feature count, mode, rows per source, metrics, calibration bounds."""
-    d = _split(spark, sf)
+    """MOD8: the run record appended to a runs table: feature count, mode, rows per source, metrics, calibration bounds."""
+    import uuid
+
+    from ..session import scratch_path
+    d = _training_table(spark, sf)
     metrics = MD.regression_metrics(d)
     scorer = S.fit_scorer(d.where(~F.col("is_test")))
     rows = d.groupBy(F.lit("local").alias("source")).agg(F.count(F.lit(1)).alias("rows"))
-    return MD.run_record(spark, "local", metrics, scorer, rows).drop("recorded_at")
+    runs = MD.append_run(MD.run_record(spark, "local", metrics, scorer, rows), scratch_path(spark, f"runs-{uuid.uuid4().hex}"))
+    return runs.drop("recorded_at")
 
 
 # ---- scoring ------------------------------------------------------------------------------------

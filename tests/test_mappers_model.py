@@ -183,15 +183,11 @@ def test_poisson_draw_equals_inverse_cdf(spark):
         assert r.n == want
 
 
-def test_registered_gbt_fits_run_the_default_rounds(spark, monkeypatch):
-    from riskframe.plans import catalog_model
-    got, fit = [], MD.fit_gbt
-
-    def seen(*args, **kw):
-        m = fit(*args, **kw)
-        got.append(m.getOrDefault("maxIter"))
-        return m
-    monkeypatch.setattr(MD, "fit_gbt", seen)
-    catalog_model.q_fit_gbt(spark, "/root/testdata/sf0.001")
-    catalog_model.q_monotone(spark, "/root/testdata/sf0.001")
-    assert got == [200, 200]
+def test_run_records_are_appended(spark, tmp_path):
+    metrics = spark.createDataFrame([("train", .1, .2, .3, 8), ("test", .4, .5, .6, 2)], "split string, mae double, rmse double, r2 double, rows long")
+    scorer = spark.createDataFrame([(.1, .9)], "p05 double, p95 double")
+    for n in (1, 2):
+        rows = spark.createDataFrame([("b", n), ("a", 1)], "source string, rows long")
+        runs = MD.append_run(MD.run_record(spark, "both", metrics, scorer, rows), str(tmp_path / "runs"))
+        assert [r.run for r in runs.orderBy("run").collect()] == list(range(1, n + 1))
+    assert [r.rows_per_source for r in runs.orderBy("run").collect()] == ['{"a":1,"b":1}', '{"a":1,"b":2}']
