@@ -117,7 +117,7 @@ def q_append_tables(spark, sf):
 SELECT (SELECT count(*) FROM or_snapshot) AS existing_rows, (SELECT count(*) FROM fx_upload_clean) AS new_rows,
        (SELECT count(*) FROM or_snapshot) + (SELECT count(*) FROM fx_upload_clean) AS total_rows, false AS dry_run""")
 def q_append_dataset(spark, sf):
-    """SNK2 (+HRM9/10): a harmonised upload appended to the training set as a new versioned path."""
+    """SNK2 (+HRM9/10): a harmonised upload appended to the training set as a new version, read back."""
     snap = snapshot(spark, sf).withColumnRenamed("employee_key", "employee_id")
     rows, _, _ = H.harmonize(upload(spark, sf, "fx_upload_clean"), snapshot(spark, sf))
     return IO.append_dataset(rows, snap, _scratch(spark, "training"), "1")
@@ -234,11 +234,11 @@ def q_stream_wearables(spark, sf):
 
 @register("str2_stream_clinical", oracle=STREAMED_CLINICAL_SQL, floats=["claim_amount"])
 def q_stream_clinical(spark, sf):
-    """STR2: clinical payloads streamed with idempotent event ids (dedupe + anti join to the sink)."""
+    """STR2: clinical payloads streamed with idempotent event ids, deduplicated by keyed state on disk."""
     src, schema = _land(spark, fixture(spark, sf, "fx_clinical_payload"), "clinical-src")
     out, dl, ck = _scratch(spark, "events"), _scratch(spark, "events-dl"), _scratch(spark, "events-ck")
     STR.stream_clinical(spark, src, schema, fixture(spark, sf, "fx_companies"), _employees_pseudo(spark, sf), out, dl, ck)
-    return spark.read.parquet(out).drop("batch_id")
+    return spark.read.parquet(out).drop("stream", "batch_id")
 
 
 @register("str3_stream_roster", oracle=UPSERTED_SQL, floats=["bmi"])

@@ -95,18 +95,26 @@ def append_tables(tables: dict, root: str, fmt: str = "parquet") -> dict:
     return written
 
 
-def append_dataset(new: DataFrame, existing: DataFrame, out_root: str, version: str,
-                   dry_run: bool = False) -> DataFrame:
-    """SNK2: align the new rows to the existing columns and append by writing a **new versioned
-    path** (the path being read is never overwritten); a dry run only reports counts."""
-    from ..operators.harmonize import align_and_union
-    combined = align_and_union(existing, new)
-    report = existing.agg(F.count(F.lit(1)).alias("existing_rows")).crossJoin(
-        new.agg(F.count(F.lit(1)).alias("new_rows"))).withColumn(
-        "total_rows", F.col("existing_rows") + F.col("new_rows"))
-    if not dry_run:
-        combined.write.mode("errorifexists").parquet(os.path.join(out_root, f"version={version}"))
-    return report.withColumn("dry_run", F.lit(dry_run))
+def append_dataset(new: DataFrame, existing: DataFrame, root: str, name: str, dry_run: bool = False) -> DataFrame:
+    """SNK2: align the new rows to the existing columns and append them as one version of the table at ``root``.
+
+    The table starts with ``existing`` (its first version, which stays readable as the backup); an append writes
+    only its own rows, and appending the same ``name`` again changes nothing.  Returns the row counts of the
+    table before, of the new rows and of the table after, the last one read back; a dry run only counts.
+    """
+    from ..operators.harmonize import align_rows
+    from .versions import VersionedTable
+    table = VersionedTable(existing.sparkSession, root)
+
+    def rows(df, name):
+        return df.agg(F.count(F.lit(1)).alias(name))
+
+    report = rows(existing, "existing_rows").crossJoin(rows(new, "new_rows"))
+    if dry_run:
+        return report.withColumn("total_rows", F.col("existing_rows") + F.col("new_rows")).withColumn("dry_run", F.lit(True))
+    table.commit(existing, "existing")
+    version = table.commit(align_rows(existing, new), f"append-{name}")
+    return report.crossJoin(rows(table.read(version), "total_rows")).withColumn("dry_run", F.lit(False))
 
 
 # Landed table schemas, defaults and constraints.

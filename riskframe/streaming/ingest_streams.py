@@ -10,6 +10,8 @@ it.  Rejected rows go to a dead-letter table with their reasons.
 from __future__ import annotations
 
 import os
+import zlib
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.constants import DEFAULT_HASH_SALT
 from ..operators import ingest as I
+from ..sources.versions import VersionedTable
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -65,63 +68,128 @@ def stream_wearables(spark: SparkSession, source: str, schema: StructType, compa
     return q
 
 
+@contextmanager
+def disk_state(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB on disk, with changes logged per batch."""
+    conf = {"spark.sql.streaming.stateStore.providerClass":
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+            "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+            "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def first_seen(events: DataFrame, key: str, order: str, event_time: str | None = None, expiry: str | None = None) -> DataFrame:
+    """Streaming state per ``key``: the row of its first micro-batch with the smallest ``order``.
+
+    All rows of a micro-batch carry the batch's own time, which is the same when a batch is replayed.  The state
+    holds the smallest (time, order, row) and the largest time of a key, so later copies never change the row,
+    and a key is new exactly if both times agree.  Copies are pre-aggregated before the shuffle.  Without
+    ``expiry`` keys are kept for good; with it the state of days that lie further back than ``expiry`` behind
+    the newest ``event_time`` is dropped, and rows of such days are late and left out.
+    """
+    keys = [key]
+    if expiry:
+        events = events.withWatermark(event_time, expiry)
+        keys.append(F.window(event_time, "1 day"))
+    rest = [c for c in events.columns if c not in (key, order, *([event_time] if expiry else []))]
+    held = events.withColumn("_now", F.current_timestamp()).groupBy(*keys).agg(
+        F.min(F.struct("_now", order, *rest)).alias("_first"), F.max("_now").alias("_last"))
+    return held.select(key, f"_first.{order}", *[f"_first.{c}" for c in rest], (F.col("_first._now") == F.col("_last")).alias("_new"))
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def stream_clinical(spark: SparkSession, source: str, schema: StructType, companies: DataFrame,
                     employees: DataFrame, out: str, dead_letter: str, checkpoint: str,
-                    salt: str = DEFAULT_HASH_SALT, key: str = "payload_id"):
+                    salt: str = DEFAULT_HASH_SALT, key: str = "payload_id", event_time: str | None = None,
+                    expiry: str | None = None, max_files: int | None = None):
     """STR2: as STR1 for claims events, exactly-once by the idempotent ``event_id``.
 
-    Inside each micro-batch the copy of an ``event_id`` with the smallest ``key`` is kept (a partial +
-    final aggregate), then ``left_anti`` against the events already stored, so a replayed event is
-    never stored twice.  An ``event_id`` fixes its month, so only stored months between the first and
-    the last of the batch are read; batches are stored sorted by month, so that the scan can skip row groups.
+    Known event ids are keyed state on disk (:func:`first_seen`), so a batch costs what its own rows cost,
+    whatever is stored already; of copies in a micro-batch the one with the smallest ``key`` is stored.  Stored
+    batches lie under the stream's name, which its checkpoint gives.  A stream with a new checkpoint has no
+    state yet, so events that other streams stored in ``out`` are left out by an anti join with those alone.
+    Rejected rows and rows of unknown companies or employees go to the dead letters, one line per payload.
     """
-    stream = spark.readStream.schema(schema).parquet(source)
+    def read():
+        r = spark.readStream.schema(schema)
+        return (r.option("maxFilesPerTrigger", max_files) if max_files else r).parquet(source)
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        valid, rejected = I.split_valid(I.validate_clinical(batch))
-        norm = I.normalize_clinical(valid, salt, keep=[key])
-        rest = [c for c in norm.columns if c not in ("event_id", key)]
-        norm = norm.groupBy("event_id").agg(F.min(F.struct(key, *rest)).alias("_first")) \
-                   .select("event_id", *[f"_first.{c}" for c in norm.columns if c != "event_id"])
+    def known(rows):
+        valid, rejected = I.split_valid(I.validate_clinical(rows))
+        norm = I.normalize_clinical(valid, salt, keep=[key, *([event_time] if expiry else [])])
         ok, unknown_co = I.require_company(norm, companies)
         good, unknown_emp = I.require_employee(ok, employees.select("employee_id"))
-        if _exists(spark, out):
-            month = F.col("month_no").cast("int")
-            first, last = batch.agg(F.min(month), F.max(month)).first()
-            stored = spark.read.parquet(out).where((F.col("batch_id") != batch_id) &
-                                                   F.col("month_no").between(first, last)).select("event_id")
-            good = good.join(stored, "event_id", "left_anti")
-        _write_batch(good.sortWithinPartitions("month_no"), out, batch_id)
-        dl = _dead_letter(rejected.select(key, "errors")).unionByName(
-            unknown_co.select(key, F.lit("company_id: unknown company").alias("reasons"),
-                              F.current_timestamp().alias("rejected_at"))).unionByName(
-            unknown_emp.select(key, F.lit("employee not found: upload roster first").alias("reasons"),
-                               F.current_timestamp().alias("rejected_at")))
-        _write_batch(dl, dead_letter, batch_id)
-
-    q = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+        return good, rejected, unknown_co, unknown_emp
+
+    name = f"stream={zlib.crc32(checkpoint.rstrip('/').encode()):08x}"
+    others = [c for c in _children(spark, out) if c.startswith("stream=") and c != name]
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        new = batch.where("_new").drop("_new")
+        if others:
+            stored = spark.read.parquet(*[os.path.join(out, c) for c in others]).select("event_id")
+            new = new.join(stored, "event_id", "left_anti")
+        _write_batch(new, os.path.join(out, name), batch_id)
+
+    def reject(batch: DataFrame, batch_id: int) -> None:
+        _, rejected, unknown_co, unknown_emp = known(batch)
+        lines = _dead_letter(rejected.select(key, "errors"))
+        for rows, reason in ((unknown_co, "company_id: unknown company"),
+                             (unknown_emp, "employee not found: upload roster first")):
+            lines = lines.unionByName(rows.select(key, F.lit(reason).alias("reasons"), F.current_timestamp().alias("rejected_at")))
+        _write_batch(lines, os.path.join(dead_letter, name), batch_id)
+
+    with disk_state(spark):
+        q = (first_seen(known(read())[0], "event_id", key, event_time, expiry).writeStream.outputMode("update")
+             .foreachBatch(store).option("checkpointLocation", os.path.join(checkpoint, "events"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    rejects = (read().writeStream.foreachBatch(reject).option("checkpointLocation", os.path.join(checkpoint, "rejects"))
                .trigger(availableNow=True).start())
-    q.awaitTermination()
+    rejects.awaitTermination()
     return q
 
 
+def roster_table(spark: SparkSession, out: str) -> VersionedTable:
+    """The roster that :func:`stream_roster` keeps; company and gender of a person never change."""
+    return VersionedTable(spark, out, "employee_id", ("company_id", "gender"))
+
+
 def stream_roster(spark: SparkSession, source: str, schema: StructType, initial: DataFrame, out: str,
-                  dead_letter: str, checkpoint: str, salt: str = DEFAULT_HASH_SALT, order: str = "row_no"):
-    """STR3: roster upserts by key.  Batch n reads roster version n-1 (or ``initial``) and writes
-    version n, so replaying batch n rebuilds the same version.  A missing version n-1 is an error:
-    starting anew from ``initial`` would lose the upserts of all earlier batches."""
-    stream = spark.readStream.schema(schema).parquet(source)
+                  dead_letter: str, checkpoint: str, salt: str = DEFAULT_HASH_SALT, order: str = "row_no",
+                  max_files: int | None = None):
+    """STR3: roster upserts by key, as changes of a versioned table that starts with ``initial``.
+
+    A batch writes the last row per key of its own rows and a manifest; a replayed batch changes nothing.  A
+    batch whose predecessor is not in the table is an error: starting anew would lose earlier upserts.
+    """
+    table = roster_table(spark, out)
+    reader = spark.readStream.schema(schema)
+    stream = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(source)
     cols = initial.columns
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        if batch_id > 0 and (not table.versions() or f"batch-{batch_id - 1}" not in table.manifest()["names"]):
+            raise RuntimeError(f"roster version {batch_id - 1} is missing in {out}")
+        if batch_id == 0:
+            table.commit(initial, "initial")
         valid, rejected = I.split_valid(I.validate_employee(batch))
         norm = I.normalize_employee(valid, salt, keep=[order])
-        prev = os.path.join(out, f"version={batch_id - 1}")
-        if batch_id > 0 and not _exists(spark, prev):
-            raise RuntimeError(f"roster version {batch_id - 1} is missing in {out}")
-        target = spark.read.parquet(prev) if batch_id > 0 else initial
-        new = I.upsert_roster(target.select(*cols), norm, "employee_id", order)
-        new.write.mode("overwrite").parquet(os.path.join(out, f"version={batch_id}"))
+        rest = [c for c in norm.columns if c not in ("employee_id", order)]
+        last = norm.groupBy("employee_id").agg(F.max(F.struct(order, *rest)).alias("_last"))
+        table.commit(last.select("employee_id", *[f"_last.{c}" for c in rest]).select(*cols), f"batch-{batch_id}")
         _write_batch(_dead_letter(rejected.select(order, "errors")), dead_letter, batch_id)
 
     q = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
@@ -130,8 +198,6 @@ def stream_roster(spark: SparkSession, source: str, schema: StructType, initial:
     return q
 
 
-def latest_roster(spark: SparkSession, out: str) -> DataFrame:
-    """The newest roster version written by :func:`stream_roster`."""
-    df = spark.read.parquet(out)
-    v = df.agg(F.max("version").alias("_v"))
-    return df.join(F.broadcast(v), F.col("version") == F.col("_v")).drop("version", "_v")
+def latest_roster(spark: SparkSession, out: str, version: int | None = None) -> DataFrame:
+    """The roster written by :func:`stream_roster`, merged on read: the newest version, or an older one."""
+    return roster_table(spark, out).read(version)
