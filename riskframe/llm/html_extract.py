@@ -2,13 +2,13 @@
 
 A page is read into blocks; scripts, styles, forms and marked-up menus, headers, footers, sidebars,
 notices, adverts and comments are left out.  If the page marks its article (``article`` or ``main``)
-only the blocks in it are read.  The blocks of all pages of a host form its token stream: runs of
-``run_tokens`` tokens (suffixes cut to that length) are range-partitioned by host and leading tokens,
-sorted within buckets and compared with their neighbours, across bucket boundaries too.  Blocks
-covered by runs that occur on a large share of the host's distinct pages are boilerplate, and the
-rest is the text; inside a marked article the share is larger.  Two pages with the same text can be
-copies of an article, so a run has to occur on three at least, and a page that would lose all its
-blocks is a copy and keeps them.
+only the blocks in it are read.  The blocks of all pages of a host form its token stream.  Its suffixes
+are sampled where a block begins and at content-defined tokens in it, and each is cut where the next
+begins; these runs are range-partitioned by host and leading token, sorted within buckets and compared
+with their neighbours, across bucket boundaries too.  Blocks covered by runs that occur on a large share
+of the host's distinct pages are boilerplate, whatever their length, and the rest is the text; inside a
+marked article the share is larger.  Two pages with the same text can be copies of an article, so a run
+has to occur on three at least, and a page that would lose all its blocks is a copy and keeps them.
 """
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, partitions
+from .common import drop, keep, partitions
 from .factors import flat_lists
 from .rolling import Roller
 from .suffix_dedup import BUCKET_ROWS, _multikey_order
@@ -141,25 +141,34 @@ def _parsed(batches):
                 at, out, size = n, [], 0
 
 
-def _tokens(found: list[str], roller: Roller):
-    """Tokens of a page's blocks, and the block of each."""
+def _runs(found: list[str], roller: Roller, every: int):
+    """Leading token and name of each run of a page, and the block of each.
+
+    A run begins with its block and at tokens whose name is a multiple of ``every``, so equal blocks have equal
+    runs wherever they stand.
+    """
     words = [(i, w) for i, x in enumerate(found) for w in x.split(" ")]
     names = np.array([xxhash.xxh64_intdigest(w) for _, w in words], np.uint64)
-    return roller.prefix(names), np.array([i for i, _ in words], np.int64)
+    block = np.array([i for i, _ in words], np.int64)
+    start = np.flatnonzero((names % np.uint64(every) == 0) | (np.diff(block, prepend=-1) != 0))
+    prefix = roller.prefix(names)
+    return names[start], roller.slices(prefix, start, np.append(start[1:], len(names))), block[start]
 
 
-def _suffixes(run_tokens: int):
-    """(host and leading token, name of the whole run, page, position) of every suffix of a page."""
+def _suffixes(every: int):
+    """(host and leading token, name of the run, page, number of the run) of every run of a page, and one row
+    per page with its host, whether it marks its article, and number -1."""
     def run(batches):
         roller = Roller(51)
         for b in batches:
-            for h, found, key in zip(*(b.column(c).to_pylist() for c in ("host", "blocks", "page_key"))):
-                prefix, _ = _tokens(found, roller)
-                name = roller.windows(prefix, run_tokens)
-                lead = roller.windows(prefix, 1)[:len(name)] ^ np.uint64(_key(h) + (1 << 63))
+            for h, found, key, marked in zip(*(b.column(c).to_pylist() for c in ("host", "blocks", "page_key", "marked"))):
+                at = np.uint64(_key(h) + (1 << 63))
+                lead, name, _ = _runs(found, roller, every)
+                n = len(name) + 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lead.view(np.int64)), pa.array(name.view(np.int64)), pa.array(np.full(len(name), key, np.int64)),
-                     pa.array(np.arange(len(name), dtype=np.int32))], names=["k1", "k2", "page_key", "pos"])
+                    [pa.array(np.append(lead ^ at, at).view(np.int64)), pa.array(np.append(name, np.uint64(marked)).view(np.int64)),
+                     pa.array(np.full(n, key, np.int64)), pa.array(np.append(np.arange(n - 1), -1).astype(np.int32))],
+                    names=["k1", "k2", "page_key", "pos"])
     return run
 
 
@@ -196,14 +205,11 @@ def _neighbours(batches):
     yield rows(lone, 2, page[lone], page[lone])
 
 
-def _repeated_runs(streams: DataFrame, run_tokens: int) -> DataFrame:
+def _repeated_runs(suffixes: DataFrame) -> DataFrame:
     """``page_key``, ``pos``, ``n`` of runs that occur on ``LEAST_PAGES`` or more distinct pages of a host, n of them."""
     from pyspark.sql import Window
-    spark = streams.sparkSession
-    suffixes = streams.select("host", "blocks", "page_key").mapInArrow(
-        _suffixes(run_tokens), "k1 long, k2 long, page_key long, pos int")
-    tokens = streams.agg(F.sum(F.size(F.split(F.array_join("blocks", " "), " ")))).first()[0] or 0
-    n = max(partitions(spark), -(-tokens // BUCKET_ROWS))
+    suffixes = suffixes.where("pos >= 0")
+    n = max(partitions(suffixes.sparkSession), -(-suffixes.count() // BUCKET_ROWS))
     found = keep(suffixes.repartitionByRange(n, "k1", "k2", "page_key", "pos").mapInArrow(
         _neighbours, "k1 long, k2 long, page_key long, pos int, kind int, low long, high long, n long"), "host-runs")
     # a page whose suffixes of one run lie on both sides of a bucket boundary was counted on both
@@ -216,7 +222,7 @@ def _repeated_runs(streams: DataFrame, run_tokens: int) -> DataFrame:
     return found.where("kind = 0").select(*own).unionByName(lone.select(*own))
 
 
-def _unique_text(run_tokens: int):
+def _unique_text(every: int):
     def run(batches):
         roller = Roller(51)
         for b in batches:
@@ -226,11 +232,8 @@ def _unique_text(run_tokens: int):
             for i, found in enumerate(b.column("blocks").to_pylist()):
                 p, q = np.searchsorted(of, [i, i + 1])
                 if q > p:
-                    _, block = _tokens(found, roller)
-                    gone = np.zeros(len(block) + 1, np.int64)
-                    np.add.at(gone, pos[p:q], 1)
-                    np.add.at(gone, pos[p:q] + run_tokens, -1)
-                    free = np.bincount(block[np.cumsum(gone)[:-1] == 0], minlength=len(found))
+                    *_, block = _runs(found, roller, every)
+                    free = np.bincount(np.delete(block, pos[p:q]), minlength=len(found))
                     found = [x for x, n in zip(found, free) if n] or found
                 texts.append(" ".join(found))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())],
@@ -238,24 +241,29 @@ def _unique_text(run_tokens: int):
     return run
 
 
-def extract(pages: DataFrame, run_tokens: int = 8) -> DataFrame:
+def extract(pages: DataFrame, every: int = 8) -> DataFrame:
     """One row per row of ``pages``: page_id, url and the main text (empty if there is none).
 
     A null html is empty; a page with a null or odd url belongs to the host ``""``.  Pages with equal
     url and html are one page, so repeated rows do not make their text boilerplate and get equal
-    results.  Broken markup never fails: tags end at the next ``>``, open elements with the page.
-    Other columns are ignored.
+    results.  A run on exactly the needed number of pages counts as boilerplate.  Broken markup never fails:
+    tags end at the next ``>``, open elements with the page.  Pages of any length are read whole, twice: once
+    for their runs and once for their text, so that no copy of them is stored.  An empty table gives no rows.
+    Other columns are ignored.  A run has about ``every`` tokens.
     """
     own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = keep(own.mapInArrow(_parsed, f"page_id {own.schema['page_id'].dataType.simpleString()}, url string, "
-                                 "marked boolean, blocks array<string>, host string, page_key long"), "pages")
-    pages_of = parsed.select("host", "page_key", "marked").distinct()
-    hosts = pages_of.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    share = F.when(F.col("marked"), MARKED_SHARE).otherwise(SHARE)
-    least = pages_of.join(hosts, "host").where(F.col("pages") >= LEAST_PAGES) \
+    parsed = own.mapInArrow(_parsed, f"page_id {own.schema['page_id'].dataType.simpleString()}, url string, "
+                            "marked boolean, blocks array<string>, host string, page_key long")
+    suffixes = keep(parsed.select("host", "blocks", "page_key", "marked").mapInArrow(
+        _suffixes(every), "k1 long, k2 long, page_key long, pos int"), "page-suffixes")
+    pages_of = suffixes.where("pos = -1").select("k1", "k2", "page_key").distinct()
+    hosts = pages_of.groupBy("k1").agg(F.count(F.lit(1)).alias("pages"))
+    share = F.when(F.col("k2") == 1, MARKED_SHARE).otherwise(SHARE)
+    least = pages_of.join(hosts, "k1").where(F.col("pages") >= LEAST_PAGES) \
                     .select("page_key", (F.col("pages") * share).alias("least"))
-    runs = keep(_repeated_runs(parsed, run_tokens).join(least, "page_key").where("n >= least").select("page_key", "pos")
+    runs = keep(_repeated_runs(suffixes).join(least, "page_key").where("n >= least").select("page_key", "pos")
                 .distinct().groupBy("page_key").agg(F.collect_list("pos").alias("runs")), "page-runs")
+    drop(suffixes)
     return parsed.join(runs.hint("shuffle_hash"), "page_key", "left").select("page_id", "url", "blocks", "runs") \
-                 .mapInArrow(_unique_text(run_tokens), f"page_id {own.schema['page_id'].dataType.simpleString()}, "
+                 .mapInArrow(_unique_text(every), f"page_id {own.schema['page_id'].dataType.simpleString()}, "
                              "url string, text string")

@@ -1,6 +1,7 @@
 """Tokens, language, extraction, rules, personal data and decontamination against references."""
 import hashlib
 import random
+from collections import Counter, defaultdict
 import re
 import struct
 
@@ -130,6 +131,61 @@ def test_html_host_boilerplate_in_marked_articles_and_copies(spark):
         assert sorted((r.page_id, r.text) for r in out) == sorted(want)
 
 
+def brute_main_text(rows, every):
+    """Blocks that stay, with runs counted per host in a dictionary."""
+    import xxhash
+    pages = {}
+    for _, url, page in rows:
+        marked, found = html_extract.blocks(page)
+        runs = []
+        for x in found:
+            words, own = x.split(" "), []
+            for k, w in enumerate(words):
+                if k == 0 or xxhash.xxh64_intdigest(w) % every == 0:
+                    own.append([])
+                own[-1].append(w)
+            runs.append([tuple(r) for r in own])
+        pages[url, page] = html_extract.host(url), marked, found, runs
+    on, size = defaultdict(set), Counter(h for h, *_ in pages.values())
+    for key, (h, _, _, runs) in pages.items():
+        for r in (r for own in runs for r in own):
+            on[h, r].add(key)
+    out = []
+    for i, url, page in rows:
+        h, marked, found, runs = pages[url, page]
+        least = max(html_extract.LEAST_PAGES, size[h] * (html_extract.MARKED_SHARE if marked else html_extract.SHARE))
+        left = [x for x, own in zip(found, runs) if not all(len(on[h, r]) >= least for r in own)]
+        out.append((i, " ".join(left or found)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("every, partitions", [(8, "4"), (1, "30"), (3, "4")])
+def test_html_runs_equal_brute_force(spark, every, partitions):
+    rng = random.Random(every)
+    vocab = [f"w{i}" for i in range(60)]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    shared = [say(rng.randint(1, 30)) for _ in range(2)] + ["read more", "a a a a a a a a a a"]
+    rows = []
+    for i in range(60):
+        parts = [say(rng.randint(1, 25)) if rng.random() < .3 else rng.choice(shared) for _ in range(rng.randint(0, 7))]
+        if rng.random() < .2 and parts:
+            parts.append(rng.choice(shared) + " " + say(3))  # only a part of the block is repeated
+        body = "".join(f"<p>{x}</p>" for x in parts)
+        rows.append((i, f"http://h{i % 3}.example/{i}", f"<article>{body}</article>" if i % 4 == 0 else f"<div>{body}</div>"))
+    rows += [(100, rows[5][1], rows[5][2]), (101, None, None), (102, "http://[bad", "<p>x</p>"), (103, "http://h0.example/long", "<p>" + say(40_000) + "</p>")]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        table = spark.createDataFrame(rows, "page_id long, url string, html string")
+        got = sorted((r.page_id, r.text) for r in html_extract.extract(table, every).collect())
+        assert html_extract.extract(table.limit(0)).collect() == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == brute_main_text(rows, every)
+    plain = {i: " ".join(html_extract.blocks(h)[1]) for i, _, h in rows}
+    assert sum(t != plain[i] for i, t in got) > 10
+
+
 def brute_quality(text):
     x = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", x)
