@@ -163,6 +163,31 @@ def build_snapshot(employees: DataFrame, telemetry: DataFrame, clinical: DataFra
     return loss_ratio(df).select(*SNAPSHOT_COLUMNS)
 
 
+def latest_lab_flags(labs: DataFrame, as_of: str | None = None, uid: str = "unique_id", code: str = "marker_code",
+                     status: str = "status", risk: str = "risk_level", date: str = "report_date") -> DataFrame:
+    """AGG7: per person the nine domain flags as of a date: 1 if the domain's latest results by then are out of range.
+
+    Of several results on the latest day one out of range is enough; lines without a known marker or a date do not
+    count, and a domain without results has a null flag.  A result is one number (day, flag), so the wide
+    aggregate is a plain partial + final maximum however many results a person has.
+    """
+    from ..functions.constants import LAB_DOMAINS
+    from .harmonize import is_out_of_range, marker_domain
+    d = marker_domain(labs, code).withColumn("_day", F.unix_date(F.col(date).cast("date")))
+    if as_of:
+        d = d.where(F.col("_day") <= F.unix_date(F.lit(as_of).cast("date")))
+    result = F.col("_day").cast("long") * 2 + F.coalesce(is_out_of_range(status, risk).cast("int"), F.lit(0))
+    return d.groupBy(F.col(uid).cast("string").alias("_person")).agg(*[
+        F.pmod(F.max(F.when(F.col("domain") == dom, result)), F.lit(2)).cast("int").alias(f"lab_{dom}_flag") for dom in LAB_DOMAINS])
+
+
+def attach_lab_flags(snapshot: DataFrame, labs: DataFrame, as_of: str | None = None, key: str = "employee_key", **columns) -> DataFrame:
+    """AGG7 + SRC5: the snapshot with each person's lab flags as of its date; people or domains without results get 0."""
+    flags = latest_lab_flags(labs, as_of, **columns)
+    rows = snapshot.join(flags, snapshot[key] == flags["_person"], "left").drop("_person")
+    return rows.withColumns({f: F.coalesce(F.col(f), F.lit(0)) for f in LAB_FLAGS})
+
+
 # --- lab-derived rows -----------------------------------------------------------
 
 def lab_risk_counts(labs: DataFrame, key: str = "unique_id") -> DataFrame:

@@ -98,6 +98,23 @@ def q_population_defaults(spark, sf):
     return H.population_defaults(snapshot(spark, sf))
 
 
+#: Date of the snapshots that carry lab flags.
+LABS_AS_OF = "1996-06-30"
+#: or_snapshot with the lab flags of each person as of that date (needs fx_lab_results).
+LAB_SNAPSHOT_CTES = f"""
+or_lab_lines AS (
+  SELECT l.unique_id, l.report_date, mk.domain, {_OOR} AS oor
+  FROM fx_lab_results l JOIN {_MARKERS} ON mk.code = {_NORM.replace('marker_code', 'l.marker_code')}
+  WHERE l.report_date <= DATE '{LABS_AS_OF}'),
+or_lab_last AS (
+  SELECT unique_id, domain, max(CASE WHEN oor THEN 1 ELSE 0 END) AS flag
+  FROM (SELECT *, rank() OVER (PARTITION BY unique_id, domain ORDER BY report_date DESC) AS age FROM or_lab_lines)
+  WHERE age = 1 GROUP BY unique_id, domain),
+or_lab_snapshot AS (
+  SELECT s.*, {", ".join(f"CAST(coalesce(max(flag) FILTER (WHERE domain = '{d}'), 0) AS INTEGER) AS lab_{d}_flag" for d in LAB_DOMAINS)}
+  FROM or_snapshot s LEFT JOIN or_lab_last l ON l.unique_id = s.employee_key GROUP BY ALL)
+"""
+
 LAB_ROWS_SQL = _PIVOT.replace(with_fixtures(["fx_lab_results"]), with_fixtures(["fx_lab_results"] + list(CORE_FIXTURES))
                              + ",\n" + SNAPSHOT_CTES.strip()) + _POP.split("\n, pop AS", 1)[1].join([",\npop AS", ""]) + """,
 lab_rows AS (
@@ -109,6 +126,19 @@ SELECT employee_id, d.age, coalesce(p.gender, d.gender) AS gender, d.bmi, d.smok
 FROM lab_pivot p CROSS JOIN pop d)"""
 
 
+def lab_snapshot(spark, sf):
+    """The training snapshot with each person's lab flags as of ``LABS_AS_OF``."""
+    from ..operators.rollup import attach_lab_flags
+    return attach_lab_flags(snapshot(spark, sf), fixture(spark, sf, "fx_lab_results"), LABS_AS_OF)
+
+
+@register("agg7_snapshot_labs", oracle=with_fixtures([*CORE_FIXTURES, "fx_lab_results"], SNAPSHOT_CTES, LAB_SNAPSHOT_CTES)
+          + "\nSELECT employee_key, " + ", ".join(f"lab_{d}_flag" for d in LAB_DOMAINS) + " FROM or_lab_snapshot")
+def q_snapshot_labs(spark, sf):
+    """AGG7 (+SRC5): the nine lab flags of every person of the snapshot, as of its date."""
+    return lab_snapshot(spark, sf).select("employee_key", *[f"lab_{d}_flag" for d in LAB_DOMAINS])
+
+
 @register("hrm18_feature_rows_lab", oracle=LAB_ROWS_SQL + "\nSELECT * FROM lab_rows",
           floats=["bmi", "avg_daily_steps", "step_volatility", "avg_resting_hr", "hr_trend", "avg_active_mins",
                   "avg_sleep_hours", "avg_spo2"])

@@ -20,7 +20,7 @@ from ..sources.tables import BASE_TABLES, read_table
 from ..streaming import ingest_streams as STR
 from .catalog_core import snapshot
 from .catalog_ingest import STREAMED_CLINICAL_SQL, STREAMED_WEARABLES_SQL, UPSERTED_SQL
-from .catalog_harmonize import UPLOAD_HEADERS, upload
+from .catalog_harmonize import LAB_SNAPSHOT_CTES, UPLOAD_HEADERS, lab_snapshot, upload
 from .catalog_mappers import _FEATS, _FLOATS_INT_COUNTS, _uw_sql
 from .oracle_sql import CORE_FIXTURES, SNAPSHOT_CTES, with_fixtures
 from .registry import register
@@ -76,19 +76,13 @@ def q_read_snapshot(spark, sf):
     return df.select("row_key", *_FEATS)
 
 
-_SCAN_COLS = [c for c in IO.SCORING_SCAN_COLUMNS if c in
-              ["age", "gender", "bmi", "smoker", "diabetic", "hypertension", "chronic_count", "avg_daily_steps",
-               "step_volatility", "avg_resting_hr", "hr_trend", "avg_active_mins", "avg_sleep_hours", "avg_spo2",
-               "visit_count", "hospitalized_count"]]
-
-
-@register("src5_scan_snapshot", oracle=with_fixtures(CORE_FIXTURES, SNAPSHOT_CTES) + "\nSELECT " + ", ".join(_SCAN_COLS)
-          + " FROM or_snapshot WHERE company_id = 'COMP_003'",
+@register("src5_scan_snapshot", oracle=with_fixtures([*CORE_FIXTURES, "fx_lab_results"], SNAPSHOT_CTES, LAB_SNAPSHOT_CTES)
+          + f"\nSELECT {', '.join(IO.SCORING_SCAN_COLUMNS)} FROM or_lab_snapshot WHERE company_id = 'COMP_003'",
           floats=["bmi", "avg_daily_steps", "step_volatility", "avg_resting_hr", "hr_trend", "avg_active_mins",
                   "avg_sleep_hours", "avg_spo2"])
 def q_scan(spark, sf):
-    """SRC5: the scoring projection of one company's snapshot rows (predicate + projection)."""
-    return IO.scan_snapshot(snapshot(spark, sf), "COMP_003")
+    """SRC5: the 25 scoring columns of one company's snapshot rows, lab flags included (predicate + projection)."""
+    return IO.scan_snapshot(lab_snapshot(spark, sf), "COMP_003")
 
 
 @register("src6_coerce_numeric", oracle=with_fixtures(["fx_upload", "fx_upload_clean"]) + """

@@ -10,7 +10,7 @@ from ..operators.features import engineer_features
 from ..operators.harmonize import pivot_labs, population_defaults, to_feature_rows
 from ..sources.fixtures import fixture
 from .catalog_core import scored, snapshot
-from .catalog_harmonize import LAB_ROWS_SQL
+from .catalog_harmonize import LAB_ROWS_SQL, lab_snapshot
 from .catalog_ingest import SCORING_RULES, reasons_sql
 from .oracle_sql import (CORE_FIXTURES, FEATURES_CTES, SNAPSHOT_CTES, band_sql, importance_ctes, j_uniform, premium_sql, rnd,
                          scored_ctes, scorecard_sql, with_fixtures)
@@ -88,18 +88,25 @@ def q_sanity(spark, sf):
 @register("mod3_tune")
 def q_tune(spark, sf):
     """MOD3: Parzen search with rungs over the training split, 50 trials and 5 folds."""
-    train = _training_table(spark, sf).where(~F.col("is_test"))
+    train = _lab_training_table(spark, sf).where(~F.col("is_test"))
     _, trials = MD.tune(train, "employee_key", rounds=TUNE_ROUNDS)
     return trials
 
 
+def _lab_training_table(spark, sf):
+    """The split feature table with lab flags, stored once; the boosted models are fitted on it."""
+    from ..session import materialize
+    rows = materialize(engineer_features(lab_snapshot(spark, sf)), "lab-features")
+    return materialize(MD.stratified_split(MD.quartile_strata(rows), "employee_key"), "lab-training")
+
+
 #: Fitted challengers of this process, as plain data: a model is an artifact that several queries use.
 _CHALLENGERS: dict = {}
 
 
 def _challenger(spark, sf, monotone=True):
     """The split table, the boosted challenger fitted on its training rows, and its validation errors."""
-    d = _training_table(spark, sf)
+    d = _lab_training_table(spark, sf)
     name = spark.sparkContext.applicationId, sf, monotone
     if name not in _CHALLENGERS:
         _CHALLENGERS[name] = MD.fit_gbt(d.where(~F.col("is_test")), "employee_key", {"maxDepth": 3, "stepSize": 0.2},

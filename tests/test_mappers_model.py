@@ -191,3 +191,19 @@ def test_run_records_are_appended(spark, tmp_path):
         runs = MD.append_run(MD.run_record(spark, "both", metrics, scorer, rows), str(tmp_path / "runs"))
         assert [r.run for r in runs.orderBy("run").collect()] == list(range(1, n + 1))
     assert [r.rows_per_source for r in runs.orderBy("run").collect()] == ['{"a":1,"b":1}', '{"a":1,"b":2}']
+
+
+def test_lab_flags_as_of_a_date(spark):
+    from riskframe.operators.rollup import attach_lab_flags, latest_lab_flags
+    labs = spark.createDataFrame([
+        ("1", "HbA1c", "OutOfRange", "low", "2020-01-01"), ("1", "HbA1c", "normal", "low", "2020-05-01"),  # back in range
+        ("1", "TSH", "normal", "low", "2020-01-01"), ("1", "TSH", "OutOfRange", "low", "2020-06-01"),      # only later
+        ("2", "TSH", "normal", "low", "2020-02-01"), ("2", "TSH", "OutOfRange", "low", "2020-02-01"),      # same day
+        ("2", "XYZ", "OutOfRange", "high", "2020-02-01"), ("2", "HbA1c", "OutOfRange", "low", None),
+        (None, "TSH", "OutOfRange", "low", "2020-01-01")],
+        "unique_id string, marker_code string, status string, risk_level string, report_date string")
+    people = spark.createDataFrame([("1", 30), ("2", 40), ("3", 50), (None, 60)], "employee_key string, age int")
+    got = {r.employee_key: (r.lab_diabetes_flag, r.lab_thyroid_flag, r.lab_heart_flag)
+           for r in attach_lab_flags(people, labs, "2020-05-31").collect()}
+    assert got == {"1": (0, 0, 0), "2": (0, 1, 0), "3": (0, 0, 0), None: (0, 0, 0)}
+    assert {r._person: r.lab_thyroid_flag for r in latest_lab_flags(labs).collect()} == {"1": 1, "2": 1, None: 1}
