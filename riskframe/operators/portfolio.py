@@ -40,6 +40,31 @@ def apply_row_policy(df: DataFrame, role: str, company_id: str | None = None) ->
     return df.where(F.lit(False))
 
 
+def access_decisions(requests: DataFrame, principals: DataFrame) -> DataFrame:
+    """ING19: each request (principal, company_id) with the role it is judged by, ``allowed`` and ``reason``.
+
+    Underwriters may see every company, an hr_admin the one it is bound to; an hr_admin without a company,
+    any other role and a principal that is not in the table are denied.  A null company stands for the list of
+    all visible companies, which everyone with a role may ask for who can see any.
+    """
+    p = principals.select("principal", "role", F.col("company_id").alias("_own"))
+    d = requests.join(p, "principal", "left")
+    hr, own = F.col("role") == "hr_admin", F.col("_own")
+    reason = (F.when(F.col("role").isNull(), "unknown principal")
+              .when(F.col("role") == "underwriter", F.lit(None))
+              .when(~hr, "role without access")
+              .when(own.isNull(), "hr_admin account has no company_id configured")
+              .when(F.col("company_id").isNotNull() & (F.col("company_id") != own), "Access denied for this company"))
+    return d.select(*requests.columns, "role", reason.isNull().alias("allowed"), reason.alias("reason"))
+
+
+def visible_rows(df: DataFrame, principals: DataFrame, principal: str) -> DataFrame:
+    """ING19: the rows of ``df`` that one principal of the table may see; none if it is denied or unknown."""
+    mine = principals.where(F.col("principal") == principal).agg(F.max("role").alias("_role"), F.max("company_id").alias("_own"))
+    allowed = (F.col("_role") == "underwriter") | ((F.col("_role") == "hr_admin") & (F.col("company_id") == F.col("_own")))
+    return df.crossJoin(F.broadcast(mine)).where(allowed).select(*df.columns)
+
+
 def list_companies(companies: DataFrame, role: str, company_id: str | None = None) -> DataFrame:
     """PRT1: companies visible to the principal, ordered by name."""
     return apply_row_policy(companies, role, company_id).orderBy("company_name", "company_id")
@@ -228,6 +253,11 @@ def cohort_points(employees: DataFrame, group: str = "company_id") -> DataFrame:
         F.min("age").alias("min_age"), F.max("age").alias("max_age"))
 
 
+def cohort_rows(employees: DataFrame, group: str = "company_id", key: str = "employee_key") -> DataFrame:
+    """PRT14: the cohort's points themselves, one row per person: age, loss ratio and chronic count."""
+    return employees.select(group, key, "age", "loss_ratio", "chronic_count")
+
+
 def band_distribution(company_risk: DataFrame, group: str = "company_id") -> DataFrame:
     """PRT15: band mix in long form, zero bands dropped."""
     long = company_risk.select(group, "low_risk_pct", "moderate_risk_pct", "high_risk_pct", "critical_risk_pct") \

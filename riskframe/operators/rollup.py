@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import LAB_FLAGS, LAB_WEIGHTS
 from ..functions.expr import clamp, round_even
+from ..functions.ranks import range_partitions
 
 
 def rollup_telemetry(telemetry: DataFrame, key: str = "employee_key") -> DataFrame:
@@ -30,7 +31,7 @@ def _segments(telemetry: DataFrame, key: str, order, extra=(), partitions: int |
     spans partitions.  ``_n, _mx, _my, _c, _v`` are the count, the mean position, the mean heart rate
     and their centred sums over the readings that have a heart rate; ``_mx`` counts positions from the
     person's first row."""
-    p = partitions or int(telemetry.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = partitions or range_partitions(telemetry)
     y = F.col("resting_hr").cast("double")
     t = (telemetry.repartitionByRange(p, key, *order).sortWithinPartitions(key, *order)
                   .withColumn("_pid", F.spark_partition_id())
@@ -156,9 +157,13 @@ SNAPSHOT_COLUMNS = [
 def build_snapshot(employees: DataFrame, telemetry: DataFrame, clinical: DataFrame,
                    companies: DataFrame, key: str = "employee_key") -> DataFrame:
     """AGG7: the whole training snapshot (AGG1-AGG6): aggregate before joining."""
-    tele = rollup_telemetry_with_trend(telemetry, key)
-    claims = rollup_claims(clinical, key)
-    df = join_rollups(employees, tele, claims, key)
+    return snapshot_of(employees, rollup_telemetry_with_trend(telemetry, key), rollup_claims(clinical, key), companies, key)
+
+
+def snapshot_of(employees: DataFrame, telemetry_rollup: DataFrame, claims_rollup: DataFrame, companies: DataFrame,
+                key: str = "employee_key") -> DataFrame:
+    """AGG7 from finished rollups, which several rosters can share."""
+    df = join_rollups(employees, telemetry_rollup, claims_rollup, key)
     df = premium_share(df, employees, companies)
     return loss_ratio(df).select(*SNAPSHOT_COLUMNS)
 

@@ -57,6 +57,12 @@ def scorer_state(scorer: DataFrame) -> DataFrame:
     return scorer.select("p05", "p95", F.lit(True).alias("fitted"))
 
 
+def restore_scorer(state: DataFrame) -> DataFrame:
+    """SCO4: the scorer of a saved state; a state that was never fitted has no bounds, so every score is 50."""
+    fitted = F.coalesce(F.col("fitted"), F.lit(False))
+    return state.select(*[F.when(fitted, F.col(c).cast("double")).alias(c) for c in ("p05", "p95")])
+
+
 # ---- SCO5-SCO7: employee and company results -----------------------------------------
 
 def predict_employees(scored: DataFrame, scorer: DataFrame, col: str = "log_pred", weights: dict | None = None,

@@ -9,7 +9,8 @@ from ..functions.constants import (ACTIVITY_DOMAIN_COLUMNS, CANONICAL_COLS, LAB_
                                    OOR_RISK, OOR_STATUS)
 from ..operators import harmonize as H
 from ..sources.fixtures import fixture
-from .catalog_core import snapshot
+from ..operators.rollup import SNAPSHOT_COLUMNS
+from .catalog_core import _SNAP_FLOATS, snapshot
 from .oracle_sql import CORE_FIXTURES, SNAPSHOT_CTES, rnd, with_fixtures
 from .registry import register
 
@@ -270,17 +271,23 @@ def q_harmonize_rejected(spark, sf):
     return rows.select(F.lit(1).alias("x"))
 
 
+def _aligned(c):
+    """DuckDB column of an upload's row: its own, or 0 if uploads have none."""
+    own = "employee_id" if c == "employee_key" else c
+    if own in CANONICAL_COLS and c in ("age", "smoker", "diabetic", "hypertension", "visit_count", "hospitalized_count"):
+        return f"CAST(trunc({own}) AS INTEGER) AS {c}"
+    return f"{own} AS {c}" if own in CANONICAL_COLS else f"{repr('0') if c in ('gender', 'job_category') else 0} AS {c}"
+
+
 @register("hrm10_align_union", oracle=with_fixtures(["fx_upload_clean"] + list(CORE_FIXTURES), SNAPSHOT_CTES)
           + _harm_sql().replace("SELECT " + ", ".join(CANONICAL_COLS) + " FROM g", "") + """
 , h AS (SELECT * FROM g)
-SELECT company_id, count(*) AS n, sum(loss_ratio) AS lr_sum FROM (
-  SELECT company_id, loss_ratio FROM or_snapshot UNION ALL SELECT company_id, loss_ratio FROM h) GROUP BY company_id""",
-          floats=["lr_sum"])
+SELECT * FROM or_snapshot UNION ALL SELECT """ + ", ".join(_aligned(c) for c in SNAPSHOT_COLUMNS) + " FROM h",
+          floats=_SNAP_FLOATS)
 def q_align_union(spark, sf):
-    """HRM10/AGG14: harmonised upload aligned to the snapshot's columns and appended; rows and LR per company."""
+    """HRM10/AGG14: harmonised upload aligned to the snapshot's columns and appended."""
     rows, _, _ = H.harmonize(upload(spark, sf, "fx_upload_clean"), snapshot(spark, sf))
-    u = H.align_and_union(snapshot(spark, sf), rows.withColumnRenamed("employee_id", "employee_key"))
-    return u.groupBy("company_id").agg(F.count(F.lit(1)).alias("n"), F.sum("loss_ratio").alias("lr_sum"))
+    return H.align_and_union(snapshot(spark, sf), rows.withColumnRenamed("employee_id", "employee_key"))
 
 
 @register("hrm11_overlap", oracle=with_fixtures(["fx_lab_results", "fx_employees"]) + """

@@ -200,6 +200,17 @@ def q_scorer_state(spark, sf):
     return S.scorer_state(scorer)
 
 
+@register("sco4_restore_scorer", oracle=_BASE + "\nSELECT employee_key, hrs FROM or_scored", floats=["hrs"])
+def q_restore_scorer(spark, sf):
+    """SCO4: the scorer's state saved, read back, restored and used to score everyone."""
+    import uuid
+
+    from ..session import scratch_path
+    f, path = _features(spark, sf), scratch_path(spark, f"scorer-{uuid.uuid4().hex}")
+    S.scorer_state(S.fit_scorer(f, materialized=True)).write.parquet(path)
+    return S.score_hrs(f, S.restore_scorer(spark.read.parquet(path))).select("employee_key", "hrs")
+
+
 def _drivers_sql():
     from ..operators.model import DEFAULT_SCORECARD as M
     feats = FEATURE_COLUMNS

@@ -251,6 +251,26 @@ def q_list_companies_uw(spark, sf):
     return P.list_companies(c, "underwriter").select("company_id", "company_name", "industry")
 
 
+@register("ing19_access_decisions", oracle=with_fixtures(["fx_principals", "fx_access_requests"]) + """
+SELECT r.*, p.role, why IS NULL AS allowed, why AS reason
+FROM fx_access_requests r LEFT JOIN fx_principals p ON p.principal = r.principal CROSS JOIN LATERAL (
+  SELECT CASE WHEN p.role IS NULL THEN 'unknown principal' WHEN p.role = 'underwriter' THEN NULL
+              WHEN p.role <> 'hr_admin' THEN 'role without access'
+              WHEN p.company_id IS NULL THEN 'hr_admin account has no company_id configured'
+              WHEN r.company_id <> p.company_id THEN 'Access denied for this company' END AS why)""")
+def q_access_decisions(spark, sf):
+    """ING19: every access request judged by the table of principals, denials with their reasons."""
+    return P.access_decisions(fixture(spark, sf, "fx_access_requests"), fixture(spark, sf, "fx_principals"))
+
+
+@register("ing19_visible_rows", oracle=with_fixtures(["fx_principals", "fx_companies"]) + """
+SELECT c.company_id, c.company_name FROM fx_companies c JOIN fx_principals p ON p.principal = 'user_3' AND p.company_id = c.company_id""")
+def q_visible_rows(spark, sf):
+    """ING19: the companies that one principal of the table, an hr_admin, may see."""
+    return P.visible_rows(fixture(spark, sf, "fx_companies"), fixture(spark, sf, "fx_principals"), "user_3") \
+            .select("company_id", "company_name")
+
+
 @register("prt2_company_employees", oracle=with_fixtures(CORE_FIXTURES, SNAPSHOT_CTES) + """
 SELECT s.company_id, s.employee_key, s.age, e.gender, s.bmi, s.smoker, s.diabetic, s.hypertension, s.chronic_count,
        e.job_category, s.avg_daily_steps, s.avg_resting_hr, s.avg_sleep_hours, s.visit_count, s.hospitalized_count,
@@ -396,6 +416,13 @@ def q_cohort(spark, sf):
     return P.cohort_points(snapshot(spark, sf))
 
 
+@register("prt14_cohort_points", oracle=with_fixtures(CORE_FIXTURES, SNAPSHOT_CTES) + """
+SELECT company_id, employee_key, age, loss_ratio, chronic_count FROM or_snapshot""", floats=["loss_ratio"])
+def q_cohort_points(spark, sf):
+    """PRT14: the cohort's points, one row per person."""
+    return P.cohort_rows(snapshot(spark, sf))
+
+
 @register("prt15_band_distribution", oracle=_BASE + """
 SELECT company_id, band, pct FROM (
   SELECT company_id, 'Low' AS band, low_risk_pct AS pct FROM or_companies

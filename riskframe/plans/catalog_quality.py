@@ -214,17 +214,16 @@ def q_age_report(spark, sf):
 
 # ---- environment parity ---------------------------------------------------------------
 
-def _env_b_company_risk(spark, sf):
-    emp_b, comp, tele, clin = fixtures(spark, sf, "fx_employees_b", "fx_companies", "fx_telemetry",
-                                       "fx_clinical_events")
-    s, _ = score_employees(build_snapshot(emp_b, tele, clin, comp))
-    return predict_companies(s)
-
-
-def _env_a_company_risk(spark, sf):
-    from .catalog_core import scored
-    s, _ = scored(spark, sf)
-    return predict_companies(s)
+def _environments(spark, sf):
+    """Scored employees of both environments.  They differ in their roster alone, so the rollups of telemetry and
+    claims are stored once and both rosters are joined to them."""
+    from ..operators.rollup import rollup_claims, rollup_telemetry_with_trend, snapshot_of
+    from ..session import materialize
+    a, b, comp, tele, clin = fixtures(spark, sf, "fx_employees", "fx_employees_b", "fx_companies", "fx_telemetry",
+                                      "fx_clinical_events")
+    tele = materialize(rollup_telemetry_with_trend(tele, "employee_key"), "telemetry-rollup")
+    claims = materialize(rollup_claims(clin, "employee_key"), "claims-rollup")
+    return [score_employees(snapshot_of(roster, tele, claims, comp))[0] for roster in (a, b)]
 
 
 def _env_b_sql():
@@ -244,7 +243,7 @@ FROM (SELECT DISTINCT company_id FROM or_companies) a FULL OUTER JOIN (SELECT DI
   ON a.company_id = b.company_id""")
 def q_key_parity(spark, sf):
     """PAR1: company key sets of two environments (left = current roster, right = changed roster)."""
-    return Q.key_parity(_env_a_company_risk(spark, sf), _env_b_company_risk(spark, sf))
+    return Q.key_parity(*_environments(spark, sf))
 
 
 @register("par2_count_parity", oracle=_ENV + """
@@ -254,12 +253,7 @@ FROM (SELECT company_id, count(*) AS n FROM or_scored GROUP BY 1) a
 FULL OUTER JOIN (SELECT company_id, count(*) AS n FROM orb_scored GROUP BY 1) b ON a.company_id = b.company_id""")
 def q_count_parity(spark, sf):
     """PAR2: employees per company in each environment and whether they match."""
-    from .catalog_core import scored
-    a, _ = scored(spark, sf)
-    emp_b, comp, tele, clin = fixtures(spark, sf, "fx_employees_b", "fx_companies", "fx_telemetry",
-                                       "fx_clinical_events")
-    b, _ = score_employees(build_snapshot(emp_b, tele, clin, comp))
-    return Q.count_parity(a, b)
+    return Q.count_parity(*_environments(spark, sf))
 
 
 @register("par3_score_parity", oracle=_ENV + """
@@ -270,4 +264,4 @@ SELECT j.*, m.mean_abs_delta FROM j CROSS JOIN (SELECT avg(abs_delta) AS mean_ab
           floats=["left_score", "right_score", "abs_delta", "mean_abs_delta"])
 def q_score_parity(spark, sf):
     """PAR3: per-company mean HRS in both environments, |delta|, band match, mean |delta|."""
-    return Q.score_parity(_env_a_company_risk(spark, sf), _env_b_company_risk(spark, sf))
+    return Q.score_parity(*map(predict_companies, _environments(spark, sf)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import LAB_FLAGS
 from ..operators import rollup as R
 from ..sources.fixtures import fixture
-from .catalog_core import core_inputs, snapshot
+from .catalog_core import _SNAP_FLOATS, core_inputs, snapshot
 from .oracle_sql import CORE_FIXTURES, SNAPSHOT_CTES, clip, j_normal, j_uniform, rnd, with_fixtures
 from .registry import register
 
@@ -154,17 +154,18 @@ def q_lab_rows(spark, sf):
 _BODY = _LAB_ROWS[len(with_fixtures(["fx_activity"])):]
 
 
+_REST = [c for c in R.SNAPSHOT_COLUMNS if c != "employee_key"]
+
+
 @register("agg14_extend_training", oracle=with_fixtures(list(CORE_FIXTURES) + ["fx_activity"], SNAPSHOT_CTES) + _BODY
-          + """
-SELECT company_id, count(*) AS n, sum(loss_ratio) AS lr_sum, CAST(sum(high_risk) AS BIGINT) AS high_risk_rows FROM (
-  SELECT company_id, loss_ratio, high_risk FROM or_snapshot UNION ALL SELECT company_id, loss_ratio, high_risk FROM lab_rows)
-GROUP BY company_id""", floats=["lr_sum"])
+          + f"""
+SELECT employee_key AS employee_id, {", ".join(_REST)} FROM or_snapshot
+UNION ALL SELECT employee_id, {", ".join(_REST)} FROM lab_rows""",
+          floats=[*_SNAP_FLOATS])
 def q_extend(spark, sf):
-    """AGG14: the snapshot extended with lab-derived rows (aligned to its columns); rows and LR per company."""
+    """AGG14: the snapshot extended with lab-derived rows, aligned to its columns."""
     base = snapshot(spark, sf).withColumnRenamed("employee_key", "employee_id")
-    u = R.extend_training(base, R.lab_training_rows(fixture(spark, sf, "fx_activity")))
-    return u.groupBy("company_id").agg(F.count(F.lit(1)).alias("n"), F.sum("loss_ratio").alias("lr_sum"),
-                                       F.sum("high_risk").alias("high_risk_rows"))
+    return R.extend_training(base, R.lab_training_rows(fixture(spark, sf, "fx_activity")))
 
 
 @register("agg15_snapshot_summary", oracle=_SNAP + """

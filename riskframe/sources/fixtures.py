@@ -264,6 +264,20 @@ SELECT o_orderkey AS payload_id,
 FROM {orders}
 """
 
+FIXTURE_SQL["fx_principals"] = """
+SELECT concat('user_', cast(s_suppkey AS string)) AS principal,
+       CASE WHEN s_suppkey % 10 = 0 THEN 'underwriter' WHEN s_suppkey % 10 = 1 THEN 'viewer' ELSE 'hr_admin' END AS role,
+       CASE WHEN s_suppkey % 10 > 2 THEN concat('COMP_', lpad(cast(s_nationkey + 1 AS string), 3, '0')) END AS company_id
+FROM {supplier}
+"""
+
+FIXTURE_SQL["fx_access_requests"] = """
+SELECT o_orderkey AS request_id,
+       concat('user_', cast(o_custkey % (SELECT count(*) + 3 FROM {supplier}) AS string)) AS principal,
+       CASE WHEN o_orderkey % 31 <> 0 THEN concat('COMP_', lpad(cast(o_orderkey % 25 + 1 AS string), 3, '0')) END AS company_id
+FROM {orders}
+"""
+
 FIXTURE_SQL["fx_roster_payload"] = """
 SELECT c_custkey AS row_no,
        concat('COMP_', lpad(cast(c_nationkey + 1 AS string), 3, '0')) AS company_id,

@@ -69,3 +69,38 @@ def test_flagship_partition_invariance(spark, sf):
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert results[0] == results[2] == results[4]
     assert results[1] == results[3] == results[5]
+
+
+def test_principals_decide_access(spark):
+    from riskframe.operators import portfolio as P
+    people = spark.createDataFrame([("u", "underwriter", None), ("h", "hr_admin", "C1"), ("n", "hr_admin", None), ("v", "viewer", "C1")],
+                                   "principal string, role string, company_id string")
+    ask = spark.createDataFrame([(p, c) for p in ("u", "h", "n", "v", "x") for c in ("C1", "C2", None)], "principal string, company_id string")
+    got = {(r.principal, r.company_id): r.reason if not r.allowed else True for r in P.access_decisions(ask, people).collect()}
+    denied = "Access denied for this company"
+    none = "hr_admin account has no company_id configured"
+    assert got == {("u", "C1"): True, ("u", "C2"): True, ("u", None): True, ("h", "C1"): True, ("h", "C2"): denied, ("h", None): True,
+                   **{("n", c): none for c in ("C1", "C2", None)}, **{("v", c): "role without access" for c in ("C1", "C2", None)},
+                   **{("x", c): "unknown principal" for c in ("C1", "C2", None)}}
+    rows = spark.createDataFrame([("C1",), ("C2",), (None,)], "company_id string")
+    see = lambda p: sorted(str(r.company_id) for r in P.visible_rows(rows, people, p).collect())
+    assert [see(p) for p in "uhnvx"] == [["C1", "C2", "None"], ["C1"], [], [], []]
+
+
+def test_scorer_state_is_restored(spark):
+    from riskframe.operators import scoring as S
+    saved = S.scorer_state(spark.createDataFrame([(0.5, 1.5)], "p05 double, p95 double"))
+    rows = spark.createDataFrame([(0.75,)], "log_pred double")
+    assert S.score_hrs(rows, S.restore_scorer(saved)).first().hrs == 25.0
+    never = spark.createDataFrame([(0.5, 1.5, False)], "p05 double, p95 double, fitted boolean")
+    assert S.score_hrs(rows, S.restore_scorer(never)).first().hrs == 50.0
+
+
+def test_range_partitions_follow_the_input(spark, tmp_path):
+    from riskframe.functions.ranks import range_partitions
+    path = str(tmp_path / "t")
+    spark.range(200_000).write.parquet(path)
+    t = spark.read.parquet(path)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert range_partitions(t) == range_partitions(t.join(t.withColumnRenamed("id", "k"), t["id"] == 1)) == least
+    assert range_partitions(t.selectExpr("id * 2 AS x"), target=10_000) > 50
