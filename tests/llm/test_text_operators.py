@@ -333,7 +333,7 @@ def test_cgk_distance_follows_edits():
 
 def test_registered_digests(spark):
     from riskframe.llm.queries import QUERIES, ORACLES
-    assert set(ORACLES) <= set(QUERIES) and sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert set(ORACLES) <= set(QUERIES) and sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     r = QUERIES["op2_pii"](spark, SF).where("n_email > 0").first()
     text = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("doc_id") == r.doc_id).first().text
     spans = ",".join(f"{k}:{a}:{b}" for k, v in brute_pii(text).items() for a, b in v)
