@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from riskframe.plans.registry import load_all, run  # noqa: E402
-from riskframe.session import get_spark  # noqa: E402
+from riskframe.session import get_spark, release  # noqa: E402
 
 # One or two headline queries per operator family (flagship first).
 HEADLINE = [
@@ -43,6 +43,7 @@ def main():
                 t0 = time.perf_counter()
                 run(n, spark, sf_dir).write.format("noop").mode("overwrite").save()
                 ts.append(time.perf_counter() - t0)
+                release(spark)  # intermediate tables of the run
             times[n] = round(statistics.median(ts), 4)
             print(f"bench: {n} {times[n]}s", file=sys.stderr, flush=True)
         except Exception as e:  # noqa: BLE001

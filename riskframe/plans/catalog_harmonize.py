@@ -149,6 +149,47 @@ def q_feature_rows_lab(spark, sf):
     return rows.select(*[c for c in rows.columns if not c.startswith("_filled_")])
 
 
+_TELEMETRY_SQL = ("500e0 AS step_volatility, 72e0 AS avg_resting_hr, 0e0 AS hr_trend, {active} AS avg_active_mins, 7e0 AS avg_sleep_hours, "
+                  "97e0 AS avg_spo2, 0 AS visit_count, 0 AS hospitalized_count")
+_FEATURE_FLOATS = ["bmi", "avg_daily_steps", "step_volatility", "avg_resting_hr", "hr_trend", "avg_active_mins", "avg_sleep_hours",
+                   "avg_spo2"]
+_OUT = "IN " + _list(OOR_STATUS)
+
+
+def _shown(rows):
+    return rows.select(*[c for c in rows.columns if not c.startswith("_filled_")])
+
+
+@register("hrm18_feature_rows_activity", oracle=_POP.replace(with_fixtures(CORE_FIXTURES), with_fixtures([*CORE_FIXTURES, "fx_activity"])) + f"""
+, act AS (SELECT *, CAST(coalesce(lower(trim(diabetes)) {_OUT}, false) AS INTEGER) AS dia,
+                 CAST(coalesce(lower(trim(heart_health)) {_OUT}, false) AS INTEGER) AS hyp FROM fx_activity)
+SELECT CAST(user_id AS VARCHAR) AS employee_id, 38 AS age, d.gender, d.bmi, 1 AS smoker, dia AS diabetic, hyp AS hypertension,
+       d.job_category, dia + hyp AS chronic_count, coalesce(step_count, 6000e0) AS avg_daily_steps,
+       {_TELEMETRY_SQL.format(active="coalesce(CASE WHEN total_active_minutes = 0 THEN steps_active_minutes ELSE total_active_minutes END / 365e0, 30e0)")}
+FROM act CROSS JOIN pop d""", floats=_FEATURE_FLOATS)
+def q_feature_rows_activity(spark, sf):
+    """HRM18 (+HRM12, HRM15, HRM17): activity upload -> scoring feature rows, with two defaults overridden by the user."""
+    defaults = H.population_defaults(snapshot(spark, sf))
+    return _shown(H.feature_records(fixture(spark, sf, "fx_activity"), defaults, {"age": 38, "smoker": 1})[0])
+
+
+@register("hrm18_feature_rows_roster", oracle=_POP.replace(with_fixtures(CORE_FIXTURES), with_fixtures([*CORE_FIXTURES, "fx_roster_payload"])) + f"""
+SELECT external_employee_id AS employee_id, CASE WHEN p.age BETWEEN 18 AND 70 THEN p.age ELSE d.age END AS age,
+       CASE WHEN p.gender IN ('M', 'F', 'O') THEN p.gender ELSE d.gender END AS gender,
+       CASE WHEN p.bmi BETWEEN 10 AND 60 THEN p.bmi ELSE d.bmi END AS bmi,
+       CAST(p.smoker AS INTEGER) AS smoker, CAST(p.diabetic AS INTEGER) AS diabetic, CAST(p.hypertension AS INTEGER) AS hypertension,
+       CASE WHEN p.job_category IN ('desk', 'field', 'manual') THEN p.job_category ELSE d.job_category END AS job_category,
+       CAST(p.diabetic AS INTEGER) + CAST(p.hypertension AS INTEGER) AS chronic_count, 6000e0 AS avg_daily_steps,
+       {_TELEMETRY_SQL.format(active="30e0")}
+FROM fx_roster_payload p CROSS JOIN pop d""", floats=_FEATURE_FLOATS)
+def q_feature_rows_roster(spark, sf):
+    """HRM18 (+HRM12, HRM15, HRM19): roster upload with its own spelling of headers -> scoring feature rows."""
+    p = fixture(spark, sf, "fx_roster_payload")
+    upload = p.select(F.col("external_employee_id").alias("Employee_ID"), F.col("age").alias(" AGE "),
+                      *[F.col(c).alias(c.title()) for c in ("gender", "bmi", "smoker", "diabetic", "hypertension", "job_category")])
+    return _shown(H.feature_records(upload, H.population_defaults(snapshot(spark, sf)))[0])
+
+
 @register("hrm20_fill_report", oracle=_PIVOT + """
 SELECT 'lab' AS source, count(*) AS rows,
        'age,bmi,diabetic,' || CASE WHEN count(*) FILTER (WHERE gender IS NULL) > 0 THEN 'gender,' ELSE '' END

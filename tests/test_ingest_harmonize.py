@@ -178,3 +178,29 @@ def test_training_modes(spark):
     out, _ = M.training_data("excel-aug-lab", {"excel_augmented": lambda: two, "lab_augmented": lambda: one})
     got = {(r.dataset_source, r.loss_ratio) for r in out.collect()}
     assert got == {("excel", 5.0), ("excel", 9.0), ("clinical_lab", 7.0)}
+
+
+def test_feature_records_of_every_format(spark):
+    import pytest
+    from riskframe.operators import harmonize as H
+    base = H.constant_defaults(spark)
+    d = base.first()
+    lab = spark.createDataFrame([("7", "HbA1c", "1", "OutOfRange", None, "f", 1, 1)],
+                                "unique_id string, marker_code string, value string, status string, risk_level string, gender string, "
+                                "report_id int, line_no int")
+    rows, kind = H.feature_records(lab, base, {"bmi": 31.5})
+    r = rows.first()
+    assert kind == "lab" and (r.employee_id, r.gender, r.bmi, r.diabetic, r.hypertension, r.age) == ("7", "F", 31.5, 1, 0, d.age)
+    activity = spark.createDataFrame([("u", 1234.0, "outofrange", None)], "user_id string, step_count double, heart_health string, diabetes string")
+    rows, kind = H.feature_records(activity, base)
+    r = rows.first()
+    assert kind == "activity" and (r.employee_id, r.avg_daily_steps, r.hypertension, r.diabetic) == ("u", 1234.0, 1, 0)
+    roster = spark.createDataFrame([("a", "33", "female", "99", "yes", "MANUAL"), ("b", "x", "?", "22.5", None, None)],
+                                   "` Employee_ID` string, Age string, GENDER string, bmi string, Smoker string, Job_Category string")
+    rows, kind = H.feature_records(roster, base, {"age": 38, "smoker": 1, "job_category": "field"})
+    a, b = rows.orderBy("employee_id").collect()
+    assert kind == "roster"
+    assert (a.age, a.gender, a.bmi, a.smoker, a.job_category) == (33, "F", d.bmi, 1, "manual")
+    assert (b.age, b.gender, b.bmi, b.smoker, b.job_category) == (38, d.gender, 22.5, 1, "field")
+    with pytest.raises(ValueError, match="no such default: height"):
+        H.feature_records(roster, base, {"height": 1})
