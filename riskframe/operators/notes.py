@@ -23,6 +23,7 @@ AGE_PATTERNS = [
     r"\bage[d]?\s+(\d{1,3})\b",
     r"\b(\d{1,3})[- ]yo\b",
 ]
+AGE_LITERALS = ["year", "age", "age", "yo"]  # each occurs in every match of its pattern
 FEMALE_PATTERN = r"\b(female|woman|women|she\b|her\b)"
 MALE_PATTERN = r"\b(male|man\b|men\b|he\b|his\b)"
 BMI_PATTERN = r"\bBMI\s*(?:of\s*|=\s*|:\s*)?(\d{1,2}(?:\.\d)?)\b"
@@ -56,11 +57,10 @@ SPO2_PATTERNS = [(r"(?:oxygen saturation|SpO2|O2 sat)[^0-9]*(\d{2,3})%", 1), (r"
 SEVERITY_WEIGHTS = {"cancer": 0.30, "icu": 0.20, "renal": 0.18, "heart_dis": 0.15, "sepsis": 0.15,
                     "ventilated": 0.15, "stroke": 0.12, "liver_dis": 0.10, "respiratory": 0.08}
 
-# Keywords at least one of which must occur (lower-cased) for a condition's patterns to match.
-# A cheap substring test on them skips the regex for notes that cannot match.
-CONDITION_KEYWORDS = {
+# Lower-cased words with which every match of a condition's patterns begins, at a word boundary.
+CONDITION_STEMS = {
     "smoker": ["smok", "tobacco"],
-    "diabetic": ["diabet", "dm", "insulin"],
+    "diabetic": ["diabet", "dm", "insulin", "t2dm", "t1dm"],
     "hypertension": ["hypertension", "high blood pressure", "htn"],
     "cancer": ["cancer", "malignant", "carcinoma", "lymphoma", "leukemia", "neoplasm", "tumo"],
     "heart_dis": ["cardiac", "heart failure", "myocardial infarction", "coronary", "atrial fibr", "angina"],
@@ -72,7 +72,7 @@ CONDITION_KEYWORDS = {
     "mental": ["depression", "anxiety disorder", "schizophrenia", "bipolar", "psychiat"],
     "osteo": ["osteoporosis", "osteopenia", "one fracture", "fragility fracture"],
     "anemia": ["anemia", "anaemia", "iron deficiency", "hemoglobin"],
-    "thyroid_dis": ["thyroid"],
+    "thyroid_dis": ["hypothyroid", "hyperthyroid", "thyroid"],
     "vitamin_def": ["vitamin"],
     "icu": ["icu", "intensive care unit", "critical care"],
     "ventilated": ["mechanical ventilation", "intubat", "ventilat"],
@@ -93,6 +93,22 @@ def _any(patterns):
     return FLAGS + "|".join(f"(?:{_lower_pattern(p)})" for p in patterns)
 
 
+def _words(pattern: str) -> list[str]:
+    """Alternatives of a gender pattern, which begin at a word boundary and may end at one."""
+    return pattern.removeprefix(r"\b(").removesuffix(")").split("|")
+
+
+def _begins() -> str:
+    """What each condition stem or gender word begins, at every word boundary, without using up the text.
+
+    One branch per first letter; of the entries that share one, none can match where another does.
+    """
+    tails = {}
+    for w in sorted({w for ws in CONDITION_STEMS.values() for w in ws} | {*_words(FEMALE_PATTERN), *_words(MALE_PATTERN)}):
+        tails.setdefault(w[0], []).append(w[1:])
+    return r"\b(?=(" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in tails.items()) + "))"
+
+
 def parse_notes(df: DataFrame, text: str = "text") -> DataFrame:
     """MAP9: clinical note -> structured fields (age, gender, BMI, 13 conditions, ICU, SpO2, LR, severity).
 
@@ -110,12 +126,14 @@ def parse_notes(df: DataFrame, text: str = "text") -> DataFrame:
                         .otherwise(F.expr(f"substr(`{text}`, _bs)")))).otherwise(F.col(text))
     d = d.withColumn("_t", F.lower(sec))
     t = F.col("_t")
-    # every pattern runs once here; the choices below read its result
-    found = {f"_age{i}": (pat, 1) for i, pat in enumerate(AGE_PATTERNS)}
-    found |= {f"_ox{i}": pg for i, pg in enumerate(SPO2_PATTERNS)} | {"_bmi": (BMI_PATTERN, 1)}
-    d = d.withColumns({c: F.regexp_extract(t, FLAGS + _lower_pattern(pat), grp) for c, (pat, grp) in found.items()}
-                      | {c: F.regexp_count(t, F.lit(FLAGS + _lower_pattern(pat)))
-                         for c, pat in (("_fem", FEMALE_PATTERN), ("_mal", MALE_PATTERN))})
+    # one scan finds condition stems and gender words; a pattern runs once, on the notes that hold its literal
+    found = {f"_age{i}": (pat, 1, AGE_LITERALS[i]) for i, pat in enumerate(AGE_PATTERNS)}
+    found |= {f"_ox{i}": (*pg, "%") for i, pg in enumerate(SPO2_PATTERNS)} | {"_bmi": (BMI_PATTERN, 1, "bmi")}
+    d = d.withColumns({c: F.when(t.contains(need), F.regexp_extract(t, FLAGS + _lower_pattern(pat), grp)).otherwise("")
+                       for c, (pat, grp, need) in found.items()}
+                      | {"_begun": F.regexp_extract_all(t, F.lit(_begins()), F.lit(1))})
+    of = lambda pat: F.size(F.filter("_begun", lambda w: w.isin([x.removesuffix(r"\b") for x in _words(pat)])))
+    d = d.withColumns({"_fem": of(FEMALE_PATTERN), "_mal": of(MALE_PATTERN)})
     age = F.lit(None).cast("double")
     for i in reversed(range(len(AGE_PATTERNS))):
         v = F.col(f"_age{i}")
@@ -132,10 +150,8 @@ def parse_notes(df: DataFrame, text: str = "text") -> DataFrame:
         spo2 = F.when((vd >= 70) & (vd <= 100), vd).otherwise(spo2)
     spo2 = F.coalesce(spo2, F.lit(97.0))
     def cond(k, pats):
-        pre = F.lit(False)
-        for kw in CONDITION_KEYWORDS[k]:
-            pre = pre | t.contains(kw)
-        return F.when(pre, t.rlike(_any(pats))).otherwise(F.lit(False)).cast("int")
+        begun = F.arrays_overlap(F.col("_begun"), F.array(*[F.lit(w) for w in CONDITION_STEMS[k]]))
+        return F.when(begun, t.rlike(_any(pats))).otherwise(F.lit(False)).cast("int")
 
     cols = {k: cond(k, v) for k, v in CONDITIONS.items()}
     d = d.select(*[c for c in df.columns if c != text], age.alias("age"),

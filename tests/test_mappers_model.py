@@ -207,3 +207,15 @@ def test_lab_flags_as_of_a_date(spark):
            for r in attach_lab_flags(people, labs, "2020-05-31").collect()}
     assert got == {"1": (0, 0, 0), "2": (0, 1, 0), "3": (0, 0, 0), None: (0, 0, 0)}
     assert {r._person: r.lab_thyroid_flag for r in latest_lab_flags(labs).collect()} == {"1": 1, "2": 1, None: 1}
+
+
+def test_note_patterns_begin_with_their_stems():
+    """The scan for stems skips no note: a match of any condition pattern begins at a boundary with one of its stems."""
+    from riskframe.operators import notes as N
+    for k, patterns in N.CONDITIONS.items():
+        for p in patterns:
+            literal = p.lower().removeprefix(r"\b")
+            assert p.startswith(r"\b") and any(
+                literal.startswith(w) or (k == "smoker" and w in literal) for w in N.CONDITION_STEMS[k]), p
+    words = sorted({w for ws in N.CONDITION_STEMS.values() for w in ws})
+    assert not [(a, b) for a in words for b in words if a != b and b.startswith(a)]
