@@ -6,9 +6,11 @@ IPv6).  Boosted trees score each proposal by its format and context; a proposal
 reaches its kind's threshold, which is calibrated on held-out candidates.  Scoring is one projection:
 the trees are compiled into ``CASE`` expressions, so the main path has no user functions.
 
-There are no labels for personal data, so the trees learn from weak ones: a candidate is positive if it
-covers a valid base span of its kind, negative if it does not.  What they add are proposals whose
-format and context look like those of valid spans.
+There are no labels for personal data, so the trees learn from examples made by rule: values in forms
+that the base rules do not cover (obfuscated addresses, local and 00-prefixed phone numbers, dotted card
+numbers, IPv6) are set into sampled texts as positives; look-alikes (dates, clock times, hardware
+addresses, numbers that fail Luhn, sentence ends after an ``@``) as negatives, together with what the
+generators propose in the sampled texts themselves where no word nearby speaks for the kind.
 """
 from __future__ import annotations
 
@@ -29,9 +31,9 @@ _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Proposals by kind, beside the base spans.  Fixed patterns.
 GENERATORS = {
     "email": r"[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\{at\}|@) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]{1,63}){1,4}",
-    "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){2,7}:?(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ ./-]?[0-9]{3,7}){2,4}(?![0-9])",
-    "phone": r"(?<![0-9+.])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){2,4}(?![0-9])",
+    "phone": r"(?<![0-9+.])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{2,5}\)?(?:[ ./-][0-9]{2,8}){1,4}(?![0-9])",
 }
 #: Words near a span that speak for its kind.  Fixed patterns.
 CONTEXT = {
@@ -41,7 +43,7 @@ CONTEXT = {
     "phone": r"(?i)phone|tel|call|fax|mobile|handy|tél|teléfono",
 }
 FEATURES = ("length", "digits", "separators", "letters", "groups", "opens_plus", "brackets", "longest_digits",
-            "before_letter", "after_letter", "context")
+            "before_letter", "after_letter", "context", "spaces", "longest_group", "last_group", "opens_00", "luhn", "doubles")
 
 
 def _let(value: Column, use) -> Column:
@@ -119,7 +121,10 @@ def _features(text: Column, kind: str, x: Column) -> list[Column]:
         m.startswith("+"), m.rlike(r"[\[({]"),
         F.array_max(F.transform(F.split(m, "[^0-9]+"), lambda d: F.length(d))),
         F.substring(text, x["s"], F.lit(1)).rlike(r"\p{L}") & (x["s"] > 0),
-        F.substring(text, x["e"] + 1, F.lit(1)).rlike(r"\p{L}"), near.rlike(CONTEXT[kind]))]
+        F.substring(text, x["e"] + 1, F.lit(1)).rlike(r"\p{L}"), near.rlike(CONTEXT[kind]),
+        F.regexp_count(m, F.lit(" ")), F.array_max(F.transform(F.split(m, "[^0-9A-Za-z]+"), lambda g: F.length(g))),
+        F.length(F.regexp_extract(m, "[0-9A-Za-z]*$", 0)), m.startswith("00"),
+        F.coalesce(F.call_function("luhn_check", _digits(m)), F.lit(False)), F.regexp_count(m, F.lit("::")))]
 
 
 def _proposals(text: Column, kind: str) -> Column:
@@ -146,48 +151,130 @@ class Trees:
         return total
 
 
+def _examples(kind: str, seed: Column) -> Column:
+    """(cue, value, label) made from a hash: forms that the base rules miss, and look-alikes."""
+    hexa = F.sha2(seed, 256)
+    pool = F.rpad(F.regexp_replace(hexa, "[^0-9]", ""), 64, "7351924680")
+    letters = F.translate(hexa, "0123456789", "ghijklmnop")
+    vary = lambda i, lo, hi: F.pmod(F.xxhash64(seed, F.lit(i)), F.lit(hi - lo + 1)).cast("int") + lo
+    d = lambda i, n, more=0: F.substring(pool, F.lit(i), vary(i, n, n + more))
+    h = lambda i, n: F.substring(hexa, i, n)
+    w = lambda i, lo, hi: F.substring(letters, F.lit(i), vary(i, lo, hi))
+    join = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    if kind == "email":
+        good = [(c, v) for c in ("", "contact ") for v in (
+            join(w(1, 2, 10), " [at] ", w(12, 3, 10), " [dot] com"), join(w(2, 2, 10), "(at)", w(13, 3, 10), ".org"),
+            join(w(3, 2, 8), ".", w(14, 3, 9), " @ ", w(24, 3, 10), ".net"), join(w(4, 2, 9), " (at) ", w(15, 3, 9), " (dot) de"))]
+        bad = [(c, v) for c in ("", "write ") for v in (
+            join(w(1, 2, 10), " @ ", w(12, 2, 10), ". ", w(24, 1, 10)), join(w(2, 2, 10), " (at) ", w(13, 2, 10), ". ", w(25, 1, 10)),
+            join(w(3, 2, 10), " @", w(14, 2, 10), " . ", w(26, 1, 10)), join(w(4, 2, 10), "@ ", w(15, 2, 10), ". ", w(27, 1, 10)))]
+    elif kind == "ip":
+        groups = [h(1 + 4 * i, 4) for i in range(8)]
+        pairs = [h(1 + 2 * i, 2) for i in range(6)]
+        good = [(c, v) for c in ("", "host ") for v in (
+            F.concat_ws(":", *groups), F.concat_ws(":", *groups[:6], h(40, 1), h(41, 2)),
+            join(groups[0], ":", F.substring(hexa, F.lit(30), vary(30, 1, 4)), "::", F.substring(hexa, F.lit(34), vary(34, 1, 4))),
+            join(groups[1], ":", groups[2], ":", F.substring(hexa, F.lit(20), vary(20, 1, 4)), "::", groups[3]))]
+        bad = [(c, v) for c in ("", "server ") for v in (
+            F.concat_ws(":", *pairs), join("1", d(1, 1), ":2", d(2, 1), ":3", d(3, 1)),
+            join(d(4, 2), ":", d(6, 2), ":", d(8, 2), ":", d(10, 2)), join(d(12, 1), ":", d(13, 1), ":", d(14, 1)))]
+    elif kind == "card":
+        def closed(first, right=True):  # with a last digit that passes Luhn, or the one after it
+            last = F.filter(F.array(*[F.lit(str(i)) for i in range(10)]), lambda c: F.call_function("luhn_check", F.concat(first, c)))
+            last = F.element_at(last, 1)
+            return F.concat(first, last if right else F.pmod(last.cast("int") + 1, F.lit(10)).cast("string"))
+        cut = lambda x, by, *ns: F.concat_ws(by, *[F.substring(x, 1 + sum(ns[:i]), n) for i, n in enumerate(ns)])
+        long = lambda right: closed(join("4", d(1, 14)), right)
+        short = lambda right: closed(join("37", d(20, 12)), right)
+        forms = lambda right: [cut(long(right), ".", 4, 4, 4, 4), cut(long(right), "/", 4, 4, 4, 4),
+                               cut(short(right), " ", 4, 6, 5), cut(short(right), "-", 4, 6, 5)]
+        good = [(c, v) for c in ("", "card ") for v in forms(True)]
+        bad = [(c, v) for c in ("", "card ") for v in [*forms(False), join(d(30, 4), "-", d(34, 3), "-", d(37, 4))]]
+    else:
+        good = [(c, v) for c in ("", "phone ") for v in (
+            join("00", d(1, 1, 1), " ", d(3, 2, 2), " ", d(7, 5, 3)), join("00", d(1, 1, 1), "-", d(3, 3), "-", d(6, 3), "-", d(9, 4)),
+            join("(0", d(1, 2, 2), ") ", d(5, 3), " ", d(8, 3, 2)))] + [
+            ("call ", join("0", d(1, 2, 2), " ", d(5, 3), " ", d(8, 3, 2))), ("phone: ", join("0", d(1, 2, 2), "-", d(5, 3), "-", d(8, 3, 1))),
+            ("fax ", join("0", d(1, 2, 2), "/", d(5, 5, 3)))]
+        bad = [(c, v) for c in ("", "call ") for v in (
+            join("20", d(1, 2), "-1", d(3, 1), "-2", d(4, 1)), join("2", d(5, 1), ".1", d(6, 1), ".20", d(7, 2)),
+            join("1", d(8, 1), "/2", d(9, 1), "/19", d(10, 2)), join("19", d(12, 2), "-20", d(14, 2)),
+            F.concat_ws(".", d(16, 4), d(20, 4), d(24, 4), d(28, 4)), F.concat_ws(" ", d(16, 4), d(20, 4), d(24, 4), d(28, 4)))] + [
+            ("", join("3", d(16, 2), " ", d(19, 3), " ", d(22, 3))), ("", join(d(25, 2), ".", d(27, 2), ".", d(29, 2)))]
+    return F.array(*[F.struct(F.lit(c).alias("cue"), v.alias("value"), F.lit(float(y)).alias("label"))
+                     for y, some in ((1, good), (0, bad)) for c, v in some])
+
+
+def _set_in(hosts: DataFrame, kind: str) -> DataFrame:
+    """text and (s, e, m) and label of the proposals that lie on an example set into a text."""
+    plain = lambda x: F.regexp_replace(x, "[0-9@+:]", "")
+    at = F.pmod(F.xxhash64("text", F.lit(kind)), F.length("text")).cast("int")
+    d = hosts.select(plain(F.substring(F.col("text"), F.greatest(at - 39, F.lit(1)), F.lit(40))).alias("left"),
+                     plain(F.substring(F.col("text"), at + 1, F.lit(40))).alias("right"),
+                     F.explode(_examples(kind, F.concat("text", F.lit(kind)))).alias("v"))
+    d = d.select(F.concat("left", F.lit(" "), "v.cue", "v.value", F.lit(" "), "right").alias("text"), "v.label",
+                 (F.length("left") + 1 + F.length("v.cue")).alias("from"), F.length("v.value").alias("size"))
+    end = F.col("from") + F.col("size")
+    d = d.select("text", "label", "from", end.alias("to"), F.explode(_proposals(F.col("text"), kind)).alias("x"))
+    exact = (F.col("x.s") == F.col("from")) & (F.col("x.e") == F.col("to"))
+    touches = (F.col("x.s") < F.col("to")) & (F.col("x.e") > F.col("from"))
+    return d.where(exact | ((F.col("label") == 0) & touches)).select("text", "x", "label")
+
+
+def _apart(x: Column, spans: Column) -> Column:
+    return ~F.exists(spans, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
+
+
 def fit(docs: DataFrame, sample_docs: int = 4000, precision: float = 0.95, rounds: int = 8, depth: int = 3) -> dict[str, Trees]:
-    """Trees and thresholds of each kind from about ``sample_docs`` rows that hold a digit or an ``@``.
+    """Trees and thresholds of each kind, from examples set into about ``sample_docs / 4`` sampled texts and
+    the proposals of about ``sample_docs`` that hold a digit or an ``@``.
 
     A fifth of the candidates, by a hash of their text, is held out; the threshold is the lowest score
-    from which on held-out candidates reach ``precision``.  A kind whose candidates are all of one
-    class gets no trees, and nothing is added for it.
+    from which on held-out candidates, which are all proposals that the base rules miss, reach
+    ``precision``.  Without any text nothing is learned and nothing is added.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    from .common import keep
-    rows = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike(r"[0-9]{2}|@"))
-    n = max(1, rows.count())
-    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) * n < sample_docs * (1 << 20))
-    out = {}
+    from .common import drop, keep
     text = F.col("text")
+    rows = docs.select(text.cast("string").alias("text")).where(F.length("text") > 0)
+    some = text.rlike(r"[0-9]{2}|@")
+    n = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if(some).alias("some")).first()
+    if not n["all"]:
+        return {kind: Trees() for kind in KINDS}
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
+    hosts = rows.where(draw * n["all"] < (sample_docs // 4) * (1 << 20))
+    rows = rows.where(some).where(draw * n["some"] < sample_docs * (1 << 20))
+    out = {}
     for kind in KINDS:
-        cand = rows.select("text", base_spans(text)[kind].alias("base"), _proposals(text, kind).alias("loose")).select(
-            "text", "base", F.explode(F.array_union("base", "loose")).alias("x"))
-        x = F.col("x")
-        hit = F.exists("base", lambda b: (b["s"] >= x["s"]) & (b["e"] <= x["e"]))
+        loose = rows.select("text", *[c.alias(k) for k, c in base_spans(text).items()], _proposals(text, kind).alias("loose")) \
+                    .select("text", F.flatten(F.array(*KINDS)).alias("base"), F.explode("loose").alias("x")) \
+                    .where(_apart(F.col("x"), F.col("base"))).select("text", "x", F.lit(0.0).alias("label"))
+        cand = loose.withColumn("own", F.lit(True)).unionByName(_set_in(hosts, kind).withColumn("own", F.lit(False)))
         table = keep(cand.select(
-            *[f.alias(name) for f, name in zip(_features(text, kind, x), FEATURES)], hit.cast("double").alias("label"),
-            F.pmod(F.xxhash64("text", "x.s", "x.e"), F.lit(5)).alias("part")).repartition(4), f"pii-{kind}")
-        sizes = table.groupBy("label").count().collect()
-        if len(sizes) < 2:
+            *[f.alias(name) for f, name in zip(_features(text, kind, F.col("x")), FEATURES)], "label", "own",
+            F.pmod(F.xxhash64("text", "x.s", "x.e"), F.lit(5)).alias("part"))
+            .where(~F.col("own") | (F.col("context") == 0)).repartition(4), f"pii-{kind}")
+        if len(table.where("part > 0").groupBy("label").count().collect()) < 2:  # too few texts to learn from
             out[kind] = Trees()
+            drop(table)
             continue
         data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
         model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=7, minInstancesPerNode=5, cacheNodeIds=False) \
             .fit(data.where("part > 0").select("features", "label"))
         trees = Trees([(w, _node(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees)])
         scored = table.where("part = 0").select(trees.margin([F.col(c) for c in FEATURES]).alias("margin"), "label")
-        steps = scored.groupBy(F.round("margin", 3).alias("m")).agg(F.sum("label").alias("good"), F.count("label").alias("n")) \
-                      .orderBy(F.desc("m")).limit(4096).collect()
+        # the margin is at most twice the sum of the weights, so there are a few thousand steps at most
+        steps = scored.groupBy((F.floor(F.col("margin") * 100) / 100).alias("m")) \
+                      .agg(F.sum("label").alias("good"), F.count("label").alias("n")).orderBy(F.desc("m")).collect()
         good = total = 0
         for s in steps:
             good, total = good + s["good"], total + s["n"]
-            if good / total < precision:
-                break
-            trees.least = s["m"]
+            if s["m"] >= 0 and good / total >= precision:  # and more likely than not on its own
+                trees.least = s["m"]
         out[kind] = trees
+        drop(table)
     return out
 
 
@@ -202,8 +289,9 @@ def find(docs: DataFrame, model: dict[str, Trees] | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, text and one array column of (s, e, m) spans per kind and use.
 
     ``email, ip, card, phone`` hold the valid base spans; ``more_email`` and so on what the trees add:
-    proposals that no base span of the kind covers and whose score reaches the threshold.  A null or
-    empty text has no spans; repeated rows give equal results; other columns are ignored.
+    proposals that overlap no base span of any kind and whose score reaches the threshold.  Added spans of
+    different kinds may overlap each other.  A null or empty text has no spans; repeated rows give equal
+    results; other columns are ignored; an empty table gives an empty result.
     """
     text = F.col("text")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
@@ -219,10 +307,10 @@ def find(docs: DataFrame, model: dict[str, Trees] | None = None) -> DataFrame:
 
 
 def _added(text: Column, kind: str, trees: Trees):
-    """Whether a proposal that no base span covers reaches the threshold."""
+    """Whether a proposal that overlaps no base span reaches the threshold."""
     def test(x):
-        inside = F.exists(F.col(kind), lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"]))
-        return ~inside & (trees.margin(_features(text, kind, x)) >= trees.least)
+        apart = [_apart(x, F.col(k)) for k in KINDS]
+        return apart[0] & apart[1] & apart[2] & apart[3] & (trees.margin(_features(text, kind, x)) >= trees.least)
     return test
 
 

@@ -30,7 +30,8 @@ def op2_pii(spark, sf_dir):
                                for k in pii.KINDS]))
     return found.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
-        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(both, ",").alias("spans"))
+        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(both, ",").alias("spans"),
+        sum(F.size(f"more_{k}") for k in pii.KINDS).cast("long").alias("n_added"))
 
 
 def op3_substring(spark, sf_dir):
