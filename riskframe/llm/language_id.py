@@ -61,11 +61,13 @@ class Model:
     grams: dict[str, np.ndarray]
 
 
-def fit(docs: DataFrame, sample_per_lang: int = 3000, max_words: int = 40_000, max_grams: int = 60_000) -> Model:
+def fit(docs: DataFrame, sample_per_lang: int = 3000, max_words: int | None = 40_000,
+        max_grams: int | None = 60_000) -> Model:
     """Count words and grams on about ``sample_per_lang`` labelled, not held-out rows of each language.
 
     The sample takes rows by a hash of their id, at a rate set from each language's row count.
-    Rows with null text or lang are not used.
+    Rows with null text or lang are not used.  The most frequent ``max_words`` and ``max_grams`` stay, so that
+    the model can be broadcast at a known size; None keeps every token of the sample.
     """
     spark = docs.sparkSession
     known = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"),
@@ -81,8 +83,9 @@ def fit(docs: DataFrame, sample_per_lang: int = 3000, max_words: int = 40_000, m
     rank = [F.desc("total"), F.asc("n"), F.asc("token")]
     from .common import keep
     per_token = keep(per_token, "langid")
-    words = per_token.where("n = 0 and total > 1").orderBy(*rank).limit(max_words).collect()
-    grams = per_token.where("n > 0").orderBy(*rank).limit(max_grams).collect()
+    top = lambda df, most: df if most is None else df.orderBy(*rank).limit(most)
+    words = top(per_token.where("n = 0"), max_words).collect()
+    grams = top(per_token.where("n > 0"), max_grams).collect()
     langs = sorted({x for r in grams for x in r["by"]})
     return Model(langs, _logs(words, langs), _logs(grams, langs))
 
