@@ -67,7 +67,7 @@ def fit(docs: DataFrame, sample_per_lang: int = 3000, max_words: int | None = 40
 
     The sample takes rows by a hash of their id, at a rate set from each language's row count.
     Rows with null text or lang are not used.  The most frequent ``max_words`` and ``max_grams`` stay, so that
-    the model can be broadcast at a known size; None keeps every token of the sample.
+    the model can be broadcast at a known size, without words seen once; None keeps every token of the sample.
     """
     spark = docs.sparkSession
     known = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"),
@@ -84,7 +84,7 @@ def fit(docs: DataFrame, sample_per_lang: int = 3000, max_words: int | None = 40
     from .common import keep
     per_token = keep(per_token, "langid")
     top = lambda df, most: df if most is None else df.orderBy(*rank).limit(most)
-    words = top(per_token.where("n = 0"), max_words).collect()
+    words = top(per_token.where("n = 0" if max_words is None else "n = 0 and total > 1"), max_words).collect()
     grams = top(per_token.where("n > 0"), max_grams).collect()
     langs = sorted({x for r in grams for x in r["by"]})
     return Model(langs, _logs(words, langs), _logs(grams, langs))
