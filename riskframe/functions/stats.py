@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import PARTITION_BYTES, range_partitions
+
 
 def percentiles(df: DataFrame, col: str, probs: dict, group=None, approx: bool = False,
                 accuracy: int = 100000) -> DataFrame:
@@ -28,7 +30,11 @@ def median(c) -> F.Column:
     return F.percentile(c.cast("double"), F.lit(0.5))
 
 
-#: Buckets per octave of the first pass, and per range of the later ones.
+#: Size of the sketches, and the share of ranks by which brackets are wider than the wanted ranks on both
+#: sides: twice the sketch's rank error at 99 % (2.296 / k ** 0.9021).
+SKETCH_K = 4096
+MARGIN = 2 * 2.296 / SKETCH_K ** 0.9021
+#: Buckets per octave of the first pass without a sketch, and per range of the later ones.
 OCTAVE, RANGE = 256, 1 << 16
 
 
@@ -53,15 +59,27 @@ def _holding(hist: DataFrame, keys, order) -> DataFrame:
     return placed.withColumn("ranks", held).where(F.size("ranks") > 0)
 
 
-def _quantiles(x: DataFrame, probs: dict, few_groups: bool) -> DataFrame:
-    """Exact linear-interpolated quantiles of ``x(g, x)`` per group, in four passes at any size.
+def _interpolated(at: DataFrame, probs: dict) -> DataFrame:
+    """The quantiles of each group from its wanted ranks: ``at`` holds g, n, ranks and x."""
+    at = at.select("g", "n", F.explode("ranks").alias("r"), "x").groupBy("g").agg(
+        F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("r", "x"))).alias("v"))
+
+    def value(p):
+        pos = F.lit(float(p)) * (F.col("n") - 1)
+        low = F.floor(pos).cast("long")
+        a, b = F.col("v")[low], F.col("v")[F.least(low + 1, F.col("n") - 1)]
+        return F.when((a == b) | (pos == low), a).otherwise(a + (pos - low) * (b - a))
+
+    return at.select("g", *[value(p).alias(k) for k, p in probs.items()])
+
+
+def _quantiles_by_buckets(x: DataFrame, probs: dict, few_groups: bool) -> DataFrame:
+    """Exact quantiles of ``x(g, x)`` per group in four scans, whatever the distribution.
 
     Every pass counts rows per group and bucket (a partial + final aggregate) and keeps the buckets
     that hold a wanted rank: buckets of the logarithm, then twice equal-width buckets between the
     least and the greatest value of the bucket kept.  After that a bucket spans fewer than 2**13
-    neighbouring doubles, whose distinct values are counted and put in order.  No row reaches the
-    driver; ``few_groups`` says that the number of groups is fixed, so that the kept ranges
-    (two per probability and group at most) may be broadcast.
+    neighbouring doubles, whose distinct values are counted and put in order.
     """
     count = [F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")]
     hist = x.groupBy("g", _coarse(F.col("x")).alias("b")).agg(*count)
@@ -79,17 +97,59 @@ def _quantiles(x: DataFrame, probs: dict, few_groups: bool) -> DataFrame:
         width = F.when(F.col("rhi") == F.col("rlo"), 0).otherwise(
             F.least(F.floor((F.col("x") - F.col("rlo")) / (F.col("rhi") - F.col("rlo")) * RANGE), F.lit(RANGE - 1)))
         kept = _holding(rows().groupBy(*keys, width.cast("int").alias("b")).agg(*count), ["g", "rlo"], "b")
-    last = _holding(rows().groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c")), ["g", "rlo"], "x")
-    at = last.select("g", "n", F.explode("ranks").alias("r"), "x").groupBy("g").agg(
-        F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("r", "x"))).alias("v"))
+    return _interpolated(_holding(rows().groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c")), ["g", "rlo"], "x"), probs)
 
-    def value(p):
-        pos = F.lit(float(p)) * (F.col("n") - 1)
-        low = F.floor(pos).cast("long")
-        a, b = F.col("v")[low], F.col("v")[F.least(low + 1, F.col("n") - 1)]
-        return F.when((a == b) | (pos == low), a).otherwise(a + (pos - low) * (b - a))
 
-    return at.select("g", *[value(p).alias(k) for k, p in probs.items()])
+def _brackets(x: DataFrame, probs) -> DataFrame:
+    """Per group a range of values around each probability, from one mergeable KLL sketch.
+
+    Groups of a few rows, whose neighbouring ranks are further apart than the margin, lie inside as a whole.
+    """
+    s = x.groupBy("g").agg(F.kll_sketch_agg_double("x", SKETCH_K).alias("s"), F.count(F.lit(1)).alias("n"))
+
+    def bound(rank, end):
+        if not 0 < rank < 1:
+            return F.lit(end)
+        return F.when(F.col("n") < 4 / MARGIN, F.lit(end)).otherwise(F.kll_sketch_get_quantile_double("s", F.lit(rank)))
+
+    inf = float("inf")
+    return s.select("g", *[c for i, p in enumerate(probs) for c in (bound(p - MARGIN, -inf).alias(f"lo{i}"),
+                                                                    bound(p + MARGIN, inf).alias(f"hi{i}"))])
+
+
+def _quantiles(x: DataFrame, probs: dict, few_groups: bool) -> DataFrame:
+    """Exact linear-interpolated quantiles of ``x(g, x)`` per group, in two scans at any size.
+
+    The first scan builds a KLL sketch per group, which brackets every wanted rank.  The second counts
+    the rows before, between and after the brackets, one row per group and gap, and the distinct values
+    inside them (about ``2 * MARGIN`` of the rows per probability), which are range-partitioned and
+    stored.  Ranks are then counted over that table alone, so the result is exact whatever the sketch
+    drew.  If a rank lies outside its bracket, the groups concerned take four scans instead.
+    ``few_groups`` says that the number of groups is fixed, so that brackets and offsets may be broadcast.
+    """
+    ps = sorted({float(p) for p in probs.values()})
+    small = F.broadcast if few_groups else (lambda df: df)
+    # a sketch that is computed again may differ, so brackets that Spark could recompute are stored
+    brackets = _brackets(x, ps)
+    brackets = F.broadcast(brackets) if few_groups else _stored(brackets, "brackets")
+    seg = F
+    for i in range(len(ps)):
+        seg = seg.when(F.col("x") < F.col(f"lo{i}"), 2 * i).when(F.col("x") <= F.col(f"hi{i}"), 2 * i + 1)
+    counted = x.join(brackets, "g").select("g", "x", seg.otherwise(2 * len(ps)).alias("seg")) \
+               .groupBy("g", "seg", F.when(F.col("seg") % 2 == 1, F.col("x")).alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    parts = range_partitions(counted, int(PARTITION_BYTES / (2 * MARGIN * len(ps))))
+    counted = _stored(counted.repartitionByRange(parts, "g", "seg", "x").withColumn("pid", F.spark_partition_id()), "bracketed")
+    totals = counted.groupBy("g", "pid", "seg").agg(F.sum("c").alias("c")) \
+                    .withColumn("n", F.sum("c").over(Window.partitionBy("g"))).withColumn("below", F.lit(0).cast("long")) \
+                    .withColumn("ranks", _ranks(F.col("n"), probs.values()))
+    kept = _holding(totals, ["g"], F.struct("pid", "seg")).drop("c")
+    missed = kept.where("seg % 2 = 0").select("g")
+    last = _holding(counted.join(small(kept), ["g", "pid", "seg"]), ["g", "pid", "seg"], "x")
+    if missed.isEmpty():
+        return _interpolated(last, probs)
+    missed = _stored(missed.distinct(), "missed")
+    again = _quantiles_by_buckets(x.join(small(missed), "g", "left_semi"), probs, few_groups)
+    return _interpolated(last.join(small(missed), "g", "left_anti"), probs).unionByName(again)
 
 
 def _valued(df: DataFrame, group, col) -> DataFrame:

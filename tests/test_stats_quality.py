@@ -42,6 +42,44 @@ def test_group_percentiles_same_at_every_size(spark, copies):
         assert abs(got[g].m - np.quantile(vs, 0.5)) < 1e-12 and abs(got[g].q - np.quantile(vs, 0.9)) < 1e-12
 
 
+def test_ranks_outside_their_brackets_take_the_longer_way(spark, monkeypatch):
+    from riskframe.functions import stats
+    rng = np.random.default_rng(3)
+    rows = [("a", float(v)) for v in rng.normal(0, 1, 6000)] + [("b", float(v)) for v in rng.lognormal(0, 3, 5000)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    probs = {"lo": 0.0, "m": 0.5, "q": 0.9, "hi": 1.0}
+    true, ways = stats._brackets, []
+    whole = stats._quantiles_by_buckets
+
+    def narrow(x, ps):  # brackets of group a lie beside the wanted ranks
+        from pyspark.sql import functions as F
+        b = true(x, ps)
+        return b.select("g", *[F.when(F.col("g") == "a", F.lit(90.0)).otherwise(F.col(c)).alias(c) for c in b.columns[1:]])
+
+    def by_buckets(x, *more):
+        ways.append({r.g for r in x.select("g").distinct().collect()})
+        return whole(x, *more)
+    monkeypatch.setattr(stats, "_quantiles_by_buckets", by_buckets)
+    for few in (False, True):
+        for brackets, expected in ((true, []), (narrow, [{"a"}])):
+            monkeypatch.setattr(stats, "_brackets", brackets)
+            ways.clear()
+            got = {r.g: r for r in exact_group_percentiles(df, "g", "v", probs, few_groups=few).collect()}
+            for g in "ab":
+                vs = np.array([v for k, v in rows if k == g])
+                assert all(np.isclose(got[g][k], np.quantile(vs, p), rtol=1e-12) for k, p in probs.items())
+            assert ways == expected
+
+
+def test_brackets_hold_a_small_share_of_the_values(spark):
+    from riskframe.functions import stats
+    n = 200_000
+    x = spark.range(n, numPartitions=6).selectExpr("0 AS g", "CAST(pmod(id * 7919, 200000) AS double) AS x")
+    b = stats._brackets(x, [0.05, 0.5]).first()
+    for lo, hi, p in ((b.lo0, b.hi0, 0.05), (b.lo1, b.hi1, 0.5)):
+        assert lo < p * (n - 1) < hi and hi - lo < 4 * stats.MARGIN * n
+
+
 def test_exact_percentiles_empty(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert exact_percentiles(df, "v", {"p": 0.5}).first().p is None
