@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, doc_key, drop, keep, text_buffers
+from .common import NO_ID, chunks, doc_key, drop, keep, text_buffers, text_key
 from .factors import expand, factorise, flat_lists
 from .rolling import Roller, covered, mix, words
 
@@ -134,25 +134,42 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     A word goes if it is covered by ``window`` consecutive words that also occur in a document with a
     smaller doc_id.  A null text has no words; a text of fewer words than ``window`` loses none.  A
     null doc_id counts as larger than every other.  Rows with equal doc_id are never earlier than
-    each other, so repeated rows give equal results.  Other columns are ignored.
+    each other, so repeated rows give equal results; the lists of rows without a doc_id are kept by text,
+    so many of them share no key.  Other columns are ignored.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-            .withColumn("did", doc_key())
+            .withColumn("did", doc_key()).withColumn("th", F.when(F.col("did") == NO_ID, text_key()).otherwise(0))
+    # rows without an id are one document to the index, but each of their texts has lists of its own
+    no_id = d.where(F.col("doc_id").isNull() | (F.col("doc_id") == NO_ID))
     index_schema = "anchor long, name long, did long"
+
+    def lists_of(index: DataFrame, own: DataFrame) -> DataFrame:
+        """Entries of the index by (did, th); what only rows without an id hold goes to each text that has it."""
+        alone = own.select("name", F.col("did").alias("th")).join(index.where(F.col("did") == NO_ID).select("name"), "name", "left_semi")
+        return index.where(F.col("did") != NO_ID).select("did", F.lit(0).cast("long").alias("th"), "name") \
+                    .union(alone.select(F.lit(NO_ID).alias("did"), "th", "name"))
+
     # reference index: each distinct factor with the earliest document that holds it
     factors = keep(d.select("did", "text").mapInArrow(_factor_rows(window), index_schema)
                    .groupBy("anchor", "name").agg(F.min("did").alias("did")), "factors")
+    own_factors = keep(no_id.select(F.col("th").alias("did"), "text").mapInArrow(_factor_rows(window), index_schema).distinct(),
+                       "factors-no-id")
     several = factors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     checked = keep(factors.join(several, "anchor", "left_semi").select("did", "name"), "factors-checked")
-    names = checked.groupBy("did").agg(F.collect_list("name").alias("names"))
-    singles = keep(d.join(names.hint("shuffle_hash"), "did").select("did", "text", "names")
-                   .mapInArrow(_boundary_windows(window), index_schema)
+    names = lists_of(checked, own_factors).groupBy("did", "th").agg(F.collect_list("name").alias("names"))
+    windows = d.join(names.hint("shuffle_hash"), ["did", "th"])
+    singles = keep(windows.select("did", "text", "names").mapInArrow(_boundary_windows(window), index_schema)
                    .groupBy("anchor", "name").agg(F.min("did").alias("did")).select("did", "name"), "windows-held")
-    entry = lambda df, k: df.select("did", "name", F.lit(k).alias("kind"))
+    own_windows = no_id.select("did", "th", "text").join(names.where(F.col("did") == NO_ID).hint("shuffle_hash"), ["did", "th"]) \
+                       .select(F.col("th").alias("did"), "text", "names") \
+                       .mapInArrow(_boundary_windows(window), index_schema).distinct()
+    entry = lambda df, k: df.select("did", "th", "name", F.lit(k).alias("kind"))
     of_kind = lambda k: F.collect_list(F.when(F.col("kind") == k, F.col("name")))
-    per_doc = keep(entry(factors, 0).union(entry(checked, 1)).union(entry(singles, 2)).groupBy("did")
-                   .agg(of_kind(0).alias("held"), of_kind(1).alias("checked"), of_kind(2).alias("windows")), "held")
-    drop(factors, checked, singles)
-    return d.join(per_doc.hint("shuffle_hash"), "did", "left") \
+    entries = entry(lists_of(factors, own_factors), 0).union(entry(lists_of(checked, own_factors), 1)) \
+        .union(entry(lists_of(singles, own_windows), 2))
+    per_doc = keep(entries.groupBy("did", "th").agg(of_kind(0).alias("held"), of_kind(1).alias("checked"),
+                                                    of_kind(2).alias("windows")), "held")
+    drop(factors, own_factors, checked, singles)
+    return d.join(per_doc.hint("shuffle_hash"), ["did", "th"], "left") \
             .select("doc_id", "text", "held", "checked", "windows") \
             .mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_text string")

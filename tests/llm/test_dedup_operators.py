@@ -136,6 +136,18 @@ def test_repeated_passages(make_docs, corpus):
     assert sorted((tuple(r) for r in got), key=str) == brute_passages(rows)
 
 
+def test_passages_of_rows_without_id(make_docs):
+    rng = np.random.default_rng(5)
+    say = lambda n: " ".join(f"w{v}" for v in rng.integers(0, 400, n))
+    common, numbered, cut = say(90), say(70), say(120)
+    rows = [(4, say(30) + " " + numbered + " " + say(20)), (9, cut[:len(cut) // 2] + " " + say(60))]
+    rows += [(None, " ".join([say(int(rng.integers(1, 80))), common, say(7), cut, say(int(rng.integers(1, 60)))])) for _ in range(12)]
+    rows += [(None, say(10) + " " + numbered), (None, common[20:]), (None, rows[5][1]), (None, rows[5][1]), (None, "")]
+    rows += [(None, " ".join(["again"] * 130)), (None, None)]
+    got = sorted((tuple(r) for r in remove_repeated_passages(make_docs(rows)).collect()), key=str)
+    assert got == brute_passages(rows) and sum(r[2] for r in got) > 500
+
+
 def brute_strings(rows, L=200):
     count = Counter()
     bs = [(d, (t or "").encode()) for d, t in rows]
