@@ -97,9 +97,12 @@ def keyed_uniform(key, name: str, seed: int = 42, copy=None) -> Column:
 
 def keyed_normal(key, name: str, mean: float = 0.0, sd: float = 1.0, seed: int = 42, copy=None) -> Column:
     """Box-Muller from two keyed uniforms."""
-    u1 = F.lit(1.0) - keyed_uniform(key, name + "#u1", seed, copy)  # (0, 1]
-    u2 = keyed_uniform(key, name + "#u2", seed, copy)
-    z = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+    return box_muller(keyed_uniform(key, name + "#u1", seed, copy), keyed_uniform(key, name + "#u2", seed, copy), mean, sd)
+
+
+def box_muller(u1: Column, u2: Column, mean: float = 0.0, sd: float = 1.0) -> Column:
+    """A normal draw from two uniform ones in [0, 1)."""
+    z = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u1)) * F.cos(F.lit(2.0 * math.pi) * u2)  # 1 - u1 in (0, 1]
     return F.lit(mean) + F.lit(sd) * z
 
 
@@ -107,6 +110,34 @@ def keyed_lognormal(key, name: str, sigma: float, seed: int = 42, copy=None) ->
     return F.exp(keyed_normal(key, name, 0.0, sigma, seed, copy))
 
 
+def keyed_uniforms(key, names, seed: int = 42, copy=None) -> Column:
+    """Many :func:`keyed_uniform` draws of a row as one array, in the order of ``names``.
+
+    For rows with dozens of draws: as column expressions these outgrow what the JVM compiles, so they
+    are hashed batch-wise in Python.
+    """
+    from pyspark.sql.functions import pandas_udf
+
+    heads = [f"{seed}|{n}|".encode() for n in names]
+
+    def draws(rows):
+        import hashlib
+
+        import numpy as np
+        import pandas as pd
+        starts, out = [hashlib.md5(h) for h in heads], bytearray()
+        for row in rows:
+            tail = row.encode()
+            for start in starts:
+                h = start.copy()
+                h.update(tail)
+                out += h.digest()[:4]
+        return pd.Series(list(np.frombuffer(bytes(out), ">u4").reshape(-1, len(heads)) / 4294967296.0))
+
+    tail = F.concat_ws("|", col(copy).cast("string") if copy is not None else F.lit("0"), col(key).cast("string"))
+    return pandas_udf(draws, "array<double>")(tail)
+
+
 def sql_keyed_uniform(key_sql: str, name: str, seed: int = 42, copy_sql: str = "'0'") -> str:
     """DuckDB twin of :func:`keyed_uniform` (for oracles)."""
     return (f"(('0x' || substr(md5(concat_ws('|', '{seed}', '{name}', cast({copy_sql} AS varchar), "

@@ -50,6 +50,20 @@ def test_replicate_copy_zero_unchanged(spark, sf):
     assert min(lr) >= 0.05 and max(lr) <= 6.0
 
 
+def test_replication_is_spread_and_draws_like_the_columns(spark, sf):
+    from riskframe.functions.expr import keyed_uniform, keyed_uniforms
+    market = M.join_market(fixture(spark, sf, "fx_market"), fixture(spark, sf, "fx_market_premium")).coalesce(1)
+    r = M.replicate_market(M.map_market(market))
+    assert r.select(F.spark_partition_id()).distinct().count() > 1
+    keys = spark.createDataFrame([("a", 0), ("b|", 3), ("ü", 7), ("", 2), (None, 1)], "k string, copy int")
+    names = ["age#u1", "age#u2", "bmi#u1"]
+    for copy in ("copy", None):
+        rows = keys.select(keyed_uniforms("k", names, 49, copy).alias("d"),
+                           F.array(*[keyed_uniform("k", n, 49, copy) for n in names]).alias("want")).collect()
+        assert len(rows) == 5 and all(x.d == x.want for x in rows)
+    assert keys.where("false").select(keyed_uniforms("k", names).alias("d")).collect() == []
+
+
 def test_align_distribution_matches_numpy(spark):
     vals = [(f"k{i}", float(v)) for i, v in enumerate([5.0, 1.0, 3.0, 3.0, 9.0, 0.5, 7.0])]
     ref_vals = [0.2, 0.4, 0.1, 0.9, 1.5]
