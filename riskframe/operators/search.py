@@ -108,21 +108,38 @@ def rung_plan(rounds: int, folds: int, keep: float) -> list[tuple[int, int]]:
     return [(max(1, int(rounds * keep * keep)), 1), (max(1, int(rounds * keep)), min(2, folds)), (rounds, folds)]
 
 
+#: Rows that one task of a fit reads.
+TASK_ROWS = 50_000
+
+
+def fit_layout(rows: int, cores: int, least: int = 4) -> tuple[int, int]:
+    """(tasks per job of a fit, fits at once) for fits on ``rows`` rows.
+
+    A fit is hundreds of jobs, one per level of each tree, which on a small table cost more to start than to
+    run: few tasks per job, and so many fits side by side that the cores have work while others start theirs.
+    Large tables keep all cores busy with ``least`` fits.
+    """
+    tasks = max(1, -(-rows // TASK_ROWS))
+    return tasks, max(least, 2 * cores // tasks)
+
+
 def search(train: DataFrame, key: str, n_trials: int = 50, folds: int = 5, rounds: int = 60, batch: int = 10,
-           keep: float = 1 / 3, parallelism: int = 4, seed: int = 42, space=SPACE) -> tuple[dict, DataFrame]:
+           keep: float = 1 / 3, parallelism: int | None = None, seed: int = 42, space=SPACE) -> tuple[dict, DataFrame]:
     """(best parameters, trials) by mean absolute error over keyed folds.
 
     ``train`` has ``features`` and ``label``.  A trial's error on a rung is the mean over its folds of the best
     prefix, found by MLlib's one-pass staged evaluation, so the number of trees is not a parameter of its own.
-    Proposals learn from the first rung; all trials start there and the best ``keep`` of them go on.  Trials:
-    trial, rung (last one reached), trees, mae and the parameters, one row per trial.
+    Proposals learn from the first rung; all trials start there and the best ``keep`` of them go on.
+    ``parallelism`` is the number of fits at once (None: by :func:`fit_layout`).  Trials: trial, rung (last one
+    reached), trees, mae and the parameters, one row per trial.
     """
     from pyspark.ml.regression import GBTRegressor
     from ..functions.expr import keyed_uniform
     from ..session import materialize
     rows = materialize(train.select("features", "label", F.floor(keyed_uniform(key, "fold", seed) * folds).cast("int").alias("fold")),
                        "search-rows")
-    parts = [(rows.where(F.col("fold") != k).drop("fold").persist(), rows.where(F.col("fold") == k).drop("fold").persist())
+    tasks, at_once = fit_layout(rows.count(), rows.sparkSession.sparkContext.defaultParallelism)
+    parts = [tuple(rows.where(side).drop("fold").coalesce(tasks).persist() for side in (F.col("fold") != k, F.col("fold") == k))
              for k in range(folds)]
 
     def error(job):
@@ -144,7 +161,7 @@ def search(train: DataFrame, key: str, n_trials: int = 50, folds: int = 5, round
     sampler, trials = ParzenSampler(space, seed=seed), []
     plan = rung_plan(rounds, folds, keep)
     try:
-        with ThreadPoolExecutor(parallelism) as pool:
+        with ThreadPoolExecutor(parallelism or at_once) as pool:
             while len(trials) < n_trials:
                 new = [{"trial": len(trials) + i, "point": p, "rung": 0}
                        for i, p in enumerate(sampler.ask(min(batch, n_trials - len(trials))))]

@@ -178,3 +178,16 @@ def test_search_sends_the_better_trials_on(learnable):
     assert [r.trial for r in rows] == list(range(6)) and sorted(r.rung for r in rows) == [0, 0, 0, 0, 1, 2]
     top = min((r for r in rows if r.rung == 2), key=lambda r: r.mae)
     assert best["maxDepth"] == top.maxDepth and best["maxIter"] == top.trees
+
+
+def test_search_on_few_rows_starts_few_tasks(learnable, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor
+    from riskframe.operators.search import TASK_ROWS, fit_layout
+    assert fit_layout(600, 12) == (1, 24) and fit_layout(0, 2) == (1, 4)
+    assert fit_layout(72_000, 12) == (2, 12) and fit_layout(100 * TASK_ROWS, 12) == (100, 4)
+    seen, fit = [], GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, d: seen.append((d.rdd.getNumPartitions(), d.count())) or fit(self, d))
+    data = MD._assembled(learnable.repartition(8))
+    search(data, "k", n_trials=2, folds=2, rounds=1, batch=2, space=(Dimension("maxDepth", 1, 2, whole=True),
+           Dimension("stepSize", 0.01, 0.35, log=True), Dimension("featureSubsetStrategy", 0.5, 1.0)))
+    assert {n for n, _ in seen} == {1} and len({rows for _, rows in seen}) <= 2 and sum({rows for _, rows in seen}) == 600
