@@ -72,11 +72,13 @@ def monotone_signs(spark: SparkSession) -> DataFrame:
 def quartile_strata(df: DataFrame, y: str = TARGET_LOG, out: str = "stratum") -> DataFrame:
     """MOD1: target quartile strata with deduplicated edges (qcut semantics: right-closed,
     lowest edge included).  Quartiles equal to the minimum merge with it, so a target with many
-    equal smallest values has fewer strata.  Edges are one exact selection joined back as one row."""
+    equal smallest values has fewer strata.  Edges are one exact selection, stored and joined back as one
+    row, so that readers of the result do not repeat the selection."""
     from ..functions.stats import exact_percentiles
+    from ..session import materialize
     e = exact_percentiles(df, y, {"_q0": 0.0, "_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
     edges = e.select(F.array_except(F.array("_q1", "_q2", "_q3"), F.array("_q0")).alias("_edges"))
-    d = df.crossJoin(F.broadcast(edges))
+    d = df.crossJoin(F.broadcast(materialize(edges, "edges")))
     label = F.size(F.filter("_edges", lambda x: x < F.col(y)))
     return d.withColumn(out, label).drop("_edges")
 
@@ -89,11 +91,13 @@ def stratified_split(df: DataFrame, key: str, strata: str = "stratum", test_frac
     rows left by rounding down going to the largest remainders.  Inside a stratum the rows with the
     smallest keyed draws are taken: only (stratum, draw, key) is ranked, across range partitions, to
     find one cut per stratum, and every row is compared with its cut.  ``key`` identifies a row; rows
-    with equal keys fall on the same side.  ``df`` is read three times, so it should be a stored table.
+    with equal keys fall on the same side.  ``df`` is read three times, so it should be a stored table;
+    the cuts are stored (one row per stratum), so reading the result is one pass over ``df``.
     """
     from pyspark.sql import Window
     from ..functions.expr import keyed_uniform
     from ..functions.ranks import rank_within
+    from ..session import materialize
     d = df.withColumn("_u", keyed_uniform(key, "split", seed))
     sizes = d.groupBy(strata).agg(F.count(F.lit(1)).alias("_n"))
     every = Window.partitionBy()  # one row per stratum
@@ -110,7 +114,7 @@ def stratified_split(df: DataFrame, key: str, strata: str = "stratum", test_frac
     cuts = ranked.join(F.broadcast(quota), strata).where("_rank = _quota - 1") \
                  .select(strata, F.col("_u").alias("_cut"), F.col("_row_key").alias("_cut_key"))
     inside = (F.col("_u") < F.col("_cut")) | ((F.col("_u") == F.col("_cut")) & (F.col(key) <= F.col("_cut_key")))
-    return (d.join(F.broadcast(cuts), strata, "left").withColumn(out, F.coalesce(inside, F.lit(False)))
+    return (d.join(F.broadcast(materialize(cuts, "cuts")), strata, "left").withColumn(out, F.coalesce(inside, F.lit(False)))
              .select(*df.columns, out))
 
 

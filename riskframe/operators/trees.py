@@ -45,6 +45,12 @@ class Node:
         return sum(x.cover * x.value for x in self.leaves()) / sum(x.cover for x in self.leaves())
 
 
+def _number(x: float) -> str:
+    """``x`` as a SQL literal of the same double."""
+    x = float(x)
+    return f"{x!r}D" if math.isfinite(x) else f"cast('{x}' as double)"
+
+
 @dataclass(frozen=True)
 class Ensemble:
     """``sum(weight * tree(x))`` over ``features``, as ``trees`` of (weight, root)."""
@@ -58,17 +64,18 @@ class Ensemble:
         """Mean prediction over the training rows of each tree: the base of the Shapley values."""
         return sum(w * t.mean() for w, t in self.trees)
 
-    def _value(self, name: str) -> Column:
-        return F.coalesce(F.col(name).cast("double"), F.lit(float("nan")))
+    def _meets(self, feature: int, threshold: float) -> str:
+        return f"coalesce(cast(`{self.features[feature]}` as double), cast('NaN' as double)) <= {_number(threshold)}"
 
     def terms(self) -> list[Column]:
-        """The weighted prediction of each tree."""
-        def expr(node: Node, weight: float) -> Column:
+        """The weighted prediction of each tree, one SQL text per tree: a column call per node takes the driver longer
+        than a batch of trees takes to score a million rows."""
+        def expr(node: Node, weight: float) -> str:
             if node.left is None:
-                return F.lit(weight * node.value)
-            return F.when(self._value(self.features[node.feature]) <= F.lit(node.threshold), expr(node.left, weight)) \
-                    .otherwise(expr(node.right, weight))
-        return [expr(t, w) for w, t in self.trees]
+                return _number(weight * node.value)
+            return (f"CASE WHEN {self._meets(node.feature, node.threshold)} THEN {expr(node.left, weight)} "
+                    f"ELSE {expr(node.right, weight)} END")
+        return [F.expr(expr(t, w)) for w, t in self.trees]
 
     def score(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         return df.withColumn(out, sum(self.terms(), F.lit(0.0)))
@@ -202,7 +209,11 @@ def boost(train: DataFrame, key: str, params: dict | None = None, rounds: int =
         data = feature_matrix(rows.where(~F.col("_val")), features).select("features", (F.col("_y") - F.col("_p")).alias("label"))
         gbt = GBTRegressor(featuresCol="features", labelCol="label", seed=seed + len(model.trees),
                            maxIter=min(patience, rounds - len(model.trees)), **(params or {}))
-        grown = from_mllib(gbt.fit(data), features)
+        data = data.persist()  # a fit reads its rows three times before it has them binned
+        try:
+            grown = from_mllib(gbt.fit(data), features)
+        finally:
+            data.unpersist()
         if signs is not None:
             grown = project_monotone(grown, signs)
         later = staged_errors(rows.where("_val"), grown, "_y", "_p")
@@ -284,11 +295,10 @@ def with_shapley(df: DataFrame, model: Ensemble, prefix: str = "_phi_") -> DataF
     for w, t in model.trees:
         for conditions, values in _tables(t, w):
             name = f"_cell_{len(cells)}"
-            cells[name] = sum(((model._value(model.features[f]) <= F.lit(x)).cast("int") * (1 << i)
-                               for i, (f, x) in enumerate(conditions)), F.lit(0))
+            cells[name] = F.expr(" + ".join(f"cast({model._meets(f, x)} as int) * {1 << i}" for i, (f, x) in enumerate(conditions)))
             for f, v in values.items():
-                table = F.split(F.lit(",".join(map(repr, v.tolist()))), ",").cast("array<double>")
-                parts[model.features[f]].append(F.get(table, F.col(name)))
+                table = ",".join(map(repr, v.tolist()))
+                parts[model.features[f]].append(F.expr(f"get(cast(split('{table}', ',') as array<double>), {name})"))
     out = df.withColumns(cells) if cells else df
     out = out.withColumns({prefix + f: sum(p, F.lit(0.0)) for f, p in parts.items()})
     return out.drop(*cells)

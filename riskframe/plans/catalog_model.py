@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.constants import FEATURE_COLUMNS
+from ..functions.constants import FEATURE_COLUMNS, TARGET_LOG
 from ..operators import model as MD
 from ..operators import scoring as S
 from ..operators.features import engineer_features
@@ -94,10 +94,11 @@ def q_tune(spark, sf):
 
 
 def _lab_training_table(spark, sf):
-    """The split feature table with lab flags, stored once; the boosted models are fitted on it."""
+    """The split feature table with lab flags, on which the boosted models are fitted: the columns they read are stored
+    once, and a row's stratum and side follow from the stored edges and cuts."""
     from ..session import materialize
-    rows = materialize(engineer_features(lab_snapshot(spark, sf)), "lab-features")
-    return materialize(MD.stratified_split(MD.quartile_strata(rows), "employee_key"), "lab-training")
+    rows = engineer_features(lab_snapshot(spark, sf)).select("employee_key", "company_id", *FEATURE_COLUMNS, TARGET_LOG)
+    return MD.stratified_split(MD.quartile_strata(materialize(rows, "lab-features")), "employee_key")
 
 
 #: Fitted challengers of this process, as plain data: a model is an artifact that several queries use.

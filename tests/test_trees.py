@@ -48,6 +48,20 @@ def test_expressions_score_like_the_trees(grid):
     assert all(r.prediction == 0 for r in model.prefix(0).score(grid).collect())
 
 
+def test_terms_are_one_text_per_tree(grid, monkeypatch):
+    values = [1e-320, -5e-324, 1.7976931348623157e308, -0.1, 1 / 3, 1e-5, -0.0, math.inf, -math.inf, math.nan]
+    model = T.Ensemble(tuple((1.0, T.Node(2.0, 0.0, 0, t, T.Node(1.0, v), T.Node(1.0, 7.0)))
+                             for v in values for t in (3.0, math.inf, -1e-320)), NAMES)
+    calls, when, expr = [], F.when, F.expr
+    monkeypatch.setattr(T.F, "when", lambda *a: calls.append("when") or when(*a))
+    monkeypatch.setattr(T.F, "expr", lambda *a: calls.append("expr") or expr(*a))
+    terms = model.terms()
+    assert calls == ["expr"] * len(model.trees)
+    for r in grid.where("id = 0 or id = 124").select("id", F.array(*terms).alias("v")).collect():  # a is -2.0 and 3.0
+        want = [predict(t, [-2.0 if r.id == 0 else 3.0, 0.0, 0.0]) for _, t in model.trees]
+        assert list(map(repr, r.v)) == list(map(repr, want))
+
+
 def test_projection_is_monotone_and_leaves_monotone_trees_alone():
     rng = random.Random(5)
     for _ in range(200):
@@ -108,6 +122,16 @@ def test_shapley_equals_subset_enumeration(grid, monkeypatch, bits):
         assert sum(phi) == pytest.approx(r.prediction - base, abs=1e-9)
 
 
+def test_shapley_tables_are_one_text_each(grid, monkeypatch):
+    rng = random.Random(12)
+    model = T.Ensemble(tuple((1.0, random_tree(rng, 3)) for _ in range(6)), NAMES)
+    calls, split = [], F.split
+    monkeypatch.setattr(T.F, "split", lambda *a: calls.append(a) or split(*a))
+    monkeypatch.setattr(T.F, "get", lambda *a: calls.append(a))
+    T.with_shapley(grid, model)
+    assert not calls
+
+
 @pytest.fixture(scope="module")
 def learnable(spark):
     """A target that three features explain, one of them against its sign in noise."""
@@ -133,6 +157,23 @@ def test_growth_with_patience(learnable):
     assert len(audit) == sum(s != 0 for s in MD.MONOTONE_SIGNS) and all(r.violations == 0 for r in audit)
 
 
+def test_a_fit_reads_its_rows_from_the_cache(learnable, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor
+    seen, fit = [], GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, d: seen.append((d, d.is_cached)) or fit(self, d))
+    T.boost(learnable, "k", {"maxDepth": 1}, rounds=4, patience=2)
+    assert len(seen) == 2 and all(cached for _, cached in seen)
+    assert not any(d.is_cached for d, _ in seen)  # nothing stays
+
+
+def test_a_split_is_read_in_one_pass(learnable):
+    split = MD.stratified_split(MD.quartile_strata(learnable), "k")
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Aggregate", "Window", "Sort"))
+    rows = split.groupBy("stratum").agg(F.count("*").alias("n"), F.count_if("is_test").alias("t")).collect()
+    assert {(r.n, r.t) for r in rows} == {(150, 30)} and len(rows) == 4
+
+
 def test_best_prefix_stops_after_patience():
     def brute(errors, patience):
         for n in range(len(errors)):
