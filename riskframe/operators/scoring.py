@@ -169,10 +169,14 @@ def top_drivers(df: DataFrame, key: str, weights: dict, means: DataFrame, n: int
 
 
 def tree_drivers(df: DataFrame, key: str, model, n: int = 5) -> DataFrame:
-    """SCO8 for boosted trees: top-n drivers per row by |Shapley value| of an ``operators.trees.Ensemble``."""
+    """SCO8 for boosted trees: top-n drivers per row by |Shapley value| of an ``operators.trees.Ensemble``.
+
+    The array goes to the generator as an expression: for a column Spark puts a filter on its size in front,
+    pushes it down to the scan and so works out all Shapley values there once more per use.
+    """
     from .trees import with_shapley
-    c = with_shapley(df, model)
-    return driver_rows(c.select(key, _ranked_drivers(n, model.features).alias("top_drivers")), key)
+    c = with_shapley(df.select(key, *model.features), model)
+    return driver_rows(c, key, drivers=_largest_drivers(n, model.features))
 
 
 def _ranked_drivers(n: int, features=FEATURE_COLUMNS) -> F.Column:
@@ -187,7 +191,21 @@ def _ranked_drivers(n: int, features=FEATURE_COLUMNS) -> F.Column:
         F.when(d["shap_value"] > 0, "increases risk").otherwise("reduces risk").alias("direction")))
 
 
-def driver_rows(df: DataFrame, *keep: str, drivers: str = "top_drivers") -> DataFrame:
+def _largest_drivers(n: int, features) -> F.Column:
+    """:func:`_ranked_drivers` for contributions that are never null.
+
+    Structs are sorted in their own order (largest first, then by position): a comparison written as a lambda is
+    interpreted, some hundred times a row.
+    """
+    structs = [F.struct((-F.abs(F.col(f"_phi_{f}"))).alias("a"), F.lit(i).alias("i"), F.lit(f).alias("feature"),
+                        F.col(f).cast("double").alias("value"), F.col(f"_phi_{f}").alias("shap_value"))
+               for i, f in enumerate(features)]
+    return F.transform(F.slice(F.sort_array(F.array(*structs)), 1, n), lambda d: F.struct(
+        d["feature"].alias("feature"), d["value"].alias("value"), d["shap_value"].alias("shap_value"),
+        F.when(d["shap_value"] > 0, "increases risk").otherwise("reduces risk").alias("direction")))
+
+
+def driver_rows(df: DataFrame, *keep: str, drivers: str | F.Column = "top_drivers") -> DataFrame:
     """A driver array as rows: the columns to keep, rank from 1, feature, value, shap_value, direction."""
     return df.select(*keep, F.posexplode(drivers).alias("_pos", "_d")).select(
         *keep, (F.col("_pos") + 1).alias("rank"), "_d.*")

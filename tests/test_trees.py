@@ -132,6 +132,22 @@ def test_shapley_tables_are_one_text_each(grid, monkeypatch):
     assert not calls
 
 
+def test_drivers_are_worked_out_once_a_row(grid):
+    from riskframe.operators.scoring import tree_drivers
+    rng = random.Random(13)
+    model = T.Ensemble(tuple((1.0, random_tree(rng, 3, features=2)) for _ in range(4)), NAMES)  # c has no values: ties at zero
+    out = tree_drivers(grid, "id", model, 2)
+    assert "Filter" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in out.orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append((r["rank"], r.feature, repr(r.value), r.shap_value, r.direction))
+    for r in T.with_shapley(grid, model).collect():
+        top = sorted(NAMES, key=lambda f: (-abs(r[f"_phi_{f}"]), NAMES.index(f)))[:2]
+        assert got[r.id] == [(i + 1, f, repr(r[f]), r[f"_phi_{f}"], "increases risk" if r[f"_phi_{f}"] > 0 else "reduces risk")
+                             for i, f in enumerate(top)]
+    assert len(got) == len(GRID) + 2
+
+
 @pytest.fixture(scope="module")
 def learnable(spark):
     """A target that three features explain, one of them against its sign in noise."""
